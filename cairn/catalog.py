@@ -78,3 +78,52 @@ def q_top_words(spark, sf):
 @register("partition_report")
 def q_partition_report(spark, sf):
     return W.partition_report(W.sort_by_count(_counts(spark, sf)))
+
+
+# --- messages: routing, envelopes, first-error cut ---------------------------
+from cairn.operators import routing as R  # noqa: E402
+from cairn.plans import derive as D  # noqa: E402
+from cairn.sources.envelopes import envelope_decode, envelope_encode  # noqa: E402
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def agent_messages(spark, sf):
+    """Agent events routed to client messages (M5)."""
+    return R.route_agent_events(D.agent_events(_events(spark, sf)))
+
+
+def client_actions(spark, sf):
+    """Client messages routed to actions, before the first-error cut."""
+    return R.route_client_messages(D.client_messages(_events(spark, sf)))
+
+
+def client_actions_cut(spark, sf):
+    return R.cut_at_first_error(client_actions(spark, sf))
+
+
+@register("route_agent_events")
+def q_route_agent_events(spark, sf):
+    return agent_messages(spark, sf)
+
+
+@register("envelope_encode")
+def q_envelope_encode(spark, sf):
+    return envelope_encode(agent_messages(spark, sf)).select("user_id", "ts", "event_id", "kind", "message")
+
+
+@register("envelope_decode")
+def q_envelope_decode(spark, sf):
+    return envelope_decode(D.client_messages(_events(spark, sf))).drop("message")
+
+
+@register("route_client_messages")
+def q_route_client_messages(spark, sf):
+    return client_actions(spark, sf).drop("payload")
+
+
+@register("cut_at_first_error")
+def q_cut_at_first_error(spark, sf):
+    return client_actions_cut(spark, sf).drop("payload")

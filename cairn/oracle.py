@@ -41,3 +41,80 @@ ORACLE["frequent_words"] = TEXT + "SELECT word, count FROM counts WHERE count >
 ORACLE["frequent_word_count"] = TEXT + "SELECT count(*) AS frequent_words FROM counts WHERE count > 1000"
 ORACLE["sort_by_count"] = TEXT + "SELECT word, count FROM counts ORDER BY count DESC, word"
 ORACLE["top_words"] = TEXT + "SELECT word, count FROM counts ORDER BY count DESC, word LIMIT 10"
+
+# --- messages ---------------------------------------------------------------
+AGENT = r"""
+agent AS (
+  SELECT user_id, ts, event_id,
+    CASE WHEN event_type IN ('signup', 'error') THEN 'control'
+         WHEN event_type = 'purchase' AND (event_id % 2 = 1 OR event_id % 50 = 0) THEN 'tool'
+         ELSE 'data' END AS kind,
+    CASE WHEN event_type = 'click' THEN 'application/input_transcription'
+         WHEN event_type = 'view' THEN 'text/plain'
+         WHEN event_type = 'purchase' AND event_id % 2 = 0 AND event_id % 50 <> 0 THEN 'audio/pcm'
+         WHEN event_type = 'purchase' THEN 'application/tool_use' END AS mime_type,
+    CASE WHEN event_type = 'click' THEN 't' || event_id
+         WHEN event_type = 'view' THEN 'e' || event_id
+         WHEN event_type = 'purchase' AND event_id % 2 = 0 AND event_id % 50 <> 0
+           THEN to_base64(encode(event_id::VARCHAR)) END AS data,
+    CASE WHEN event_type = 'purchase' AND (event_id % 2 = 1 OR event_id % 50 = 0)
+         THEN 'tool' || (event_id % 3) END AS tool_name,
+    CASE WHEN event_type = 'signup' THEN true END AS turn_complete,
+    CASE WHEN event_type = 'error' THEN true END AS interrupted
+  FROM events
+  WHERE NOT (event_type = 'view' AND event_id % 50 = 1)
+)"""
+
+CLIENT = r"""
+client AS (
+  SELECT user_id, ts, event_id,
+    CASE WHEN value > 190 THEN 'x/unknown' WHEN event_type = 'click' THEN 'text/plain'
+         WHEN event_type = 'view' THEN 'image/jpeg' WHEN event_type = 'purchase' THEN 'audio/pcm'
+         ELSE 'application/json' END AS mime_type,
+    CASE WHEN event_type = 'click' THEN 'u' || event_id
+         WHEN event_type IN ('view', 'purchase') THEN to_base64(encode(event_id::VARCHAR))
+         WHEN event_type = 'signup' THEN '{"event":"screen_sharing","status":"on"}'
+         WHEN event_id % 10 = 0 THEN '{"event":"other","status":"off"}'
+         ELSE '{"event":"screen_sharing","status":"off"}' END AS data,
+    event_type, value
+  FROM events
+)"""
+
+ROUTED = r"""
+routed AS (
+  SELECT user_id, ts, event_id,
+    CASE WHEN value > 190 THEN 'error' WHEN event_type = 'click' THEN 'content'
+         WHEN event_type IN ('view', 'purchase') THEN 'realtime'
+         WHEN event_type = 'signup' THEN 'state'
+         WHEN event_id % 10 = 0 THEN 'ignored' ELSE 'state' END AS action,
+    mime_type,
+    CASE WHEN value <= 190 AND event_type = 'click' THEN data END AS text,
+    CASE WHEN value <= 190 AND event_type IN ('view', 'purchase')
+         THEN octet_length(encode(event_id::VARCHAR))::BIGINT END AS payload_bytes,
+    CASE WHEN value <= 190 AND (event_type = 'signup' OR (event_type = 'error' AND event_id % 10 <> 0))
+         THEN 'screen_sharing' END AS state_key,
+    CASE WHEN value <= 190 AND event_type = 'signup' THEN 'on'
+         WHEN value <= 190 AND event_type = 'error' AND event_id % 10 <> 0 THEN 'off' END AS state_value,
+    CASE WHEN value > 190 THEN 'unsupported_mime' END AS error
+  FROM client
+)"""
+
+CUT = r"""
+cut AS (
+  SELECT * EXCLUDE (n_err) FROM (
+    SELECT *, sum(CASE WHEN action = 'error' THEN 1 ELSE 0 END)
+              OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n_err
+    FROM routed) WHERE n_err = 0
+)"""
+
+ORACLE["route_agent_events"] = _with(AGENT) + "SELECT * FROM agent"
+ORACLE["envelope_encode"] = _with(AGENT) + """
+SELECT user_id, ts, event_id, kind,
+  CASE kind WHEN 'control' THEN to_json({'turn_complete': turn_complete, 'interrupted': interrupted})
+            WHEN 'tool' THEN to_json({'mime_type': mime_type, 'tool_name': tool_name})
+            ELSE to_json({'mime_type': mime_type, 'data': data}) END AS message
+FROM agent"""
+ORACLE["envelope_decode"] = _with(CLIENT) + \
+    "SELECT user_id, ts, event_id, mime_type, data, NULL::VARCHAR AS decode_error FROM client"
+ORACLE["route_client_messages"] = _with(CLIENT, ROUTED) + "SELECT * FROM routed"
+ORACLE["cut_at_first_error"] = _with(CLIENT, ROUTED, CUT) + "SELECT * FROM cut"
