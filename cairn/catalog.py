@@ -90,14 +90,24 @@ def _events(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
 
 
+def agent_events(spark, sf):
+    """Recorded agent events (M6), derived from ``events`` and stored once."""
+    return D.materialized(spark, sf, "agent_events", lambda: D.agent_events(_events(spark, sf)))
+
+
+def client_messages(spark, sf):
+    """Recorded client messages (M4), derived from ``events`` and stored once."""
+    return D.materialized(spark, sf, "client_messages", lambda: D.client_messages(_events(spark, sf)))
+
+
 def agent_messages(spark, sf):
     """Agent events routed to client messages (M5)."""
-    return R.route_agent_events(D.agent_events(_events(spark, sf)))
+    return R.route_agent_events(agent_events(spark, sf))
 
 
 def client_actions(spark, sf):
     """Client messages routed to actions, before the first-error cut."""
-    return R.route_client_messages(D.client_messages(_events(spark, sf)))
+    return R.route_client_messages(client_messages(spark, sf))
 
 
 def client_actions_cut(spark, sf):
@@ -116,7 +126,7 @@ def q_envelope_encode(spark, sf):
 
 @register("envelope_decode")
 def q_envelope_decode(spark, sf):
-    return envelope_decode(D.client_messages(_events(spark, sf))).drop("message")
+    return envelope_decode(client_messages(spark, sf)).drop("message")
 
 
 @register("route_client_messages")
@@ -127,3 +137,68 @@ def q_route_client_messages(spark, sf):
 @register("cut_at_first_error")
 def q_cut_at_first_error(spark, sf):
     return client_actions_cut(spark, sf).drop("payload")
+
+
+# --- sessions -----------------------------------------------------------------
+from cairn.operators import sessions as S  # noqa: E402
+
+RING_SLOTS_FOR_CHECK = 4  # ring of 4 slots keeps 3 samples: small enough to bite at sf0.01
+
+
+@register("assemble_bot_messages")
+def q_assemble_bot_messages(spark, sf):
+    return S.assemble_bot_messages(agent_messages(spark, sf))
+
+
+@register("final_transcripts")
+def q_final_transcripts(spark, sf):
+    return S.final_transcripts(agent_messages(spark, sf))
+
+
+@register("session_state_latest")
+def q_session_state_latest(spark, sf):
+    return S.session_state_latest(client_actions_cut(spark, sf))
+
+
+@register("state_as_of_event")
+def q_state_as_of_event(spark, sf):
+    return S.state_as_of_event(client_actions_cut(spark, sf)).drop("payload")
+
+
+@register("screen_share_intervals")
+def q_screen_share_intervals(spark, sf):
+    return S.screen_share_intervals(client_actions_cut(spark, sf))
+
+
+@register("idle_forced_stops")
+def q_idle_forced_stops(spark, sf):
+    return S.idle_forced_stops(agent_messages(spark, sf), client_actions_cut(spark, sf))
+
+
+@register("retain_latest")
+def q_retain_latest(spark, sf):
+    return S.retain_latest(agent_messages(spark, sf), capacity=RING_SLOTS_FOR_CHECK)
+
+
+def _activity(spark, sf):
+    return S.activity_rows(agent_messages(spark, sf), client_actions_cut(spark, sf))
+
+
+@register("activity_sessions")
+def q_activity_sessions(spark, sf):
+    return S.activity_sessions(_activity(spark, sf))
+
+
+@register("activity_sessions_2h")
+def q_activity_sessions_2h(spark, sf):
+    return S.activity_sessions(_activity(spark, sf), gap_seconds=7200)
+
+
+@register("sample_per_second")
+def q_sample_per_second(spark, sf):
+    return S.sample_per_window(client_actions_cut(spark, sf), "1 second")
+
+
+@register("sample_per_hour")
+def q_sample_per_hour(spark, sf):
+    return S.sample_per_window(client_actions_cut(spark, sf), "1 hour")

@@ -28,38 +28,36 @@ def route_agent_events(events: DataFrame) -> DataFrame:
     turn_complete, interrupted.
     """
     part = F.get(F.col("content.parts"), 0)
+    flat = events.select(
+        SESSION, *ORDER, "turn_complete", "interrupted",
+        F.col("input_transcription").isNotNull().alias("_has_in"),
+        F.col("input_transcription.text").alias("_in"),
+        F.col("output_transcription").isNotNull().alias("_has_out"),
+        F.col("output_transcription.text").alias("_out"),
+        part.isNotNull().alias("_has_part"),
+        part.getField("inline_data").getField("mime_type").alias("_imime"),
+        part.getField("inline_data").getField("data").alias("_idata"),
+        part.getField("function_call").isNotNull().alias("_has_call"),
+        part.getField("function_call").getField("name").alias("_call"),
+        part.getField("text").alias("_text"))
     control = F.coalesce(F.col("turn_complete"), F.lit(False)) | F.coalesce(F.col("interrupted"), F.lit(False))
-    inline = part.getField("inline_data")
-    audio_ok = (inline.isNotNull() & inline.getField("mime_type").startswith("audio/pcm")
-                & (F.length(inline.getField("data")) > 0))
-    call = part.getField("function_call")
-    text = part.getField("text")
-    has_in = F.col("input_transcription").isNotNull()
-    has_out = F.col("output_transcription").isNotNull()
-
-    kind = (F.when(control, "control")
-            .when(has_in | has_out, "data")
-            .when(part.isNull(), None)
-            .when(audio_ok, "data")
-            .when(call.isNotNull(), "tool")
-            .when(F.coalesce(F.length(text), F.lit(0)) > 0, "data"))
-    mime = (F.when(control, None)
-            .when(has_in, "application/input_transcription")
-            .when(has_out, "text/plain")
-            .when(audio_ok, "audio/pcm")
-            .when(call.isNotNull(), "application/tool_use")
-            .otherwise("text/plain"))
-    data = (F.when(control, None)
-            .when(has_in, F.col("input_transcription.text"))
-            .when(has_out, F.col("output_transcription.text"))
-            .when(audio_ok, F.base64(inline.getField("data")))
-            .when(call.isNotNull(), None)
-            .otherwise(text))
-    return (events.withColumn("kind", kind).where(F.col("kind").isNotNull())
-            .select(SESSION, *ORDER, "kind", mime.alias("mime_type"), data.alias("data"),
-                    F.when(F.col("kind") == "tool", call.getField("name")).alias("tool_name"),
-                    F.when(control, F.col("turn_complete")).alias("turn_complete"),
-                    F.when(control, F.col("interrupted")).alias("interrupted")))
+    audio_ok = F.col("_imime").startswith("audio/pcm") & (F.length("_idata") > 0)
+    # the first matching rule, 1..7; NULL = dropped
+    rule = (F.when(control, 1).when(F.col("_has_in"), 2).when(F.col("_has_out"), 3)
+            .when(~F.col("_has_part"), None).when(audio_ok, 5).when(F.col("_has_call"), 6)
+            .when(F.coalesce(F.length("_text"), F.lit(0)) > 0, 7))
+    r = F.col("_rule")
+    return (flat.withColumn("_rule", rule).where(r.isNotNull())
+            .select(SESSION, *ORDER,
+                    F.when(r == 1, "control").when(r == 6, "tool").otherwise("data").alias("kind"),
+                    F.when(r == 2, "application/input_transcription").when(r == 3, "text/plain")
+                    .when(r == 5, "audio/pcm").when(r == 6, "application/tool_use")
+                    .when(r == 7, "text/plain").alias("mime_type"),
+                    F.when(r == 2, F.col("_in")).when(r == 3, F.col("_out"))
+                    .when(r == 5, F.base64("_idata")).when(r == 7, F.col("_text")).alias("data"),
+                    F.when(r == 6, F.col("_call")).alias("tool_name"),
+                    F.when(r == 1, F.col("turn_complete")).alias("turn_complete"),
+                    F.when(r == 1, F.col("interrupted")).alias("interrupted")))
 
 
 def route_client_messages(messages: DataFrame, message_col: str = "message") -> DataFrame:

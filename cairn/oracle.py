@@ -118,3 +118,118 @@ ORACLE["envelope_decode"] = _with(CLIENT) + \
     "SELECT user_id, ts, event_id, mime_type, data, NULL::VARCHAR AS decode_error FROM client"
 ORACLE["route_client_messages"] = _with(CLIENT, ROUTED) + "SELECT * FROM routed"
 ORACLE["cut_at_first_error"] = _with(CLIENT, ROUTED, CUT) + "SELECT * FROM cut"
+
+# --- sessions -------------------------------------------------------------
+MSG = _with(AGENT, CLIENT, ROUTED, CUT)
+W_SESS = "PARTITION BY user_id ORDER BY ts, event_id"
+
+ORACLE["assemble_bot_messages"] = _with(AGENT) + f"""
+, t AS (SELECT *, sum(CASE WHEN kind = 'control' AND coalesce(turn_complete, false) THEN 1 ELSE 0 END)
+                  OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS turn_no FROM agent)
+SELECT user_id, turn_no::BIGINT AS turn_no, min(ts) AS first_ts,
+       string_agg(data, '' ORDER BY ts, event_id) AS text, count(*) AS n_chunks,
+       strftime(min(ts), '%H:%M') AS hhmm
+FROM t WHERE mime_type = 'text/plain' GROUP BY user_id, turn_no"""
+
+ORACLE["final_transcripts"] = _with(AGENT) + f"""
+, t AS (SELECT *, sum(CASE WHEN mime_type IN ('application/tool_use', 'text/plain', 'audio/pcm') THEN 1 ELSE 0 END)
+                  OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS utterance_no FROM agent)
+SELECT user_id, utterance_no::BIGINT AS utterance_no, min(ts) AS first_ts,
+       first(data ORDER BY ts DESC, event_id DESC) AS text, count(*) AS n_fragments,
+       strftime(min(ts), '%H:%M') AS hhmm
+FROM t WHERE mime_type = 'application/input_transcription' GROUP BY user_id, utterance_no"""
+
+ORACLE["session_state_latest"] = MSG + """
+SELECT user_id, state_key, state_value, ts AS updated_ts, event_id AS updated_event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, state_key ORDER BY ts DESC, event_id DESC) AS rn
+  FROM cut WHERE action = 'state') WHERE rn = 1"""
+
+ORACLE["state_as_of_event"] = MSG + f"""
+SELECT *, last_value(CASE WHEN action = 'state' THEN state_value END IGNORE NULLS)
+          OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS screen_sharing
+FROM cut"""
+
+CHANGES = f"""
+onoff AS (SELECT * FROM cut WHERE action = 'state' AND state_value IN ('on', 'off')),
+chg AS (SELECT * FROM (SELECT *, coalesce(lag(state_value) OVER ({W_SESS}), 'off') AS prev FROM onoff)
+        WHERE state_value <> prev)"""
+
+ORACLE["screen_share_intervals"] = _with(AGENT, CLIENT, ROUTED, CUT, CHANGES) + f"""
+SELECT user_id, ts AS start_ts, event_id AS start_event_id, end_ts, end_event_id FROM (
+  SELECT *, lead(ts) OVER ({W_SESS}) AS end_ts, lead(event_id) OVER ({W_SESS}) AS end_event_id FROM chg)
+WHERE state_value = 'on'"""
+
+ACT = """
+act AS (SELECT user_id, ts, event_id, 0 AS side FROM cut WHERE action = 'state' AND state_value = 'on'
+        UNION ALL
+        SELECT user_id, ts, event_id, 1 AS side FROM agent WHERE mime_type IN ('text/plain', 'audio/pcm'))"""
+
+
+def _sessions_sql(gap: str) -> str:
+    w = "PARTITION BY user_id ORDER BY ts, event_id, side"
+    return _with(AGENT, CLIENT, ROUTED, CUT, ACT) + f"""
+, g AS (SELECT *, CASE WHEN lag(ts) OVER ({w}) IS NULL OR ts > lag(ts) OVER ({w}) + {gap} THEN 1 ELSE 0 END AS new
+        FROM act),
+s AS (SELECT *, sum(new) OVER ({w} ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
+SELECT user_id, session_no::BIGINT AS session_no, min(ts) AS session_start, max(ts) + {gap} AS session_end,
+       count(*) AS n_events
+FROM s GROUP BY user_id, session_no"""
+
+
+ORACLE["activity_sessions"] = _sessions_sql("INTERVAL 300 SECOND")
+ORACLE["activity_sessions_2h"] = _sessions_sql("INTERVAL 7200 SECOND")
+
+
+def _sample_sql(unit: str) -> str:
+    return MSG + f"""
+SELECT user_id, date_trunc('{unit}', ts) AS window_start, date_trunc('{unit}', ts) + INTERVAL 1 {unit} AS window_end,
+       first(event_id ORDER BY ts DESC, event_id DESC) AS frame_event_id, count(*) AS n_frames
+FROM cut WHERE action = 'realtime' AND mime_type = 'image/jpeg'
+GROUP BY user_id, date_trunc('{unit}', ts)"""
+
+
+ORACLE["sample_per_second"] = _sample_sql("second")
+ORACLE["sample_per_hour"] = _sample_sql("hour")
+
+ORACLE["idle_forced_stops"] = _with(AGENT, CLIENT, ROUTED, CUT, CHANGES) + """
+, tl AS (
+  SELECT o.user_id, o.ts, o.event_id, 0 AS side, o.state_value = 'on' AS arm,
+         CASE WHEN c.event_id IS NOT NULL THEN c.state_value = 'on' END AS iv_open,
+         CASE WHEN c.event_id IS NOT NULL THEN c.ts END AS iv_start
+  FROM onoff o LEFT JOIN chg c ON o.user_id = c.user_id AND o.event_id = c.event_id
+  UNION ALL
+  SELECT user_id, ts, event_id, 1, true, NULL, NULL FROM agent WHERE mime_type IN ('text/plain', 'audio/pcm')),
+sc AS (
+  SELECT *, last_value(iv_open IGNORE NULLS) OVER w1 AS cur_open,
+            last_value(iv_start IGNORE NULLS) OVER w1 AS cur_start,
+            lead(ts) OVER w2 AS next_ts
+  FROM tl
+  WINDOW w1 AS (PARTITION BY user_id ORDER BY ts, event_id, side ROWS UNBOUNDED PRECEDING),
+         w2 AS (PARTITION BY user_id ORDER BY ts, event_id, side)),
+hz AS (SELECT user_id, max(ts) AS horizon FROM (SELECT user_id, ts FROM agent UNION ALL SELECT user_id, ts FROM cut)
+       GROUP BY user_id),
+f AS (
+  SELECT sc.*, ts + INTERVAL 300000 MILLISECOND AS deadline FROM sc JOIN hz USING (user_id)
+  WHERE arm AND coalesce(cur_open, false)
+    AND CASE WHEN next_ts IS NULL THEN ts + INTERVAL 300000 MILLISECOND <= horizon
+             ELSE next_ts > ts + INTERVAL 300000 MILLISECOND END)
+SELECT user_id, cur_start AS interval_start, min(deadline) AS stop_ts,
+       first(event_id ORDER BY deadline, event_id) AS armed_event_id
+FROM f GROUP BY user_id, cur_start"""
+
+# W5 with a ring of 4 slots: the newest 3 samples after the last flush.
+ORACLE["retain_latest"] = _with(AGENT) + f"""
+, flushes AS (SELECT user_id, max(ts) AS last_flush FROM agent
+              WHERE kind = 'control' AND coalesce(interrupted, false) AND NOT coalesce(turn_complete, false)
+              GROUP BY user_id),
+chunks AS (SELECT a.user_id, a.ts, a.event_id, a.event_id::VARCHAR AS s FROM agent a
+           LEFT JOIN flushes f USING (user_id)
+           WHERE a.mime_type = 'audio/pcm' AND (f.last_flush IS NULL OR a.ts > f.last_flush)
+             AND length(a.event_id::VARCHAR) % 2 = 0),
+samples AS (SELECT user_id, ts, event_id, i::BIGINT AS sample_no,
+                   ascii(substr(s, 2 * i + 1, 1)) + 256 * ascii(substr(s, 2 * i + 2, 1)) AS u
+            FROM chunks, range(0, length(s) // 2) r(i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, sample_no DESC) AS rn
+           FROM samples)
+SELECT user_id, ts, event_id, sample_no, u::SMALLINT AS sample, (u / 32768.0)::FLOAT AS value
+FROM ranked WHERE rn <= 3"""

@@ -122,3 +122,25 @@ def frames(embeddings: DataFrame) -> DataFrame:
     """Frames: 64 grey values per row, stream = ``label``, order = ``vec_id``."""
     return embeddings.select(F.col("label").alias("stream"), F.col("vec_id").alias("frame_id"),
                              F.col("embedding").alias("grey"))
+
+
+# --- materialised derivations ------------------------------------------------
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def materialized(spark, sf_dir: str, name: str, build) -> DataFrame:
+    """The derived table ``name`` for ``sf_dir``, written once per application.
+
+    Recorded inputs are stored tables in practice; writing the derivation to
+    the shared checkpoint folder gives the operators a real nested parquet
+    table (filters and pruning reach its scan) and cuts the lineage.
+    """
+    from cairn.session import staging_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = staging_path(spark, f"derived-{name}")
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
