@@ -202,3 +202,65 @@ def q_sample_per_second(spark, sf):
 @register("sample_per_hour")
 def q_sample_per_hour(spark, sf):
     return S.sample_per_window(client_actions_cut(spark, sf), "1 hour")
+
+
+# --- frames and audio samples ---------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from cairn.functions import media as M  # noqa: E402
+from cairn.operators import frames as FR  # noqa: E402
+
+
+def _frames(spark, sf):
+    return FR.with_signatures(D.frames(table(spark, sf, "embeddings")))
+
+
+@register("mean_threshold_signature")
+def q_mean_threshold_signature(spark, sf):
+    return _frames(spark, sf).select("stream", "frame_id", "signature")
+
+
+@register("frame_luma_signature")
+def q_frame_luma_signature(spark, sf):
+    e = F.col("embedding")
+    lum = M.luma(F.slice(e, 1, 21), F.slice(e, 22, 21), F.slice(e, 43, 21))
+    return (table(spark, sf, "embeddings").select("vec_id", lum.alias("l"))
+            .select("vec_id", F.aggregate("l", F.lit(0.0), lambda a, x: a + x).alias("luma_sum"),
+                    M.mean_threshold_signature(F.col("l")).alias("signature")))
+
+
+@register("hamming_distance")
+def q_hamming_distance(spark, sf):
+    return FR.consecutive_distances(_frames(spark, sf))
+
+
+def _near_dup(threshold):
+    def q(spark, sf):
+        return FR.suppress_near_duplicates(_frames(spark, sf), threshold).select("stream", "frame_id", "signature")
+    return q
+
+
+register("suppress_near_duplicates")(_near_dup(FR.DUPLICATE_DISTANCE))
+register("suppress_near_duplicates_t28")(_near_dup(28))
+register("suppress_near_duplicates_t32")(_near_dup(32))
+
+
+def _quantized(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", M.quantize_int16(F.col("embedding")).alias("q"))
+
+
+@register("quantize_int16")
+def q_quantize_int16(spark, sf):
+    q = F.col("q")
+    return _quantized(spark, sf).select(
+        "vec_id", F.get(q, 0).cast("int").alias("q_first"), F.array_min(q).cast("int").alias("q_min"),
+        F.array_max(q).cast("int").alias("q_max"),
+        F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x).alias("q_sum"))
+
+
+@register("dequantize_int16")
+def q_dequantize_int16(spark, sf):
+    dq = M.dequantize_int16(F.col("q"))
+    return _quantized(spark, sf).select(
+        "vec_id", F.aggregate(dq, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("dq_sum"),
+        F.get(dq, 0).cast("double").alias("dq_first"))

@@ -56,7 +56,7 @@ def quantize_int16(values: Column) -> Column:
     """float -> int16 the way a typed-array store does it: x*32767,
     truncated toward zero, wrapped modulo 2^16; NaN and infinities give 0."""
     def one(x):
-        q = F.try_cast(x.cast("double") * F.lit(INT16_SCALE_OUT), "long")
+        q = (x.cast("double") * F.lit(INT16_SCALE_OUT)).try_cast("long")
         return (F.pmod(F.coalesce(q, F.lit(0).cast("long")) + 32768, F.lit(65536)) - 32768).cast("short")
     return F.transform(values, one)
 

@@ -233,3 +233,64 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, e
            FROM samples)
 SELECT user_id, ts, event_id, sample_no, u::SMALLINT AS sample, (u / 32768.0)::FLOAT AS value
 FROM ranked WHERE rn <= 3"""
+
+# --- frames and audio samples ------------------------------------------------
+SIG = """
+sig AS (
+  SELECT label AS stream, vec_id AS frame_id, array_to_string(
+           list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > mean THEN '1' ELSE '0' END), '') AS signature
+  FROM (SELECT *, list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, b: a + b)
+                  / len(embedding) AS mean FROM embeddings))"""
+
+ORACLE["mean_threshold_signature"] = _with(SIG) + "SELECT stream, frame_id, signature FROM sig"
+
+ORACLE["frame_luma_signature"] = """
+WITH l AS (
+  SELECT vec_id, list_transform(range(1, 22), lambda i: 0.299 * embedding[i]::DOUBLE
+            + 0.587 * embedding[i + 21]::DOUBLE + 0.114 * embedding[i + 42]::DOUBLE) AS l
+  FROM embeddings),
+m AS (SELECT *, list_reduce(l, lambda a, b: a + b) AS luma_sum FROM l)
+SELECT vec_id, luma_sum,
+       array_to_string(list_transform(l, lambda x: CASE WHEN x > luma_sum / 21 THEN '1' ELSE '0' END), '') AS signature
+FROM m"""
+
+ORACLE["hamming_distance"] = _with(SIG) + """
+SELECT stream, frame_id, lag(frame_id) OVER w AS prev_frame_id,
+       CASE WHEN lag(signature) OVER w IS NULL THEN NULL ELSE hamming(signature, lag(signature) OVER w) END::INTEGER
+         AS distance
+FROM sig WINDOW w AS (PARTITION BY stream ORDER BY frame_id)"""
+
+
+def _near_dup_sql(t: int) -> str:
+    return "WITH RECURSIVE " + SIG.strip() + f""",
+n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY frame_id) AS rn FROM sig),
+walk AS (
+  SELECT stream, rn, frame_id, signature, signature AS last_kept, true AS kept FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.stream, n.rn, n.frame_id, n.signature,
+         CASE WHEN hamming(n.signature, w.last_kept) > {t} THEN n.signature ELSE w.last_kept END,
+         hamming(n.signature, w.last_kept) > {t}
+  FROM walk w JOIN n ON n.stream = w.stream AND n.rn = w.rn + 1)
+SELECT stream, frame_id, signature FROM walk WHERE kept"""
+
+
+ORACLE["suppress_near_duplicates"] = _near_dup_sql(1)
+ORACLE["suppress_near_duplicates_t28"] = _near_dup_sql(28)
+ORACLE["suppress_near_duplicates_t32"] = _near_dup_sql(32)
+
+QUANT = """
+qz AS (
+  SELECT vec_id, list_transform(embedding, lambda x:
+           ((((trunc(x::DOUBLE * 32767)::BIGINT + 32768) % 65536 + 65536) % 65536) - 32768)::SMALLINT) AS q
+  FROM embeddings)"""
+
+ORACLE["quantize_int16"] = _with(QUANT) + """
+SELECT vec_id, q[1]::INTEGER AS q_first, list_min(q)::INTEGER AS q_min, list_max(q)::INTEGER AS q_max,
+       list_reduce(list_transform(q, lambda x: x::BIGINT), lambda a, b: a + b) AS q_sum
+FROM qz"""
+
+ORACLE["dequantize_int16"] = _with(QUANT) + """
+SELECT vec_id,
+       list_reduce(list_transform(q, lambda x: (x::DOUBLE / 32768.0)::FLOAT::DOUBLE), lambda a, b: a + b) AS dq_sum,
+       (q[1]::DOUBLE / 32768.0)::FLOAT::DOUBLE AS dq_first
+FROM qz"""
