@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.operators import words as W
+from cairn.plans.partitioning import spread
 from cairn.session import table
 from cairn.sources.text import document_lines
 
@@ -28,7 +29,7 @@ def register(name: str):
 # --- text: the reference word-count job over `documents` -------------------
 
 def _lines(spark, sf):
-    return document_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return document_lines(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def _counts(spark, sf):
@@ -264,3 +265,90 @@ def q_dequantize_int16(spark, sf):
     return _quantized(spark, sf).select(
         "vec_id", F.aggregate(dq, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("dq_sum"),
         F.get(dq, 0).cast("double").alias("dq_first"))
+
+
+# --- sources: files, driver logs, knowledge base, clusters ----------------------
+from cairn.operators.clusters import cluster_lookup  # noqa: E402
+from cairn.session import staging_path  # noqa: E402
+from cairn.sources import clusters as CL  # noqa: E402
+from cairn.sources import files as FS  # noqa: E402
+from cairn.sources import kb as KB  # noqa: E402
+
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark, sf, name, write) -> str:
+    """A folder of files derived from the tables, written once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGED:
+        path = staging_path(spark, name)
+        write(path)
+        _STAGED[key] = path
+    return _STAGED[key]
+
+
+def _files_root(spark, sf):
+    def write(root):
+        FS.write_named_files(D.page_files(table(spark, sf, "pages")), root, "name", "content")
+        FS.write_named_files(D.blob_files(table(spark, sf, "benchmark")), root, "name", "content")
+    return staged(spark, sf, "files", write)
+
+
+def _logs_root(spark, sf):
+    return staged(spark, sf, "driver-logs", lambda root: FS.write_named_files(
+        D.driver_output_files(table(spark, sf, "conversations")), root, "name", "content"))
+
+
+def _kb_root(spark, sf):
+    return staged(spark, sf, "kb-sheet", lambda root: FS.write_text_parts(
+        D.kb_sheet_lines(table(spark, sf, "documents")), root, "line", header=D.KB_HEADER, suffix=".csv"))
+
+
+@register("whole_text_files")
+def q_whole_text_files(spark, sf):
+    return (FS.whole_text_files(spark, _files_root(spark, sf), glob="*.html")
+            .select("artifact_name", F.length("text").cast("long").alias("n_chars"),
+                    F.sha2("text", 256).alias("digest"), "status"))
+
+
+@register("binary_files")
+def q_binary_files(spark, sf):
+    return (FS.binary_files(spark, _files_root(spark, sf))
+            .select("artifact_name", "length", F.sha2("content", 256).alias("digest"), "status"))
+
+
+@register("driver_log_text")
+def q_driver_log_text(spark, sf):
+    root = _logs_root(spark, sf)
+    return FS.driver_log_text(spark, D.driver_jobs(table(spark, sf, "conversations"), root), root)
+
+
+@register("driver_log_chunks")
+def q_driver_log_chunks(spark, sf):
+    return (FS.driver_log_chunks(spark, _logs_root(spark, sf))
+            .select(F.regexp_extract("dir", r"job-(\d+)$", 1).cast("long").alias("job_id"), "file_name", "text"))
+
+
+@register("kb_sheet_scan")
+def q_kb_sheet_scan(spark, sf):
+    return KB.kb_sheet_scan(spark, _kb_root(spark, sf))
+
+
+@register("kb_refresh")
+def q_kb_refresh(spark, sf):
+    return KB.kb_refresh(KB.kb_sheet_scan(spark, _kb_root(spark, sf)), staging_path(spark, "kb-native"))
+
+
+def _listings(spark, sf):
+    return D.cluster_listings(table(spark, sf, "supplier"), table(spark, sf, "region"))
+
+
+@register("cluster_names")
+def q_cluster_names(spark, sf):
+    return CL.cluster_names(_listings(spark, sf))
+
+
+@register("cluster_lookup")
+def q_cluster_lookup(spark, sf):
+    clusters = CL.cluster_records(_listings(spark, sf), D.CLUSTER_RECORD)
+    return cluster_lookup(D.cluster_requests(table(spark, sf, "supplier")), clusters)

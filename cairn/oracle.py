@@ -294,3 +294,38 @@ SELECT vec_id,
        list_reduce(list_transform(q, lambda x: (x::DOUBLE / 32768.0)::FLOAT::DOUBLE), lambda a, b: a + b) AS dq_sum,
        (q[1]::DOUBLE / 32768.0)::FLOAT::DOUBLE AS dq_first
 FROM qz"""
+
+# --- sources -------------------------------------------------------------------
+ORACLE["whole_text_files"] = """
+SELECT printf('page-%09d.html', page_id) AS artifact_name, length(html)::BIGINT AS n_chars,
+       sha256(html) AS digest, 'ok' AS status FROM pages"""
+
+ORACLE["binary_files"] = """
+SELECT printf('item-%09d.pdf', item_id) AS artifact_name, octet_length(encode(text))::BIGINT AS length,
+       sha256(text) AS digest, 'ok' AS status FROM benchmark"""
+
+ORACLE["driver_log_text"] = """
+SELECT conv_id AS job_id, count(*) AS n_chunks, string_agg(text, '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["driver_log_chunks"] = """
+SELECT conv_id AS job_id, printf('driveroutput.%09d', turn) AS file_name, text FROM conversations"""
+
+KB_SQL = r"""
+SELECT lang AS product, DATE '2024-01-01' + (doc_id % 365)::INTEGER AS updated_at, source AS category,
+       nullif(left(regexp_replace(text, '[\r\n]+', ' ', 'g'), 80), '') AS explanation,
+       CASE WHEN doc_id = 5 THEN NULL ELSE n_chars::VARCHAR END AS solution
+FROM documents WHERE doc_id <> 7"""
+ORACLE["kb_sheet_scan"] = KB_SQL
+ORACLE["kb_refresh"] = KB_SQL
+
+ORACLE["cluster_names"] = """
+SELECT printf('nation-%d-page-%d', s_nationkey, s_suppkey // 100) AS listing_id, s_name AS cluster_name
+FROM supplier"""
+
+ORACLE["cluster_lookup"] = """
+SELECT s_name AS request_name, 'ok' AS status,
+       to_json({'clusterName': s_name, 'config': {'nationKey': s_nationkey, 'supplierKey': s_suppkey}}) AS details
+FROM supplier
+UNION ALL
+SELECT lower(s_name), 'not found', NULL FROM supplier"""

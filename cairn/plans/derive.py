@@ -144,3 +144,92 @@ def materialized(spark, sf_dir: str, name: str, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
+
+
+# --- staged files (written by executors, read back by the sources) ----------
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """``pages`` as HTML files: name ``page-<id, 9 digits>.html``, content = html."""
+    return pages.select(F.format_string("page-%09d.html", F.col("page_id")).alias("name"),
+                        F.col("html").alias("content"))
+
+
+def blob_files(benchmark: DataFrame) -> DataFrame:
+    """``benchmark`` items as binary 'PDF' files (UTF-8 bytes of the text)."""
+    return benchmark.select(F.format_string("item-%09d.pdf", F.col("item_id")).alias("name"),
+                            F.encode(F.col("text"), "UTF-8").alias("content"))
+
+
+def driver_output_files(conversations: DataFrame) -> DataFrame:
+    """One folder per conversation (= job): ``job-<id>/driveroutput.<turn, 9
+    digits>`` with the turn text, plus one unrelated file per folder."""
+    chunks = conversations.select(
+        F.format_string("job-%d/driveroutput.%09d", F.col("conv_id"), F.col("turn")).alias("name"),
+        F.col("text").alias("content"))
+    other = (conversations.select("conv_id").distinct()
+             .select(F.format_string("job-%d/unrelated.log", F.col("conv_id")).alias("name"),
+                     F.lit("not driver output\n").alias("content")))
+    return chunks.unionByName(other)
+
+
+def driver_jobs(conversations: DataFrame, root: str) -> DataFrame:
+    """Jobs with their driver output URI (a file name inside the job folder)."""
+    return (conversations.select("conv_id").distinct()
+            .select(F.col("conv_id").alias("job_id"),
+                    F.format_string(f"{root.rstrip('/')}/job-%d/driveroutput", F.col("conv_id"))
+                    .alias("output_uri")))
+
+
+# Fixed choices of the knowledge-base fixture.
+KB_BAD_DATE_IDS = (7,)           # within the budget of one bad record
+KB_EXTRA_COLUMN_ID = 3
+KB_SHORT_ROW_ID = 5
+KB_HEADER = "product,updated_at,category,explanation,solution"
+
+
+def _csv_quote(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def kb_sheet_lines(documents: DataFrame, bad_ids=KB_BAD_DATE_IDS) -> DataFrame:
+    """CSV lines of the knowledge-base sheet derived from ``documents``:
+    product = lang, updated_at = 2024-01-01 + doc_id % 365 days, category =
+    source, explanation = first 80 characters with line breaks as spaces,
+    solution = n_chars. Bad dates for ``bad_ids``; one row with an extra
+    column, one short row."""
+    i = F.col("doc_id")
+    date = F.when(i.isin(*bad_ids), F.lit("not-a-date")).otherwise(
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")), "yyyy-MM-dd"))
+    expl = F.substring(F.regexp_replace(F.col("text"), r"[\r\n]+", " "), 1, 80)
+    fields = [_csv_quote(F.col("lang")), _csv_quote(date), _csv_quote(F.col("source")), _csv_quote(expl)]
+    solution = _csv_quote(F.col("n_chars").cast("string"))
+    line = (F.when(i == KB_SHORT_ROW_ID, F.concat_ws(",", *fields))
+            .when(i == KB_EXTRA_COLUMN_ID, F.concat_ws(",", *fields, solution, F.lit('"extra"')))
+            .otherwise(F.concat_ws(",", *fields, solution)))
+    return documents.select(line.alias("line"))
+
+
+CLUSTER_PAGE_SIZE = 100
+CLUSTER_RECORD = "struct<clusterName: string, config: struct<nationKey: int, supplierKey: bigint>>"
+
+
+def cluster_listings(supplier: DataFrame, region: DataFrame) -> DataFrame:
+    """Listing pages of at most 100 clusters (one cluster per supplier,
+    grouped by nation), plus one page per region without a ``clusters`` key."""
+    rec = F.struct(F.col("s_name").alias("clusterName"),
+                   F.struct(F.col("s_nationkey").alias("nationKey"),
+                            F.col("s_suppkey").alias("supplierKey")).alias("config"))
+    pages = (supplier.groupBy(F.col("s_nationkey"), F.floor(F.col("s_suppkey") / CLUSTER_PAGE_SIZE).alias("pg"))
+             .agg(F.array_sort(F.collect_list(rec)).alias("clusters"))
+             .select(F.format_string("nation-%d-page-%d", "s_nationkey", "pg").alias("listing_id"),
+                     F.to_json(F.struct("clusters")).alias("body")))
+    empty = region.select(F.format_string("region-%d", "r_regionkey").alias("listing_id"),
+                          F.lit("{}").alias("body"))
+    return pages.unionByName(empty)
+
+
+def cluster_requests(supplier: DataFrame) -> DataFrame:
+    """Every supplier name, plus its lower-cased form (not found: the match
+    is case-sensitive)."""
+    return (supplier.select(F.col("s_name").alias("cluster_name"))
+            .unionByName(supplier.select(F.lower("s_name").alias("cluster_name"))))
