@@ -352,3 +352,57 @@ def q_cluster_names(spark, sf):
 def q_cluster_lookup(spark, sf):
     clusters = CL.cluster_records(_listings(spark, sf), D.CLUSTER_RECORD)
     return cluster_lookup(D.cluster_requests(table(spark, sf, "supplier")), clusters)
+
+
+# --- search, findings, log filters -------------------------------------------------
+from cairn.operators import search as SE  # noqa: E402
+
+FALLBACK_MIN_SCORE = 60.0
+
+# Fixed rule table of the configuration check (our choice; the reference only
+# describes the check in prose).
+CONFIG_RULES = [
+    ("R1", "p_size", ">", 45.0, "size above 45: split the part"),
+    ("R2", "p_size", "<", 5.0, "size below 5: merge with a neighbour"),
+    ("R3", "p_retailprice", ">", 990.0, "retail price above 990: review pricing"),
+    ("R4", "p_retailprice", "<=", 905.0, "retail price at most 905: check the margin"),
+]
+
+
+def _questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+
+
+def _cases(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text", "source")
+
+
+def _corpus_parity(source: Column) -> Column:
+    # expert corpus: sources with an even number; general: odd
+    return F.regexp_extract(source, r"(\d+)$", 1).cast("int") % 2
+
+
+@register("kb_search")
+def q_kb_search(spark, sf):
+    return SE.kb_search(_questions(spark, sf), spread(_cases(spark, sf)))
+
+
+@register("kb_search_with_fallback")
+def q_kb_search_with_fallback(spark, sf):
+    cases = spread(_cases(spark, sf))
+    parity = _corpus_parity(F.col("source"))
+    return SE.kb_search_with_fallback(_questions(spark, sf), cases.where(parity == 0), cases.where(parity == 1),
+                                      min_score=FALLBACK_MIN_SCORE)
+
+
+@register("config_findings")
+def q_config_findings(spark, sf):
+    facts = SE.unpivot_facts(table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"])
+    rules = spark.createDataFrame(CONFIG_RULES, "rule_id string, property string, op string, "
+                                                "threshold double, advice string")
+    return SE.config_findings(facts, rules)
+
+
+@register("log_field_filter")
+def q_log_field_filter(spark, sf):
+    return SE.log_field_filter(table(spark, sf, "events"), "props", {"k": 7}, {"event_type": "error"})

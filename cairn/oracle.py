@@ -329,3 +329,59 @@ SELECT s_name AS request_name, 'ok' AS status,
 FROM supplier
 UNION ALL
 SELECT lower(s_name), 'not found', NULL FROM supplier"""
+
+# --- search -----------------------------------------------------------------------
+TERMS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 0)"
+
+
+def _bm25_sql(questions: str, cases: str, name: str) -> str:
+    return f"""
+{name}_d AS (SELECT case_id, terms, len(terms)::BIGINT AS dl FROM
+             (SELECT case_id, {TERMS.format(t='text')} AS terms FROM ({cases}))),
+{name}_st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_d),
+{name}_p AS (SELECT term, case_id, dl, count(*) AS tf FROM
+             (SELECT case_id, dl, unnest(terms) AS term FROM {name}_d) GROUP BY ALL),
+{name}_q AS (SELECT DISTINCT question_id, unnest({TERMS.format(t='text')}) AS term FROM ({questions})),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_p WHERE term IN (SELECT term FROM {name}_q) GROUP BY term),
+{name}_s AS (
+  SELECT q.question_id, p.case_id,
+         round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * p.tf::DOUBLE * 2.2
+                   / (p.tf::DOUBLE + 1.2 * (1 - 0.75 + 0.75 * p.dl::DOUBLE / s.avgdl))), 6) AS score
+  FROM {name}_q q JOIN {name}_p p USING (term) JOIN {name}_df f USING (term) CROSS JOIN {name}_st s
+  GROUP BY q.question_id, p.case_id),
+{name} AS (SELECT question_id, rank, case_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, case_id) AS rank FROM {name}_s)
+  WHERE rank <= 10)"""
+
+
+Q_SQL = "SELECT item_id AS question_id, text FROM benchmark"
+PARITY = "(regexp_extract(source, '(\\d+)$', 1)::INTEGER % 2)"
+
+ORACLE["kb_search"] = "WITH " + _bm25_sql(Q_SQL, "SELECT doc_id AS case_id, text FROM documents", "bm").strip() + \
+    "\nSELECT * FROM bm"
+
+ORACLE["kb_search_with_fallback"] = "WITH " + _bm25_sql(
+    Q_SQL, f"SELECT doc_id AS case_id, text FROM documents WHERE {PARITY} = 0", "ex").strip() + """,
+answered AS (SELECT DISTINCT question_id FROM ex WHERE score >= 60.0),""" + _bm25_sql(
+    f"SELECT * FROM ({Q_SQL}) WHERE question_id NOT IN (SELECT question_id FROM answered)",
+    f"SELECT doc_id AS case_id, text FROM documents WHERE {PARITY} = 1", "ge") + """
+SELECT question_id, 'expert' AS origin, rank, case_id, score FROM ex
+WHERE question_id IN (SELECT question_id FROM answered)
+UNION ALL
+SELECT question_id, 'general', rank, case_id, score FROM ge"""
+
+ORACLE["config_findings"] = """
+WITH facts AS (
+  SELECT p_partkey AS entity, 'p_size' AS property, p_size::DOUBLE AS value FROM part
+  UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part),
+rules(rule_id, property, op, threshold, advice) AS (VALUES
+  ('R1', 'p_size', '>', 45.0, 'size above 45: split the part'),
+  ('R2', 'p_size', '<', 5.0, 'size below 5: merge with a neighbour'),
+  ('R3', 'p_retailprice', '>', 990.0, 'retail price above 990: review pricing'),
+  ('R4', 'p_retailprice', '<=', 905.0, 'retail price at most 905: check the margin'))
+SELECT entity, property, value, rule_id, advice FROM facts JOIN rules USING (property)
+WHERE CASE op WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold
+              WHEN '<=' THEN value <= threshold ELSE false END"""
+
+ORACLE["log_field_filter"] = """
+SELECT * FROM events WHERE json_extract_string(props, '$.k') = '7' AND event_type = 'error'"""
