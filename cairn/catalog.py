@@ -406,3 +406,92 @@ def q_config_findings(spark, sf):
 @register("log_field_filter")
 def q_log_field_filter(spark, sf):
     return SE.log_field_filter(table(spark, sf, "events"), "props", {"k": 7}, {"event_type": "error"})
+
+
+# --- streaming: replayed recordings, run with availableNow ------------------------
+from cairn.streaming import operators as ST  # noqa: E402
+from cairn.streaming.staging import (  # noqa: E402
+    file_stream,
+    run_foreach_batch,
+    run_to_parquet,
+    stage_chunks,
+)
+
+
+def _stream(spark, sf, name, build, order_col):
+    root = staged(spark, sf, f"stream-{name}", lambda r: stage_chunks(build(), r, order_col))
+    return file_stream(spark, f"{root}/chunk-*/*.parquet")
+
+
+def _agent_stream(spark, sf):
+    return _stream(spark, sf, "agent-events", lambda: agent_events(spark, sf), "ts")
+
+
+def _client_stream(spark, sf):
+    return _stream(spark, sf, "client-messages", lambda: client_messages(spark, sf), "ts")
+
+
+@register("stream_route_events")
+def q_stream_route_events(spark, sf):
+    out = staging_path(spark, "out-route-events")
+    run_to_parquet(ST.stream_route_events(_agent_stream(spark, sf)), out, staging_path(spark, "ckpt"))
+    return spark.read.parquet(out)
+
+
+@register("stream_route_messages")
+def q_stream_route_messages(spark, sf):
+    out = staging_path(spark, "out-route-messages")
+
+    def sink(batch, batch_id):
+        ok = F.col("error").isNull()
+        batch.where(ok).write.mode("overwrite").parquet(f"{out}/actions/batch={batch_id}")
+        batch.where(~ok).write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
+
+    run_foreach_batch(ST.stream_route_messages(_client_stream(spark, sf)).drop("payload"), sink,
+                      staging_path(spark, "ckpt"))
+    return (spark.read.parquet(f"{out}/actions").unionByName(spark.read.parquet(f"{out}/errors"))
+            .drop("batch"))
+
+
+@register("stream_session_state")
+def q_stream_session_state(spark, sf):
+    out = staging_path(spark, "out-session-state")
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_foreach_batch(ST.stream_session_state(ST.stream_route_messages(_client_stream(spark, sf))), sink,
+                      staging_path(spark, "ckpt"), mode="update")
+    updates = spark.read.parquet(out)
+    last = F.max_by(F.struct("state_value", "updated_ts", "updated_event_id"), F.col("batch"))
+    return (updates.groupBy("user_id", "state_key").agg(last.alias("_l"))
+            .select("user_id", "state_key", "_l.state_value", "_l.updated_ts", "_l.updated_event_id"))
+
+
+@register("stream_activity_sessions")
+def q_stream_activity_sessions(spark, sf):
+    out = staging_path(spark, "out-activity-sessions")
+    activity = S.activity_rows(ST.stream_route_events(_agent_stream(spark, sf)),
+                               ST.stream_route_messages(_client_stream(spark, sf)))
+
+    def sink(batch, batch_id):  # complete mode: every batch carries the whole result
+        batch.write.mode("overwrite").parquet(out)
+
+    run_foreach_batch(ST.stream_activity_sessions(activity), sink, staging_path(spark, "ckpt"), mode="complete")
+    return spark.read.parquet(out)
+
+
+@register("stream_bot_messages")
+def q_stream_bot_messages(spark, sf):
+    out = staging_path(spark, "out-bot-messages")
+    msgs = ST.stream_bot_messages(ST.stream_route_events(_agent_stream(spark, sf)))
+    run_to_parquet(msgs, out, staging_path(spark, "ckpt"))
+    return spark.read.parquet(out).withColumn("hhmm", M.hhmm(F.col("first_ts")))
+
+
+@register("stream_suppress_near_duplicates_t28")
+def q_stream_suppress_near_duplicates_t28(spark, sf):
+    out = staging_path(spark, "out-near-dup")
+    frames = _stream(spark, sf, "frames", lambda: _frames(spark, sf), "frame_id")
+    run_to_parquet(ST.stream_suppress_near_duplicates(frames, 28), out, staging_path(spark, "ckpt"))
+    return spark.read.parquet(out)

@@ -385,3 +385,30 @@ WHERE CASE op WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold
 
 ORACLE["log_field_filter"] = """
 SELECT * FROM events WHERE json_extract_string(props, '$.k') = '7' AND event_type = 'error'"""
+
+# --- streaming (final results equal their batch twins) ------------------------------
+ORACLE["stream_route_events"] = ORACLE["route_agent_events"]
+ORACLE["stream_route_messages"] = ORACLE["route_client_messages"]
+ORACLE["stream_session_state"] = _with(CLIENT, ROUTED) + """
+SELECT user_id, state_key, state_value, ts AS updated_ts, event_id AS updated_event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, state_key ORDER BY ts DESC, event_id DESC) AS rn
+  FROM routed WHERE action = 'state') WHERE rn = 1"""
+ORACLE["stream_activity_sessions"] = _with(AGENT, CLIENT, ROUTED) + """
+, act AS (SELECT user_id, ts, event_id, 0 AS side FROM routed WHERE action = 'state' AND state_value = 'on'
+          UNION ALL
+          SELECT user_id, ts, event_id, 1 AS side FROM agent WHERE mime_type IN ('text/plain', 'audio/pcm')),
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new
+      FROM act WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id, side)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id, side ROWS UNBOUNDED PRECEDING) AS sno FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 300 SECOND AS session_end, count(*) AS n_events
+FROM s GROUP BY user_id, sno"""
+ORACLE["stream_bot_messages"] = _with(AGENT) + f"""
+, t AS (SELECT *, sum(CASE WHEN kind = 'control' AND coalesce(turn_complete, false) THEN 1 ELSE 0 END)
+                  OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS turn_no,
+               sum(CASE WHEN kind = 'control' AND coalesce(turn_complete, false) THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id) AS n_closed FROM agent)
+SELECT user_id, turn_no::BIGINT AS turn_no, min(ts) AS first_ts,
+       string_agg(data, '' ORDER BY ts, event_id) AS text, count(*) AS n_chunks,
+       strftime(min(ts), '%H:%M') AS hhmm
+FROM t WHERE mime_type = 'text/plain' AND turn_no < n_closed GROUP BY user_id, turn_no"""
+ORACLE["stream_suppress_near_duplicates_t28"] = _near_dup_sql(28)
