@@ -384,12 +384,12 @@ def _corpus_parity(source: Column) -> Column:
 
 @register("kb_search")
 def q_kb_search(spark, sf):
-    return SE.kb_search(_questions(spark, sf), spread(_cases(spark, sf)))
+    return SE.kb_search(_questions(spark, sf), _cases(spark, sf))
 
 
 @register("kb_search_with_fallback")
 def q_kb_search_with_fallback(spark, sf):
-    cases = spread(_cases(spark, sf))
+    cases = _cases(spark, sf)
     parity = _corpus_parity(F.col("source"))
     return SE.kb_search_with_fallback(_questions(spark, sf), cases.where(parity == 0), cases.where(parity == 1),
                                       min_score=FALLBACK_MIN_SCORE)

@@ -11,7 +11,7 @@ WORD_DELIMITERS = r"[,\s]+"
 # Line terminators recognised by Spark's text source: \r\n, \r, \n.
 LINE_BREAK = r"\r\n|\r|\n"
 # Search terms: maximal runs of letters or digits (our choice for BM25).
-TERM_DELIMITERS = r"[^\p{L}\p{N}]+"
+TERM = r"[\p{L}\p{N}]+"
 
 
 def lines_of(text: Column) -> Column:
@@ -30,6 +30,10 @@ def words_of(line: Column) -> Column:
 
 
 def search_terms(text: Column) -> Column:
-    """Lower-cased letter/digit runs, empties removed."""
-    parts = F.split(F.lower(text), TERM_DELIMITERS, -1)
-    return F.filter(parts, lambda t: F.length(t) > 0)
+    """Lower-cased maximal runs of letters or digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
+
+
+def search_term_count(text: Column) -> Column:
+    """Number of :func:`search_terms`, without building the array."""
+    return F.regexp_count(F.lower(text), F.lit(TERM))

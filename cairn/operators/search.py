@@ -12,8 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import search_terms
-from cairn.plans.guard import broadcast_if_small
+from cairn.functions.text import search_term_count, search_terms
+from cairn.plans.guard import broadcast_if_small, fits
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -22,18 +22,30 @@ SCORE_DIGITS = 6
 MAX_BROADCAST_QUESTION_TERMS = 2_000_000
 
 
-def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text",
+                vocabulary: DataFrame | None = None, partitions: int | None = None) -> tuple[DataFrame, dict]:
     """Postings ``(term, case_id, dl, tf)`` and corpus stats ``{n, avgdl}``.
 
     Document length rides along with the postings (no later join on
-    case_id); the stats are two scalars from one aggregate job.
+    case_id); the stats are two scalars from one aggregate job. With a
+    ``vocabulary`` (a broadcastable ``term`` column), tokens outside it are
+    dropped by a broadcast semi-join before the aggregation, so only the
+    postings a query can touch are built.
     """
-    docs = cases.select(F.col(id_col).alias("case_id"), search_terms(F.col(text_col)).alias("_terms"))
+    docs = cases.select(F.col(id_col).alias("case_id"), F.col(text_col).alias("_text"))
+    if partitions:
+        # hash-partition documents by case_id once: the postings aggregation
+        # (case_id, dl, term) and the score aggregation (question_id, case_id)
+        # are then both satisfied by this partitioning and do not shuffle again
+        docs = docs.repartition(partitions, "case_id")
+    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(search_term_count(F.col("_text"))).alias("avgdl")).first()
+    docs = docs.select("case_id", search_terms(F.col("_text")).alias("_terms"))
     docs = docs.withColumn("dl", F.size("_terms").cast("long"))
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     stats = {"n": int(row["n"]), "avgdl": float(row["avgdl"] or 0.0)}
-    postings = (docs.select("case_id", "dl", F.explode("_terms").alias("term"))
-                .groupBy("term", "case_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    tokens = docs.select("case_id", "dl", F.explode("_terms").alias("term"))
+    if vocabulary is not None:
+        tokens = tokens.join(vocabulary, "term", "left_semi")
+    postings = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     return postings, stats
 
 
@@ -47,21 +59,27 @@ def kb_search(questions: DataFrame, cases: DataFrame, k: int = TOP_K, k1: float
               b: float = BM25_B, q_id: str = "question_id", c_id: str = "case_id") -> DataFrame:
     """Top ``k`` cases per question by BM25: ``(question_id, rank, case_id, score)``.
 
-    Question terms are broadcast (size-checked) into the postings, so the
-    postings are never shuffled by term and a term found in every document
-    costs no skew. Document frequencies are computed for question terms
-    only, with map-side partial counts. Scores are rounded to 6 digits and
-    ranked by (score desc, case_id asc); ``row_number() <= k`` is planned
-    with a per-partition group limit before the final shuffle.
+    The question vocabulary is broadcast (size-checked) into the document
+    tokens, so postings are built only for question terms and are never
+    shuffled by term alone: a term found in every document costs no skew.
+    Document frequencies come from those postings with map-side partial
+    counts; the idf table is bounded by the checked vocabulary and is
+    broadcast back. Scores are rounded to 6 digits and ranked by (score
+    desc, case_id asc); ``row_number() <= k`` is planned with a
+    per-partition group limit before the final shuffle.
     """
-    postings, stats = index_cases(cases, c_id)
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
     qt = question_terms(questions, q_id)
     qt_b = broadcast_if_small(qt, MAX_BROADCAST_QUESTION_TERMS)
-    vocab = broadcast_if_small(qt.select("term").distinct(), MAX_BROADCAST_QUESTION_TERMS)
-    df_q = postings.join(vocab, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # idf has one row per vocabulary term, so the vocabulary check bounds it too
+    vocab = qt.select("term").distinct()
+    small_vocab = fits(vocab, MAX_BROADCAST_QUESTION_TERMS)
+    parts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings, stats = index_cases(cases, c_id, vocabulary=F.broadcast(vocab) if small_vocab else vocab,
+                                  partitions=parts)
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    df_q = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_q.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    matched = postings.join(qt_b, "term").join(broadcast_if_small(idf, MAX_BROADCAST_QUESTION_TERMS), "term")
+    matched = postings.join(qt_b, "term").join(F.broadcast(idf) if small_vocab else idf, "term")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
     scores = (matched.groupBy("question_id", "case_id").agg(F.sum(contrib).alias("_s"))
@@ -77,7 +95,8 @@ def kb_search_with_fallback(questions: DataFrame, expert: DataFrame, general: Da
     """Search the expert corpus; questions without a hit scoring at least
     ``min_score`` are searched in the general corpus instead.
     Output: question_id, origin ('expert' | 'general'), rank, case_id, score."""
-    exp = kb_search(questions, expert, k)
+    # read three times below: computed once, lineage cut in the checkpoint folder
+    exp = kb_search(questions, expert, k).checkpoint()
     answered = exp.where(F.col("score") >= min_score).select("question_id").distinct()
     unanswered = questions.join(answered, "question_id", "left_anti")
     gen = kb_search(unanswered, general, k)
