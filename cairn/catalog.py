@@ -495,3 +495,12 @@ def q_stream_suppress_near_duplicates_t28(spark, sf):
     frames = _stream(spark, sf, "frames", lambda: _frames(spark, sf), "frame_id")
     run_to_parquet(ST.stream_suppress_near_duplicates(frames, 28), out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
+
+
+@register("stream_idle_stops")
+def q_stream_idle_stops(spark, sf):
+    out = staging_path(spark, "out-idle-stops")
+    timeline = ST.idle_timeline(ST.stream_route_events(_agent_stream(spark, sf)),
+                                ST.stream_route_messages(_client_stream(spark, sf)))
+    run_to_parquet(ST.stream_idle_stops(timeline), out, staging_path(spark, "ckpt"))
+    return spark.read.parquet(out)

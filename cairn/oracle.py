@@ -412,3 +412,33 @@ SELECT user_id, turn_no::BIGINT AS turn_no, min(ts) AS first_ts,
        strftime(min(ts), '%H:%M') AS hhmm
 FROM t WHERE mime_type = 'text/plain' AND turn_no < n_closed GROUP BY user_id, turn_no"""
 ORACLE["stream_suppress_near_duplicates_t28"] = _near_dup_sql(28)
+
+# Like W3 over the uncut messages; a timer without a later row fires
+# once the final watermark (latest timeline time - 10 minutes) passes it.
+ORACLE["stream_idle_stops"] = _with(AGENT, CLIENT, ROUTED) + f"""
+, onoff AS (SELECT * FROM routed WHERE action = 'state' AND state_value IN ('on', 'off')),
+chg AS (SELECT * FROM (SELECT *, coalesce(lag(state_value) OVER ({W_SESS}), 'off') AS prev FROM onoff)
+        WHERE state_value <> prev),
+tl AS (
+  SELECT o.user_id, o.ts, o.event_id, 0 AS side, o.state_value = 'on' AS arm,
+         CASE WHEN c.event_id IS NOT NULL THEN c.state_value = 'on' END AS iv_open,
+         CASE WHEN c.event_id IS NOT NULL THEN c.ts END AS iv_start
+  FROM onoff o LEFT JOIN chg c ON o.user_id = c.user_id AND o.event_id = c.event_id
+  UNION ALL
+  SELECT user_id, ts, event_id, 1, true, NULL, NULL FROM agent WHERE mime_type IN ('text/plain', 'audio/pcm')),
+sc AS (
+  SELECT *, last_value(iv_open IGNORE NULLS) OVER w1 AS cur_open,
+            last_value(iv_start IGNORE NULLS) OVER w1 AS cur_start,
+            lead(ts) OVER w2 AS next_ts
+  FROM tl
+  WINDOW w1 AS (PARTITION BY user_id ORDER BY ts, event_id, side ROWS UNBOUNDED PRECEDING),
+         w2 AS (PARTITION BY user_id ORDER BY ts, event_id, side)),
+wm AS (SELECT epoch_ms(max(ts)) - 600000 AS wm_ms FROM tl),
+f AS (
+  SELECT sc.*, ts + INTERVAL 300000 MILLISECOND AS deadline FROM sc, wm
+  WHERE arm AND coalesce(cur_open, false)
+    AND CASE WHEN next_ts IS NULL THEN epoch_ms(ts + INTERVAL 300000 MILLISECOND) < wm_ms
+             ELSE next_ts > ts + INTERVAL 300000 MILLISECOND END)
+SELECT user_id, cur_start AS interval_start, min(deadline) AS stop_ts,
+       first(event_id ORDER BY deadline, event_id) AS armed_event_id
+FROM f GROUP BY user_id, cur_start"""

@@ -119,3 +119,72 @@ def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICAT
 
     return (frames.select("stream", "frame_id", "signature", "sig_bits").groupBy("stream")
             .applyInPandasWithState(fold, out_schema, "last_bits long", "append", GroupStateTimeout.NoTimeout))
+
+
+# --- T8: idle forced stops with event-time timeouts ---------------------------------
+
+IDLE_OUT = "user_id long, interval_start timestamp_ntz, stop_ts timestamp_ntz, armed_event_id long"
+IDLE_STATE = "open boolean, start_us long, deadline_us long, armed_id long, fired boolean"
+
+
+def idle_timeline(agent_msgs: DataFrame, actions: DataFrame, player_active: bool = True) -> DataFrame:
+    """Timer-relevant rows: server activity (arms), screen 'on' (opens and
+    arms) and 'off' (closes and cancels). Columns: user_id, ts, event_id, side, kind."""
+    server = ["text/plain"] + (["audio/pcm"] if player_active else [])
+    act = (agent_msgs.where(F.col("mime_type").isin(*server))
+           .select(SESSION, "ts", "event_id", F.lit(1).alias("side"), F.lit("act").alias("kind")))
+    st = (actions.where((F.col("action") == "state") & F.col("state_value").isin("on", "off"))
+          .select(SESSION, "ts", "event_id", F.lit(0).alias("side"), F.col("state_value").alias("kind")))
+    return st.unionByName(act)
+
+
+def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS,
+                      delay: str = "10 minutes") -> DataFrame:
+    """Forced stops of screen sharing by the inactivity timer (append mode).
+
+    State per session: whether the recorded sharing is open, since when, the
+    armed deadline and whether this interval already fired. A deadline fires
+    when a later row arrives after it, or when the watermark passes it (the
+    event-time timeout); the state is dropped while sharing is closed.
+    """
+    timeout_us = timeout_ms * 1000
+
+    def fold(key, batches, state):
+        if state.exists:
+            is_open, start_us, deadline_us, armed_id, fired = state.get
+        else:
+            is_open, start_us, deadline_us, armed_id, fired = False, None, None, None, False
+        out = []
+
+        def fire():
+            out.append((key[0], pd.Timestamp(start_us, unit="us"), pd.Timestamp(deadline_us, unit="us"), armed_id))
+
+        if state.hasTimedOut:
+            fire()
+            fired, deadline_us = True, None
+        else:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id", "side"], kind="stable")
+            for t, eid, kind in zip(rows["ts"], rows["event_id"], rows["kind"]):
+                t_us = pd.Timestamp(t).value // 1000
+                if deadline_us is not None and t_us > deadline_us:
+                    fire()
+                    fired, deadline_us = True, None
+                if kind == "on":
+                    if not is_open:
+                        is_open, start_us, fired = True, t_us, False
+                    if not fired:
+                        deadline_us, armed_id = t_us + timeout_us, int(eid)
+                elif kind == "off":
+                    is_open, deadline_us = False, None
+                elif is_open and not fired:
+                    deadline_us, armed_id = t_us + timeout_us, int(eid)
+        if not is_open and deadline_us is None:
+            state.remove()
+        else:
+            state.update((is_open, start_us, deadline_us, armed_id, fired))
+            if deadline_us is not None:
+                state.setTimeoutTimestamp(deadline_us // 1000)
+        yield pd.DataFrame(out, columns=["user_id", "interval_start", "stop_ts", "armed_event_id"])
+
+    return (event_time(timeline, delay).groupBy(SESSION)
+            .applyInPandasWithState(fold, IDLE_OUT, IDLE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
