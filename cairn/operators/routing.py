@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.codec import strict_b64decode, strict_b64_valid
+from cairn.plans.partitioning import evaluate_once
 from cairn.plans.ordered import DAY_SECONDS, ordered_scan, time_bucket
 from cairn.sources.envelopes import envelope_decode
 
@@ -93,14 +94,14 @@ def route_client_messages(messages: DataFrame, message_col: str = "message") ->
                      .otherwise("ignored"))
     a = F.col("action")
     d = d.withColumn("payload", F.when(a == "realtime", strict_b64decode(data)))
-    return d.select(
-        SESSION, *ORDER, "action", "mime_type",
-        F.when(a == "content", data).alias("text"),
-        "payload",
-        F.when(a == "realtime", F.length("payload")).cast("long").alias("payload_bytes"),
-        F.when(a == "state", F.lit("screen_sharing")).alias("state_key"),
-        F.when(a == "state", F.try_variant_get(pv, "$.status", "string")).alias("state_value"),
-        "error")
+    return evaluate_once(d, [SESSION, *ORDER], {
+        "action": a, "mime_type": m,
+        "text": F.when(a == "content", data),
+        "payload": F.col("payload"),
+        "payload_bytes": F.when(a == "realtime", F.length("payload")).cast("long"),
+        "state_key": F.when(a == "state", F.lit("screen_sharing")),
+        "state_value": F.when(a == "state", F.try_variant_get(pv, "$.status", "string")),
+        "error": F.col("error")})
 
 
 def cut_at_first_error(routed: DataFrame, session: str = SESSION, order=ORDER,

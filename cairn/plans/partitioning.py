@@ -18,3 +18,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def evaluate_once(df: DataFrame, keep: list[str], exprs: dict) -> DataFrame:
+    """``keep`` columns plus ``exprs`` (name -> Column), where the new columns
+    are produced by a one-row generator.
+
+    Catalyst pushes a filter on a derived column below its projection by
+    substituting the expression; a filter on several derived columns that
+    share an expensive input (a JSON parse) then evaluates that input many
+    times per row. A filter cannot be pushed below the generator that
+    produces the columns it references, so expensive derived columns are
+    computed exactly once per row, however callers filter them.
+    """
+    from pyspark.sql import functions as F
+    row = F.struct(*[c.alias(n) for n, c in exprs.items()])
+    return df.select(*keep, F.inline(F.array(row)))
