@@ -504,3 +504,11 @@ def q_stream_idle_stops(spark, sf):
                                 ST.stream_route_messages(_client_stream(spark, sf)))
     run_to_parquet(ST.stream_idle_stops(timeline), out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
+
+
+@register("stream_sample_per_second")
+def q_stream_sample_per_second(spark, sf):
+    out = staging_path(spark, "out-sample")
+    frames = ST.stream_sample_per_window(ST.stream_route_messages(_client_stream(spark, sf)), "1 second")
+    run_to_parquet(frames, out, staging_path(spark, "ckpt"))
+    return spark.read.parquet(out)

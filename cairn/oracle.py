@@ -442,3 +442,13 @@ f AS (
 SELECT user_id, cur_start AS interval_start, min(deadline) AS stop_ts,
        first(event_id ORDER BY deadline, event_id) AS armed_event_id
 FROM f GROUP BY user_id, cur_start"""
+
+# T2 streaming: windows are emitted once the final watermark (latest frame time
+# - 10 minutes) reaches their end; uncut messages, like the other streams.
+ORACLE["stream_sample_per_second"] = _with(CLIENT, ROUTED) + """
+, fr AS (SELECT * FROM routed WHERE action = 'realtime' AND mime_type = 'image/jpeg'),
+wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM fr)
+SELECT user_id, date_trunc('second', ts) AS window_start, date_trunc('second', ts) + INTERVAL 1 SECOND AS window_end,
+       first(event_id ORDER BY ts DESC, event_id DESC) AS frame_event_id, count(*) AS n_frames
+FROM fr GROUP BY user_id, date_trunc('second', ts)
+HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT wm FROM wm)"""

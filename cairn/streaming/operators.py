@@ -188,3 +188,17 @@ def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS,
 
     return (event_time(timeline, delay).groupBy(SESSION)
             .applyInPandasWithState(fold, IDLE_OUT, IDLE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+# --- T2: latest frame per tumbling window, append mode -------------------------------
+
+def stream_sample_per_window(actions: DataFrame, window: str = "1 second",
+                             delay: str = "10 minutes") -> DataFrame:
+    """One frame per window and session, emitted once the watermark closes
+    the window (append mode). Output as the batch ``sample_per_window``."""
+    frames = actions.where((F.col("action") == "realtime") & (F.col("mime_type") == "image/jpeg"))
+    return (event_time(frames, delay).groupBy(SESSION, F.window("_et", window).alias("w"))
+            .agg(F.max(F.struct("ts", "event_id")).alias("_last"), F.count(F.lit(1)).alias("n_frames"))
+            .select(SESSION, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                    F.col("_last.event_id").alias("frame_event_id"), "n_frames"))
