@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import search_term_count, search_terms
 from cairn.plans.guard import broadcast_if_small, fits
+from cairn.session import reliable_checkpoint
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -96,7 +97,7 @@ def kb_search_with_fallback(questions: DataFrame, expert: DataFrame, general: Da
     ``min_score`` are searched in the general corpus instead.
     Output: question_id, origin ('expert' | 'general'), rank, case_id, score."""
     # read three times below: computed once, lineage cut in the checkpoint folder
-    exp = kb_search(questions, expert, k).checkpoint()
+    exp = reliable_checkpoint(kb_search(questions, expert, k))
     answered = exp.where(F.col("score") >= min_score).select("question_id").distinct()
     unanswered = questions.join(answered, "question_id", "left_anti")
     gen = kb_search(unanswered, general, k)

@@ -48,14 +48,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is unset (local runs, tests) a fresh folder is created and set once.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = _LOCAL_FALLBACK.get(spark.sparkContext.applicationId)
     if not d:
         d = tempfile.mkdtemp(prefix="cairn-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        _LOCAL_FALLBACK[spark.sparkContext.applicationId] = d
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - some deployments refuse runtime changes of core confs
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared checkpoint folder (never local)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")

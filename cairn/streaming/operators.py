@@ -80,7 +80,8 @@ def _bot_messages_fold(key, batches, state):
                 text += data
             n += 1
     state.update((text, first_us, n, turn_no))
-    yield pd.DataFrame(out, columns=["user_id", "turn_no", "first_ts", "text", "n_chunks"])
+    if out:
+        yield pd.DataFrame(out, columns=["user_id", "turn_no", "first_ts", "text", "n_chunks"])
 
 
 def stream_bot_messages(agent_msgs: DataFrame) -> DataFrame:
@@ -115,7 +116,8 @@ def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICAT
                 last = bits[i]
         if last is not None:
             state.update((int(np.array([last], dtype=np.uint64).view(np.int64)[0]),))
-        yield rows.loc[keep, ["stream", "frame_id", "signature"]]
+        if keep.any():
+            yield rows.loc[keep, ["stream", "frame_id", "signature"]]
 
     return (frames.select("stream", "frame_id", "signature", "sig_bits").groupBy("stream")
             .applyInPandasWithState(fold, out_schema, "last_bits long", "append", GroupStateTimeout.NoTimeout))
@@ -184,7 +186,8 @@ def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS,
             state.update((is_open, start_us, deadline_us, armed_id, fired))
             if deadline_us is not None:
                 state.setTimeoutTimestamp(deadline_us // 1000)
-        yield pd.DataFrame(out, columns=["user_id", "interval_start", "stop_ts", "armed_event_id"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "interval_start", "stop_ts", "armed_event_id"])
 
     return (event_time(timeline, delay).groupBy(SESSION)
             .applyInPandasWithState(fold, IDLE_OUT, IDLE_STATE, "append", GroupStateTimeout.EventTimeTimeout))

@@ -102,3 +102,17 @@ def test_activity_sessions_gap_boundary(spark):
     act = S.activity_rows(a, states(spark, []))
     got = sorted((r.session_start, r.n_events) for r in S.activity_sessions(act).collect())
     assert got == [(at(0), 2), (at(601), 1)]
+
+
+def test_idle_stops_with_audio_controls(spark):
+    st = states(spark, [(0, "on"), (5000, "off")])
+    a = agent(spark, [(100, "data", "text/plain", "x", None, None),
+                      (1000, "data", "text/plain", "y", None, None)])
+    # without controls the timer armed at 100 fires at 400
+    assert [r.stop_ts for r in S.idle_forced_stops(a, st).collect()] == [at(400)]
+    controls = spark.createDataFrame([(1, at(200), 900, "audio_off"), (1, at(700), 901, "audio_on")],
+                                     "user_id long, ts timestamp_ntz, event_id long, control string")
+    # audio off at 200 cancels; audio on at 700 re-arms, next activity at 1000 is within 5 min,
+    # the row at 1000 arms until 1300, then the off at 5000 comes later: fires at 1300
+    got = [(r.stop_ts, r.armed_event_id) for r in S.idle_forced_stops(a, st, controls=controls).collect()]
+    assert got == [(at(1300), 1)]
