@@ -512,3 +512,18 @@ def q_stream_sample_per_second(spark, sf):
     frames = ST.stream_sample_per_window(ST.stream_route_messages(_client_stream(spark, sf)), "1 second")
     run_to_parquet(frames, out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
+
+
+# --- S1 through the text source itself -------------------------------------------------
+from cairn.sources.text import text_lines  # noqa: E402
+
+
+def _text_files_root(spark, sf):
+    return staged(spark, sf, "documents-text", lambda root: table(spark, sf, "documents").select("text")
+                  .write.mode("overwrite").text(root))
+
+
+@register("word_count_text_source")
+def q_word_count_text_source(spark, sf):
+    """The reference job's own path: text files -> lines -> words -> counts."""
+    return W.word_count(W.tokenize(spread(text_lines(spark, _text_files_root(spark, sf)))))

@@ -452,3 +452,7 @@ SELECT user_id, date_trunc('second', ts) AS window_start, date_trunc('second', t
        first(event_id ORDER BY ts DESC, event_id DESC) AS frame_event_id, count(*) AS n_frames
 FROM fr GROUP BY user_id, date_trunc('second', ts)
 HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT wm FROM wm)"""
+
+# S1 over files: the text writer appends one newline to every document.
+ORACLE["word_count_text_source"] = _with(LINES.replace("FROM documents", "FROM (SELECT doc_id, text || chr(10) AS text FROM documents)"), WORDS, COUNTS) + \
+    "SELECT word, count FROM counts"
