@@ -12,11 +12,15 @@ from cairn.functions.media import (
     mean_threshold_signature,
 )
 from cairn.plans.ordered import ordered_scan, value_bucket
+from cairn.session import reliable_checkpoint
 
 # Fixed value of the reference client: frames within Hamming distance 1 of
 # the last frame sent are not sent.
 DUPLICATE_DISTANCE = 1
 ORDER_BUCKET_WIDTH = 1 << 16  # frame ids per bucket when splitting a hot stream
+FOLD_CHUNK_WIDTH = 1 << 14    # frame ids per independently folded chunk
+MAX_PARALLEL_ROUNDS = 6       # fix-up rounds before the exact sequential finish
+MAX_BROADCAST_CHUNKS = 1_000_000
 
 
 def with_signatures(frames: DataFrame, values: str = "grey") -> DataFrame:
@@ -35,7 +39,9 @@ def consecutive_distances(frames: DataFrame, stream: str = "stream", order: str
 
 def suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTANCE,
                              stream: str = "stream", order: str = "frame_id",
-                             num_partitions: int | None = None) -> DataFrame:
+                             num_partitions: int | None = None,
+                             chunk_width: int = FOLD_CHUNK_WIDTH,
+                             max_rounds: int = MAX_PARALLEL_ROUNDS) -> DataFrame:
     """Keep a frame iff its distance to the *last kept* frame of its stream
     exceeds ``threshold``; the first frame of a stream is kept.
 
@@ -43,10 +49,10 @@ def suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTA
        dropped (distance 0 to a kept predecessor, or the same distance to the
        last kept frame as a dropped predecessor), so it is removed with a
        bucketed previous-row scan before any Python runs.
-    2. The fold is sequential by definition. Rows are hash-partitioned by
-       stream and sorted within partitions; ``mapInPandas`` walks them in
-       Arrow batches with O(1) state (current stream, last kept bits), so a
-       stream of any length streams through one task in bounded memory.
+    2. The fold is sequential by definition, but its only state is the last
+       kept signature, so a stream is cut into chunks of ``chunk_width``
+       frame ids that fold in parallel (:func:`fold_in_chunks`). A stream
+       holding a third of all frames spreads over its chunks.
     ``frames`` needs ``sig_bits`` (see :func:`with_signatures`).
     """
     d = frames
@@ -54,25 +60,132 @@ def suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTA
         prev = ordered_scan(d, [stream], [order], value_bucket(order, ORDER_BUCKET_WIDTH),
                             prevs=[("_prev", F.struct(F.col("sig_bits").alias("b")))])
         d = prev.where(F.col("_prev").isNull() | (F.col("_prev.b") != F.col("sig_bits"))).drop("_prev")
-    n = num_partitions or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartition(n, stream).sortWithinPartitions(stream, order)
-    schema = d.schema
-    t = int(threshold)
+    kept = fold_in_chunks(d.select(stream, order, "sig_bits"), int(threshold), stream, order,
+                          num_partitions, chunk_width, max_rounds)
+    return d.join(kept, [stream, order], "left_semi")
+
+
+# --- chunked exact fold -------------------------------------------------------
+
+_CHUNK, _SEG = "_chunk", "_seg"
+_LIN, _HAS_LIN = "_lin", "_has_lin"      # state entering the segment (bits, present?)
+_KEEP, _STATE, _HAS_OLD = "_keep", "_state", "_has_old"
+
+
+def _fold_segments(rows: DataFrame, stream: str, order: str, t: int, early_stop: bool,
+                   n: int) -> DataFrame:
+    """Fold every segment ``(stream, _seg)`` of ``rows`` from its entering
+    state. With ``early_stop``, a segment stops as soon as its state equals
+    the state its previous fold had at the same row: from there on the old
+    decisions hold, so only the rows up to that point are recomputed."""
+    rows = rows.repartition(n, stream, _SEG).sortWithinPartitions(stream, _SEG, order)
+    schema = rows.schema
 
     def fold(batches):
-        cur, last = None, None
+        cur, last, synced = None, None, False
         for pdf in batches:
-            if pdf.empty:
+            m = len(pdf)
+            if m == 0:
                 continue
-            streams = pdf[stream].to_numpy()
+            s, g = pdf[stream].to_numpy(), pdf[_SEG].to_numpy()
             bits = pdf["sig_bits"].to_numpy(dtype=np.int64).view(np.uint64)
-            keep = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if cur is None or streams[i] != cur:
-                    cur, last = streams[i], None
-                if last is None or int(bits[i] ^ last).bit_count() > t:
-                    keep[i] = True
-                    last = bits[i]
-            yield pdf[keep]
-
-    return d.mapInPandas(fold, schema)
+            lin = pdf[_LIN].to_numpy(dtype=np.int64).view(np.uint64)
+            has_lin = pdf[_HAS_LIN].to_numpy(dtype=bool)
+            has_old = pdf[_HAS_OLD].to_numpy(dtype=bool)
+            keep = pdf[_KEEP].to_numpy(dtype=bool).copy()
+            state = pdf[_STATE].to_numpy(dtype=np.int64).view(np.uint64).copy()
+            new = np.ones(m, dtype=bool)
+            new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
+            new[0] = (s[0], g[0]) != cur
+            bounds = list(np.flatnonzero(new)) + [m]
+            if bounds[0] != 0:
+                bounds.insert(0, 0)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if new[a]:
+                    cur, synced = (s[a], g[a]), False
+                    last = lin[a] if has_lin[a] else None
+                if synced:
+                    continue
+                for i in range(a, b):
+                    k = last is None or int(bits[i] ^ last).bit_count() > t
+                    if k:
+                        last = bits[i]
+                    keep[i] = k
+                    if early_stop and has_old[i] and state[i] == last:
+                        synced = True
+                        break
+                    state[i] = last
+            pdf[_KEEP] = keep
+            pdf[_STATE] = state.view(np.int64)
+            yield pdf
+
+    return rows.mapInPandas(fold, schema)
+
+
+def _chunk_summaries(res: DataFrame, stream: str, order: str) -> DataFrame:
+    """Per chunk: the state it was folded from, its final state, and the
+    state it should have been folded from (the previous chunk's final one).
+    The previous-chunk scan itself is bucketed, so a stream with very many
+    chunks is not serialised either."""
+    summ = res.groupBy(stream, _CHUNK).agg(
+        F.max_by(_STATE, F.col(order)).alias("_lout"),
+        F.max(_HAS_LIN).alias(_HAS_LIN), F.max(_LIN).alias(_LIN))
+    scanned = ordered_scan(summ, [stream], [_CHUNK], value_bucket(_CHUNK, ORDER_BUCKET_WIDTH),
+                           prevs=[("_p", F.struct(F.col("_lout").alias("b")))])
+    need_has = F.col("_p").isNotNull()
+    need = F.coalesce(F.col("_p.b"), F.lit(0).cast("long"))
+    changed = (need_has != F.col(_HAS_LIN)) | (need_has & (need != F.col(_LIN)))
+    return scanned.select(stream, _CHUNK, need.alias("_need"), need_has.alias("_need_has"),
+                          changed.alias("_changed"))
+
+
+def fold_in_chunks(rows: DataFrame, threshold: int, stream: str = "stream", order: str = "frame_id",
+                   num_partitions: int | None = None, chunk_width: int = FOLD_CHUNK_WIDTH,
+                   max_rounds: int = MAX_PARALLEL_ROUNDS) -> DataFrame:
+    """``(stream, order)`` of the frames kept by the last-kept fold (exact).
+
+    Round 0 folds every chunk in parallel as if nothing had been kept
+    before it. A chunk's answer depends on its entering state only, which is
+    the previous chunk's final state; a small summary scan finds the chunks
+    whose entering state differs from the one they were folded with, and
+    only those are folded again (stopping where they rejoin their previous
+    run). Changes stop propagating at the first chunk whose final state is
+    unaffected, so one or two rounds settle in practice; the answer is the
+    fixed point, reached after at most one round per chunk. After
+    ``max_rounds`` rounds the streams still moving are finished by one
+    sequential fold per stream from their first unsettled chunk (exact, and
+    only the unsettled tail is folded). Each round's rows are checkpointed
+    into the shared checkpoint folder.
+    """
+    spark = rows.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    zero = F.lit(0).cast("long")
+    base = rows.select(stream, order, "sig_bits").withColumns({
+        _CHUNK: value_bucket(order, chunk_width), _LIN: zero, _HAS_LIN: F.lit(False),
+        _KEEP: F.lit(False), _STATE: zero, _HAS_OLD: F.lit(False)})
+    base = base.withColumn(_SEG, F.col(_CHUNK))
+    res = reliable_checkpoint(_fold_segments(base, stream, order, threshold, False, n))
+    for _ in range(max_rounds):
+        summ = _chunk_summaries(res, stream, order)
+        fix = reliable_checkpoint(summ.where("_changed").drop("_changed"))
+        n_fix = fix.count()
+        if n_fix == 0:
+            return res.where(F.col(_KEEP)).select(stream, order)
+        fix_j = F.broadcast(fix) if n_fix <= MAX_BROADCAST_CHUNKS else fix
+        redo = (res.join(fix_j, [stream, _CHUNK], "inner")
+                .withColumns({_LIN: F.col("_need"), _HAS_LIN: F.col("_need_has"), _HAS_OLD: F.lit(True)})
+                .drop("_need", "_need_has"))
+        same = res.join(fix_j.select(stream, _CHUNK), [stream, _CHUNK], "left_anti")
+        res = reliable_checkpoint(same.unionByName(_fold_segments(redo, stream, order, threshold, True, n)))
+    # exact finish: one sequential fold per stream from its first unsettled chunk
+    summ = _chunk_summaries(res, stream, order).where("_changed")
+    first = summ.groupBy(stream).agg(F.min_by(F.struct(_CHUNK, "_need", "_need_has"), F.col(_CHUNK)).alias("_f"))
+    first = first.select(stream, F.col("_f." + _CHUNK).alias("_from"), F.col("_f._need").alias("_need"),
+                         F.col("_f._need_has").alias("_need_has"))
+    tail = (res.join(first, stream, "inner").where(F.col(_CHUNK) >= F.col("_from"))
+            .withColumns({_SEG: F.lit(-1).cast("long"), _LIN: F.col("_need"), _HAS_LIN: F.col("_need_has")})
+            .drop("_from", "_need", "_need_has"))
+    head = res.join(first, stream, "left").where(F.col("_from").isNull() | (F.col(_CHUNK) < F.col("_from")))
+    head = head.drop("_from", "_need", "_need_has")
+    done = head.unionByName(_fold_segments(tail, stream, order, threshold, False, n))
+    return done.where(F.col(_KEEP)).select(stream, order)

@@ -24,30 +24,43 @@ MAX_BROADCAST_QUESTION_TERMS = 2_000_000
 
 
 def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text",
-                vocabulary: DataFrame | None = None, partitions: int | None = None) -> tuple[DataFrame, dict]:
+                vocabulary: DataFrame | None = None, broadcast_vocabulary: bool = False,
+                partitions: int | None = None) -> tuple[DataFrame, dict]:
     """Postings ``(term, case_id, dl, tf)`` and corpus stats ``{n, avgdl}``.
 
-    Document length rides along with the postings (no later join on
-    case_id); the stats are two scalars from one aggregate job. With a
-    ``vocabulary`` (a broadcastable ``term`` column), tokens outside it are
-    dropped by a broadcast semi-join before the aggregation, so only the
-    postings a query can touch are built.
+    The text is read and tokenised once. Every document adds one NULL-term
+    row to its tokens, so document lengths (for ``n`` and ``avgdl``) come
+    out of the same aggregation as the postings. With a ``vocabulary``
+    (a ``term`` column), tokens outside it are dropped map-side before the
+    aggregation, so only postings that a query can touch are built and
+    shuffled; the text itself never moves. With ``partitions`` the index is
+    hash-partitioned by ``case_id``. The index is checkpointed into the shared
+    checkpoint folder (its partitioning is kept), so stats and scoring read
+    it instead of the text.
     """
-    docs = cases.select(F.col(id_col).alias("case_id"), F.col(text_col).alias("_text"))
-    if partitions:
-        # hash-partition documents by case_id once: the postings aggregation
-        # (case_id, dl, term) and the score aggregation (question_id, case_id)
-        # are then both satisfied by this partitioning and do not shuffle again
-        docs = docs.repartition(partitions, "case_id")
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(search_term_count(F.col("_text"))).alias("avgdl")).first()
-    docs = docs.select("case_id", search_terms(F.col("_text")).alias("_terms"))
-    docs = docs.withColumn("dl", F.size("_terms").cast("long"))
-    stats = {"n": int(row["n"]), "avgdl": float(row["avgdl"] or 0.0)}
-    tokens = docs.select("case_id", "dl", F.explode("_terms").alias("term"))
+    terms = search_terms(F.col(text_col))
+    docs = cases.select(F.col(id_col).alias("case_id"), terms.alias("_terms"))
+    docs = docs.withColumn("dl", F.when(F.col("_terms").isNotNull(), F.size("_terms")).cast("long"))
+    marker = F.array(F.lit(None).cast("string"))
+    tokens = docs.select("case_id", "dl",
+                         F.explode(F.concat(F.coalesce(F.col("_terms"), F.array().cast("array<string>")),
+                                            marker)).alias("term"))
     if vocabulary is not None:
-        tokens = tokens.join(vocabulary, "term", "left_semi")
-    postings = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, stats
+        v = vocabulary.select("term", F.lit(True).alias("_v"))
+        v = F.broadcast(v) if broadcast_vocabulary else v
+        tokens = (tokens.join(v, "term", "left").where(F.col("_v") | F.col("term").isNull())
+                  .drop("_v"))
+    index = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if partitions:
+        # the score aggregation (question_id, case_id) then finds every
+        # posting of a case in one partition and needs no shuffle of its own
+        index = index.repartition(partitions, "case_id")
+    index = reliable_checkpoint(index)
+    row = (index.where(F.col("term").isNull())
+           .agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(
+               F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl")).first())
+    stats = {"n": int(row["n"] or 0), "avgdl": float(row["avgdl"] or 0.0)}
+    return index.where(F.col("term").isNotNull()), stats
 
 
 def question_terms(questions: DataFrame, id_col: str = "question_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +88,7 @@ def kb_search(questions: DataFrame, cases: DataFrame, k: int = TOP_K, k1: float
     vocab = qt.select("term").distinct()
     small_vocab = fits(vocab, MAX_BROADCAST_QUESTION_TERMS)
     parts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings, stats = index_cases(cases, c_id, vocabulary=F.broadcast(vocab) if small_vocab else vocab,
+    postings, stats = index_cases(cases, c_id, vocabulary=vocab, broadcast_vocabulary=small_vocab,
                                   partitions=parts)
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     df_q = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

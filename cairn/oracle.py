@@ -313,7 +313,7 @@ SELECT conv_id AS job_id, printf('driveroutput.%09d', turn) AS file_name, text F
 
 KB_SQL = r"""
 SELECT lang AS product, DATE '2024-01-01' + (doc_id % 365)::INTEGER AS updated_at, source AS category,
-       nullif(left(regexp_replace(text, '[\r\n]+', ' ', 'g'), 80), '') AS explanation,
+       nullif(regexp_replace(text, '[\r\n]+', ' ', 'g'), '') AS explanation,
        CASE WHEN doc_id = 5 THEN NULL ELSE n_chars::VARCHAR END AS solution
 FROM documents WHERE doc_id <> 7"""
 ORACLE["kb_sheet_scan"] = KB_SQL

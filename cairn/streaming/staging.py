@@ -12,19 +12,41 @@ def _as_number(c: Column, is_time: bool) -> Column:
     return F.unix_micros(c.cast("timestamp")) if is_time else c.cast("long")
 
 
-def stage_chunks(df: DataFrame, root: str, order_col: str, chunks: int = 4) -> str:
-    """Write ``df`` as ``chunks`` files of ascending ``order_col`` ranges,
-    one chunk after another, so that file arrival (modification time)
-    follows the order column, as a recorded stream would arrive.
-    Returns the glob that a file stream reads."""
+ROWS_PER_CHUNK = 2_000_000  # rows per staged micro-batch file
+
+
+def stage_chunks(df: DataFrame, root: str, order_col: str, chunks: int = 4,
+                 rows_per_chunk: int = ROWS_PER_CHUNK) -> str:
+    """Write ``df`` as files of ascending ``order_col`` ranges, one chunk after
+    another, so that file arrival (modification time) follows the order
+    column, as a recorded stream would arrive. Returns the glob that a file
+    stream reads.
+
+    Chunks are equal ranges of the order column between its minimum and
+    maximum, so tables over the same time span (several sources of one
+    stream) are cut at the same instants and their i-th micro-batches cover
+    the same range. There are at least ``chunks`` of them, more when the
+    input is large. The input is split into chunk folders by one parallel
+    write; each chunk then copies only its own folder into one file, so
+    staging reads the input about twice whatever the chunk count.
+    """
     is_time = dict(df.dtypes)[order_col].startswith("timestamp")
     key = _as_number(F.col(order_col), is_time)
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    spark = df.sparkSession
+    if not n:
+        df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/chunk-00000")
+        return f"{root}/chunk-*/*.parquet"
+    chunks = max(chunks, -(-n // rows_per_chunk))
     step = max(1, (hi - lo + chunks) // chunks)
+    split = f"{root}/_split"
+    (df.withColumn("_k", key).withColumn("_c", F.least(F.expr(f"(_k - {lo}) div {step}"), F.lit(chunks - 1)))
+     .drop("_k").write.mode("overwrite").partitionBy("_c").parquet(split))
+    present = {r["_c"] for r in spark.read.parquet(split).select("_c").distinct().collect()}
     for i in range(chunks):
-        a, b = lo + i * step, lo + (i + 1) * step
-        part = df.where((key >= a) & (key < b)) if i < chunks - 1 else df.where(key >= a)
-        part.coalesce(1).write.mode("overwrite").parquet(f"{root}/chunk-{i:03d}")
+        # an empty range still gives an (empty) micro-batch, keeping sources aligned
+        part = spark.read.schema(df.schema).parquet(f"{split}/_c={i}") if i in present else df.limit(0)
+        part.coalesce(1).write.mode("overwrite").parquet(f"{root}/chunk-{i:05d}")
     return f"{root}/chunk-*/*.parquet"
 
 

@@ -69,3 +69,40 @@ def test_near_duplicates_equal_brute_force(spark):
     for t in (0, 1, 2, 5):
         got = sorted((r.stream, r.frame_id) for r in FR.suppress_near_duplicates(df, t).collect())
         assert got == _brute(rows, t), t
+
+
+def _signed(b):
+    return b - (1 << 64) if b >= (1 << 63) else b
+
+
+def test_near_duplicates_chunked_fold_is_exact(spark):
+    # small chunks force the parallel fix-up rounds; max_rounds 0 and 1 force
+    # the sequential finish from the first unsettled chunk
+    rnd = random.Random(11)
+    rows = []
+    for s in range(3):
+        b = rnd.getrandbits(16)
+        for f in range(200):
+            if rnd.random() < 0.3:
+                b ^= 1 << rnd.randrange(16)
+            if rnd.random() < 0.05:
+                b ^= rnd.getrandbits(16)
+            rows.append((s, f, b))
+    df = spark.createDataFrame([(s, f, b, "") for s, f, b in rows],
+                               "stream int, frame_id long, sig_bits long, signature string")
+    for t in (1, 3):
+        want = _brute(rows, t)
+        for width, rounds in ((8, 6), (16, 1), (7, 0)):
+            got = sorted((r.stream, r.frame_id) for r in
+                         FR.suppress_near_duplicates(df, t, chunk_width=width, max_rounds=rounds).collect())
+            assert got == want, (t, width, rounds)
+
+
+def test_near_duplicates_chunked_full_64_bit_signatures(spark):
+    rnd = random.Random(5)
+    rows = [(1, i, rnd.getrandbits(64)) for i in range(120)]
+    df = spark.createDataFrame([(s, f, _signed(b), "") for s, f, b in rows],
+                               "stream int, frame_id long, sig_bits long, signature string")
+    for t in (28, 32):
+        got = sorted((r.stream, r.frame_id) for r in FR.suppress_near_duplicates(df, t, chunk_width=5).collect())
+        assert got == _brute(rows, t), t
