@@ -32,7 +32,8 @@ def with_signatures(frames: DataFrame, values: str = "grey") -> DataFrame:
 def consecutive_distances(frames: DataFrame, stream: str = "stream", order: str = "frame_id") -> DataFrame:
     """Hamming distance of every frame to the previous frame of its stream."""
     prev = ordered_scan(frames, [stream], [order], value_bucket(order, ORDER_BUCKET_WIDTH),
-                        prevs=[("_prev", F.struct(F.col(order).alias("id"), F.col("sig_bits").alias("b")))])
+                        prevs=[("_prev", F.struct(F.col(order).alias("id"), F.col("sig_bits").alias("b")))],
+                        materialize=False)
     return prev.select(stream, order, F.col("_prev.id").alias("prev_frame_id"),
                        hamming_distance_bits(F.col("sig_bits"), F.col("_prev.b")).alias("distance"))
 
@@ -131,7 +132,7 @@ def _chunk_summaries(res: DataFrame, stream: str, order: str) -> DataFrame:
         F.max_by(_STATE, F.col(order)).alias("_lout"),
         F.max(_HAS_LIN).alias(_HAS_LIN), F.max(_LIN).alias(_LIN))
     scanned = ordered_scan(summ, [stream], [_CHUNK], value_bucket(_CHUNK, ORDER_BUCKET_WIDTH),
-                           prevs=[("_p", F.struct(F.col("_lout").alias("b")))])
+                           prevs=[("_p", F.struct(F.col("_lout").alias("b")))], materialize=False)
     need_has = F.col("_p").isNotNull()
     need = F.coalesce(F.col("_p.b"), F.lit(0).cast("long"))
     changed = (need_has != F.col(_HAS_LIN)) | (need_has & (need != F.col(_LIN)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import search_term_count, search_terms
 from cairn.plans.guard import broadcast_if_small, fits
+from cairn.plans.partitioning import spread
 from cairn.session import reliable_checkpoint
 
 BM25_K1 = 1.2
@@ -39,7 +40,9 @@ def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text
     it instead of the text.
     """
     terms = search_terms(F.col(text_col))
-    docs = cases.select(F.col(id_col).alias("case_id"), terms.alias("_terms"))
+    # tokenising is the heavy step: spread a narrow scan over the cluster first
+    docs = spread(cases.select(F.col(id_col).alias("case_id"), F.col(text_col)))
+    docs = docs.select("case_id", terms.alias("_terms"))
     docs = docs.withColumn("dl", F.when(F.col("_terms").isNotNull(), F.size("_terms")).cast("long"))
     marker = F.array(F.lit(None).cast("string"))
     tokens = docs.select("case_id", "dl",

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import write_stage
+
 _B = "_bkt"
 DAY_SECONDS = 86_400
 
@@ -43,7 +45,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
                  sums: Sequence[tuple[str, Column]] = (),
                  lasts: Sequence[tuple[str, Column]] = (),
                  prevs: Sequence[tuple[str, Column]] = (),
-                 nexts: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+                 nexts: Sequence[tuple[str, Column]] = (),
+                 materialize: bool = True) -> DataFrame:
     """Add scan columns to ``df``, per ``keys`` in ascending ``order``.
 
     ``sums``  (out, numeric)  inclusive running sum
@@ -52,9 +55,20 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
                               on every row (wrap it in a struct)
     ``nexts`` (out, value)    value of the next row; same rule
     ``bucket`` must be non-decreasing in ``order`` within a key.
+
+    The input is read twice (rows, and bucket summaries aggregated straight
+    from the input). Spark does not share a subplan between two branches,
+    so with ``materialize`` (the default) the input is first written once
+    to the shared checkpoint folder and both branches scan that table: an
+    expensive input (a parse, or an earlier scan) is computed exactly once
+    and chained scans do not multiply their upstream work. Pass ``False``
+    for inputs that are a plain table scan.
+    Column arguments must refer to columns by name.
     """
     keys, order = list(keys), list(order)
     d = df.withColumn(_B, bucket)
+    if materialize:
+        d = write_stage(d, "ordered-scan")
     w = Window.partitionBy(*keys, _B).orderBy(*order)
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}
@@ -66,14 +80,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
         local[out] = F.lag(v).over(w)
     for out, v in nexts:
         local[out] = F.lead(v).over(w)
-    d = d.withColumns({f"_l_{k}": c for k, c in local.items()})
 
+    # bucket summaries from the input itself (not from the window output)
     pos = F.struct(*order)
     summary_aggs = ([F.sum(v).alias(f"_s_{o}") for o, v in sums]
-                    + [F.max_by(F.col(f"_l_{o}"), pos).alias(f"_s_{o}") for o, _ in lasts]
+                    + [F.max_by(v, F.when(v.isNotNull(), pos)).alias(f"_s_{o}") for o, v in lasts]
                     + [F.max_by(v, pos).alias(f"_s_{o}") for o, v in prevs]
                     + [F.min_by(v, pos).alias(f"_s_{o}") for o, v in nexts])
     summary = d.groupBy(*keys, _B).agg(*summary_aggs)
+    d = d.withColumns({f"_l_{k}": c for k, c in local.items()})
     wb = Window.partitionBy(*keys).orderBy(_B)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     carry = {}

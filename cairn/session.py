@@ -71,6 +71,17 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def write_stage(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return the table read back: the lineage is cut, a lost executor costs a
+    re-read instead of a recomputation, and every later use scans the
+    table instead of recomputing ``df``."""
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
