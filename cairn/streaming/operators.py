@@ -16,6 +16,24 @@ from cairn.operators.sessions import IDLE_TIMEOUT_MS
 SESSION = "user_id"
 
 
+def _frame(batches) -> pd.DataFrame:
+    """All rows of one group in this micro-batch (usually a single batch)."""
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return pd.DataFrame()
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+
+
+def _micros(col: pd.Series) -> np.ndarray:
+    return col.to_numpy(dtype="datetime64[us]").astype(np.int64)
+
+
+def _order(*keys: np.ndarray) -> np.ndarray | None:
+    """Row order by ``keys`` (first key most significant); None if already sorted."""
+    idx = np.lexsort(keys[::-1])
+    return None if np.array_equal(idx, np.arange(len(idx))) else idx
+
+
 def event_time(df: DataFrame, delay: str, col: str = "ts") -> DataFrame:
     """``_et``: the event time as TIMESTAMP (watermarks reject TIMESTAMP_NTZ),
     with a watermark of ``delay``."""
@@ -61,27 +79,36 @@ BOT_STATE = "text string, first_us long, n long, turn_no long"
 
 
 def _bot_messages_fold(key, batches, state):
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+    rows = _frame(batches)
     if state.exists:
         text, first_us, n, turn_no = state.get
     else:
         text, first_us, n, turn_no = "", None, 0, 0
+    if rows.empty:
+        return
+    ts = _micros(rows["ts"])
+    idx = _order(ts, rows["event_id"].to_numpy())
+    cols = [rows[c].to_numpy() for c in ("kind", "turn_complete", "mime_type", "data")]
+    if idx is not None:
+        ts, cols = ts[idx], [c[idx] for c in cols]
+    parts = [text]
     out = []
-    for kind, tc, mime, data, ts in zip(rows["kind"], rows["turn_complete"], rows["mime_type"],
-                                        rows["data"], rows["ts"]):
+    for kind, tc, mime, data, t in zip(*[c.tolist() for c in cols], ts.tolist()):
         if kind == "control" and tc is True:
             if n > 0:
-                out.append((key[0], turn_no, pd.Timestamp(first_us, unit="us"), text, n))
-            text, first_us, n, turn_no = "", None, 0, turn_no + 1
+                out.append((key[0], turn_no, first_us, "".join(parts), n))
+            parts, first_us, n, turn_no = [], None, 0, turn_no + 1
         elif mime == "text/plain":
             if n == 0:
-                first_us = pd.Timestamp(ts).value // 1000
+                first_us = t
             if isinstance(data, str):
-                text += data
+                parts.append(data)
             n += 1
-    state.update((text, first_us, n, turn_no))
+    state.update(("".join(parts), first_us, n, turn_no))
     if out:
-        yield pd.DataFrame(out, columns=["user_id", "turn_no", "first_ts", "text", "n_chunks"])
+        o = pd.DataFrame(out, columns=["user_id", "turn_no", "first_ts", "text", "n_chunks"])
+        o["first_ts"] = pd.to_datetime(o["first_ts"], unit="us")
+        yield o
 
 
 def stream_bot_messages(agent_msgs: DataFrame) -> DataFrame:
@@ -106,7 +133,12 @@ def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICAT
     out_schema = "stream int, frame_id long, signature string"
 
     def fold(key, batches, state):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("frame_id", kind="stable")
+        rows = _frame(batches)
+        if rows.empty:
+            return
+        idx = _order(rows["frame_id"].to_numpy())
+        if idx is not None:
+            rows = rows.iloc[idx]
         last = np.array([state.get[0]], dtype=np.int64).view(np.uint64)[0] if state.exists else None
         bits = rows["sig_bits"].to_numpy(dtype=np.int64).view(np.uint64)
         keep = np.zeros(len(rows), dtype=bool)
@@ -165,21 +197,26 @@ def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS,
             fire()
             fired, deadline_us = True, None
         else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id", "side"], kind="stable")
-            for t, eid, kind in zip(rows["ts"], rows["event_id"], rows["kind"]):
-                t_us = pd.Timestamp(t).value // 1000
-                if deadline_us is not None and t_us > deadline_us:
-                    fire()
-                    fired, deadline_us = True, None
-                if kind == "on":
-                    if not is_open:
-                        is_open, start_us, fired = True, t_us, False
-                    if not fired:
-                        deadline_us, armed_id = t_us + timeout_us, int(eid)
-                elif kind == "off":
-                    is_open, deadline_us = False, None
-                elif is_open and not fired:
-                    deadline_us, armed_id = t_us + timeout_us, int(eid)
+            rows = _frame(batches)
+            if not rows.empty:
+                ts = _micros(rows["ts"])
+                eids, kinds = rows["event_id"].to_numpy(), rows["kind"].to_numpy()
+                idx = _order(ts, eids, rows["side"].to_numpy())
+                if idx is not None:
+                    ts, eids, kinds = ts[idx], eids[idx], kinds[idx]
+                for t_us, eid, kind in zip(ts.tolist(), eids.tolist(), kinds):
+                    if deadline_us is not None and t_us > deadline_us:
+                        fire()
+                        fired, deadline_us = True, None
+                    if kind == "on":
+                        if not is_open:
+                            is_open, start_us, fired = True, t_us, False
+                        if not fired:
+                            deadline_us, armed_id = t_us + timeout_us, eid
+                    elif kind == "off":
+                        is_open, deadline_us = False, None
+                    elif is_open and not fired:
+                        deadline_us, armed_id = t_us + timeout_us, eid
         if not is_open and deadline_us is None:
             state.remove()
         else:
