@@ -167,11 +167,11 @@ def fold_in_chunks(rows: DataFrame, threshold: int, stream: str = "stream", orde
     base = base.withColumn(_SEG, F.col(_CHUNK))
     res = reliable_checkpoint(_fold_segments(base, stream, order, threshold, False, n))
     for _ in range(max_rounds):
-        summ = _chunk_summaries(res, stream, order)
-        fix = reliable_checkpoint(summ.where("_changed").drop("_changed"))
+        fix = _chunk_summaries(res, stream, order).where("_changed").drop("_changed")
         n_fix = fix.count()
         if n_fix == 0:
             return res.where(F.col(_KEEP)).select(stream, order)
+        fix = reliable_checkpoint(fix)  # read twice below
         fix_j = F.broadcast(fix) if n_fix <= MAX_BROADCAST_CHUNKS else fix
         redo = (res.join(fix_j, [stream, _CHUNK], "inner")
                 .withColumns({_LIN: F.col("_need"), _HAS_LIN: F.col("_need_has"), _HAS_OLD: F.lit(True)})
