@@ -59,3 +59,25 @@ def test_idle_stops_stream_fires_on_timeout(spark):
     got = [(r.user_id, r.stop_ts, r.armed_event_id) for r in spark.read.parquet(out).collect()]
     # no later row for user 1: the event-time timeout fires once user 2's row moves the watermark
     assert got == [(1, T0 + dt.timedelta(minutes=7), 2)]
+
+
+def test_staged_chunks_cover_input_in_ascending_ranges(spark):
+    import glob
+    import os
+
+    df = spark.createDataFrame(_agent_rows(), AGENT)
+    root = staging_path(spark, "stage-many")
+    # 80 rows, at most 7 per chunk: the chunk count grows with the input
+    stage_chunks(df, root, "ts", chunks=2, rows_per_chunk=7)
+    dirs = sorted(glob.glob(f"{root.removeprefix('file:')}/chunk-*"))
+    assert len(dirs) == 12
+    ranges, total = [], []
+    for d in dirs:
+        part = spark.read.parquet(d)
+        assert len([f for f in os.listdir(d) if f.endswith(".parquet")]) == 1
+        rows = part.collect()
+        total += rows
+        if rows:
+            ranges.append((min(r.ts for r in rows), max(r.ts for r in rows)))
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert sorted(map(tuple, total)) == sorted(map(tuple, df.collect()))
