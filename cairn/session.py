@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # session state of many sessions lives off-heap, checkpointed incrementally
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -25,11 +28,17 @@ DEFAULT_CONF = {
 
 def build_session(master: str | None = None, app_name: str = "cairn",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """Create or reuse a session; settings already present on a cluster win."""
+    """Create or reuse a session. ``DEFAULT_CONF`` only fills settings the
+    cluster (spark-submit, spark-defaults) has not set; ``shuffle_partitions``
+    and ``extra`` are the caller's explicit choices and always apply."""
+    from pyspark import SparkConf, SparkContext
+
+    SparkContext._ensure_initialized()  # the JVM-backed conf sees submit-time settings
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    present = SparkConf()
+    conf = {k: v for k, v in DEFAULT_CONF.items() if not present.contains(k)}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
