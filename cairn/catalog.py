@@ -443,9 +443,12 @@ def q_stream_route_messages(spark, sf):
     out = staging_path(spark, "out-route-messages")
 
     def sink(batch, batch_id):
+        # two writes of one micro-batch: parse it once (a lost block is recomputed)
+        batch.persist()
         ok = F.col("error").isNull()
         batch.where(ok).write.mode("overwrite").parquet(f"{out}/actions/batch={batch_id}")
         batch.where(~ok).write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
+        batch.unpersist()
 
     run_foreach_batch(ST.stream_route_messages(_client_stream(spark, sf)).drop("payload"), sink,
                       staging_path(spark, "ckpt"))
