@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.codec import strict_b64decode, strict_b64_valid
 from cairn.plans.partitioning import evaluate_once
-from cairn.plans.ordered import DAY_SECONDS, ordered_scan, time_bucket
+from cairn.plans.ordered import ordered_scan, time_bucket
 from cairn.sources.envelopes import envelope_decode
 
 SESSION = "user_id"
@@ -105,7 +105,7 @@ def route_client_messages(messages: DataFrame, message_col: str = "message") ->
 
 
 def cut_at_first_error(routed: DataFrame, session: str = SESSION, order=ORDER,
-                       bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                       bucket_seconds: int | None = None) -> DataFrame:
     """Drop, per session, the first error row and everything after it.
 
     A session ends at its first bad message: keep rows whose running count of
@@ -113,6 +113,7 @@ def cut_at_first_error(routed: DataFrame, session: str = SESSION, order=ORDER,
     so a hot session is split into time buckets across tasks.
     """
     flagged = routed.withColumn("_is_err", (F.col("action") == "error").cast("long"))
-    scanned = ordered_scan(flagged, [session], order, time_bucket(order[0], bucket_seconds),
+    bucket = None if bucket_seconds is None else time_bucket(order[0], bucket_seconds)
+    scanned = ordered_scan(flagged, [session], order, bucket,
                            sums=[("_n_err", F.col("_is_err"))])
     return scanned.where(F.col("_n_err") == 0).drop("_is_err", "_n_err")

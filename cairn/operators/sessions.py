@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.media import hhmm
-from cairn.plans.ordered import DAY_SECONDS, ordered_scan, time_bucket
+from cairn.plans.ordered import ordered_scan, time_bucket
 
 SESSION = "user_id"
 ORDER = ("ts", "event_id")
@@ -23,8 +23,9 @@ RING_SECONDS = 180             # player ring buffer length
 RING_SIZE = SAMPLE_RATE_OUT * RING_SECONDS
 
 
-def _bucket(bucket_seconds: int):
-    return time_bucket(ORDER[0], bucket_seconds)
+def _bucket(bucket_seconds: int | None):
+    """Fixed-width time buckets, or None: widths sized from the data."""
+    return None if bucket_seconds is None else time_bucket(ORDER[0], bucket_seconds)
 
 
 def _pos():
@@ -33,7 +34,7 @@ def _pos():
 
 # --- A4 -----------------------------------------------------------------------
 
-def assemble_bot_messages(agent_msgs: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def assemble_bot_messages(agent_msgs: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Bot messages as displayed: text chunks appended until a turn completes.
 
     Only ``turn_complete = true`` closes a message; interruptions and tool
@@ -54,7 +55,7 @@ def assemble_bot_messages(agent_msgs: DataFrame, bucket_seconds: int = DAY_SECON
 # --- A5 -----------------------------------------------------------------------
 
 def final_transcripts(agent_msgs: DataFrame, player_active: bool = True,
-                      bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                      bucket_seconds: int | None = None) -> DataFrame:
     """User utterances: the last input transcription of each utterance wins.
 
     An utterance is closed by server audio (only while a player exists), a
@@ -85,7 +86,7 @@ def session_state_latest(actions: DataFrame) -> DataFrame:
                     F.col("_w.ts").alias("updated_ts"), F.col("_w.event_id").alias("updated_event_id")))
 
 
-def state_as_of_event(actions: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def state_as_of_event(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Every session row with the screen-sharing state in force at that row
     (its own write included); NULL before the first write."""
     write = F.when(F.col("action") == "state", F.struct(F.col("state_value").alias("v")))
@@ -95,7 +96,7 @@ def state_as_of_event(actions: DataFrame, bucket_seconds: int = DAY_SECONDS) ->
 
 # --- W2 -----------------------------------------------------------------------
 
-def flag_share_changes(actions: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def flag_share_changes(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """On/off state rows with ``_change``: true for 'on' while closed and
     'off' while open. A repeated 'on' is not a new interval; state values
     other than on/off are ignored."""
@@ -106,11 +107,11 @@ def flag_share_changes(actions: DataFrame, bucket_seconds: int = DAY_SECONDS) ->
             .drop("_prev"))
 
 
-def share_changes(actions: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def share_changes(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     return flag_share_changes(actions, bucket_seconds).where(F.col("_change")).drop("_change")
 
 
-def screen_share_intervals(actions: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def screen_share_intervals(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """'on' opens, the next 'off' closes; unclosed intervals end in NULL.
     Output: user_id, start_ts, start_event_id, end_ts, end_event_id."""
     changes = share_changes(actions, bucket_seconds)
@@ -137,7 +138,7 @@ def activity_rows(agent_msgs: DataFrame, actions: DataFrame, player_active: bool
 
 
 def activity_sessions(activity: DataFrame, gap_seconds: int = IDLE_TIMEOUT_MS // 1000,
-                      bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                      bucket_seconds: int | None = None) -> DataFrame:
     """Sessions of activity: a new one starts when the gap to the previous
     activity exceeds ``gap_seconds`` (a gap of exactly the timeout merges,
     as Spark's session windows do). Output: user_id, session_no,
@@ -172,7 +173,7 @@ def sample_per_window(actions: DataFrame, window: str = "1 second") -> DataFrame
 def idle_forced_stops(agent_msgs: DataFrame, actions: DataFrame, controls: DataFrame | None = None,
                       timeout_ms: int = IDLE_TIMEOUT_MS, player_active: bool = True,
                       horizon: DataFrame | None = None,
-                      bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                      bucket_seconds: int | None = None) -> DataFrame:
     """Where the inactivity timer stops screen sharing.
 
     Inside an open sharing interval every activity row (and every 'on')
@@ -230,7 +231,7 @@ def _int16_le(hexstr, i):
 
 
 def retain_latest(agent_msgs: DataFrame, capacity: int = RING_SIZE, player_active: bool = True,
-                  bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                  bucket_seconds: int | None = None) -> DataFrame:
     """Samples left unread in the player's ring buffer, per session.
 
     A ring of ``capacity`` slots holds ``capacity - 1`` samples: the newest

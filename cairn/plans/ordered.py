@@ -27,6 +27,7 @@ from cairn.session import write_stage
 
 _B = "_bkt"
 DAY_SECONDS = 86_400
+ROWS_PER_BUCKET = 1_000_000  # target rows of the hottest key per bucket
 
 
 def time_bucket(ts: Column | str, seconds: int = DAY_SECONDS) -> Column:
@@ -41,7 +42,24 @@ def value_bucket(v: Column | str, width: int) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, *,
+def density_bucket(df: DataFrame, keys: Sequence[str], order_col: str,
+                   target_rows: int = ROWS_PER_BUCKET) -> Column:
+    """A bucket column sized from the data: ranges of ``order_col`` wide
+    enough that the key with the most rows gets about ``target_rows`` rows
+    per bucket (one aggregate job; only two numbers reach the driver). Small
+    keys end up in one bucket; a key holding a third of all rows is split
+    into as many buckets as its size needs, however long the data spans."""
+    is_time = dict(df.dtypes)[order_col].startswith("timestamp")
+    v = F.unix_micros(F.col(order_col).cast("timestamp")) if is_time else F.col(order_col).cast("long")
+    top = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+           .orderBy(F.col("n").desc()).first())
+    width = 1
+    if top is not None and top["n"]:
+        width = max(1, ((top["hi"] - top["lo"] + 1) * target_rows) // top["n"])
+    return F.floor(v / F.lit(width)).cast("long")
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, *,
                  sums: Sequence[tuple[str, Column]] = (),
                  lasts: Sequence[tuple[str, Column]] = (),
                  prevs: Sequence[tuple[str, Column]] = (),
@@ -54,7 +72,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     ``prevs`` (out, value)    value of the previous row; ``value`` must be non-NULL
                               on every row (wrap it in a struct)
     ``nexts`` (out, value)    value of the next row; same rule
-    ``bucket`` must be non-decreasing in ``order`` within a key.
+    ``bucket`` must be non-decreasing in ``order`` within a key; by default
+    (None) it is :func:`density_bucket` over the first order column.
 
     The input is read twice (rows, and bucket summaries aggregated straight
     from the input). Spark does not share a subplan between two branches,
@@ -66,9 +85,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     Column arguments must refer to columns by name.
     """
     keys, order = list(keys), list(order)
-    d = df.withColumn(_B, bucket)
-    if materialize:
-        d = write_stage(d, "ordered-scan")
+    d = write_stage(df, "ordered-scan") if materialize else df
+    d = d.withColumn(_B, density_bucket(d, keys, order[0]) if bucket is None else bucket)
     w = Window.partitionBy(*keys, _B).orderBy(*order)
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}

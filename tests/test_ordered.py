@@ -35,3 +35,24 @@ def test_newest_per_key_equals_row_number(spark):
         w = Window.partitionBy("k").orderBy(F.col("pos").desc())
         ref = sorted((r.k, r.pos) for r in df.withColumn("rn", F.row_number().over(w)).where(f"rn <= {n}").collect())
         assert got == ref
+
+
+def test_density_bucket_splits_the_hot_key_and_scan_stays_exact(spark):
+    from cairn.plans.ordered import density_bucket
+
+    rnd = random.Random(9)
+    # key 0 holds most rows; ~8 rows per bucket for it
+    rows = [(0 if rnd.random() < 0.7 else rnd.randrange(1, 4), i, rnd.choice([0, 1]), rnd.choice([None, "a", "b"]))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, pos long, flag long, v string")
+    b = density_bucket(df, ["k"], "pos", target_rows=8)
+    per_bucket = df.where("k = 0").groupBy(b.alias("b")).count().collect()
+    assert len(per_bucket) > 20 and max(r["count"] for r in per_bucket) <= 24
+    got = ordered_scan(df, ["k"], ["pos"], b, sums=[("s", F.col("flag"))], lasts=[("l", F.col("v"))],
+                       prevs=[("p", F.struct("pos"))], nexts=[("n", F.struct("pos"))])
+    w = Window.partitionBy("k").orderBy("pos")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("k", "pos", F.sum("flag").over(run).alias("s"), F.last("v", True).over(run).alias("l"),
+                    F.lag("pos").over(w).alias("p"), F.lead("pos").over(w).alias("n"))
+    a = sorted((r.k, r.pos, r.s, r.l, r.p.pos if r.p else None, r.n.pos if r.n else None) for r in got.collect())
+    assert a == sorted(tuple(r) for r in ref.collect())
