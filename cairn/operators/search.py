@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import search_term_count, search_terms
+from cairn.functions.text import search_terms
 from cairn.plans.guard import broadcast_if_small, fits
 from cairn.plans.partitioning import spread
 from cairn.session import reliable_checkpoint
@@ -35,9 +35,9 @@ def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text
     (a ``term`` column), tokens outside it are dropped map-side before the
     aggregation, so only postings that a query can touch are built and
     shuffled; the text itself never moves. With ``partitions`` the index is
-    hash-partitioned by ``case_id``. The index is checkpointed into the shared
-    checkpoint folder (its partitioning is kept), so stats and scoring read
-    it instead of the text.
+    hash-partitioned by ``case_id``, so all postings of a case sit in one
+    task. The index is checkpointed into the shared checkpoint folder, so
+    stats and scoring read it instead of the text.
     """
     terms = search_terms(F.col(text_col))
     # tokenising is the heavy step: spread a narrow scan over the cluster first
@@ -55,8 +55,8 @@ def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text
                   .drop("_v"))
     index = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     if partitions:
-        # the score aggregation (question_id, case_id) then finds every
-        # posting of a case in one partition and needs no shuffle of its own
+        # the partial score aggregation (question_id, case_id) then sees every
+        # posting of a case in one task, so only distinct pairs are shuffled
         index = index.repartition(partitions, "case_id")
     index = reliable_checkpoint(index)
     row = (index.where(F.col("term").isNull())
