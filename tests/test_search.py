@@ -54,3 +54,28 @@ def test_config_findings_and_log_filter(spark):
     logs = spark.createDataFrame([(1, '{"k": 7}', "error"), (2, '{"k": 8}', "error"), (3, '{"k": 7}', "view")],
                                  "id long, props string, event_type string")
     assert [r.id for r in SE.log_field_filter(logs, "props", {"k": 7}, {"event_type": "error"}).collect()] == [1]
+
+
+def test_bm25_corpus_stats_count_empty_and_null_texts(spark):
+    # n counts every case; avgdl averages the cases that have a text ('' has length 0)
+    cases = [(1, "spark ui is on the history server"), (2, "executor logs are in logs"),
+             (3, "..."), (4, ""), (5, None)]
+    questions = [(10, "executor logs"), (11, "spark history")]
+    got = {(r.question_id, r.case_id): (r.rank, r.score) for r in SE.kb_search(
+        spark.createDataFrame(questions, "question_id long, text string"),
+        spark.createDataFrame(cases, "case_id long, text string"), k=10).collect()}
+    docs = {i: _terms(t) for i, t in cases if t is not None}
+    n, avgdl = len(cases), sum(map(len, docs.values())) / len(docs)
+    want = {}
+    for qid, q in questions:
+        scores = {}
+        for term in set(_terms(q)):
+            df = sum(term in d for d in docs.values())
+            idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+            for cid, d in docs.items():
+                tf = Counter(d)[term]
+                if tf:
+                    scores[cid] = scores.get(cid, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / avgdl))
+        ranked = sorted(scores.items(), key=lambda kv: (-round(kv[1], 6), kv[0]))
+        want.update({(qid, cid): (rank, round(s, 6)) for rank, (cid, s) in enumerate(ranked, 1)})
+    assert got == want
