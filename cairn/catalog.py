@@ -476,11 +476,8 @@ def q_stream_activity_sessions(spark, sf):
     out = staging_path(spark, "out-activity-sessions")
     activity = S.activity_rows(ST.stream_route_events(_agent_stream(spark, sf)),
                                ST.stream_route_messages(_client_stream(spark, sf)))
-
-    def sink(batch, batch_id):  # complete mode: every batch carries the whole result
-        batch.write.mode("overwrite").parquet(out)
-
-    run_foreach_batch(ST.stream_activity_sessions(activity), sink, staging_path(spark, "ckpt"), mode="complete")
+    # append mode: a session is emitted once, when the watermark closes it, and its state dropped
+    run_to_parquet(ST.stream_activity_sessions(activity), out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
 
 

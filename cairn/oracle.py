@@ -393,15 +393,19 @@ ORACLE["stream_session_state"] = _with(CLIENT, ROUTED) + """
 SELECT user_id, state_key, state_value, ts AS updated_ts, event_id AS updated_event_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, state_key ORDER BY ts DESC, event_id DESC) AS rn
   FROM routed WHERE action = 'state') WHERE rn = 1"""
+# T1 streaming, append mode: a session is emitted once the final watermark
+# (latest activity time - 10 minutes) reaches its end.
 ORACLE["stream_activity_sessions"] = _with(AGENT, CLIENT, ROUTED) + """
 , act AS (SELECT user_id, ts, event_id, 0 AS side FROM routed WHERE action = 'state' AND state_value = 'on'
           UNION ALL
           SELECT user_id, ts, event_id, 1 AS side FROM agent WHERE mime_type IN ('text/plain', 'audio/pcm')),
 g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new
       FROM act WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id, side)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id, side ROWS UNBOUNDED PRECEDING) AS sno FROM g)
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id, side ROWS UNBOUNDED PRECEDING) AS sno FROM g),
+wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM act)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 300 SECOND AS session_end, count(*) AS n_events
-FROM s GROUP BY user_id, sno"""
+FROM s GROUP BY user_id, sno
+HAVING max(ts) + INTERVAL 300 SECOND <= (SELECT wm FROM wm)"""
 ORACLE["stream_bot_messages"] = _with(AGENT) + f"""
 , t AS (SELECT *, sum(CASE WHEN kind = 'control' AND coalesce(turn_complete, false) THEN 1 ELSE 0 END)
                   OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS turn_no,
