@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -49,9 +51,29 @@ def build_session(master: str | None = None, app_name: str = "cairn",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: functions
+    that run in tasks are pickled by reference to their module."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # a driver that itself runs from an archive got it from the cluster
+        archive = os.path.join(tempfile.mkdtemp(prefix="cairn-package-"), "cairn.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, str(f.relative_to(package.parent)))
+        spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
@@ -99,14 +121,7 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{root}/cairn-stage/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def local_fs_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table; Catalyst prunes columns and pushes filters."""
+    ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
