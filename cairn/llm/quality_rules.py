@@ -1,10 +1,11 @@
 """Operator 3, quality rules: an isolation forest on rule statistics.
 
-Each text is reduced to a few counts by vectorised rules. The forest (random
-splits on random statistics) is grown on a bounded sample of documents; a
-document that is isolated after few splits is anomalous. The score is
-2 ** (-mean path length / expected path length). Every document is scored,
-and the rejection threshold comes from the scores of all labelled rows: the one
+Each text is reduced to a few counts by vectorised rules. The forest is grown on
+a bounded sample of the rows labelled good (of all documents, if none is). Its
+random cuts are drawn from a little beyond the range of a node's rows, so
+documents unlike the good ones fall into empty branches early: they are
+isolated after few splits. The score is 2 ** (-mean path length / expected
+path length). Every document is scored, and the rejection threshold comes from the scores of all labelled rows: the one
 that tells labels apart best among those that reject at most
 ``max_false_rejects`` of the rows labelled good.
 """
@@ -22,6 +23,8 @@ from cairn.llm.common import spread_text, table, write_stage
 from cairn.llm.kernels import Prefix, Words, per_row, repeated, salted, slices, text_buffer
 
 TREES, TREE_ROWS, SAMPLE_ROWS = 96, 256, 16_384
+WIDEN = 0.3
+"""Cuts reach beyond a node's range by this share of it on either side."""
 MAX_FALSE_REJECTS = 0.002
 BINS = 2_000
 REPEAT_WINDOW = 8
@@ -69,8 +72,8 @@ def count_rules(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     long_ = w.count[w.doc[at]] >= REPEAT_WINDOW if len(at) else np.zeros(0, bool)
     h, at = h[long_], at[long_]
     twice, _ = repeated(salted(h, w.doc[at]))
-    np.add.at(covered, at[twice], 1)
-    np.add.at(covered, at[twice] + REPEAT_WINDOW, -1)
+    covered[at[twice]] = 1  # each window starts at a place of its own
+    covered[REPEAT_WINDOW:] -= covered[:-REPEAT_WINDOW].copy() if len(covered) > REPEAT_WINDOW else 0
     inside = np.cumsum(covered)[:-1] > 0
     _, again = repeated(salted(w.hash, w.doc))
     upper = (data >= 65) & (data <= 90)
@@ -114,15 +117,16 @@ def grow_forest(x: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     size = 2 ** (depth + 1) - 1
     feature, cut = np.zeros((TREES, size), np.int32), np.full((TREES, size), np.inf)
     leaf = np.zeros((TREES, size))
+    least = 0.05 * np.ptp(x, axis=0) + 1e-9
 
     def grow(t: int, node: int, part: np.ndarray, level: int) -> None:
-        lo, hi = part.min(0), part.max(0)
-        usable = np.flatnonzero(hi > lo)
-        if level == depth or len(part) <= 1 or not len(usable):
+        if level == depth or len(part) <= 1:
             leaf[t, node] = level + expected_path(len(part))
             return
-        f = int(rng.choice(usable))
-        c = rng.uniform(lo[f], hi[f])
+        f = int(rng.integers(x.shape[1]))
+        lo, hi = part[:, f].min(), part[:, f].max()
+        reach = WIDEN * max(hi - lo, least[f])
+        c = rng.uniform(lo - reach, hi + reach)
         feature[t, node], cut[t, node], leaf[t, node] = f, c, -1
         left = part[:, f] <= c
         for child, sub in ((2 * node + 1, part[left]), (2 * node + 2, part[~left])):
@@ -182,12 +186,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_false_rejects: float =
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
     counts = write_stage(spread_text(docs.select("doc_id", "text")).mapInArrow(_count_task, schema), "op3-counts")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    sample = (counts.filter(~failed).orderBy(F.xxhash64("doc_id", *[F.col(c) for c in COUNTS])).limit(SAMPLE_ROWS)
+    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    usable = counts.filter(~failed)
+    trusted = usable.join(marks.filter("quality = 1"), "doc_id", "left_semi")
+    sample = ((trusted if trusted.limit(1).count() else usable).orderBy(F.xxhash64("doc_id", *[F.col(c) for c in COUNTS])).limit(SAMPLE_ROWS)
               .toPandas())
     x = statistics({c: sample[c].to_numpy() for c in COUNTS})
     forest = grow_forest(x) if len(x) else None
     scored = write_stage(counts.mapInArrow(_score_task(forest), schema + ", score double"), "op3-scores")
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     hist = (scored.filter(~failed).join(marks, "doc_id")
             .groupBy((F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1))).cast("int").alias("bin"), "quality")
             .agg(F.count(F.lit(1)).alias("n")).collect())

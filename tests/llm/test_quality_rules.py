@@ -40,8 +40,7 @@ def test_empty(spark):
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
-    x[:20] += 8
-    s = anomaly(grow_forest(x), x)
+    s = anomaly(grow_forest(x[20:]), np.concatenate([x[:20] + 8, x[20:]]))
     assert s[:20].min() > np.quantile(s[20:], 0.98)
 
 
@@ -52,4 +51,4 @@ def test_query_and_labels(spark, sf_small):
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     good = [r.kept for r in rows if quality.get(r.doc_id) == 1 and not r.base_failed]
     bad = [r.kept for r in rows if quality.get(r.doc_id) == 0 and not r.base_failed]
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.7
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
