@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from cairn.llm.chat_format import SQL_OP2, q_op2
+from cairn.llm.ngram_join import q_op1
 from cairn.llm.packing import q_op9
 from cairn.llm.quality_rules import q_op3
 from cairn.llm.sharding import q_op8
 
 QUERIES = {
+    "op1_ngram_join": q_op1,
     "op2_chat_format": q_op2,
     "op3_quality_rules": q_op3,
     "op8_sharding": q_op8,
