@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairn.llm.chat_format import SQL_OP2, q_op2
+from cairn.llm.decontamination import q_op7
 from cairn.llm.ngram_join import q_op1
 from cairn.llm.packing import q_op9
 from cairn.llm.quality_rules import q_op3
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_chat_format": q_op2,
     "op3_quality_rules": q_op3,
     "op5_suffix_dedup": q_op5,
+    "op7_decontamination": q_op7,
     "op8_sharding": q_op8,
     "op9_packing": q_op9,
 }
