@@ -9,11 +9,13 @@ from cairn.llm.packing import q_op9
 from cairn.llm.quality_rules import q_op3
 from cairn.llm.sharding import q_op8
 from cairn.llm.suffix_dedup import q_op5
+from cairn.llm.toxicity import q_op4
 
 QUERIES = {
     "op1_ngram_join": q_op1,
     "op2_chat_format": q_op2,
     "op3_quality_rules": q_op3,
+    "op4_toxicity": q_op4,
     "op5_suffix_dedup": q_op5,
     "op7_decontamination": q_op7,
     "op8_sharding": q_op8,

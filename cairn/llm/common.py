@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.session import table, write_stage
 
-__all__ = ["table", "write_stage", "checked_broadcast", "blocks_for", "number_rows", "spread_text"]
+__all__ = ["table", "write_stage", "checked_broadcast", "blocks_for", "number_rows", "spread_text", "hash_sample"]
 
 BROADCAST_ROWS = 200_000
 
@@ -34,6 +34,16 @@ def spread_text(df: DataFrame) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism)
 
 
+def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has fewer), chosen by a hash of
+    ``cols``: no sort, and the same rows in every run."""
+    n = df.count()
+    if n <= rows:
+        return df
+    share = int(1_000_000 * rows / n)
+    return df.filter(F.pmod(F.xxhash64(*cols), F.lit(1_000_000)) < share)
+
+
 def number_rows(df: DataFrame, group: str, order: list, name: str, stage: str) -> DataFrame:
     """Adds ``name``: the row's place within ``group``, gapless from 0, by ``order``.
 

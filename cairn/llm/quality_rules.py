@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import spread_text, table, write_stage
+from cairn.llm.common import hash_sample, spread_text, table, write_stage
 from cairn.llm.kernels import Prefix, Words, per_row, repeated, salted, slices, text_buffer
 
 TREES, TREE_ROWS, SAMPLE_ROWS = 96, 256, 16_384
@@ -189,8 +189,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_false_rejects: float =
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     usable = counts.filter(~failed)
     trusted = usable.join(marks.filter("quality = 1"), "doc_id", "left_semi")
-    sample = ((trusted if trusted.limit(1).count() else usable).orderBy(F.xxhash64("doc_id", *[F.col(c) for c in COUNTS])).limit(SAMPLE_ROWS)
-              .toPandas())
+    sample = hash_sample(trusted if trusted.limit(1).count() else usable, SAMPLE_ROWS, "doc_id", *COUNTS).toPandas()
     x = statistics({c: sample[c].to_numpy() for c in COUNTS})
     forest = grow_forest(x) if len(x) else None
     scored = write_stage(counts.mapInArrow(_score_task(forest), schema + ", score double"), "op3-scores")
