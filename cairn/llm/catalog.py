@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairn.llm.chat_format import SQL_OP2, q_op2
 from cairn.llm.decontamination import q_op7
+from cairn.llm.license_scan import q_op6
 from cairn.llm.ngram_join import q_op1
 from cairn.llm.packing import q_op9
 from cairn.llm.quality_rules import q_op3
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_rules": q_op3,
     "op4_toxicity": q_op4,
     "op5_suffix_dedup": q_op5,
+    "op6_license_scan": q_op6,
     "op7_decontamination": q_op7,
     "op8_sharding": q_op8,
     "op9_packing": q_op9,
