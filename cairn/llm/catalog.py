@@ -7,6 +7,7 @@ from cairn.llm.decontamination import q_op7
 from cairn.llm.license_scan import q_op6
 from cairn.llm.ngram_join import q_op1
 from cairn.llm.packing import q_op9
+from cairn.llm.perplexity import q_op10
 from cairn.llm.quality_rules import q_op3
 from cairn.llm.sharding import q_op8
 from cairn.llm.suffix_dedup import q_op5
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_decontamination": q_op7,
     "op8_sharding": q_op8,
     "op9_packing": q_op9,
+    "op10_perplexity": q_op10,
 }
 
 ORACLE = {"op2_chat_format": SQL_OP2}
