@@ -8,11 +8,12 @@
    other words are clean. A two-state chain over the words of a line (pieces of
    ``PIECE`` words) is trained on them by its exact likelihood gradient.
 3. Forward-backward gives each word's marginal. A document's score is a
-   logistic function, fitted on the same sample, of its largest and its summed
-   marginals; runs of words with a marginal of one half or more are its spans.
+   logistic function, fitted on the same sample, of the largest and the summed
+   marginals of its words with features, so that length alone is no evidence;
+   runs of words with a marginal of one half or more are its spans. Pieces
+   without any feature are not computed.
 
-Pieces without any feature all have the same marginals by length, which are
-computed once. Labels and the text are the only inputs; rows whose
+Labels and the text are the only inputs; rows whose
 crc32(doc_id) is 2 modulo 4 are never learned from.
 """
 
@@ -153,7 +154,6 @@ class Model:
         self.weight = np.zeros(len(features.keys))
         self.bias, self.start, self.trans = -4.0, np.array([0.0, -1.0]), np.array([[0.0, -1.0], [0.0, 0.0]])
         self.scale = np.array([-4.0, 4.0, 1.0])  # intercept, largest and summed marginals
-        self._empty: np.ndarray | None = None
 
     def fit(self, chains: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], rounds: int = 60) -> None:
         """``chains``: (words, word of each pair, feature of each pair, state of
@@ -187,24 +187,11 @@ class Model:
             grad2 += g * g
             params = params + 0.5 * g / np.sqrt(grad2)
 
-    def empty(self, length: np.ndarray) -> np.ndarray:
-        """(largest, summed) marginals of featureless chains by length."""
-        if self._empty is None:
-            out = np.zeros((PIECE + 1, 2))
-            size = np.arange(1, PIECE + 1)
-            m, _, _ = marginals(np.full((PIECE, PIECE), self.bias), size, self.trans, self.start)
-            out[1:, 0], out[1:, 1] = m.max(1), m.sum(1)
-            self._empty = out
-        return self._empty[length]
-
     def words(self, w: Words, data: np.ndarray):
-        """(first word, length, largest and summed marginal) of every piece, and
-        (word, marginal) of the words of pieces with features."""
+        """(word, marginal, has a feature) of the words of pieces with features."""
         piece = pieces(w, data)
-        count = int(piece[-1]) + 1 if len(piece) else 0
-        first = np.searchsorted(piece, np.arange(count + 1))
+        first = np.searchsorted(piece, np.arange((int(piece[-1]) if len(piece) else -1) + 2))
         length = np.diff(first)
-        stats = self.empty(length)
         word, feature = self.features.of(w, data)
         emit = np.bincount(word, self.weight[feature], len(piece))
         active = np.unique(piece[word])
@@ -216,22 +203,19 @@ class Model:
             inside = np.arange(steps) < length[some][:, None]
             m, _, _ = marginals(np.where(inside, emit[np.minimum(place, len(emit) - 1)], 0) + self.bias, length[some], self.trans,
                                 self.start)
-            stats[some, 0], stats[some, 1] = m.max(1), m.sum(1)
             at.append(place[inside])
             value.append(m[inside])
-        return first, length, stats, np.concatenate(at), np.concatenate(value)
+        at = np.concatenate(at)
+        return at, np.concatenate(value), np.isin(at, word)
 
     def documents(self, w: Words, data: np.ndarray, rows: int):
         """(largest, summed) marginals per row, and its spans: (row, first byte,
         end byte, largest marginal)."""
-        first, length, stats, at, value = self.words(w, data)
+        at, value, known = self.words(w, data)
         out = np.zeros((rows, 2))
-        if len(length):
-            doc = w.doc[first[:-1]]
-            np.maximum.at(out[:, 0], doc, stats[:, 0])
-            out[:, 1] = np.bincount(doc, stats[:, 1], rows)
-        order = np.argsort(at, kind="stable")
-        at, value = at[order], value[order]
+        doc = w.doc[at[known]]
+        np.maximum.at(out[:, 0], doc, value[known])
+        out[:, 1] = np.bincount(doc, value[known], rows)
         at, value = at[value >= 0.5], value[value >= 0.5]
         new = np.append(True, (at[1:] != at[:-1] + 1) | (w.doc[at[1:]] != w.doc[at[:-1]])) if len(at) else np.zeros(0, bool)
         s = np.flatnonzero(new)

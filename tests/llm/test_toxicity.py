@@ -46,12 +46,14 @@ def table(n=600):
 
 def test_learns_words_and_stems(spark):
     rows, labels = table()
-    rows += [(9000, "grubzaxxxx " + sentence(1, 30), "en", "s", 1), (9001, sentence(2, 30), "en", "s", 1), (9002, None, "en", "s", 1)]
+    rows += [(9000, "grubzaxxxx " + sentence(1, 30), "en", "s", 1), (9001, sentence(2, 30), "en", "s", 1), (9002, None, "en", "s", 1),
+             (9003, sentence(3, 30_000), "en", "s", 1)]
     lab = spark.createDataFrame([x for x in labels if zlib.crc32(str(x[0]).encode()) % 4 != 2], LABELS)
     out = {r.doc_id: r for r in toxicity(docs(spark, rows), lab).collect()}
     truth = {i: t for i, _, t in labels}
     assert np.mean([(out[i].score >= 0.3) == bool(t) for i, t in truth.items()]) > 0.98
     assert out[9000].score > 0.3 > out[9001].score and out[9002].score <= out[9001].score
+    assert out[9003].score < 0.3  # length is no evidence
     text = dict((r[0], r[1]) for r in rows)[0].encode()
     found = {text[s["from"]:s["to"]].decode().lower().split()[0][:4] for s in out[0].spans}
     assert found and found <= {"vilo", "grub", "nast"}
