@@ -422,6 +422,42 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True)
     return parts.filter(F.col("kind") == DONE).mapInArrow(finish, OUT_SQL).unionByName(rest)
 
 
+def _cut_task(names: list[str]):
+    def run(batches):
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column("text").cast(pa.binary()), b.column("_spans").to_pylist()):
+                if not spans:
+                    out.append(text.as_py())
+                    continue
+                data = np.frombuffer(text.as_py(), np.uint8)
+                head = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+                keep = np.ones(len(data), bool)
+                for s in spans:  # only whole characters go
+                    a = head[np.searchsorted(head, s["from"])]
+                    keep[a:head[np.searchsorted(head, s["to"], "right") - 1]] = False
+                out.append(data[keep].tobytes())
+            cols = [pa.array(out, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+    return run
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated strings cut out of the texts (characters that
+    are only partly covered stay); all rows and all other columns stay. ``docs``
+    must be a table as read, whose rows come in the same order in every scan.
+    """
+    inner = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*inner).withColumn("_row", F.monotonically_increasing_id())
+    found = suffix_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), length, with_text=False)
+    found = found.filter("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
+    changed = write_stage(found, "op5-spans")
+    kinds = dict(rows.dtypes)
+    both = rows.join(changed, "_row", "left").select(*inner, "_spans")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in inner)
+    return both.mapInArrow(_cut_task(inner), schema).toDF(*docs.columns)
+
+
 def q_op5(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
