@@ -29,7 +29,9 @@ from cairn.llm.kernels import Words, mix, repeated, salted, slices, text_buffer
 
 SAMPLE_ROWS = 40_000
 MAX_FEATURES = 8192
-MIN_TOXIC, MIN_G = 4, 18.0
+MIN_TOXIC, MIN_G, PURITY = 4, 26.0, 20
+"""A feature occurs in at least MIN_TOXIC toxic documents and PURITY times as
+many toxic as clean ones, with a G-test value of MIN_G."""
 PIECE = 64
 TRAIN_PIECES = 60_000
 THRESHOLD = 0.3
@@ -308,8 +310,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         t, c = F.col("t"), F.col("c")
         both = t + c
         g = 2 * (part(t, both, n1) + part(c, both, n0) + part(n1 - t, n0 + n1 - both, n1) + part(n0 - c, n0 + n1 - both, n0))
-        rate = (t / n1) / ((c + 0.5) / n0)
-        chosen = stats.withColumn("g", g).filter((F.col("g") >= MIN_G) & (rate >= 8)).orderBy(F.desc("g"), "key").limit(MAX_FEATURES)
+        chosen = stats.withColumn("g", g).filter((F.col("g") >= MIN_G) & (t >= PURITY * c)).orderBy(F.desc("g"), "key").limit(MAX_FEATURES)
         chosen = chosen.select("key", "head").collect()
         keys, heads = np.array([r.key for r in chosen], np.int64).view(np.uint64), np.array([r.head for r in chosen], np.int64)
     model = Model(Features(keys, heads))
