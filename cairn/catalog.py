@@ -181,6 +181,14 @@ def q_retain_latest(spark, sf):
     return S.retain_latest(agent_messages(spark, sf), capacity=RING_SLOTS_FOR_CHECK)
 
 
+RING_SLOTS_FOR_CHUNKS = 2001  # cuts into chunks of thousands of samples
+
+
+@register("retain_latest_chunks")
+def q_retain_latest_chunks(spark, sf):
+    return S.retain_latest(D.audio_chunks(table(spark, sf, "embeddings")), capacity=RING_SLOTS_FOR_CHUNKS)
+
+
 def _activity(spark, sf):
     return S.activity_rows(agent_messages(spark, sf), client_actions_cut(spark, sf))
 
@@ -223,8 +231,12 @@ def q_mean_threshold_signature(spark, sf):
 
 @register("frame_luma_signature")
 def q_frame_luma_signature(spark, sf):
+    # 64 pixels: the red, green and blue planes are the vector turned by 0, 21 and 42 values
     e = F.col("embedding")
-    lum = M.luma(F.slice(e, 1, 21), F.slice(e, 22, 21), F.slice(e, 43, 21))
+
+    def turned(k):
+        return F.concat(F.slice(e, k + 1, 64), F.slice(e, 1, k)) if k else e
+    lum = M.luma(turned(0), turned(21), turned(42))
     return (table(spark, sf, "embeddings").select("vec_id", lum.alias("l"))
             .select("vec_id", F.aggregate("l", F.lit(0.0), lambda a, x: a + x).alias("luma_sum"),
                     M.mean_threshold_signature(F.col("l")).alias("signature")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.media import (
@@ -11,16 +11,12 @@ from cairn.functions.media import (
     mean_threshold_bits,
     mean_threshold_signature,
 )
-from cairn.plans.ordered import ordered_scan, value_bucket
-from cairn.session import reliable_checkpoint
+from cairn.plans.ordered import RUN, null_safe, ordered_scan, sorted_runs
+from cairn.session import write_stage
 
 # Fixed value of the reference client: frames within Hamming distance 1 of
 # the last frame sent are not sent.
 DUPLICATE_DISTANCE = 1
-ORDER_BUCKET_WIDTH = 1 << 16  # frame ids per bucket when splitting a hot stream
-FOLD_CHUNK_WIDTH = 1 << 14    # frame ids per independently folded chunk
-MAX_PARALLEL_ROUNDS = 6       # fix-up rounds before the exact sequential finish
-MAX_BROADCAST_CHUNKS = 1_000_000
 
 
 def with_signatures(frames: DataFrame, values: str = "grey") -> DataFrame:
@@ -31,162 +27,117 @@ def with_signatures(frames: DataFrame, values: str = "grey") -> DataFrame:
 
 def consecutive_distances(frames: DataFrame, stream: str = "stream", order: str = "frame_id") -> DataFrame:
     """Hamming distance of every frame to the previous frame of its stream."""
-    prev = ordered_scan(frames, [stream], [order], value_bucket(order, ORDER_BUCKET_WIDTH),
-                        prevs=[("_prev", F.struct(F.col(order).alias("id"), F.col("sig_bits").alias("b")))],
-                        materialize=False)
+    prev = ordered_scan(frames.select(stream, order, "sig_bits"), [stream], [order],
+                        prevs=[("_prev", F.struct(F.col(order).alias("id"), F.col("sig_bits").alias("b")))])
     return prev.select(stream, order, F.col("_prev.id").alias("prev_frame_id"),
                        hamming_distance_bits(F.col("sig_bits"), F.col("_prev.b")).alias("distance"))
 
 
 def suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTANCE,
                              stream: str = "stream", order: str = "frame_id",
-                             num_partitions: int | None = None,
-                             chunk_width: int = FOLD_CHUNK_WIDTH,
-                             max_rounds: int = MAX_PARALLEL_ROUNDS) -> DataFrame:
+                             partitions: int | None = None) -> DataFrame:
     """Keep a frame iff its distance to the *last kept* frame of its stream
     exceeds ``threshold``; the first frame of a stream is kept.
 
-    1. Native pre-collapse: a frame equal to its predecessor is always
-       dropped (distance 0 to a kept predecessor, or the same distance to the
-       last kept frame as a dropped predecessor), so it is removed with a
-       bucketed previous-row scan before any Python runs.
-    2. The fold is sequential by definition, but its only state is the last
-       kept signature, so a stream is cut into chunks of ``chunk_width``
-       frame ids that fold in parallel (:func:`fold_in_chunks`). A stream
-       holding a third of all frames spreads over its chunks.
-    ``frames`` needs ``sig_bits`` (see :func:`with_signatures`).
+    The fold is sequential by definition, but its only state is the last kept
+    signature. Frames are range-sorted by (stream, order) and written once; each
+    run of rows folds on its own (:func:`fold_in_runs`), so a stream holding a
+    third of all frames, or a burst in it, spreads over its runs. ``frames``
+    needs ``sig_bits`` (see :func:`with_signatures`). Frames of a NULL stream
+    are a stream of their own.
     """
-    d = frames
-    if threshold >= 0:
-        prev = ordered_scan(d, [stream], [order], value_bucket(order, ORDER_BUCKET_WIDTH),
-                            prevs=[("_prev", F.struct(F.col("sig_bits").alias("b")))])
-        d = prev.where(F.col("_prev").isNull() | (F.col("_prev.b") != F.col("sig_bits"))).drop("_prev")
-    kept = fold_in_chunks(d.select(stream, order, "sig_bits"), int(threshold), stream, order,
-                          num_partitions, chunk_width, max_rounds)
-    return d.join(kept, [stream, order], "left_semi")
-
-
-# --- chunked exact fold -------------------------------------------------------
-
-_CHUNK, _SEG = "_chunk", "_seg"
-_LIN, _HAS_LIN = "_lin", "_has_lin"      # state entering the segment (bits, present?)
-_KEEP, _STATE, _HAS_OLD = "_keep", "_state", "_has_old"
-
-
-def _fold_segments(rows: DataFrame, stream: str, order: str, t: int, early_stop: bool,
-                   n: int) -> DataFrame:
-    """Fold every segment ``(stream, _seg)`` of ``rows`` from its entering
-    state. With ``early_stop``, a segment stops as soon as its state equals
-    the state its previous fold had at the same row: from there on the old
-    decisions hold, so only the rows up to that point are recomputed."""
-    rows = rows.repartition(n, stream, _SEG).sortWithinPartitions(stream, _SEG, order)
-    schema = rows.schema
+    rows = sorted_runs(frames.select(stream, order, "sig_bits"), [stream], [order], partitions)
+    kept = fold_in_runs(rows, int(threshold), stream, order)
+    kept = kept.select(F.col(stream).alias("_ks"), F.col(order).alias("_ko"))
+    return frames.join(kept, null_safe([stream, order], ["_ks", "_ko"]), "left_semi")
+
+
+# --- exact fold by runs -----------------------------------------------------------
+
+_IN, _HAS_IN = "_in", "_has_in"  # the state a segment was entered with (bits, present?)
+_KEEP, _STATE = "_keep", "_state"
+
+
+def fold_bits(bits: np.ndarray, last: np.uint64 | None, threshold: int) -> np.ndarray:
+    """Positions of the kept frames of a segment entered with ``last``. From one
+    kept frame to the next, the distances of a whole block are taken at once."""
+    kept, at, step = [], 0, 64
+    if last is None and len(bits):
+        kept, last, at = [0], bits[0], 1
+    while at < len(bits):
+        far = np.flatnonzero(np.bitwise_count(bits[at:at + step] ^ last) > threshold)
+        if len(far):
+            at += int(far[0])
+            kept.append(at)
+            last, at, step = bits[at], at + 1, 64
+        else:
+            at, step = at + step, min(step * 2, 1 << 16)
+    return np.array(kept, np.int64)
+
+
+def _fold(rows: DataFrame, stream: str, order: str, threshold: int) -> DataFrame:
+    """Fold every segment ``(stream, _run)`` of ``rows`` from its entering state."""
+    schema = rows.select(stream, order, "sig_bits", RUN, _IN, _HAS_IN, F.lit(False).alias(_KEEP),
+                         F.lit(0).cast("long").alias(_STATE)).schema
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, stream, RUN).sortWithinPartitions(RUN, stream, order)
 
     def fold(batches):
-        cur, last, synced = None, None, False
+        state, key = None, None
         for pdf in batches:
-            m = len(pdf)
-            if m == 0:
-                continue
-            s, g = pdf[stream].to_numpy(), pdf[_SEG].to_numpy()
+            s, r = pdf[stream].to_numpy(), pdf[RUN].to_numpy()
+            null = pdf[stream].isna().to_numpy()
             bits = pdf["sig_bits"].to_numpy(dtype=np.int64).view(np.uint64)
-            lin = pdf[_LIN].to_numpy(dtype=np.int64).view(np.uint64)
-            has_lin = pdf[_HAS_LIN].to_numpy(dtype=bool)
-            has_old = pdf[_HAS_OLD].to_numpy(dtype=bool)
-            keep = pdf[_KEEP].to_numpy(dtype=bool).copy()
-            state = pdf[_STATE].to_numpy(dtype=np.int64).view(np.uint64).copy()
-            new = np.ones(m, dtype=bool)
-            new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
-            new[0] = (s[0], g[0]) != cur
-            bounds = list(np.flatnonzero(new)) + [m]
-            if bounds[0] != 0:
-                bounds.insert(0, 0)
+            new = np.ones(len(pdf), bool)
+            new[1:] = ~((s[1:] == s[:-1]) | (null[1:] & null[:-1])) | (r[1:] != r[:-1])
+            bounds = np.append(np.flatnonzero(new), len(pdf))
+            keep, out = np.zeros(len(pdf), bool), np.zeros(len(pdf), np.uint64)
             for a, b in zip(bounds[:-1], bounds[1:]):
-                if new[a]:
-                    cur, synced = (s[a], g[a]), False
-                    last = lin[a] if has_lin[a] else None
-                if synced:
-                    continue
-                for i in range(a, b):
-                    k = last is None or int(bits[i] ^ last).bit_count() > t
-                    if k:
-                        last = bits[i]
-                    keep[i] = k
-                    if early_stop and has_old[i] and state[i] == last:
-                        synced = True
-                        break
-                    state[i] = last
-            pdf[_KEEP] = keep
-            pdf[_STATE] = state.view(np.int64)
+                mine = (None if null[a] else s[a], r[a])
+                if mine != key:
+                    key = mine
+                    state = np.uint64(int(pdf[_IN].iloc[a]) & 0xFFFFFFFFFFFFFFFF) if pdf[_HAS_IN].iloc[a] else None
+                at = fold_bits(bits[a:b], state, threshold)
+                keep[a + at] = True
+                if len(at):
+                    sizes = np.diff(np.append(at, b - a))
+                    out[a + at[0]:b] = np.repeat(bits[a + at], sizes)
+                    out[a:a + at[0]] = state if state is not None else 0
+                    state = bits[a + at[-1]]
+                else:
+                    out[a:b] = state
+            pdf = pdf[[stream, order, "sig_bits", RUN, _IN, _HAS_IN]]
+            pdf[_KEEP], pdf[_STATE] = keep, out.view(np.int64)
             yield pdf
 
     return rows.mapInPandas(fold, schema)
 
 
-def _chunk_summaries(res: DataFrame, stream: str, order: str) -> DataFrame:
-    """Per chunk: the state it was folded from, its final state, and the
-    state it should have been folded from (the previous chunk's final one).
-    The previous-chunk scan itself is bucketed, so a stream with very many
-    chunks is not serialised either."""
-    summ = res.groupBy(stream, _CHUNK).agg(
-        F.max_by(_STATE, F.col(order)).alias("_lout"),
-        F.max(_HAS_LIN).alias(_HAS_LIN), F.max(_LIN).alias(_LIN))
-    scanned = ordered_scan(summ, [stream], [_CHUNK], value_bucket(_CHUNK, ORDER_BUCKET_WIDTH),
-                           prevs=[("_p", F.struct(F.col("_lout").alias("b")))], materialize=False)
-    need_has = F.col("_p").isNotNull()
-    need = F.coalesce(F.col("_p.b"), F.lit(0).cast("long"))
-    changed = (need_has != F.col(_HAS_LIN)) | (need_has & (need != F.col(_LIN)))
-    return scanned.select(stream, _CHUNK, need.alias("_need"), need_has.alias("_need_has"),
-                          changed.alias("_changed"))
-
-
-def fold_in_chunks(rows: DataFrame, threshold: int, stream: str = "stream", order: str = "frame_id",
-                   num_partitions: int | None = None, chunk_width: int = FOLD_CHUNK_WIDTH,
-                   max_rounds: int = MAX_PARALLEL_ROUNDS) -> DataFrame:
+def fold_in_runs(rows: DataFrame, threshold: int, stream: str = "stream", order: str = "frame_id") -> DataFrame:
     """``(stream, order)`` of the frames kept by the last-kept fold (exact).
 
-    Round 0 folds every chunk in parallel as if nothing had been kept
-    before it. A chunk's answer depends on its entering state only, which is
-    the previous chunk's final state; a small summary scan finds the chunks
-    whose entering state differs from the one they were folded with, and
-    only those are folded again (stopping where they rejoin their previous
-    run). Changes stop propagating at the first chunk whose final state is
-    unaffected, so one or two rounds settle in practice; the answer is the
-    fixed point, reached after at most one round per chunk. After
-    ``max_rounds`` rounds the streams still moving are finished by one
-    sequential fold per stream from their first unsettled chunk (exact, and
-    only the unsettled tail is folded). Each round's rows are checkpointed
-    into the shared checkpoint folder.
+    First every run of a stream is folded as if nothing had been kept before
+    it. A run's answer depends on its entering state only, the final state of the
+    run before; a scan over one row per run finds the runs that were entered with
+    another state, and only those are folded again, until none is left. That
+    takes at most one round per run of a stream, and few in practice: a
+    round's changes end at the first run whose final state stays the same.
+    Each round writes the runs it folded; of a run, the last round counts.
     """
-    spark = rows.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     zero = F.lit(0).cast("long")
-    base = rows.select(stream, order, "sig_bits").withColumns({
-        _CHUNK: value_bucket(order, chunk_width), _LIN: zero, _HAS_LIN: F.lit(False),
-        _KEEP: F.lit(False), _STATE: zero, _HAS_OLD: F.lit(False)})
-    base = base.withColumn(_SEG, F.col(_CHUNK))
-    res = reliable_checkpoint(_fold_segments(base, stream, order, threshold, False, n))
-    for _ in range(max_rounds):
-        fix = _chunk_summaries(res, stream, order).where("_changed").drop("_changed")
-        n_fix = fix.count()
-        if n_fix == 0:
+    res = write_stage(_fold(rows.withColumns({_IN: zero, _HAS_IN: F.lit(False)}), stream, order, threshold), "fold")
+    while True:
+        last = res.groupBy(stream, RUN).agg(F.max_by(_STATE, F.struct(order)).alias("_out"), F.max(_HAS_IN).alias(_HAS_IN),
+                                            F.max(_IN).alias(_IN))
+        w = Window.partitionBy(stream).orderBy(RUN)
+        need = last.select(F.col(stream).alias("_s"), F.col(RUN).alias("_r"), _HAS_IN, _IN, F.lag(F.struct("_out")).over(w).alias("_p"))
+        need = need.select("_s", "_r", F.coalesce(F.col("_p._out"), zero).alias("_need"), F.col("_p").isNotNull().alias("_need_has"),
+                           ((F.col("_p").isNotNull() != F.col(_HAS_IN)) | (F.col("_p").isNotNull() & (F.col("_p._out") != F.col(_IN))))
+                           .alias("_changed"))
+        need = write_stage(need.where("_changed").drop("_changed"), "fold-need")
+        if not need.limit(1).count():
             return res.where(F.col(_KEEP)).select(stream, order)
-        fix = reliable_checkpoint(fix)  # read twice below
-        fix_j = F.broadcast(fix) if n_fix <= MAX_BROADCAST_CHUNKS else fix
-        redo = (res.join(fix_j, [stream, _CHUNK], "inner")
-                .withColumns({_LIN: F.col("_need"), _HAS_LIN: F.col("_need_has"), _HAS_OLD: F.lit(True)})
-                .drop("_need", "_need_has"))
-        same = res.join(fix_j.select(stream, _CHUNK), [stream, _CHUNK], "left_anti")
-        res = reliable_checkpoint(same.unionByName(_fold_segments(redo, stream, order, threshold, True, n)))
-    # exact finish: one sequential fold per stream from its first unsettled chunk
-    summ = _chunk_summaries(res, stream, order).where("_changed")
-    first = summ.groupBy(stream).agg(F.min_by(F.struct(_CHUNK, "_need", "_need_has"), F.col(_CHUNK)).alias("_f"))
-    first = first.select(stream, F.col("_f." + _CHUNK).alias("_from"), F.col("_f._need").alias("_need"),
-                         F.col("_f._need_has").alias("_need_has"))
-    tail = (res.join(first, stream, "inner").where(F.col(_CHUNK) >= F.col("_from"))
-            .withColumns({_SEG: F.lit(-1).cast("long"), _LIN: F.col("_need"), _HAS_LIN: F.col("_need_has")})
-            .drop("_from", "_need", "_need_has"))
-    head = res.join(first, stream, "left").where(F.col("_from").isNull() | (F.col(_CHUNK) < F.col("_from")))
-    head = head.drop("_from", "_need", "_need_has")
-    done = head.unionByName(_fold_segments(tail, stream, order, threshold, False, n))
-    return done.where(F.col(_KEEP)).select(stream, order)
+        same = null_safe([stream, RUN], ["_s", "_r"])
+        redo = res.join(need, same).withColumns({_IN: F.col("_need"), _HAS_IN: F.col("_need_has")})
+        redo = _fold(redo.select(stream, order, "sig_bits", RUN, _IN, _HAS_IN), stream, order, threshold)
+        res = write_stage(res.join(need, same, "left_anti").unionByName(redo), "fold")

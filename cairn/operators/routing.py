@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.codec import strict_b64decode, strict_b64_valid
 from cairn.plans.partitioning import evaluate_once
-from cairn.plans.ordered import ordered_scan, time_bucket
+from cairn.plans.ordered import null_safe
 from cairn.sources.envelopes import envelope_decode
 
 SESSION = "user_id"
@@ -104,16 +104,16 @@ def route_client_messages(messages: DataFrame, message_col: str = "message") ->
         "error": F.col("error")})
 
 
-def cut_at_first_error(routed: DataFrame, session: str = SESSION, order=ORDER,
-                       bucket_seconds: int | None = None) -> DataFrame:
+def cut_at_first_error(routed: DataFrame, session: str = SESSION, order=ORDER) -> DataFrame:
     """Drop, per session, the first error row and everything after it.
 
-    A session ends at its first bad message: keep rows whose running count of
-    errors (inclusive) is zero. The running count is a bucketed ordered scan,
-    so a hot session is split into time buckets across tasks.
+    The position of a session's first error is one partial aggregate over the
+    error rows alone; it joins back null-safe (rows without a session form one).
+    No row is sorted or written, and filters and column pruning reach the
+    source through both branches.
     """
-    flagged = routed.withColumn("_is_err", (F.col("action") == "error").cast("long"))
-    bucket = None if bucket_seconds is None else time_bucket(order[0], bucket_seconds)
-    scanned = ordered_scan(flagged, [session], order, bucket,
-                           sums=[("_n_err", F.col("_is_err"))])
-    return scanned.where(F.col("_n_err") == 0).drop("_is_err", "_n_err")
+    first = (routed.where(F.col("action") == "error").groupBy(F.col(session).alias("_error_session"))
+             .agg(F.min(F.struct(*order)).alias("_first_error")))
+    joined = routed.join(first, null_safe([session], ["_error_session"]), "left")
+    before = F.col("_first_error").isNull() | (F.struct(*order) < F.col("_first_error"))
+    return joined.where(before).drop("_error_session", "_first_error")

@@ -2,16 +2,16 @@
 
 Sessions are keyed by ``user_id`` and ordered by ``(ts, event_id)``. Every
 running quantity goes through :func:`cairn.plans.ordered.ordered_scan`, so a
-session is split into time buckets rather than serialised through one task.
+session is split into ranges of rows rather than serialised through one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.media import hhmm
-from cairn.plans.ordered import ordered_scan, time_bucket
+from cairn.plans.ordered import RUN, null_safe, ordered_scan, sorted_runs
 
 SESSION = "user_id"
 ORDER = ("ts", "event_id")
@@ -23,18 +23,13 @@ RING_SECONDS = 180             # player ring buffer length
 RING_SIZE = SAMPLE_RATE_OUT * RING_SECONDS
 
 
-def _bucket(bucket_seconds: int | None):
-    """Fixed-width time buckets, or None: widths sized from the data."""
-    return None if bucket_seconds is None else time_bucket(ORDER[0], bucket_seconds)
-
-
 def _pos():
     return F.struct(*ORDER)
 
 
 # --- A4 -----------------------------------------------------------------------
 
-def assemble_bot_messages(agent_msgs: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
+def assemble_bot_messages(agent_msgs: DataFrame) -> DataFrame:
     """Bot messages as displayed: text chunks appended until a turn completes.
 
     Only ``turn_complete = true`` closes a message; interruptions and tool
@@ -42,8 +37,9 @@ def assemble_bot_messages(agent_msgs: DataFrame, bucket_seconds: int | None = No
     Output: user_id, turn_no, first_ts, hhmm, text, n_chunks.
     """
     closes = (F.col("kind") == "control") & F.coalesce(F.col("turn_complete"), F.lit(False))
-    scanned = ordered_scan(agent_msgs.withColumn("_close", closes.cast("long")), [SESSION], ORDER,
-                           _bucket(bucket_seconds), sums=[("turn_no", F.col("_close"))])
+    used = agent_msgs.where(closes | (F.col("mime_type") == "text/plain"))
+    used = used.select(SESSION, *ORDER, "mime_type", "data", closes.cast("long").alias("_close"))
+    scanned = ordered_scan(used, [SESSION], ORDER, sums=[("turn_no", F.col("_close"))])
     return (scanned.where(F.col("mime_type") == "text/plain")
             .groupBy(SESSION, "turn_no")
             .agg(F.min("ts").alias("first_ts"),
@@ -54,8 +50,7 @@ def assemble_bot_messages(agent_msgs: DataFrame, bucket_seconds: int | None = No
 
 # --- A5 -----------------------------------------------------------------------
 
-def final_transcripts(agent_msgs: DataFrame, player_active: bool = True,
-                      bucket_seconds: int | None = None) -> DataFrame:
+def final_transcripts(agent_msgs: DataFrame, player_active: bool = True) -> DataFrame:
     """User utterances: the last input transcription of each utterance wins.
 
     An utterance is closed by server audio (only while a player exists), a
@@ -64,8 +59,10 @@ def final_transcripts(agent_msgs: DataFrame, player_active: bool = True,
     """
     m = F.col("mime_type")
     closers = ["application/tool_use", "text/plain"] + (["audio/pcm"] if player_active else [])
-    scanned = ordered_scan(agent_msgs.withColumn("_close", m.isin(*closers).cast("long")), [SESSION],
-                           ORDER, _bucket(bucket_seconds), sums=[("utterance_no", F.col("_close"))])
+    spoken = m == "application/input_transcription"
+    used = agent_msgs.where(m.isin(*closers) | spoken).select(
+        SESSION, *ORDER, "mime_type", F.when(spoken, F.col("data")).alias("data"), m.isin(*closers).cast("long").alias("_close"))
+    scanned = ordered_scan(used, [SESSION], ORDER, sums=[("utterance_no", F.col("_close"))])
     return (scanned.where(m == "application/input_transcription")
             .groupBy(SESSION, "utterance_no")
             .agg(F.min("ts").alias("first_ts"),
@@ -86,36 +83,37 @@ def session_state_latest(actions: DataFrame) -> DataFrame:
                     F.col("_w.ts").alias("updated_ts"), F.col("_w.event_id").alias("updated_event_id")))
 
 
-def state_as_of_event(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
+def state_as_of_event(actions: DataFrame) -> DataFrame:
     """Every session row with the screen-sharing state in force at that row
     (its own write included); NULL before the first write."""
     write = F.when(F.col("action") == "state", F.struct(F.col("state_value").alias("v")))
-    scanned = ordered_scan(actions, [SESSION], ORDER, _bucket(bucket_seconds), lasts=[("_state", write)])
+    scanned = ordered_scan(actions, [SESSION], ORDER, lasts=[("_state", write)])
     return scanned.withColumn("screen_sharing", F.col("_state.v")).drop("_state")
 
 
 # --- W2 -----------------------------------------------------------------------
 
-def flag_share_changes(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
+def flag_share_changes(actions: DataFrame) -> DataFrame:
     """On/off state rows with ``_change``: true for 'on' while closed and
     'off' while open. A repeated 'on' is not a new interval; state values
     other than on/off are ignored."""
-    onoff = actions.where((F.col("action") == "state") & F.col("state_value").isin("on", "off"))
-    prev = ordered_scan(onoff, [SESSION], ORDER, _bucket(bucket_seconds),
+    onoff = (actions.where((F.col("action") == "state") & F.col("state_value").isin("on", "off"))
+             .select(SESSION, *ORDER, "state_value"))
+    prev = ordered_scan(onoff, [SESSION], ORDER,
                         prevs=[("_prev", F.struct(F.col("state_value").alias("v")))])
     return (prev.withColumn("_change", F.col("state_value") != F.coalesce(F.col("_prev.v"), F.lit("off")))
             .drop("_prev"))
 
 
-def share_changes(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
-    return flag_share_changes(actions, bucket_seconds).where(F.col("_change")).drop("_change")
+def share_changes(actions: DataFrame) -> DataFrame:
+    return flag_share_changes(actions).where(F.col("_change")).drop("_change")
 
 
-def screen_share_intervals(actions: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
+def screen_share_intervals(actions: DataFrame) -> DataFrame:
     """'on' opens, the next 'off' closes; unclosed intervals end in NULL.
     Output: user_id, start_ts, start_event_id, end_ts, end_event_id."""
-    changes = share_changes(actions, bucket_seconds)
-    nxt = ordered_scan(changes, [SESSION], ORDER, _bucket(bucket_seconds),
+    changes = share_changes(actions)
+    nxt = ordered_scan(changes, [SESSION], ORDER,
                        nexts=[("_next", F.struct(*ORDER))])
     return (nxt.where(F.col("state_value") == "on")
             .select(SESSION, F.col("ts").alias("start_ts"), F.col("event_id").alias("start_event_id"),
@@ -137,23 +135,34 @@ def activity_rows(agent_msgs: DataFrame, actions: DataFrame, player_active: bool
     return c.unionByName(a)
 
 
-def activity_sessions(activity: DataFrame, gap_seconds: int = IDLE_TIMEOUT_MS // 1000,
-                      bucket_seconds: int | None = None) -> DataFrame:
+def activity_sessions(activity: DataFrame, gap_seconds: int = IDLE_TIMEOUT_MS // 1000) -> DataFrame:
     """Sessions of activity: a new one starts when the gap to the previous
     activity exceeds ``gap_seconds`` (a gap of exactly the timeout merges,
     as Spark's session windows do). Output: user_id, session_no,
     session_start, session_end (= last activity + gap), n_events."""
     order = [*ORDER, "side"]
-    prev = ordered_scan(activity, [SESSION], order, _bucket(bucket_seconds),
-                        prevs=[("_prev", F.struct(F.col("ts").alias("ts")))])
     gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
-    starts = prev.withColumn("_new", (F.col("_prev").isNull()
-                                      | (F.col("ts") > F.col("_prev.ts") + gap)).cast("long"))
-    numbered = ordered_scan(starts, [SESSION], order, _bucket(bucket_seconds),
-                            sums=[("session_no", F.col("_new"))])
-    return (numbered.groupBy(SESSION, "session_no")
-            .agg(F.min("ts").alias("session_start"), (F.max("ts") + gap).alias("session_end"),
-                 F.count(F.lit(1)).alias("n_events")))
+    # sessions within each run of rows, then only the edges of runs are compared
+    d = sorted_runs(activity.select(SESSION, *order), [SESSION], order)
+    w = Window.partitionBy(SESSION, RUN).orderBy(*order)
+    d = d.withColumn("_before", F.lag(F.struct("ts")).over(w))
+    new = F.col("_before").isNull() | F.coalesce(F.col("ts") > F.col("_before.ts") + gap, F.lit(False))
+    d = d.withColumn("_no", F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = d.groupBy(SESSION, RUN, "_no").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"),
+                                              F.count(F.lit(1)).alias("_n"))
+    edges = part.groupBy(SESSION, RUN).agg(F.max("_no").alias("_sessions"), F.min("_first").alias("_open"),
+                                           F.max("_last").alias("_close"))
+    by_run = Window.partitionBy(SESSION).orderBy(RUN)
+    prev = F.lag("_close").over(by_run)
+    edges = edges.withColumn("_joins", (F.lag(RUN).over(by_run).isNotNull()
+                                        & ~F.coalesce(F.col("_open") > prev + gap, F.lit(False))).cast("long"))
+    earlier = F.sum(F.col("_sessions") - F.col("_joins")).over(by_run.rowsBetween(Window.unboundedPreceding, -1))
+    shift = edges.select(F.col(SESSION).alias("_es"), F.col(RUN).alias("_er"),
+                         (F.coalesce(earlier, F.lit(0)) - F.col("_joins")).alias("_shift"))
+    return (part.join(shift, null_safe([SESSION, RUN], ["_es", "_er"]))
+            .groupBy(SESSION, (F.col("_no") + F.col("_shift")).alias("session_no"))
+            .agg(F.min("_first").alias("session_start"), (F.max("_last") + gap).alias("session_end"),
+                 F.sum("_n").alias("n_events")))
 
 
 # --- T2 -----------------------------------------------------------------------
@@ -172,8 +181,7 @@ def sample_per_window(actions: DataFrame, window: str = "1 second") -> DataFrame
 
 def idle_forced_stops(agent_msgs: DataFrame, actions: DataFrame, controls: DataFrame | None = None,
                       timeout_ms: int = IDLE_TIMEOUT_MS, player_active: bool = True,
-                      horizon: DataFrame | None = None,
-                      bucket_seconds: int | None = None) -> DataFrame:
+                      horizon: DataFrame | None = None) -> DataFrame:
     """Where the inactivity timer stops screen sharing.
 
     Inside an open sharing interval every activity row (and every 'on')
@@ -194,7 +202,7 @@ def idle_forced_stops(agent_msgs: DataFrame, actions: DataFrame, controls: DataF
                   .select(SESSION, *ORDER, F.lit(1).alias("side"), F.lit(True).alias("_arm"),
                           F.lit(None).cast(iv_type).alias("_iv")))
     # every on/off row: 'on' arms, 'off' cancels; the changes carry the interval marker
-    states = flag_share_changes(actions, bucket_seconds).select(
+    states = flag_share_changes(actions).select(
         SESSION, *ORDER, F.lit(0).alias("side"), (F.col("state_value") == "on").alias("_arm"),
         F.when(F.col("_change"), F.struct((F.col("state_value") == "on").alias("open"),
                                           F.col("ts").cast("timestamp_ntz").alias("start"))).alias("_iv"))
@@ -203,15 +211,16 @@ def idle_forced_stops(agent_msgs: DataFrame, actions: DataFrame, controls: DataF
         timeline = timeline.unionByName(controls.select(
             SESSION, *ORDER, F.lit(2).alias("side"), (F.col("control") == "audio_on").alias("_arm"),
             F.lit(None).cast(iv_type).alias("_iv")))
-    scanned = ordered_scan(timeline, [SESSION], order, _bucket(bucket_seconds),
+    scanned = ordered_scan(timeline, [SESSION], order,
                            lasts=[("_cur", F.col("_iv"))],
                            nexts=[("_next", F.struct(F.col("ts").alias("ts")))])
     if horizon is None:
         horizon = (agent_msgs.select(SESSION, "ts").unionByName(actions.select(SESSION, "ts"))
                    .groupBy(SESSION).agg(F.max("ts").alias("horizon")))
+    horizon = horizon.withColumnRenamed(SESSION, "_hs")
     deadline = F.col("ts") + F.expr(f"INTERVAL {timeout_ms} MILLISECONDS")
     fired = (scanned.where(F.col("_arm") & F.coalesce(F.col("_cur.open"), F.lit(False)))
-             .join(horizon, on=SESSION, how="left")
+             .join(horizon, null_safe([SESSION], ["_hs"]), "left")
              .withColumn("_deadline", deadline)
              .where(F.when(F.col("_next").isNull(), F.col("_deadline") <= F.col("horizon"))
                     .otherwise(F.col("_next.ts") > F.col("_deadline"))))
@@ -223,22 +232,23 @@ def idle_forced_stops(agent_msgs: DataFrame, actions: DataFrame, controls: DataF
 
 # --- W5 -----------------------------------------------------------------------
 
-def _int16_le(hexstr, i):
-    lo = F.conv(F.substr(hexstr, (i * 4 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    hi = F.conv(F.substr(hexstr, (i * 4 + 3).cast("int"), F.lit(2)), 16, 10).cast("int")
-    u = lo + hi * 256
+def _int16_le(pcm, i):
+    """Sample ``i`` of little-endian PCM bytes: a slice of two bytes."""
+    def byte(k):
+        return F.conv(F.hex(F.substring(pcm, i * 2 + k, F.lit(1))), 16, 10).cast("int")
+    u = byte(1) + byte(2) * 256
     return F.when(u >= 32768, u - 65536).otherwise(u)
 
 
-def retain_latest(agent_msgs: DataFrame, capacity: int = RING_SIZE, player_active: bool = True,
-                  bucket_seconds: int | None = None) -> DataFrame:
+def retain_latest(agent_msgs: DataFrame, capacity: int = RING_SIZE, player_active: bool = True) -> DataFrame:
     """Samples left unread in the player's ring buffer, per session.
 
     A ring of ``capacity`` slots holds ``capacity - 1`` samples: the newest
     ones since the last flush (an interrupt; a row that also completes the
     turn returns before flushing). Chunks are PCM int16 little-endian; a
-    chunk of odd byte length is rejected whole. Work stays at chunk level
-    until the boundary chunk: only kept samples are exploded.
+    chunk of odd byte length is rejected whole. Only sample counts are scanned
+    in order; the bytes are read again for the chunks that are kept, and the
+    oldest of them is cut before its samples are exploded.
     Output: user_id, ts, event_id, sample_no, sample (int16), value (float).
     """
     keep_n = capacity - 1
@@ -248,25 +258,23 @@ def retain_latest(agent_msgs: DataFrame, capacity: int = RING_SIZE, player_activ
                                           F.lit(0.0).cast("float").alias("value"))
     flush = ((F.col("kind") == "control") & F.coalesce(F.col("interrupted"), F.lit(False))
              & ~F.coalesce(F.col("turn_complete"), F.lit(False)))
-    audio = F.col("mime_type") == "audio/pcm"
-    rel = (agent_msgs.where(flush | audio)
-           .withColumns({"_flush": flush.cast("long"), "_bytes": F.unbase64(F.col("data"))}))
-    rel = rel.withColumn("_n", F.when(audio & (F.length("_bytes") % 2 == 0),
-                                      (F.length("_bytes") / 2).cast("long")).otherwise(F.lit(0).cast("long")))
-    # flushes at or after each row, and samples after it, from inclusive prefix sums + totals
-    scanned = ordered_scan(rel, [SESSION], ORDER, _bucket(bucket_seconds),
-                           sums=[("_flush_upto", F.col("_flush")), ("_n_upto", F.col("_n"))])
-    totals = rel.groupBy(SESSION).agg(F.sum("_flush").alias("_flush_total"), F.sum("_n").alias("_n_total"))
-    chunks = (scanned.join(totals, on=SESSION)
-              .where(audio & (F.col("_flush_upto") == F.col("_flush_total")) & (F.col("_n") > 0)))
-    # samples newer than this chunk, counted only after the last flush
-    flushed_n = F.col("_n_total") - F.col("_n_upto")
-    chunks = chunks.withColumn("_after", flushed_n).where(F.col("_after") < keep_n)
-    chunks = chunks.withColumn("_skip", F.greatest(F.lit(0).cast("long"),
-                                                   F.col("_n") - (F.lit(keep_n) - F.col("_after"))))
-    chunks = chunks.withColumn("_hex", F.hex("_bytes"))
-    idx = F.explode(F.sequence(F.col("_skip"), F.col("_n") - 1)).alias("sample_no")
-    samples = chunks.select(SESSION, *ORDER, "_hex", idx)
-    s = _int16_le(F.col("_hex"), F.col("sample_no"))
-    return samples.select(SESSION, *ORDER, "sample_no", s.cast("short").alias("sample"),
-                          (s.cast("double") / 32768.0).cast("float").alias("value"))
+    flushed = (agent_msgs.where(flush).groupBy(F.col(SESSION).alias("_fs"))
+               .agg(F.max(_pos()).alias("_flush")))
+    pcm = F.unbase64(F.col("data"))
+    chunks = (agent_msgs.where(F.col("mime_type") == "audio/pcm")
+              .join(flushed, null_safe([SESSION], ["_fs"]), "left")
+              .where(F.col("_flush").isNull() | (_pos() > F.col("_flush"))))
+    sizes = (chunks.select(SESSION, *ORDER, F.length(pcm).alias("_len")).where("_len > 0 AND _len % 2 = 0")
+             .select(SESSION, *ORDER, (F.col("_len") / 2).cast("long").alias("_n")))
+    scanned = ordered_scan(sizes, [SESSION], ORDER, sums=[("_upto", F.col("_n"))])
+    # the samples of a session before its newest keep_n ones are gone
+    total = scanned.groupBy(F.col(SESSION).alias("_ts")).agg((F.max("_upto") - keep_n).alias("_gone"))
+    kept = (scanned.join(total, null_safe([SESSION], ["_ts"])).where(F.col("_upto") > F.col("_gone"))
+            .select(F.col(SESSION).alias("_ks"), *[F.col(c).alias(f"_k_{c}") for c in ORDER],
+                    F.greatest(F.lit(0).cast("long"), F.col("_gone") - (F.col("_upto") - F.col("_n"))).alias("_skip"), "_n"))
+    same = null_safe([SESSION, *ORDER], ["_ks", *[f"_k_{c}" for c in ORDER]])
+    parts = (agent_msgs.where(F.col("mime_type") == "audio/pcm").join(kept, same)
+             .select(SESSION, *ORDER, pcm.alias("_pcm"), F.explode(F.sequence("_skip", F.col("_n") - 1)).alias("sample_no")))
+    s = _int16_le(F.col("_pcm"), F.col("sample_no").cast("int"))
+    return parts.select(SESSION, *ORDER, "sample_no", s.cast("short").alias("sample"),
+                        (s.cast("double") / 32768.0).cast("float").alias("value"))

@@ -246,12 +246,12 @@ ORACLE["mean_threshold_signature"] = _with(SIG) + "SELECT stream, frame_id, sign
 
 ORACLE["frame_luma_signature"] = """
 WITH l AS (
-  SELECT vec_id, list_transform(range(1, 22), lambda i: 0.299 * embedding[i]::DOUBLE
-            + 0.587 * embedding[i + 21]::DOUBLE + 0.114 * embedding[i + 42]::DOUBLE) AS l
+  SELECT vec_id, list_transform(range(0, 64), lambda i: 0.299 * embedding[i + 1]::DOUBLE
+            + 0.587 * embedding[(i + 21) % 64 + 1]::DOUBLE + 0.114 * embedding[(i + 42) % 64 + 1]::DOUBLE) AS l
   FROM embeddings),
 m AS (SELECT *, list_reduce(l, lambda a, b: a + b) AS luma_sum FROM l)
 SELECT vec_id, luma_sum,
-       array_to_string(list_transform(l, lambda x: CASE WHEN x > luma_sum / 21 THEN '1' ELSE '0' END), '') AS signature
+       array_to_string(list_transform(l, lambda x: CASE WHEN x > luma_sum / 64 THEN '1' ELSE '0' END), '') AS signature
 FROM m"""
 
 ORACLE["hamming_distance"] = _with(SIG) + """
@@ -289,6 +289,16 @@ SELECT vec_id, q[1]::INTEGER AS q_first, list_min(q)::INTEGER AS q_min, list_max
        list_reduce(list_transform(q, lambda x: x::BIGINT), lambda a, b: a + b) AS q_sum
 FROM qz"""
 
+ORACLE["retain_latest_chunks"] = _with(QUANT) + """
+, samples AS (SELECT e.label AS user_id, z.vec_id // 250 AS event_id, z.vec_id, i, q[i] AS sample
+              FROM qz z JOIN embeddings e USING (vec_id), range(1, 65) r(i)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY vec_id, i) - 1 AS sample_no FROM samples
+             WHERE NOT (user_id % 2 = 0 AND event_id = 0)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, sample_no DESC) AS rn FROM numbered)
+SELECT user_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(event_id) AS ts, event_id::BIGINT AS event_id, sample_no::BIGINT AS sample_no,
+       sample, (sample::DOUBLE / 32768.0)::FLOAT AS value
+FROM ranked WHERE rn <= 2000"""
+
 ORACLE["dequantize_int16"] = _with(QUANT) + """
 SELECT vec_id,
        list_reduce(list_transform(q, lambda x: (x::DOUBLE / 32768.0)::FLOAT::DOUBLE), lambda a, b: a + b) AS dq_sum,

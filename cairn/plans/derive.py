@@ -124,6 +124,34 @@ def frames(embeddings: DataFrame) -> DataFrame:
                              F.col("embedding").alias("grey"))
 
 
+AUDIO_CHUNK_VECTORS = 250
+
+
+def audio_chunks(embeddings: DataFrame) -> DataFrame:
+    """Long server audio chunks as routed messages: session = ``label``, one chunk
+    per AUDIO_CHUNK_VECTORS vector ids, one second apart, its samples the int16
+    values of the vectors in order. Sessions with an even label are flushed
+    between their first and second chunk."""
+    from cairn.functions.media import quantize_int16
+
+    def le(x):
+        u = F.pmod(x.cast("int"), F.lit(65536))
+        return F.concat(F.lpad(F.hex(u % 256), 2, "0"), F.lpad(F.hex(F.floor(u / 256)), 2, "0"))
+    chunk = F.floor(F.col("vec_id") / AUDIO_CHUNK_VECTORS).cast("long")
+    part = F.struct("vec_id", quantize_int16(F.col("embedding")).alias("q"))
+    rows = embeddings.groupBy("label", chunk.alias("event_id")).agg(F.sort_array(F.collect_list(part)).alias("p"))
+    pcm = F.unhex(F.array_join(F.transform(F.flatten(F.transform("p", lambda x: x["q"])), le), ""))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    data = rows.select(F.col("label").alias("user_id"), (start + F.make_dt_interval(secs=F.col("event_id"))).alias("ts"), "event_id",
+                       F.lit("data").alias("kind"), F.lit("audio/pcm").alias("mime_type"), F.base64(pcm).alias("data"),
+                       F.lit(None).cast("boolean").alias("turn_complete"), F.lit(None).cast("boolean").alias("interrupted"))
+    flush = embeddings.where("label % 2 = 0").select("label").distinct().select(
+        F.col("label").alias("user_id"), (start + F.expr("INTERVAL 0.5 SECONDS")).alias("ts"), F.lit(0).cast("long").alias("event_id"),
+        F.lit("control").alias("kind"), F.lit(None).cast("string").alias("mime_type"), F.lit(None).cast("string").alias("data"),
+        F.lit(None).cast("boolean").alias("turn_complete"), F.lit(True).alias("interrupted"))
+    return data.unionByName(flush)
+
+
 # --- materialised derivations ------------------------------------------------
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 

@@ -2,18 +2,18 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to
 one task; if one session holds a third of the data, one task does a third of
-the work. These helpers add a second partitioning level, a *bucket* (a coarse
-range of the order column, e.g. one day of ``ts``):
-
-1. the scan runs locally per ``(key, bucket)``, in parallel;
-2. one summary row per ``(key, bucket)`` is aggregated from the window output
-   (same partitioning, no extra shuffle);
-3. a small window over the summaries carries state across buckets;
-4. the carries join back on ``(key, bucket)``; the big side keeps its
-   partitioning, only the summaries move.
-
-The result equals the single-window answer exactly. The bucket width only
-decides how finely a hot key is split.
+the work. Here the rows are range-sorted on (keys, order) once and written, and
+each range (the *run* of one task) is scanned on its own:
+
+1. rows are range-partitioned by (keys, order), so a key, a burst within a key
+   or a long quiet session is split by rows, whatever its times are;
+2. the scan runs per ``(keys, run)``, in parallel;
+3. one summary row per ``(keys, run)`` is aggregated, and a small window over
+   the summaries carries state across runs;
+4. the carries join back on ``(keys, run)``, null-safe.
+
+The result equals a single window's; NULL keys form a key of their own and NULL
+order values sort first, as in a window.
 """
 
 from __future__ import annotations
@@ -25,46 +25,32 @@ from pyspark.sql import functions as F
 
 from cairn.session import write_stage
 
-_B = "_bkt"
-DAY_SECONDS = 86_400
-ROWS_PER_BUCKET = 1_000_000  # target rows of the hottest key per bucket
+RUN = "_run"
 
 
-def time_bucket(ts: Column | str, seconds: int = DAY_SECONDS) -> Column:
-    """Bucket number of a timestamp (TIMESTAMP or TIMESTAMP_NTZ)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``df`` written once, range-sorted by (keys, order), with the number of
+    the range of every row in ``_run`` (ascending with the order)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [*keys, *order]
+    d = df.repartitionByRange(max(n, 1), *cols).sortWithinPartitions(*cols)
+    return write_stage(d.withColumn(RUN, F.spark_partition_id()), "ordered-scan")
 
 
-def value_bucket(v: Column | str, width: int) -> Column:
-    """Bucket number of an integral order column (ranges of ``width``)."""
-    c = F.col(v) if isinstance(v, str) else v
-    return F.floor(c / F.lit(width)).cast("long")
+def null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equality of column lists in which NULL equals NULL."""
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
 
 
-def density_bucket(df: DataFrame, keys: Sequence[str], order_col: str,
-                   target_rows: int = ROWS_PER_BUCKET) -> Column:
-    """A bucket column sized from the data: ranges of ``order_col`` wide
-    enough that the key with the most rows gets about ``target_rows`` rows
-    per bucket (one aggregate job; only two numbers reach the driver). Small
-    keys end up in one bucket; a key holding a third of all rows is split
-    into as many buckets as its size needs, however long the data spans."""
-    is_time = dict(df.dtypes)[order_col].startswith("timestamp")
-    v = F.unix_micros(F.col(order_col).cast("timestamp")) if is_time else F.col(order_col).cast("long")
-    top = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-           .orderBy(F.col("n").desc()).first())
-    width = 1
-    if top is not None and top["n"]:
-        width = max(1, ((top["hi"] - top["lo"] + 1) * target_rows) // top["n"])
-    return F.floor(v / F.lit(width)).cast("long")
-
-
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, *,
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  sums: Sequence[tuple[str, Column]] = (),
                  lasts: Sequence[tuple[str, Column]] = (),
                  prevs: Sequence[tuple[str, Column]] = (),
                  nexts: Sequence[tuple[str, Column]] = (),
-                 materialize: bool = True) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """Add scan columns to ``df``, per ``keys`` in ascending ``order``.
 
     ``sums``  (out, numeric)  inclusive running sum
@@ -72,22 +58,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     ``prevs`` (out, value)    value of the previous row; ``value`` must be non-NULL
                               on every row (wrap it in a struct)
     ``nexts`` (out, value)    value of the next row; same rule
-    ``bucket`` must be non-decreasing in ``order`` within a key; by default
-    (None) it is :func:`density_bucket` over the first order column.
-
-    The input is read twice (rows, and bucket summaries aggregated straight
-    from the input). Spark does not share a subplan between two branches,
-    so with ``materialize`` (the default) the input is first written once
-    to the shared checkpoint folder and both branches scan that table: an
-    expensive input (a parse, or an earlier scan) is computed exactly once
-    and chained scans do not multiply their upstream work. Pass ``False``
-    for inputs that are a plain table scan.
-    Column arguments must refer to columns by name.
+
+    ``df`` is evaluated and written once, with all its columns: pass only those
+    that are used. A ``df`` that already has the column ``_run`` comes from
+    :func:`sorted_runs` and is not sorted again. Column arguments must refer to
+    columns by name.
     """
     keys, order = list(keys), list(order)
-    d = write_stage(df, "ordered-scan") if materialize else df
-    d = d.withColumn(_B, density_bucket(d, keys, order[0]) if bucket is None else bucket)
-    w = Window.partitionBy(*keys, _B).orderBy(*order)
+    d = df if RUN in df.columns else sorted_runs(df, keys, order, partitions)
+    w = Window.partitionBy(*keys, RUN).orderBy(*order)
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}
     for out, v in sums:
@@ -99,15 +78,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     for out, v in nexts:
         local[out] = F.lead(v).over(w)
 
-    # bucket summaries from the input itself (not from the window output)
+    # summaries from the written table itself (not from the window output)
     pos = F.struct(*order)
     summary_aggs = ([F.sum(v).alias(f"_s_{o}") for o, v in sums]
                     + [F.max_by(v, F.when(v.isNotNull(), pos)).alias(f"_s_{o}") for o, v in lasts]
                     + [F.max_by(v, pos).alias(f"_s_{o}") for o, v in prevs]
                     + [F.min_by(v, pos).alias(f"_s_{o}") for o, v in nexts])
-    summary = d.groupBy(*keys, _B).agg(*summary_aggs)
+    summary = d.groupBy(*keys, RUN).agg(*summary_aggs)
     d = d.withColumns({f"_l_{k}": c for k, c in local.items()})
-    wb = Window.partitionBy(*keys).orderBy(_B)
+    wb = Window.partitionBy(*keys).orderBy(RUN)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     carry = {}
     for o, _ in sums:
@@ -118,38 +97,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
         carry[o] = F.lag(f"_s_{o}").over(wb)
     for o, _ in nexts:
         carry[o] = F.lead(f"_s_{o}").over(wb)
-    carries = summary.select(*keys, _B, *[c.alias(f"_c_{o}") for o, c in carry.items()])
+    right = [f"_k{i}" for i in range(len(keys) + 1)]
+    carries = summary.select(*[F.col(k).alias(r) for k, r in zip([*keys, RUN], right)],
+                             *[c.alias(f"_c_{o}") for o, c in carry.items()])
 
-    joined = d.join(carries, on=[*keys, _B], how="inner")
+    joined = d.join(carries, null_safe([*keys, RUN], right), "inner")
     final = {}
     for o, _ in sums:
         final[o] = F.col(f"_l_{o}") + F.col(f"_c_{o}")
     for o, _ in [*lasts, *prevs, *nexts]:
         final[o] = F.coalesce(F.col(f"_l_{o}"), F.col(f"_c_{o}"))
     out = joined.withColumns(final)
-    return out.drop(_B, *[f"_l_{o}" for o in final], *[f"_c_{o}" for o in final])
-
-
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-                   bucket: Column) -> DataFrame:
-    """Keep the ``n`` last rows of every key in ``order`` (exact).
-
-    Per-bucket counts give, for every bucket, how many rows lie in later
-    buckets; buckets that are entirely older than the newest ``n`` rows are
-    dropped by the join before any row-level window, and the row-level
-    ``row_number`` only runs inside the one boundary bucket of each key.
-    """
-    keys, order = list(keys), list(order)
-    if n <= 0:
-        return df.limit(0)
-    d = df.withColumn(_B, bucket)
-    counts = d.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy(*keys).orderBy(F.col(_B).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    quota = (counts.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0)))
-             .where(F.col("_after") < n)
-             .select(*keys, _B, (F.lit(n) - F.col("_after")).alias("_need")))
-    kept = d.join(quota, on=[*keys, _B], how="inner")
-    w = Window.partitionBy(*keys, _B).orderBy(*[F.col(c).desc() for c in order])
-    return (kept.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= F.col("_need"))
-            .drop(_B, "_need", "_rn"))
+    return out.drop(RUN, *right, *[f"_l_{o}" for o in final], *[f"_c_{o}" for o in final])

@@ -76,8 +76,7 @@ def _signed(b):
 
 
 def test_near_duplicates_chunked_fold_is_exact(spark):
-    # small chunks force the parallel fix-up rounds; max_rounds 0 and 1 force
-    # the sequential finish from the first unsettled chunk
+    # many short runs force the fix-up rounds
     rnd = random.Random(11)
     rows = []
     for s in range(3):
@@ -92,10 +91,17 @@ def test_near_duplicates_chunked_fold_is_exact(spark):
                                "stream int, frame_id long, sig_bits long, signature string")
     for t in (1, 3):
         want = _brute(rows, t)
-        for width, rounds in ((8, 6), (16, 1), (7, 0)):
-            got = sorted((r.stream, r.frame_id) for r in
-                         FR.suppress_near_duplicates(df, t, chunk_width=width, max_rounds=rounds).collect())
-            assert got == want, (t, width, rounds)
+        for parts in (1, 7, 60):
+            got = sorted((r.stream, r.frame_id) for r in FR.suppress_near_duplicates(df, t, partitions=parts).collect())
+            assert got == want, (t, parts)
+
+
+def test_near_duplicates_of_a_null_stream_are_kept(spark):
+    rows = [(None, 1, 0), (None, 2, 1), (None, 3, 7), (1, 1, 0)]
+    df = spark.createDataFrame([(s, f, b, "") for s, f, b in rows], "stream int, frame_id long, sig_bits long, signature string")
+    got = {(r.stream, r.frame_id) for r in FR.suppress_near_duplicates(df, 1).collect()}
+    assert got == {(None, 1), (None, 3), (1, 1)}
+    assert FR.consecutive_distances(df).count() == 4
 
 
 def test_near_duplicates_chunked_full_64_bit_signatures(spark):
@@ -104,5 +110,5 @@ def test_near_duplicates_chunked_full_64_bit_signatures(spark):
     df = spark.createDataFrame([(s, f, _signed(b), "") for s, f, b in rows],
                                "stream int, frame_id long, sig_bits long, signature string")
     for t in (28, 32):
-        got = sorted((r.stream, r.frame_id) for r in FR.suppress_near_duplicates(df, t, chunk_width=5).collect())
+        got = sorted((r.stream, r.frame_id) for r in FR.suppress_near_duplicates(df, t, partitions=24).collect())
         assert got == _brute(rows, t), t

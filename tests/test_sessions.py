@@ -116,3 +116,19 @@ def test_idle_stops_with_audio_controls(spark):
     # the row at 1000 arms until 1300, then the off at 5000 comes later: fires at 1300
     got = [(r.stop_ts, r.armed_event_id) for r in S.idle_forced_stops(a, st, controls=controls).collect()]
     assert got == [(at(1300), 1)]
+
+
+def test_retain_latest_time_is_linear_in_the_chunk(spark):
+    import base64
+    import time
+
+    def seconds(n):
+        pcm = base64.b64encode(bytes(range(256)) * (n // 128)).decode()
+        df = spark.createDataFrame([(1, None, 1, "data", "audio/pcm", pcm, None, None)],
+                                   "user_id long, ts timestamp_ntz, event_id long, kind string, mime_type string, data string, "
+                                   "turn_complete boolean, interrupted boolean")
+        t = time.perf_counter()
+        assert S.retain_latest(df).agg({"sample": "sum"}).first()[0] is not None
+        return time.perf_counter() - t
+    seconds(1280)
+    assert seconds(320_000) < 8 * max(seconds(40_000), 1.0)  # a quadratic form takes 64 times as long
