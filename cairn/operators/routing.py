@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.codec import strict_b64decode, strict_b64_valid
 from cairn.plans.partitioning import evaluate_once
 from cairn.plans.ordered import null_safe
-from cairn.sources.envelopes import envelope_decode
+from cairn.sources.envelopes import as_text, envelope_decode, load_object
 
 SESSION = "user_id"
 ORDER = ("ts", "event_id")
@@ -61,6 +63,18 @@ def route_agent_events(events: DataFrame) -> DataFrame:
                     F.when(r == 1, F.col("interrupted")).alias("interrupted")))
 
 
+PAYLOAD = T.StructType([T.StructField("event", T.StringType()), T.StructField("status", T.StringType()),
+                        T.StructField("ok", T.BooleanType())])
+
+
+@F.pandas_udf(PAYLOAD)
+def _load_payload(data: pd.Series) -> pd.DataFrame:
+    loaded = [load_object(x) for x in data]
+    return pd.DataFrame({"event": [as_text((m or {}).get("event")) for m in loaded],
+                         "status": [as_text((m or {}).get("status")) for m in loaded],
+                         "ok": [m is not None for m in loaded]})
+
+
 def route_client_messages(messages: DataFrame, message_col: str = "message") -> DataFrame:
     """Client messages (M4) -> actions.
 
@@ -76,21 +90,20 @@ def route_client_messages(messages: DataFrame, message_col: str = "message") ->
     realtime = m.isin("audio/pcm", "image/jpeg")
     is_json = m == "application/json"
     # staged columns, referenced by name: each parse or regex runs once per row
-    d = d.withColumns({"_pv": F.when(is_json, F.try_parse_json(data)),
-                       "_b64": F.when(realtime, strict_b64_valid(data))})
+    d = d.withColumns({"_pv": _load_payload(F.when(is_json, data)), "_b64": F.when(realtime, strict_b64_valid(data))})
     pv = F.col("_pv")
     d = d.withColumn("error", F.when(F.col("decode_error").isNotNull(), F.col("decode_error"))
                      .when(m == "text/plain", None)
                      .when(realtime & ~F.col("_b64"), "bad_base64")
                      .when(realtime, None)
-                     .when(is_json & (pv.isNull() | ~data.rlike(r"^[ \t\r\n]*\{")), "bad_json_payload")
+                     .when(is_json & ~pv["ok"], "bad_json_payload")
                      .when(is_json, None)
                      .otherwise("unsupported_mime"))
     err = F.col("error")
     d = d.withColumn("action", F.when(err.isNotNull(), "error")
                      .when(m == "text/plain", "content")
                      .when(realtime, "realtime")
-                     .when(F.try_variant_get(pv, "$.event", "string") == "screen_sharing", "state")
+                     .when(pv["event"] == "screen_sharing", "state")
                      .otherwise("ignored"))
     a = F.col("action")
     d = d.withColumn("payload", F.when(a == "realtime", strict_b64decode(data)))
@@ -100,7 +113,7 @@ def route_client_messages(messages: DataFrame, message_col: str = "message") ->
         "payload": F.col("payload"),
         "payload_bytes": F.when(a == "realtime", F.length("payload")).cast("long"),
         "state_key": F.when(a == "state", F.lit("screen_sharing")),
-        "state_value": F.when(a == "state", F.try_variant_get(pv, "$.status", "string")),
+        "state_value": F.when(a == "state", pv["status"]),
         "error": F.col("error")})
 
 

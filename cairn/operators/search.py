@@ -7,6 +7,7 @@ choice: Okapi BM25 over lower-cased letter/digit terms.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -155,10 +156,12 @@ def config_findings(facts: DataFrame, rules: DataFrame) -> DataFrame:
 def log_field_filter(logs: DataFrame, json_col: str, fields: Mapping[str, object],
                      columns: Mapping[str, object] | None = None) -> DataFrame:
     """Keep log rows whose JSON fields (and plain columns) equal the given
-    values. JSON values compare as their text (``{"k": 7}`` matches 7 and "7")."""
+    values. JSON values compare as their text (``{"k": 7}`` matches 7 and "7";
+    ``true`` matches True and "true"); a field name is one key, dots included."""
     cond = F.lit(True)
     for name, value in fields.items():
-        cond = cond & (F.get_json_object(F.col(json_col), f"$.{name}") == F.lit(str(value)))
+        text = value if isinstance(value, str) else json.dumps(value)
+        cond = cond & (F.get_json_object(F.col(json_col), f"$['{name}']") == F.lit(text))
     for name, value in (columns or {}).items():
         cond = cond & (F.col(name) == F.lit(value))
     return logs.where(cond)

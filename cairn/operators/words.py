@@ -55,6 +55,11 @@ def frequent_word_count(counts: DataFrame, threshold: int = FREQUENT_THRESHOLD)
 
 
 def partition_report(df: DataFrame) -> DataFrame:
-    """Rows per physical partition of ``df`` (partition count without ``.rdd``)."""
-    return (df.groupBy(F.spark_partition_id().alias("partition_id"))
-            .agg(F.count(F.lit(1)).alias("rows")))
+    """One row: ``partitions`` (empty ones included) and ``rows`` of ``df``.
+    Every task reports once, also one without rows."""
+    def count(batches):
+        import pandas as pd
+        yield pd.DataFrame({"rows": [sum(len(b) for b in batches)]})
+
+    return df.select(F.lit(1).alias("one")).mapInPandas(count, "rows long").agg(
+        F.count(F.lit(1)).alias("partitions"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))

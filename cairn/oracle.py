@@ -40,6 +40,7 @@ ORACLE["distinct_word_count"] = TEXT + "SELECT count(*) AS distinct_words FROM c
 ORACLE["frequent_words"] = TEXT + "SELECT word, count FROM counts WHERE count > 1000"
 ORACLE["frequent_word_count"] = TEXT + "SELECT count(*) AS frequent_words FROM counts WHERE count > 1000"
 ORACLE["sort_by_count"] = TEXT + "SELECT word, count FROM counts ORDER BY count DESC, word"
+ORACLE["partition_report"] = TEXT + "SELECT 23 AS partitions, count(*) AS rows FROM counts"
 ORACLE["top_words"] = TEXT + "SELECT word, count FROM counts ORDER BY count DESC, word LIMIT 10"
 
 # --- messages ---------------------------------------------------------------

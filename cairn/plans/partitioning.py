@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def _scan_splits(df: DataFrame) -> int | None:
+    """Tasks that the file scan below ``df`` gets, from its files' sizes alone
+    (no job, no plan of ``df``); None without files."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return None
+    target = spark.sparkContext.defaultParallelism
+    if len(files) >= target:
+        return len(files)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    sizes = []
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        sizes.append(path.getFileSystem(conf).getFileStatus(path).getLen())
+    return sum(max(1, -(-s // split)) for s in sizes)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster only when its scan is too narrow.
+    """Round-robin ``df``, a projected file scan, over the cluster only when the
+    scan is too narrow.
 
-    A large file written as one row group is read by one task, so a heavy
-    per-row step (splitting and exploding text) would run serially. When the
-    scan already yields at least ``min_partitions`` (default: the cluster's
-    default parallelism) partitions, as any large input does, ``df`` is
-    returned unchanged and no shuffle is added.
+    A small file is read by one task, so a heavy per-row step (splitting and
+    exploding text) would run serially. When the scan's files yield at least
+    ``min_partitions`` (default: the cluster's default parallelism) tasks, as any
+    large input does, ``df`` is returned unchanged and no shuffle is added.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    splits = _scan_splits(df)
+    return df if splits is None or splits >= target else df.repartition(target)
 
 
 def evaluate_once(df: DataFrame, keep: list[str], exprs: dict) -> DataFrame:

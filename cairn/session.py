@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -77,13 +78,16 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is only read. Where it
-    is unset (local runs, tests) a fresh folder is created and set once.
+    On a cluster the setting names shared storage and is only read; without it
+    nothing runs there. In local mode (tests) a fresh folder is created and set
+    once.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = _LOCAL_FALLBACK.get(spark.sparkContext.applicationId)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cairn-ckpt-")
         _LOCAL_FALLBACK[spark.sparkContext.applicationId] = d
         try:
@@ -115,10 +119,31 @@ def write_stage(df, name: str):
     return spark.read.parquet(path)
 
 
+_STAGE_ROOTS: dict[str, SparkSession] = {}
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder under the shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/cairn-stage/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique folder under the shared checkpoint folder. All folders of
+    an application lie together and are removed when its driver exits."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cairn-stage/{spark.sparkContext.applicationId}"
+    if root not in _STAGE_ROOTS:
+        if not _STAGE_ROOTS:
+            atexit.register(remove_stage_tables)
+        _STAGE_ROOTS[root] = spark
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_stage_tables() -> None:
+    """Delete what this driver's applications staged; results read from there
+    must have been written by then."""
+    for root, spark in list(_STAGE_ROOTS.items()):
+        del _STAGE_ROOTS[root]
+        try:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session is gone; the folder is left to the cluster
+            pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):

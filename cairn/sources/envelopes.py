@@ -2,34 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ENVELOPE = T.StructType([T.StructField(c, T.StringType()) for c in ("mime_type", "data", "decode_error")])
+
+
+def load_object(text) -> dict | None:
+    """A JSON object as a standard loader reads it: nothing may follow the
+    value, a repeated key keeps its last value, NaN and infinities are numbers.
+    None for anything else."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
 
-_JSON_OBJECT_START = r"^[ \t\r\n]*\{"
+def as_text(value) -> str | None:
+    """A JSON value as column text: strings as they are, null as NULL."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-def _has_key(v: Column, key: str) -> Column:
-    # present (even if JSON null) vs. missing: variant_get returns SQL NULL only when missing
-    return F.variant_get(v, f"$.{key}", "variant").isNotNull()
+@F.pandas_udf(ENVELOPE)
+def _decode(messages: pd.Series) -> pd.DataFrame:
+    out = []
+    for text in messages:
+        m = load_object(text)
+        if m is None:
+            out.append((None, None, "bad_json"))
+        elif "mime_type" not in m or "data" not in m:
+            out.append((None, None, "missing_key"))
+        else:
+            out.append((as_text(m["mime_type"]), as_text(m["data"]), None))
+    return pd.DataFrame(out, columns=["mime_type", "data", "decode_error"])
 
 
 def envelope_decode(df: DataFrame, message_col: str = "message") -> DataFrame:
     """Add ``mime_type``, ``data`` and ``decode_error`` from a JSON message.
 
-    Errors, as a strict JSON loader plus two required keys would raise them:
-    'bad_json' (not JSON, or not an object) and 'missing_key'. The parsed
-    variant is a column of its own so the parse runs once per row.
+    Errors, as a standard JSON loader plus two required keys would raise them:
+    'bad_json' (not one JSON value, or not an object) and 'missing_key'. No
+    built-in function is strict about trailing text and keeps the last of
+    repeated keys, so the parse is an Arrow-batched function.
     """
-    msg = F.col(message_col)
-    d = df.withColumn("_env", F.try_parse_json(msg))
-    v = F.col("_env")
-    is_obj = v.isNotNull() & msg.rlike(_JSON_OBJECT_START)
-    d = d.withColumn("decode_error", F.when(~is_obj, F.lit("bad_json"))
-                     .when(~(_has_key(v, "mime_type") & _has_key(v, "data")), F.lit("missing_key")))
-    ok = F.col("decode_error").isNull()
-    return (d.withColumns({"mime_type": F.when(ok, F.try_variant_get(v, "$.mime_type", "string")),
-                           "data": F.when(ok, F.try_variant_get(v, "$.data", "string"))})
-            .drop("_env"))
+    d = df.withColumn("_env", _decode(F.col(message_col)))
+    return d.withColumns({c: F.col(f"_env.{c}") for c in ("mime_type", "data", "decode_error")}).drop("_env")
 
 
 def envelope_encode(routed: DataFrame) -> DataFrame:

@@ -100,3 +100,20 @@ def test_cut_at_first_error(spark):
     df = client(spark, [ok, ok, bad, ok]).unionByName(client(spark, [ok, ok], user=2))
     kept = cut_at_first_error(route_client_messages(df)).select("user_id", "event_id")
     assert sorted(tuple(r) for r in kept.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_json_is_read_like_a_standard_loader(spark):
+    df = client(spark, ['{"mime_type":"text/plain","data":"a"} x', '{"mime_type":"text/plain","data":"a","data":"b"}',
+                        '{"mime_type":"text/plain","data":NaN}', ' {"mime_type":"text/plain","data":null}\n',
+                        '{"mime_type":"application/json","data":"{\\"event\\":\\"screen_sharing\\",\\"status\\":\\"on\\",\\"status\\":\\"off\\"}"}',
+                        '{"mime_type":"application/json","data":"{\\"event\\":\\"screen_sharing\\"} trailing"}'])
+    got = {r.event_id: r for r in route_client_messages(df).collect()}
+    assert [got[i].error for i in range(6)] == ["bad_json", None, None, None, None, "bad_json_payload"]
+    assert (got[1].text, got[2].text, got[3].text, got[4].state_value) == ("b", "NaN", None, "off")
+
+
+def test_log_filter_booleans_and_dotted_keys(spark):
+    from cairn.operators.search import log_field_filter
+    logs = spark.createDataFrame([(1, '{"ok": true, "a.b": 3}'), (2, '{"ok": false, "a": {"b": 3}}')], "id int, props string")
+    assert [r.id for r in log_field_filter(logs, "props", {"ok": True}).collect()] == [1]
+    assert [r.id for r in log_field_filter(logs, "props", {"a.b": 3}).collect()] == [1]

@@ -49,4 +49,9 @@ def test_wordcount_job_end_to_end(spark, capsys):
     lines = spark.createDataFrame([("x y x",), ("y x",)], "value string")
     res = wordcount_job.run(spark, lines, threshold=2, log=lambda s: None)
     assert res["distinct_words"] == 2 and res["frequent_words"] == 1 and res["partitions"] >= 1
-    assert wordcount_job.main(["sort"]) == -1
+    assert wordcount_job.main(["wordcount_job"]) == -1
+    assert "cairn.plans.wordcount_job" in capsys.readouterr().err
+
+
+def test_partition_report_counts_empty_partitions(spark):
+    assert tuple(W.partition_report(spark.range(3).repartition(6)).first()) == (6, 3)
