@@ -159,6 +159,11 @@ def q_final_transcripts(spark, sf):
     return S.final_transcripts(agent_messages(spark, sf))
 
 
+@register("displayed_messages")
+def q_displayed_messages(spark, sf):
+    return S.displayed_messages(agent_messages(spark, sf))
+
+
 @register("session_state_latest")
 def q_session_state_latest(spark, sf):
     return S.session_state_latest(client_actions_cut(spark, sf))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cairn.functions.text import search_terms
 from cairn.plans.guard import broadcast_if_small, fits
 from cairn.plans.partitioning import spread
-from cairn.session import reliable_checkpoint
+from cairn.session import write_stage
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -26,19 +26,16 @@ MAX_BROADCAST_QUESTION_TERMS = 2_000_000
 
 
 def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text",
-                vocabulary: DataFrame | None = None, broadcast_vocabulary: bool = False,
-                partitions: int | None = None) -> tuple[DataFrame, dict]:
+                vocabulary: DataFrame | None = None, broadcast_vocabulary: bool = False) -> tuple[DataFrame, dict]:
     """Postings ``(term, case_id, dl, tf)`` and corpus stats ``{n, avgdl}``.
 
     The text is read and tokenised once. Every document adds one NULL-term
     row to its tokens, so document lengths (for ``n`` and ``avgdl``) come
     out of the same aggregation as the postings. With a ``vocabulary``
-    (a ``term`` column), tokens outside it are dropped map-side before the
-    aggregation, so only postings that a query can touch are built and
-    shuffled; the text itself never moves. With ``partitions`` the index is
-    hash-partitioned by ``case_id``, so all postings of a case sit in one
-    task. The index is checkpointed into the shared checkpoint folder, so
-    stats and scoring read it instead of the text.
+    (a ``term`` column), tokens outside it are dropped, map-side if it can be
+    broadcast; the marker rows take no part in that join, so no key of it
+    holds a row per document. The index is a table in the shared checkpoint
+    folder that stats and scoring read instead of the text.
     """
     terms = search_terms(F.col(text_col))
     # tokenising is the heavy step: spread a narrow scan over the cluster first
@@ -52,14 +49,17 @@ def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text
     if vocabulary is not None:
         v = vocabulary.select("term", F.lit(True).alias("_v"))
         v = F.broadcast(v) if broadcast_vocabulary else v
-        tokens = (tokens.join(v, "term", "left").where(F.col("_v") | F.col("term").isNull())
-                  .drop("_v"))
-    index = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    if partitions:
-        # the partial score aggregation (question_id, case_id) then sees every
-        # posting of a case in one task, so only distinct pairs are shuffled
-        index = index.repartition(partitions, "case_id")
-    index = reliable_checkpoint(index)
+        if broadcast_vocabulary:
+            tokens = tokens.join(v, "term", "left").where(F.col("_v") | F.col("term").isNull()).drop("_v")
+        else:  # terms are counted per case first, so a frequent term is one row per case
+            counted = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+            counted = write_stage(counted, "search-terms")
+            known = counted.where(F.col("term").isNotNull()).join(v, "term").drop("_v")
+            tokens = None
+            index = known.unionByName(counted.where(F.col("term").isNull()))
+    if tokens is not None:
+        index = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    index = write_stage(index, "search-index")
     row = (index.where(F.col("term").isNull())
            .agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(
                F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl")).first())
@@ -92,12 +92,14 @@ def kb_search(questions: DataFrame, cases: DataFrame, k: int = TOP_K, k1: float
     vocab = qt.select("term").distinct()
     small_vocab = fits(vocab, MAX_BROADCAST_QUESTION_TERMS)
     parts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings, stats = index_cases(cases, c_id, vocabulary=vocab, broadcast_vocabulary=small_vocab,
-                                  partitions=parts)
+    postings, stats = index_cases(cases, c_id, vocabulary=vocab, broadcast_vocabulary=small_vocab)
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     df_q = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_q.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    matched = postings.join(qt_b, "term").join(F.broadcast(idf) if small_vocab else idf, "term")
+    # one deal of the postings by case: the scores of a case are then summed in one task, and each
+    # task sends at most k cases per question to the ranking
+    weighted = postings.join(F.broadcast(idf) if small_vocab else idf, "term")
+    matched = weighted.repartition(parts, "case_id").join(qt_b, "term")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
     scores = (matched.groupBy("question_id", "case_id").agg(F.sum(contrib).alias("_s"))
@@ -113,8 +115,8 @@ def kb_search_with_fallback(questions: DataFrame, expert: DataFrame, general: Da
     """Search the expert corpus; questions without a hit scoring at least
     ``min_score`` are searched in the general corpus instead.
     Output: question_id, origin ('expert' | 'general'), rank, case_id, score."""
-    # read three times below: computed once, lineage cut in the checkpoint folder
-    exp = reliable_checkpoint(kb_search(questions, expert, k))
+    # read three times below: computed once
+    exp = write_stage(kb_search(questions, expert, k), "search-expert")
     answered = exp.where(F.col("score") >= min_score).select("question_id").distinct()
     unanswered = questions.join(answered, "question_id", "left_anti")
     gen = kb_search(unanswered, general, k)

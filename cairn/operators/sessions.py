@@ -71,6 +71,37 @@ def final_transcripts(agent_msgs: DataFrame, player_active: bool = True) -> Data
             .withColumn("hhmm", hhmm(F.col("first_ts"))))
 
 
+# --- the chat as displayed ------------------------------------------------------
+
+TOOL_LINE = "\U0001f6e0\ufe0f Using tool: "  # fixed text of the reference client
+
+
+def displayed_messages(agent_msgs: DataFrame, player_active: bool = True) -> DataFrame:
+    """Every message of a session's chat in display order: bot bubbles (A4),
+    user bubbles (A5) and one bot line per tool call. A bubble stands where its
+    first piece arrived. Output: user_id, message_no (from 1), sender, text,
+    first_ts, first_event_id, hhmm."""
+    m = F.col("mime_type")
+    closes = (F.col("kind") == "control") & F.coalesce(F.col("turn_complete"), F.lit(False))
+    closers = ["application/tool_use", "text/plain"] + (["audio/pcm"] if player_active else [])
+    spoken = m == "application/input_transcription"
+    used = agent_msgs.select(SESSION, *ORDER, "mime_type", F.when(spoken | (m == "text/plain"), F.col("data")).alias("data"),
+                             "tool_name", closes.cast("long").alias("_turn"), m.isin(*closers).cast("long").alias("_said"))
+    used = used.withColumns({"_turn": F.coalesce("_turn", F.lit(0)), "_said": F.coalesce("_said", F.lit(0))})
+    d = ordered_scan(used, [SESSION], ORDER, sums=[("turn_no", F.col("_turn")), ("utterance_no", F.col("_said"))])
+    first = F.min(_pos()).alias("_at")
+    bot = (d.where(m == "text/plain").groupBy(SESSION, "turn_no")
+           .agg(first, F.expr("listagg(data, '') WITHIN GROUP (ORDER BY ts, event_id)").alias("text")))
+    user = d.where(spoken).groupBy(SESSION, "utterance_no").agg(first, F.max_by("data", _pos()).alias("text"))
+    tool = d.where(m == "application/tool_use").select(SESSION, _pos().alias("_at"), F.concat(F.lit(TOOL_LINE), "tool_name").alias("text"))
+    cols = [SESSION, F.col("_at.ts").alias("ts"), F.col("_at.event_id").alias("event_id"), "text"]
+    shown = (bot.select(*cols, F.lit("bot").alias("sender")).unionByName(user.select(*cols, F.lit("user").alias("sender")))
+             .unionByName(tool.select(*cols, F.lit("bot").alias("sender"))))
+    numbered = ordered_scan(shown.withColumn("_one", F.lit(1).cast("long")), [SESSION], ORDER, sums=[("message_no", F.col("_one"))])
+    return numbered.select(SESSION, "message_no", "sender", "text", F.col("ts").alias("first_ts"),
+                           F.col("event_id").alias("first_event_id"), hhmm(F.col("ts")).alias("hhmm"))
+
+
 # --- A6, W1 -------------------------------------------------------------------
 
 def session_state_latest(actions: DataFrame) -> DataFrame:

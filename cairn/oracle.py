@@ -140,6 +140,24 @@ SELECT user_id, utterance_no::BIGINT AS utterance_no, min(ts) AS first_ts,
        strftime(min(ts), '%H:%M') AS hhmm
 FROM t WHERE mime_type = 'application/input_transcription' GROUP BY user_id, utterance_no"""
 
+ORACLE["displayed_messages"] = _with(AGENT) + f"""
+, t AS (SELECT *, sum(CASE WHEN kind = 'control' AND coalesce(turn_complete, false) THEN 1 ELSE 0 END)
+                  OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS turn_no,
+               sum(CASE WHEN mime_type IN ('application/tool_use', 'text/plain', 'audio/pcm') THEN 1 ELSE 0 END)
+                  OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS utterance_no FROM agent),
+shown AS (
+  SELECT user_id, min(ts) AS ts, first(event_id ORDER BY ts, event_id) AS event_id, 'bot' AS sender,
+         string_agg(data, '' ORDER BY ts, event_id) AS text
+  FROM t WHERE mime_type = 'text/plain' GROUP BY user_id, turn_no
+  UNION ALL
+  SELECT user_id, min(ts), first(event_id ORDER BY ts, event_id), 'user', first(data ORDER BY ts DESC, event_id DESC)
+  FROM t WHERE mime_type = 'application/input_transcription' GROUP BY user_id, utterance_no
+  UNION ALL
+  SELECT user_id, ts, event_id, 'bot', '\U0001f6e0\ufe0f Using tool: ' || tool_name FROM t WHERE mime_type = 'application/tool_use')
+SELECT user_id, row_number() OVER ({W_SESS})::BIGINT AS message_no, sender, text, ts AS first_ts, event_id AS first_event_id,
+       strftime(ts, '%H:%M') AS hhmm
+FROM shown"""
+
 ORACLE["session_state_latest"] = MSG + """
 SELECT user_id, state_key, state_value, ts AS updated_ts, event_id AS updated_event_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, state_key ORDER BY ts DESC, event_id DESC) AS rn
@@ -324,7 +342,7 @@ SELECT conv_id AS job_id, printf('driveroutput.%09d', turn) AS file_name, text F
 
 KB_SQL = r"""
 SELECT lang AS product, DATE '2024-01-01' + (doc_id % 365)::INTEGER AS updated_at, source AS category,
-       nullif(regexp_replace(text, '[\r\n]+', ' ', 'g'), '') AS explanation,
+       nullif(text, '') AS explanation,
        CASE WHEN doc_id = 5 THEN NULL ELSE n_chars::VARCHAR END AS solution
 FROM documents WHERE doc_id <> 7"""
 ORACLE["kb_sheet_scan"] = KB_SQL

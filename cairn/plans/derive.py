@@ -222,14 +222,14 @@ def _csv_quote(c: Column) -> Column:
 def kb_sheet_lines(documents: DataFrame, bad_ids=KB_BAD_DATE_IDS) -> DataFrame:
     """CSV lines of the knowledge-base sheet derived from ``documents``:
     product = lang, updated_at = 2024-01-01 + doc_id % 365 days, category =
-    source, explanation = the whole text with line breaks as spaces,
+    source, explanation = the whole text (its line breaks make multi-line cells),
     solution = n_chars. Bad dates for ``bad_ids``; one row with an extra
     column, one short row."""
     i = F.col("doc_id")
     date = F.when(i.isin(*bad_ids), F.lit("not-a-date")).otherwise(
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")), "yyyy-MM-dd"))
-    expl = F.regexp_replace(F.col("text"), r"[\r\n]+", " ")
-    fields = [_csv_quote(F.col("lang")), _csv_quote(date), _csv_quote(F.col("source")), _csv_quote(expl)]
+    fields = [_csv_quote(F.col("lang")), _csv_quote(date), _csv_quote(F.col("source")),
+              _csv_quote(F.col("text"))]
     solution = _csv_quote(F.col("n_chars").cast("string"))
     line = (F.when(i == KB_SHORT_ROW_ID, F.concat_ws(",", *fields))
             .when(i == KB_EXTRA_COLUMN_ID, F.concat_ws(",", *fields, solution, F.lit('"extra"')))

@@ -102,12 +102,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
-def reliable_checkpoint(df):
-    """``df.checkpoint()`` into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_stage(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return the table read back: the lineage is cut, a lost executor costs a

@@ -94,11 +94,16 @@ def _parent(p: Column) -> Column:
     return F.regexp_extract(_canon(p), r"^(.*)/[^/]*$", 1)
 
 
+def _decoded(p: Column) -> Column:
+    """A file path as the scan reports it, with its percent codes resolved."""
+    return F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
+
+
 def driver_log_chunks(spark: SparkSession, root: str) -> DataFrame:
     """All driver-output chunk files under ``root``: ``(dir, file_name, text)``.
     The scalable form: one row per chunk, nothing concatenated."""
     files = whole_text_files(spark, root, glob=DRIVER_OUTPUT_PREFIX + "*")
-    return files.select(_parent(F.col("path")).alias("dir"), F.col("artifact_name").alias("file_name"), "text")
+    return files.select(_parent(_decoded(F.col("path"))).alias("dir"), F.col("artifact_name").alias("file_name"), "text")
 
 
 def driver_log_text(spark: SparkSession, jobs: DataFrame, root: str) -> DataFrame:
@@ -106,8 +111,9 @@ def driver_log_text(spark: SparkSession, jobs: DataFrame, root: str) -> DataFram
 
     The chunks are the ``driveroutput.*`` objects directly in the URI's
     parent folder, concatenated in name order (zero-padded, so name order is
-    chunk order). No URI -> NULL; no chunk -> ''. The concatenation is one
-    value per job by definition; :func:`driver_log_chunks` keeps the rows.
+    chunk order). No URI, or one outside ``root`` (its folder was not looked
+    into) -> NULL; no chunk -> ''. The concatenation is one value per job by
+    definition; :func:`driver_log_chunks` keeps the rows.
     """
     chunks = driver_log_chunks(spark, root)
     per_dir = (chunks.groupBy("dir")
@@ -115,7 +121,8 @@ def driver_log_text(spark: SparkSession, jobs: DataFrame, root: str) -> DataFram
                     F.expr("listagg(text, '') WITHIN GROUP (ORDER BY file_name)").alias("text")))
     j = jobs.withColumn("dir", F.when(F.col("output_uri").isNotNull(), _parent(F.col("output_uri"))))
     out = j.join(per_dir, on="dir", how="left")
-    has_uri = F.col("output_uri").isNotNull()
+    base = _canon(F.lit(root.rstrip("/")))
+    has_uri = F.col("output_uri").isNotNull() & ((F.col("dir") == base) | F.startswith(F.col("dir"), F.concat(base, F.lit("/"))))
     return out.select("job_id",
                       F.when(has_uri, F.coalesce("n_chunks", F.lit(0))).cast("long").alias("n_chunks"),
                       F.when(has_uri, F.coalesce("text", F.lit(""))).alias("text"))

@@ -19,6 +19,10 @@ def test_kb_budget(spark, sf_small):
     r3 = cases.join(docs.where("doc_id = 3").select(F.col("n_chars").cast("string").alias("solution")), "solution")
     assert r3.count() >= 1                                   # extra column ignored
     assert cases.where("solution IS NULL").count() == 1      # short row padded
+    long_ = docs.where("text like '%\n%'").select("text").first().text
+    assert cases.where(F.col("explanation") == long_).count() >= 1   # a multi-line cell
+    _, postings, stats = KB.kb_index(KB.kb_refresh(cases, staging_path(spark, "kb-native")))
+    assert stats["n"] == cases.count() and postings.where("term is not null").count() > 0
     over = staging_path(spark, "kb-over")
     FS.write_text_parts(D.kb_sheet_lines(docs, bad_ids=(7, 11)), over, "line", header=D.KB_HEADER, suffix=".csv")
     with pytest.raises(KB.BadRecordBudgetExceeded):
@@ -36,10 +40,13 @@ def test_files_and_driver_logs(spark):
     assert FS.write_named_files(files, root, "name", "content") == 9
     blobs = sorted((r.artifact_name, r.length) for r in FS.binary_files(spark, root).collect())
     assert blobs == [("a.pdf", 4), ("b.png", 4)]
-    jobs = spark.createDataFrame([(1, f"{root}/job-1/driveroutput"), (2, f"{root}/job-2/driveroutput"), (3, None)],
+    spaced = spark.createDataFrame([("job 4+é/driveroutput.000000000", b"D")], "name string, content binary")
+    FS.write_named_files(spaced, root, "name", "content")
+    jobs = spark.createDataFrame([(1, f"{root}/job-1/driveroutput"), (2, f"{root}/job-2/driveroutput"), (3, None),
+                                  (4, f"{root}/job 4+é/driveroutput"), (5, "file:/elsewhere/job-5/driveroutput")],
                                  "job_id long, output_uri string")
     got = {r.job_id: r.text for r in FS.driver_log_text(spark, jobs, root).collect()}
-    assert got == {1: "ABC", 2: "", 3: None}
+    assert got == {1: "ABC", 2: "", 3: None, 4: "D", 5: None}
 
 
 def test_cluster_names_without_clusters_key(spark):
