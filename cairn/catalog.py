@@ -433,22 +433,66 @@ from cairn.streaming import operators as ST  # noqa: E402
 from cairn.streaming.staging import (  # noqa: E402
     file_stream,
     run_foreach_batch,
+    ROWS_PER_CHUNK,
     run_to_parquet,
     stage_chunks,
+    stage_tick,
+    time_span,
 )
 
 
-def _stream(spark, sf, name, build, order_col):
-    root = staged(spark, sf, f"stream-{name}", lambda r: stage_chunks(build(), r, order_col))
-    return file_stream(spark, f"{root}/chunk-*/*.parquet")
+REPLAY_CHUNKS = 4
+_SPANS: dict[tuple[str, str], tuple[int, int, int]] = {}
+
+
+def _span(spark, sf):
+    """First time, last time and size of the recording: shared by its sources."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SPANS:
+        _SPANS[key] = time_span(_events(spark, sf), "ts")
+    return _SPANS[key]
+
+
+def _stream(spark, sf, name, build, order_col, span=None):
+    root = staged(spark, sf, f"stream-{name}", lambda r: stage_chunks(build(), r, order_col, REPLAY_CHUNKS, span=span))
+    return file_stream(spark, f"{root}/split", "/_c=*/*.parquet")
 
 
 def _agent_stream(spark, sf):
-    return _stream(spark, sf, "agent-events", lambda: agent_events(spark, sf), "ts")
+    return _stream(spark, sf, "agent-events", lambda: agent_events(spark, sf), "ts", _span(spark, sf))
 
 
 def _client_stream(spark, sf):
-    return _stream(spark, sf, "client-messages", lambda: client_messages(spark, sf), "ts")
+    return _stream(spark, sf, "client-messages", lambda: client_messages(spark, sf), "ts", _span(spark, sf))
+
+
+def _ticks(spark, sf, **columns):
+    """The replay's clock: after the recording, one row three days later lets the
+    watermark pass everything, so all that is open is closed."""
+    _, hi, n = _span(spark, sf)
+    chunks = max(REPLAY_CHUNKS, -(-n // ROWS_PER_CHUNK))
+    root = staged(spark, sf, "stream-ticks", lambda r: stage_tick(spark, r, hi + 3 * 86_400_000_000, chunks))
+    return file_stream(spark, f"{root}/split", "/_c=*/*.parquet").select(
+        F.lit(None).cast("long").alias("user_id"), "ts", F.lit(-1).cast("long").alias("event_id"),
+        *[F.lit(v).alias(k) for k, v in columns.items()])
+
+
+def _cut_stream_output(spark, sf):
+    out = staging_path(spark, "out-cut")
+    routed = ST.stream_route_messages(_client_stream(spark, sf))
+    rows = routed.unionByName(_ticks(spark, sf, action=ST.TICK), allowMissingColumns=True)
+    run_to_parquet(ST.stream_cut_at_first_error(rows), out, staging_path(spark, "ckpt"))
+    return spark.read.parquet(out)
+
+
+@register("stream_cut_at_first_error")
+def q_stream_cut_at_first_error(spark, sf):
+    return _cut_stream_output(spark, sf)
+
+
+def _cut_stream(spark, sf):
+    """The actions of :func:`stream_cut_at_first_error` as the recording that later streams read."""
+    return _stream(spark, sf, "cut-actions", lambda: _cut_stream_output(spark, sf), "ts", _span(spark, sf))
 
 
 @register("stream_route_events")
@@ -483,7 +527,7 @@ def q_stream_session_state(spark, sf):
     def sink(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run_foreach_batch(ST.stream_session_state(ST.stream_route_messages(_client_stream(spark, sf))), sink,
+    run_foreach_batch(ST.stream_session_state(_cut_stream(spark, sf)), sink,
                       staging_path(spark, "ckpt"), mode="update")
     updates = spark.read.parquet(out)
     last = F.max_by(F.struct("state_value", "updated_ts", "updated_event_id"), F.col("batch"))
@@ -494,8 +538,8 @@ def q_stream_session_state(spark, sf):
 @register("stream_activity_sessions")
 def q_stream_activity_sessions(spark, sf):
     out = staging_path(spark, "out-activity-sessions")
-    activity = S.activity_rows(ST.stream_route_events(_agent_stream(spark, sf)),
-                               ST.stream_route_messages(_client_stream(spark, sf)))
+    activity = S.activity_rows(ST.stream_route_events(_agent_stream(spark, sf)), _cut_stream(spark, sf))
+    activity = activity.unionByName(_ticks(spark, sf, side=9))
     # append mode: a session is emitted once, when the watermark closes it, and its state dropped
     run_to_parquet(ST.stream_activity_sessions(activity), out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
@@ -504,7 +548,8 @@ def q_stream_activity_sessions(spark, sf):
 @register("stream_bot_messages")
 def q_stream_bot_messages(spark, sf):
     out = staging_path(spark, "out-bot-messages")
-    msgs = ST.stream_bot_messages(ST.stream_route_events(_agent_stream(spark, sf)))
+    msgs = ST.stream_route_events(_agent_stream(spark, sf)).unionByName(_ticks(spark, sf, kind=ST.TICK), allowMissingColumns=True)
+    msgs = ST.stream_bot_messages(msgs)
     run_to_parquet(msgs, out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out).withColumn("hhmm", M.hhmm(F.col("first_ts")))
 
@@ -520,16 +565,17 @@ def q_stream_suppress_near_duplicates_t28(spark, sf):
 @register("stream_idle_stops")
 def q_stream_idle_stops(spark, sf):
     out = staging_path(spark, "out-idle-stops")
-    timeline = ST.idle_timeline(ST.stream_route_events(_agent_stream(spark, sf)),
-                                ST.stream_route_messages(_client_stream(spark, sf)))
-    run_to_parquet(ST.stream_idle_stops(timeline), out, staging_path(spark, "ckpt"))
+    timeline = ST.idle_timeline(ST.stream_route_events(_agent_stream(spark, sf)), _cut_stream(spark, sf), with_others=True)
+    timeline = timeline.unionByName(_ticks(spark, sf, side=9, kind="other"))
+    run_to_parquet(ST.stream_idle_stops(timeline, until_horizon=True), out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
 
 
 @register("stream_sample_per_second")
 def q_stream_sample_per_second(spark, sf):
     out = staging_path(spark, "out-sample")
-    frames = ST.stream_sample_per_window(ST.stream_route_messages(_client_stream(spark, sf)), "1 second")
+    actions = _cut_stream(spark, sf).unionByName(_ticks(spark, sf, action=ST.TICK), allowMissingColumns=True)
+    frames = ST.stream_sample_per_window(actions, "1 second")
     run_to_parquet(frames, out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
 

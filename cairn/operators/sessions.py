@@ -153,17 +153,22 @@ def screen_share_intervals(actions: DataFrame) -> DataFrame:
 
 # --- activity (T1, W3) -------------------------------------------------------
 
-def activity_rows(agent_msgs: DataFrame, actions: DataFrame, player_active: bool = True) -> DataFrame:
+def activity_rows(agent_msgs: DataFrame, actions: DataFrame, player_active: bool = True,
+                  controls: DataFrame | None = None) -> DataFrame:
     """Rows that re-arm the idle timer: server audio (while a player exists),
-    server text (incl. output transcription), screen start. Frames, user
-    text, input transcriptions and tool use are not activity.
-    Output: user_id, ts, event_id, side (0 client, 1 agent)."""
+    server text (incl. output transcription), screen start, audio start
+    (``controls``, as in :func:`idle_forced_stops`). Frames, user text, input
+    transcriptions and tool use are not activity.
+    Output: user_id, ts, event_id, side (0 client, 1 agent, 2 audio control)."""
     server = ["text/plain"] + (["audio/pcm"] if player_active else [])
     a = (agent_msgs.where(F.col("mime_type").isin(*server))
          .select(SESSION, *ORDER, F.lit(1).alias("side")))
     c = (actions.where((F.col("action") == "state") & (F.col("state_value") == "on"))
          .select(SESSION, *ORDER, F.lit(0).alias("side")))
-    return c.unionByName(a)
+    rows = c.unionByName(a)
+    if controls is not None:
+        rows = rows.unionByName(controls.where(F.col("control") == "audio_on").select(SESSION, *ORDER, F.lit(2).alias("side")))
+    return rows
 
 
 def activity_sessions(activity: DataFrame, gap_seconds: int = IDLE_TIMEOUT_MS // 1000) -> DataFrame:

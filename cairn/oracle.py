@@ -418,73 +418,16 @@ SELECT * FROM events WHERE json_extract_string(props, '$.k') = '7' AND event_typ
 # --- streaming (final results equal their batch twins) ------------------------------
 ORACLE["stream_route_events"] = ORACLE["route_agent_events"]
 ORACLE["stream_route_messages"] = ORACLE["route_client_messages"]
-ORACLE["stream_session_state"] = _with(CLIENT, ROUTED) + """
-SELECT user_id, state_key, state_value, ts AS updated_ts, event_id AS updated_event_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, state_key ORDER BY ts DESC, event_id DESC) AS rn
-  FROM routed WHERE action = 'state') WHERE rn = 1"""
-# T1 streaming, append mode: a session is emitted once the final watermark
-# (latest activity time - 10 minutes) reaches its end.
-ORACLE["stream_activity_sessions"] = _with(AGENT, CLIENT, ROUTED) + """
-, act AS (SELECT user_id, ts, event_id, 0 AS side FROM routed WHERE action = 'state' AND state_value = 'on'
-          UNION ALL
-          SELECT user_id, ts, event_id, 1 AS side FROM agent WHERE mime_type IN ('text/plain', 'audio/pcm')),
-g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new
-      FROM act WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id, side)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id, side ROWS UNBOUNDED PRECEDING) AS sno FROM g),
-wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM act)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 300 SECOND AS session_end, count(*) AS n_events
-FROM s GROUP BY user_id, sno
-HAVING max(ts) + INTERVAL 300 SECOND <= (SELECT wm FROM wm)"""
-ORACLE["stream_bot_messages"] = _with(AGENT) + f"""
-, t AS (SELECT *, sum(CASE WHEN kind = 'control' AND coalesce(turn_complete, false) THEN 1 ELSE 0 END)
-                  OVER ({W_SESS} ROWS UNBOUNDED PRECEDING) AS turn_no,
-               sum(CASE WHEN kind = 'control' AND coalesce(turn_complete, false) THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY user_id) AS n_closed FROM agent)
-SELECT user_id, turn_no::BIGINT AS turn_no, min(ts) AS first_ts,
-       string_agg(data, '' ORDER BY ts, event_id) AS text, count(*) AS n_chunks,
-       strftime(min(ts), '%H:%M') AS hhmm
-FROM t WHERE mime_type = 'text/plain' AND turn_no < n_closed GROUP BY user_id, turn_no"""
+CUT_COLUMNS = "user_id, ts, event_id, action, mime_type, state_key, state_value"
+ORACLE["stream_cut_at_first_error"] = f"SELECT {CUT_COLUMNS} FROM ({ORACLE['cut_at_first_error']})"
+ORACLE["stream_session_state"] = ORACLE["session_state_latest"]
+ORACLE["stream_activity_sessions"] = (
+    f"SELECT user_id, session_start, session_end, n_events FROM ({ORACLE['activity_sessions']})")
+ORACLE["stream_bot_messages"] = ORACLE["assemble_bot_messages"]
 ORACLE["stream_suppress_near_duplicates_t28"] = _near_dup_sql(28)
 
-# Like W3 over the uncut messages; a timer without a later row fires
-# once the final watermark (latest timeline time - 10 minutes) passes it.
-ORACLE["stream_idle_stops"] = _with(AGENT, CLIENT, ROUTED) + f"""
-, onoff AS (SELECT * FROM routed WHERE action = 'state' AND state_value IN ('on', 'off')),
-chg AS (SELECT * FROM (SELECT *, coalesce(lag(state_value) OVER ({W_SESS}), 'off') AS prev FROM onoff)
-        WHERE state_value <> prev),
-tl AS (
-  SELECT o.user_id, o.ts, o.event_id, 0 AS side, o.state_value = 'on' AS arm,
-         CASE WHEN c.event_id IS NOT NULL THEN c.state_value = 'on' END AS iv_open,
-         CASE WHEN c.event_id IS NOT NULL THEN c.ts END AS iv_start
-  FROM onoff o LEFT JOIN chg c ON o.user_id = c.user_id AND o.event_id = c.event_id
-  UNION ALL
-  SELECT user_id, ts, event_id, 1, true, NULL, NULL FROM agent WHERE mime_type IN ('text/plain', 'audio/pcm')),
-sc AS (
-  SELECT *, last_value(iv_open IGNORE NULLS) OVER w1 AS cur_open,
-            last_value(iv_start IGNORE NULLS) OVER w1 AS cur_start,
-            lead(ts) OVER w2 AS next_ts
-  FROM tl
-  WINDOW w1 AS (PARTITION BY user_id ORDER BY ts, event_id, side ROWS UNBOUNDED PRECEDING),
-         w2 AS (PARTITION BY user_id ORDER BY ts, event_id, side)),
-wm AS (SELECT epoch_ms(max(ts)) - 600000 AS wm_ms FROM tl),
-f AS (
-  SELECT sc.*, ts + INTERVAL 300000 MILLISECOND AS deadline FROM sc, wm
-  WHERE arm AND coalesce(cur_open, false)
-    AND CASE WHEN next_ts IS NULL THEN epoch_ms(ts + INTERVAL 300000 MILLISECOND) < wm_ms
-             ELSE next_ts > ts + INTERVAL 300000 MILLISECOND END)
-SELECT user_id, cur_start AS interval_start, min(deadline) AS stop_ts,
-       first(event_id ORDER BY deadline, event_id) AS armed_event_id
-FROM f GROUP BY user_id, cur_start"""
-
-# T2 streaming: windows are emitted once the final watermark (latest frame time
-# - 10 minutes) reaches their end; uncut messages, like the other streams.
-ORACLE["stream_sample_per_second"] = _with(CLIENT, ROUTED) + """
-, fr AS (SELECT * FROM routed WHERE action = 'realtime' AND mime_type = 'image/jpeg'),
-wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM fr)
-SELECT user_id, date_trunc('second', ts) AS window_start, date_trunc('second', ts) + INTERVAL 1 SECOND AS window_end,
-       first(event_id ORDER BY ts DESC, event_id DESC) AS frame_event_id, count(*) AS n_frames
-FROM fr GROUP BY user_id, date_trunc('second', ts)
-HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT wm FROM wm)"""
+ORACLE["stream_idle_stops"] = ORACLE["idle_forced_stops"]
+ORACLE["stream_sample_per_second"] = ORACLE["sample_per_second"]
 
 # S1 over files: the text writer appends one newline to every document.
 ORACLE["word_count_text_source"] = _with(LINES.replace("FROM documents", "FROM (SELECT doc_id, text || chr(10) AS text FROM documents)"), WORDS, COUNTS) + \

@@ -3,13 +3,15 @@ stateful ones keep per-session state in the state store."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from cairn.operators.frames import DUPLICATE_DISTANCE
+from cairn.operators.frames import DUPLICATE_DISTANCE, fold_bits
 from cairn.operators.routing import route_agent_events, route_client_messages
 from cairn.operators.sessions import IDLE_TIMEOUT_MS
 
@@ -72,56 +74,131 @@ def stream_activity_sessions(activity: DataFrame, gap_seconds: int = IDLE_TIMEOU
                     F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n_events"))
 
 
+# --- rows in order: held until the watermark has passed them -------------------------
+
+SESSION_EXPIRY = "1 day"
+TICK = "tick"
+
+
+def _release(buffer: bytes | None, batches, state, keys: list[str]) -> tuple[pd.DataFrame, bytes | None, int | None, int]:
+    """(rows at or before the watermark in the order of ``keys``, the rest as
+    state bytes, its first time, the watermark), times in microseconds. Rows that
+    arrive late but within the watermark's delay thus take their place."""
+    frames = [pickle.loads(buffer)] if buffer else []
+    frames += [b for b in batches if len(b)]
+    watermark = state.getCurrentWatermarkMs() * 1000
+    if not frames:
+        return pd.DataFrame(), None, None, watermark
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    ts = _micros(rows["ts"])
+    ready = ts <= watermark
+    rest = rows[~ready]
+    rows = rows[ready].sort_values(keys, kind="stable")
+    return (rows, pickle.dumps(rest.reset_index(drop=True)) if len(rest) else None,
+            int(ts[~ready].min()) if len(rest) else None, watermark)
+
+
+def _micros_of(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1_000_000)
+
+
+def _wait(state, values: tuple, first_held: int | None, last: int, expiry: int, watermark: int) -> None:
+    """Keep ``values`` until the watermark passes the first held row or, without
+    one, until the session has been silent for ``expiry``."""
+    state.update(values)
+    at = first_held if first_held is not None else last + expiry
+    state.setTimeoutTimestamp(max(at, watermark) // 1000 + 1)
+
+
+# --- W4: the first-error cut -----------------------------------------------------------
+
+CUT_COLUMNS = [SESSION, "ts", "event_id", "action", "mime_type", "state_key", "state_value"]
+CUT_OUT = ("user_id long, ts timestamp_ntz, event_id long, action string, mime_type string, state_key string, "
+           "state_value string")
+
+
+def stream_cut_at_first_error(actions: DataFrame, delay: str = "10 minutes", expiry: str = SESSION_EXPIRY) -> DataFrame:
+    """Rows of each session before its first error row, in append mode.
+
+    Rows are held until the watermark passes them and released in order; after
+    an error the session is closed until it has been silent for ``expiry``.
+    """
+    expiry_us = _micros_of(expiry)
+
+    def fold(key, batches, state):
+        closed, last, buffer = state.get if state.exists else (False, 0, None)
+        rows, buffer, held, watermark = _release(buffer, batches, state, ["ts", "event_id"])
+        out = rows
+        if len(rows):
+            last = max(last, int(_micros(rows["ts"]).max()))
+            bad = np.flatnonzero((rows["action"] == "error").to_numpy())
+            out = rows.iloc[:0] if closed else rows.iloc[:bad[0]] if len(bad) else rows
+            closed = closed or len(bad) > 0
+        if held is None and last + expiry_us <= watermark:
+            state.remove()
+        else:
+            _wait(state, (closed, last, buffer), held, last, expiry_us, watermark)
+        out = out[out["action"] != TICK] if len(out) else out
+        if len(out):
+            yield out[CUT_COLUMNS]
+
+    return (event_time(actions.select(*CUT_COLUMNS), delay).groupBy(SESSION)
+            .applyInPandasWithState(fold, CUT_OUT, "closed boolean, last_us long, buffer binary", "append",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
 # --- T7: bot messages, emitted when their turn completes ----------------------------
 
 BOT_OUT = "user_id long, turn_no long, first_ts timestamp_ntz, text string, n_chunks long"
-BOT_STATE = "text string, first_us long, n long, turn_no long"
+BOT_STATE = "text string, first_us long, n long, turn_no long, last_us long, buffer binary"
 
 
-def _bot_messages_fold(key, batches, state):
-    rows = _frame(batches)
-    if state.exists:
-        text, first_us, n, turn_no = state.get
-    else:
-        text, first_us, n, turn_no = "", None, 0, 0
-    if rows.empty:
-        return
-    ts = _micros(rows["ts"])
-    idx = _order(ts, rows["event_id"].to_numpy())
-    cols = [rows[c].to_numpy() for c in ("kind", "turn_complete", "mime_type", "data")]
-    if idx is not None:
-        ts, cols = ts[idx], [c[idx] for c in cols]
-    parts = [text]
-    out = []
-    for kind, tc, mime, data, t in zip(*[c.tolist() for c in cols], ts.tolist()):
-        if kind == "control" and tc is True:
-            if n > 0:
-                out.append((key[0], turn_no, first_us, "".join(parts), n))
-            parts, first_us, n, turn_no = [], None, 0, turn_no + 1
-        elif mime == "text/plain":
-            if n == 0:
-                first_us = t
-            if isinstance(data, str):
-                parts.append(data)
-            n += 1
-    state.update(("".join(parts), first_us, n, turn_no))
-    if out:
-        o = pd.DataFrame(out, columns=["user_id", "turn_no", "first_ts", "text", "n_chunks"])
-        o["first_ts"] = pd.to_datetime(o["first_ts"], unit="us")
-        yield o
-
-
-def stream_bot_messages(agent_msgs: DataFrame) -> DataFrame:
+def stream_bot_messages(agent_msgs: DataFrame, delay: str = "10 minutes", expiry: str = SESSION_EXPIRY) -> DataFrame:
     """Bot messages emitted when ``turn_complete`` closes them (append mode).
 
-    State per session: the open text, its first time, chunk count and the
-    number of closed turns. Each micro-batch's rows of a session are sorted
-    before folding; batches must arrive in event-time order per session (as
-    a replayed recording does). Open messages stay in state.
+    Rows newer than the watermark are held in state and folded in order once it
+    has passed them. State per session: the open text, its first time, chunk
+    count, the number of closed turns and the held rows. A session that has been
+    silent for ``expiry`` is over: its open message is emitted and its state
+    dropped.
     """
+    expiry_us = _micros_of(expiry)
+
+    def fold(key, batches, state):
+        text, first_us, n, turn_no, last, buffer = state.get if state.exists else ("", None, 0, 0, 0, None)
+        rows, buffer, held, watermark = _release(buffer, batches, state, ["ts", "event_id"])
+        parts, out = [text], []
+
+        def close():
+            if n > 0:
+                out.append((key[0], turn_no, first_us, "".join(parts), n))
+        if len(rows):
+            ts = _micros(rows["ts"])
+            last = max(last, int(ts.max()))
+            cols = [rows[c].tolist() for c in ("kind", "turn_complete", "mime_type", "data")]
+            for kind, tc, mime, data, t in zip(*cols, ts.tolist()):
+                if kind == "control" and tc is True:
+                    close()
+                    parts, first_us, n, turn_no = [], None, 0, turn_no + 1
+                elif mime == "text/plain":
+                    if n == 0:
+                        first_us = t
+                    if isinstance(data, str):
+                        parts.append(data)
+                    n += 1
+        if held is None and last + expiry_us <= watermark:
+            close()
+            state.remove()
+        else:
+            _wait(state, ("".join(parts), first_us, n, turn_no, last, buffer), held, last, expiry_us, watermark)
+        if out:
+            o = pd.DataFrame(out, columns=["user_id", "turn_no", "first_ts", "text", "n_chunks"])
+            o["first_ts"] = pd.to_datetime(o["first_ts"], unit="us")
+            yield o
+
     cols = agent_msgs.select(SESSION, "ts", "event_id", "kind", "turn_complete", "mime_type", "data")
-    return cols.groupBy(SESSION).applyInPandasWithState(
-        _bot_messages_fold, BOT_OUT, BOT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return event_time(cols, delay).groupBy(SESSION).applyInPandasWithState(
+        fold, BOT_OUT, BOT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- T3: near-duplicate suppression over a frame stream -----------------------------
@@ -141,11 +218,10 @@ def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICAT
             rows = rows.iloc[idx]
         last = np.array([state.get[0]], dtype=np.int64).view(np.uint64)[0] if state.exists else None
         bits = rows["sig_bits"].to_numpy(dtype=np.int64).view(np.uint64)
+        at = fold_bits(bits, last, t)
         keep = np.zeros(len(rows), dtype=bool)
-        for i in range(len(rows)):
-            if last is None or int(bits[i] ^ last).bit_count() > t:
-                keep[i] = True
-                last = bits[i]
+        keep[at] = True
+        last = bits[at[-1]] if len(at) else last
         if last is not None:
             state.update((int(np.array([last], dtype=np.uint64).view(np.int64)[0]),))
         if keep.any():
@@ -158,75 +234,84 @@ def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICAT
 # --- T8: idle forced stops with event-time timeouts ---------------------------------
 
 IDLE_OUT = "user_id long, interval_start timestamp_ntz, stop_ts timestamp_ntz, armed_event_id long"
-IDLE_STATE = "open boolean, start_us long, deadline_us long, armed_id long, fired boolean"
-
-
-def idle_timeline(agent_msgs: DataFrame, actions: DataFrame, player_active: bool = True) -> DataFrame:
-    """Timer-relevant rows: server activity (arms), screen 'on' (opens and
-    arms) and 'off' (closes and cancels). Columns: user_id, ts, event_id, side, kind."""
-    server = ["text/plain"] + (["audio/pcm"] if player_active else [])
-    act = (agent_msgs.where(F.col("mime_type").isin(*server))
-           .select(SESSION, "ts", "event_id", F.lit(1).alias("side"), F.lit("act").alias("kind")))
-    st = (actions.where((F.col("action") == "state") & F.col("state_value").isin("on", "off"))
-          .select(SESSION, "ts", "event_id", F.lit(0).alias("side"), F.col("state_value").alias("kind")))
-    return st.unionByName(act)
-
-
-def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS,
-                      delay: str = "10 minutes") -> DataFrame:
+IDLE_STATE = "open boolean, start_us long, deadline_us long, armed_id long, fired boolean, last_us long, buffer binary"
+IDLE_COLUMNS = [SESSION, "ts", "event_id", "side", "kind"]
+
+
+def idle_timeline(agent_msgs: DataFrame, actions: DataFrame, player_active: bool = True,
+                  controls: DataFrame | None = None, with_others: bool = False) -> DataFrame:
+    """Timer-relevant rows: server activity ('act', arms), screen 'on' (opens and
+    arms) and 'off' (closes and cancels), audio on ('act') and off ('cancel') from
+    ``controls``. With ``with_others`` all other rows too ('other'): they show that
+    the session goes on. Columns: user_id, ts, event_id, side, kind."""
+    server = F.coalesce(F.col("mime_type").isin(*["text/plain"] + (["audio/pcm"] if player_active else [])), F.lit(False))
+    state = F.coalesce((F.col("action") == "state") & F.col("state_value").isin("on", "off"), F.lit(False))
+    act = agent_msgs.select(SESSION, "ts", "event_id", F.lit(1).alias("side"), F.when(server, "act").otherwise("other").alias("kind"))
+    st = actions.select(SESSION, "ts", "event_id", F.lit(0).alias("side"),
+                        F.when(state, F.col("state_value")).otherwise("other").alias("kind"))
+    rows = st.unionByName(act)
+    if controls is not None:
+        rows = rows.unionByName(controls.select(SESSION, "ts", "event_id", F.lit(2).alias("side"),
+                                                F.when(F.col("control") == "audio_on", "act").otherwise("cancel").alias("kind")))
+    return rows if with_others else rows.where("kind <> 'other'")
+
+
+def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS, delay: str = "10 minutes",
+                      expiry: str = SESSION_EXPIRY, until_horizon: bool = False) -> DataFrame:
     """Forced stops of screen sharing by the inactivity timer (append mode).
 
-    State per session: whether the recorded sharing is open, since when, the
-    armed deadline and whether this interval already fired. A deadline fires
-    when a later row arrives after it, or when the watermark passes it (the
-    event-time timeout); the state is dropped while sharing is closed.
+    Rows newer than the watermark are held and folded in order once it has
+    passed them. State per session: whether the recorded sharing is open, since
+    when, the armed deadline, whether this interval already fired and the held
+    rows. A deadline fires when a later row comes after it, or when the watermark
+    passes it; with ``until_horizon`` (a replayed recording) only rows of the
+    session itself let it fire, as in the batch form. A session without an open
+    interval, or silent for ``expiry``, is dropped.
     """
-    timeout_us = timeout_ms * 1000
+    timeout_us, expiry_us = timeout_ms * 1000, _micros_of(expiry)
 
     def fold(key, batches, state):
-        if state.exists:
-            is_open, start_us, deadline_us, armed_id, fired = state.get
-        else:
-            is_open, start_us, deadline_us, armed_id, fired = False, None, None, None, False
+        is_open, start_us, deadline, armed_id, fired, last, buffer = state.get if state.exists else (
+            False, None, None, None, False, 0, None)
+        known = state.exists
+        rows, buffer, held, watermark = _release(buffer, batches, state, ["ts", "_late", "event_id", "side"])
         out = []
 
         def fire():
-            out.append((key[0], pd.Timestamp(start_us, unit="us"), pd.Timestamp(deadline_us, unit="us"), armed_id))
-
-        if state.hasTimedOut:
+            out.append((key[0], pd.Timestamp(start_us, unit="us"), pd.Timestamp(deadline, unit="us"), armed_id))
+        if len(rows):
+            ts = _micros(rows["ts"])
+            last = max(last, int(ts.max()))
+            for t, eid, kind in zip(ts.tolist(), rows["event_id"].tolist(), rows["kind"].tolist()):
+                if deadline is not None and (t > deadline or (kind == "other" and t == deadline)):
+                    fire()
+                    fired, deadline = True, None
+                if kind == "on":
+                    if not is_open:
+                        is_open, start_us, fired = True, t, False
+                    if not fired:
+                        deadline, armed_id = t + timeout_us, eid
+                elif kind == "off":
+                    is_open, deadline = False, None
+                elif kind == "cancel":
+                    deadline = None
+                elif kind == "act" and is_open and not fired:
+                    deadline, armed_id = t + timeout_us, eid
+        if held is None and not until_horizon and deadline is not None and deadline < watermark:
             fire()
-            fired, deadline_us = True, None
-        else:
-            rows = _frame(batches)
-            if not rows.empty:
-                ts = _micros(rows["ts"])
-                eids, kinds = rows["event_id"].to_numpy(), rows["kind"].to_numpy()
-                idx = _order(ts, eids, rows["side"].to_numpy())
-                if idx is not None:
-                    ts, eids, kinds = ts[idx], eids[idx], kinds[idx]
-                for t_us, eid, kind in zip(ts.tolist(), eids.tolist(), kinds):
-                    if deadline_us is not None and t_us > deadline_us:
-                        fire()
-                        fired, deadline_us = True, None
-                    if kind == "on":
-                        if not is_open:
-                            is_open, start_us, fired = True, t_us, False
-                        if not fired:
-                            deadline_us, armed_id = t_us + timeout_us, eid
-                    elif kind == "off":
-                        is_open, deadline_us = False, None
-                    elif is_open and not fired:
-                        deadline_us, armed_id = t_us + timeout_us, eid
-        if not is_open and deadline_us is None:
-            state.remove()
+            fired, deadline = True, None
+        over = held is None and (last + expiry_us <= watermark or (not is_open and deadline is None))
+        if over:
+            if known:
+                state.remove()
         else:
-            state.update((is_open, start_us, deadline_us, armed_id, fired))
-            if deadline_us is not None:
-                state.setTimeoutTimestamp(deadline_us // 1000)
+            _wait(state, (is_open, start_us, deadline, armed_id, fired, last, buffer),
+                  held if held is not None or deadline is None or until_horizon else deadline, last, expiry_us, watermark)
         if out:
             yield pd.DataFrame(out, columns=["user_id", "interval_start", "stop_ts", "armed_event_id"])
 
-    return (event_time(timeline, delay).groupBy(SESSION)
+    rows = timeline.select(*IDLE_COLUMNS, (F.col("kind") == "other").cast("int").alias("_late"))
+    return (event_time(rows, delay).groupBy(SESSION)
             .applyInPandasWithState(fold, IDLE_OUT, IDLE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -236,7 +321,7 @@ def stream_sample_per_window(actions: DataFrame, window: str = "1 second",
                              delay: str = "10 minutes") -> DataFrame:
     """One frame per window and session, emitted once the watermark closes
     the window (append mode). Output as the batch ``sample_per_window``."""
-    frames = actions.where((F.col("action") == "realtime") & (F.col("mime_type") == "image/jpeg"))
+    frames = actions.where(((F.col("action") == "realtime") & (F.col("mime_type") == "image/jpeg")) | (F.col("action") == TICK))
     return (event_time(frames, delay).groupBy(SESSION, F.window("_et", window).alias("w"))
             .agg(F.max(F.struct("ts", "event_id")).alias("_last"), F.count(F.lit(1)).alias("n_frames"))
             .select(SESSION, F.col("w.start").cast("timestamp_ntz").alias("window_start"),

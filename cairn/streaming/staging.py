@@ -15,45 +15,62 @@ def _as_number(c: Column, is_time: bool) -> Column:
 ROWS_PER_CHUNK = 2_000_000  # rows per staged micro-batch file
 
 
-def stage_chunks(df: DataFrame, root: str, order_col: str, chunks: int = 4,
-                 rows_per_chunk: int = ROWS_PER_CHUNK) -> str:
-    """Write ``df`` as files of ascending ``order_col`` ranges, one chunk after
-    another, so that file arrival (modification time) follows the order
-    column, as a recorded stream would arrive. Returns the glob that a file
-    stream reads.
-
-    Chunks are equal ranges of the order column between its minimum and
-    maximum, so tables over the same time span (several sources of one
-    stream) are cut at the same instants and their i-th micro-batches cover
-    the same range. There are at least ``chunks`` of them, more when the
-    input is large. The input is split into chunk folders by one parallel
-    write; each chunk then copies only its own folder into one file, so
-    staging reads the input about twice whatever the chunk count.
-    """
-    is_time = dict(df.dtypes)[order_col].startswith("timestamp")
-    key = _as_number(F.col(order_col), is_time)
+def time_span(df: DataFrame, order_col: str) -> tuple[int, int, int]:
+    """(first, last, rows) of an order column; times in microseconds."""
+    key = _as_number(F.col(order_col), dict(df.dtypes)[order_col].startswith("timestamp"))
     lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    return (lo or 0), (hi or 0), n
+
+
+def stage_chunks(df: DataFrame, root: str, order_col: str, chunks: int = 4, rows_per_chunk: int = ROWS_PER_CHUNK,
+                 span: tuple[int, int, int] | None = None) -> str:
+    """Write ``df`` as one file per ascending range of ``order_col``, in one
+    parallel write, with modification times that follow the ranges, as a recorded
+    stream would arrive. Returns the glob that :func:`file_stream` reads.
+
+    The ranges divide ``span`` (default: that of ``df``) evenly, so several
+    sources of one stream that share a span have their i-th files, and
+    micro-batches, over the same range; an empty range gives an empty file. There
+    are at least ``chunks`` of them, more when the input is large.
+    """
     spark = df.sparkSession
-    if not n:
-        df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/chunk-00000")
-        return f"{root}/chunk-*/*.parquet"
+    lo, hi, n = span or time_span(df, order_col)
     chunks = max(chunks, -(-n // rows_per_chunk))
     step = max(1, (hi - lo + chunks) // chunks)
-    split = f"{root}/_split"
-    (df.withColumn("_k", key).withColumn("_c", F.least(F.expr(f"(_k - {lo}) div {step}"), F.lit(chunks - 1)))
-     .drop("_k").write.mode("overwrite").partitionBy("_c").parquet(split))
-    present = {r["_c"] for r in spark.read.parquet(split).select("_c").distinct().collect()}
+    key = _as_number(F.col(order_col), dict(df.dtypes)[order_col].startswith("timestamp"))
+    number = F.greatest(F.lit(0), F.least(F.floor((key - F.lit(lo)) / F.lit(step)), F.lit(chunks - 1))).cast("int")
+    numbered = df.withColumn("_c", F.coalesce(number, F.lit(0)))
+    numbered.repartitionById(chunks, F.col("_c")).write.mode("overwrite").partitionBy("_c").parquet(f"{root}/split")
+    _arrive_in_order(spark, f"{root}/split", chunks, df)
+    return f"{root}/split/_c=*/*.parquet"
+
+
+def stage_tick(spark: SparkSession, root: str, after_us: int, chunks: int) -> str:
+    """A clock for replays: empty files for all micro-batches of a recording and
+    then one row ``ts`` at ``after_us``, which moves the watermark past its end."""
+    ts = F.timestamp_micros(F.lit(after_us)).cast("timestamp_ntz")
+    spark.range(1).select(ts.alias("ts"), F.lit(chunks).alias("_c")).write.mode("overwrite").partitionBy("_c").parquet(f"{root}/split")
+    _arrive_in_order(spark, f"{root}/split", chunks + 1, spark.range(0).select(ts.alias("ts")))
+    return f"{root}/split/_c=*/*.parquet"
+
+
+def _arrive_in_order(spark: SparkSession, root: str, chunks: int, empty_like: DataFrame) -> None:
+    """Give the files of chunk i the i-th second as their modification time;
+    missing chunks get an empty file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
     for i in range(chunks):
-        # an empty range still gives an (empty) micro-batch, keeping sources aligned
-        part = spark.read.schema(df.schema).parquet(f"{split}/_c={i}") if i in present else df.limit(0)
-        part.coalesce(1).write.mode("overwrite").parquet(f"{root}/chunk-{i:05d}")
-    return f"{root}/chunk-*/*.parquet"
+        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/_c={i}")
+        if not fs.exists(folder):
+            empty_like.limit(0).coalesce(1).write.parquet(f"{root}/_c={i}")
+        for f in fs.listStatus(folder):
+            fs.setTimes(f.getPath(), (1_600_000_000 + i) * 1000, -1)
 
 
-def file_stream(spark: SparkSession, glob: str, files_per_trigger: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, root: str, glob: str = "", files_per_trigger: int = 1) -> DataFrame:
     """A file stream over staged chunks, one file per micro-batch."""
-    schema = spark.read.parquet(glob).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(glob)
+    schema = spark.read.parquet(f"{root}{glob}").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{root}{glob}")
 
 
 def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:

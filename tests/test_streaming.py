@@ -2,10 +2,10 @@
 their batch twins."""
 
 import datetime as dt
-
-from pyspark.sql import functions as F
+import random
 
 from cairn.operators import sessions as S
+from cairn.operators.routing import cut_at_first_error
 from cairn.session import staging_path
 from cairn.streaming import operators as ST
 from cairn.streaming.staging import file_stream, run_to_parquet, stage_chunks
@@ -28,18 +28,97 @@ def _agent_rows():
     return rows
 
 
-def test_bot_messages_stream_equals_batch_on_closed_turns(spark):
-    df = spark.createDataFrame(_agent_rows(), AGENT)
-    root = staging_path(spark, "t7-in")
-    stage_chunks(df, root, "ts", chunks=3)
-    out = staging_path(spark, "t7-out")
-    run_to_parquet(ST.stream_bot_messages(file_stream(spark, f"{root}/chunk-*/*.parquet")), out,
-                   staging_path(spark, "t7-ck"))
-    got = sorted((r.user_id, r.turn_no, r.text, r.n_chunks) for r in spark.read.parquet(out).collect())
-    closed = df.where("kind = 'control'").groupBy("user_id").agg(F.count("*").alias("n"))
-    batch = (S.assemble_bot_messages(df).join(closed, "user_id").where("turn_no < n"))
-    want = sorted((r.user_id, r.turn_no, r.text, r.n_chunks) for r in batch.collect())
-    assert got == want and len(got) == 10
+def _run(spark, stream):
+    out = staging_path(spark, "out")
+    run_to_parquet(stream, out, staging_path(spark, "ck"))
+    return spark.read.parquet(out).collect()
+
+
+def _files(spark, name, parts):
+    """One file per list of rows, arriving in that order."""
+    import os
+    import time
+    root = staging_path(spark, name).removeprefix("file:")
+    for i, df in enumerate(parts):
+        df.coalesce(1).write.parquet(f"{root}/part={i}")
+        for f in os.listdir(f"{root}/part={i}"):
+            os.utime(f"{root}/part={i}/{f}", (time.time() - 1000 + i, time.time() - 1000 + i))
+    return file_stream(spark, root, "/part=*/*.parquet")
+
+
+def _end(t):
+    return (None, t + dt.timedelta(days=3), -1, "tick", None, None, None, None, None)
+
+
+def test_bot_messages_stream_equals_batch(spark):
+    rows = _agent_rows()
+    df = spark.createDataFrame(rows, AGENT)
+    random.Random(1).shuffle(rows)
+    # shuffled within blocks of a few minutes: rows come late, but within the watermark's delay
+    rows.sort(key=lambda r: (r[1] - T0) // dt.timedelta(minutes=8))
+    parts = [spark.createDataFrame(rows[i:i + 9], AGENT) for i in range(0, len(rows), 9)]
+    parts.append(spark.createDataFrame([_end(T0)], AGENT))
+    got = sorted((r.user_id, r.turn_no, r.text, r.n_chunks) for r in _run(spark, ST.stream_bot_messages(_files(spark, "t7", parts))))
+    want = sorted((r.user_id, r.turn_no, r.text, r.n_chunks) for r in S.assemble_bot_messages(df).collect())
+    assert got == want and len(got) == 12  # the open messages of both sessions are closed at the end
+
+
+def test_a_row_one_second_late_takes_its_place(spark):
+    def say(s, text):
+        return (1, T0 + dt.timedelta(seconds=s), s, "data", "text/plain", text, None, None, None)
+    parts = [[say(0, "A"), say(2, "C")], [say(1, "B"), (1, T0 + dt.timedelta(seconds=3), 3, "control", None, None, None, True, None)],
+             [_end(T0)]]
+    got = _run(spark, ST.stream_bot_messages(_files(spark, "abc", [spark.createDataFrame(p, AGENT) for p in parts])))
+    assert [r.text for r in got] == ["ABC"]
+
+
+ACTIONS = ("user_id long, ts timestamp_ntz, event_id long, action string, mime_type string, state_key string, state_value string")
+
+
+def test_idle_stops_and_cut_from_two_sources_equal_batch(spark):
+    rnd = random.Random(8)
+    agent, actions = [], []
+    for user in (1, 2, 3):
+        for i in range(60):
+            t = T0 + dt.timedelta(seconds=rnd.randrange(0, 3 * 3600))
+            agent.append((user, t, 1000 * user + i, "data", rnd.choice(["text/plain", "application/tool_use"]), "x", None, None, None))
+        for i in range(25):
+            t = T0 + dt.timedelta(seconds=rnd.randrange(0, 3 * 3600))
+            bad = user == 3 and i == 20
+            actions.append((user, t, 1000 * user + 500 + i, "error" if bad else "state", "application/json",
+                            None if bad else "screen_sharing", None if bad else rnd.choice(["on", "off", "on"])))
+    a, c = spark.createDataFrame(agent, AGENT), spark.createDataFrame(actions, ACTIONS)
+    cut = cut_at_first_error(c)
+    # the two sources are cut at different instants; the second is read whole at once
+    by_time = sorted(agent, key=lambda r: r[1])
+    end = spark.createDataFrame([_end(T0)], AGENT)
+    s_agent = _files(spark, "src-a", [spark.createDataFrame(by_time, AGENT).limit(0), spark.createDataFrame(by_time, AGENT), end])
+    acts = sorted(actions, key=lambda r: r[1])
+    half = [acts[:40], acts[40:], [(None, T0 + dt.timedelta(days=3), -1, "tick", None, None, None)]]
+    parts = [spark.createDataFrame(p, ACTIONS) for p in half]
+    got_cut = _run(spark, ST.stream_cut_at_first_error(_files(spark, "src-c", parts)))
+    assert sorted(map(tuple, got_cut)) == sorted(map(tuple, cut.select(*ACTIONS_COLS).collect()))
+    s_cut = _files(spark, "src-cut", [spark.createDataFrame(got_cut, ACTIONS)])
+    timeline = ST.idle_timeline(s_agent, s_cut, with_others=True)
+    got = sorted(map(tuple, _run(spark, ST.stream_idle_stops(timeline, delay="4 hours", until_horizon=True))))
+    want = sorted(map(tuple, S.idle_forced_stops(a, cut).collect()))
+    assert got == want and want
+
+
+ACTIONS_COLS = ["user_id", "ts", "event_id", "action", "mime_type", "state_key", "state_value"]
+
+
+def test_audio_controls_arm_and_cancel(spark):
+    c = "user_id long, ts timestamp_ntz, event_id long, control string"
+    controls = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=4), 7, "audio_on"), (1, T0 + dt.timedelta(minutes=6), 8, "audio_off")], c)
+    actions = spark.createDataFrame([(1, T0, 1, "state", "application/json", "screen_sharing", "on")], ACTIONS)
+    agent = spark.createDataFrame([(1, T0 + dt.timedelta(hours=1), 9, "control", None, None, None, None, True), _end(T0)], AGENT)
+    timeline = ST.idle_timeline(agent, actions, controls=controls, with_others=True)
+    assert _run(spark, ST.stream_idle_stops(_files(spark, "ctl", [timeline]))) == []
+    without = ST.idle_timeline(agent, actions, with_others=True)
+    assert len(_run(spark, ST.stream_idle_stops(_files(spark, "noctl", [without])))) == 1
+    sessions = S.activity_sessions(S.activity_rows(agent, actions, controls=controls)).collect()
+    assert [(r.session_no, r.n_events) for r in sessions] == [(1, 2)]
 
 
 def test_idle_stops_stream_fires_on_timeout(spark):
@@ -54,7 +133,7 @@ def test_idle_stops_stream_fires_on_timeout(spark):
     root = staging_path(spark, "t8-in")
     stage_chunks(timeline, root, "ts", chunks=2)
     out = staging_path(spark, "t8-out")
-    run_to_parquet(ST.stream_idle_stops(file_stream(spark, f"{root}/chunk-*/*.parquet")), out,
+    run_to_parquet(ST.stream_idle_stops(file_stream(spark, f"{root}/split", "/_c=*/*.parquet")), out,
                    staging_path(spark, "t8-ck"))
     got = [(r.user_id, r.stop_ts, r.armed_event_id) for r in spark.read.parquet(out).collect()]
     # no later row for user 1: the event-time timeout fires once user 2's row moves the watermark
@@ -69,8 +148,10 @@ def test_staged_chunks_cover_input_in_ascending_ranges(spark):
     root = staging_path(spark, "stage-many")
     # 80 rows, at most 7 per chunk: the chunk count grows with the input
     stage_chunks(df, root, "ts", chunks=2, rows_per_chunk=7)
-    dirs = sorted(glob.glob(f"{root.removeprefix('file:')}/chunk-*"))
+    dirs = sorted(glob.glob(f"{root.removeprefix('file:')}/split/_c=*"), key=lambda d: int(d.split("=")[1]))
     assert len(dirs) == 12
+    times = [os.path.getmtime(f"{d}/{f}") for d in dirs for f in os.listdir(d) if f.endswith(".parquet")]
+    assert times == sorted(times)
     ranges, total = [], []
     for d in dirs:
         part = spark.read.parquet(d)
