@@ -7,7 +7,7 @@ window and writes one boundary record per piece.
 
 Encoding: a text is split at single spaces and line breaks between other
 characters, which are always borders for the byte-level BPE, and every different
-unit is encoded once per task by ``tokenizers``; ids of known units are
+unit is encoded once per worker by ``tokenizers``; ids of known units are
 gathered by numpy. Units are told apart by a 64-bit hash.
 """
 
@@ -27,7 +27,7 @@ from cairn.llm.kernels import Prefix, slices, text_buffer
 WINDOW = 2048
 END_ID = 1
 CACHE_UNITS = 1_000_000
-"""Known units kept per task (or those of one slice, if more); when more are
+"""Known units kept per worker (or those of one slice, if more); when more are
 met, the cache starts anew."""
 
 
@@ -118,12 +118,22 @@ class UnitEncoder:
         return self.ids[take], total[np.searchsorted(starts, offs)]
 
 
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """The Python worker's encoder: what it knows serves all tasks it runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]
+
+
 TOKENS = "chunk long, doc_id long, n long, start long, ids binary"
 
 
 def _encode_task(path: str, end_id: int):
     def run(batches):
-        enc, place, chunk = UnitEncoder(path), 0, TaskContext.get().partitionId()
+        enc, place, chunk = encoder(path), 0, TaskContext.get().partitionId()
         for b in batches:
             data, offs = text_buffer(b.column("text"))
             for lo, hi in slices(offs):
