@@ -9,9 +9,10 @@ Every document is cut into overlapping passages, each of which is a query. The
 terms of smallest influence whose impacts sum up to less than half the
 threshold in any item are set aside (they cannot lift an item over it alone); a
 passage is dropped when the overall bounds of its other terms stay under the
-rest of the threshold, a block when its bounds do, and only the items of the
-remaining blocks are scored. All pairs at or above the threshold are found. A
-pair is contaminated if the document, around the passage, holds at least
+rest of the threshold, a block when its bounds do, an item of the remaining
+blocks when its own impacts do, and what is left is scored whole. The passages
+of a slice take each step together. All pairs at or above the threshold are
+found. A pair is contaminated if the document, around the passage, holds at least
 ``overlap`` of the word n-grams of the item's question and of its answer.
 
 The index is built and broadcast in shards of at most ``SHARD_BYTES`` of item
@@ -149,15 +150,38 @@ def find(index: Index, w: Words, rows: int, threshold: float, overlap: float):
         return []
     # passage p of a row holds its words [p * step, p * step + passage)
     local = vital - w.first[:-1][w.doc[vital]]
+    base = np.append(0, np.cumsum(w.count // step + 1))  # number of a row's first passage
     both = np.concatenate([local // step, local // step - 1])
-    doc, t = np.tile(w.doc[vital], 2), np.tile(term[vital], 2)
     use = both >= 0
-    key = np.unique(np.column_stack([doc[use], both[use], t[use]]), axis=0)
-    new = np.append(True, (key[1:, :2] != key[:-1, :2]).any(1))
-    start = np.flatnonzero(new)
-    bound = np.add.reduceat(index.max[key[:, 2]], start)
+    number = (base[np.tile(w.doc[vital], 2)] + both)[use]
+    key = np.unique(number * len(index.terms) + np.tile(term[vital], 2)[use])
+    p, t = key // len(index.terms), key % len(index.terms)
+    need = threshold - index.slack - 1e-9
+
+    def reaching(group: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Groups whose weights sum up to what is needed."""
+        uniq, inverse = np.unique(group, return_inverse=True)
+        return uniq[np.bincount(inverse, weight, minlength=len(uniq)) >= need]
+
+    def spread(first: np.ndarray, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, entry) for the index entries of each passage's terms."""
+        size = first[t + 1] - first[t]
+        return np.repeat(p, size), np.arange(size.sum()) + np.repeat(first[t] - (np.cumsum(size) - size), size)
+    alive = np.isin(p, reaching(p, index.max[t]))  # bounds of the passage
+    p, t = p[alive], t[alive]
+    q, entry = spread(index.block_first, p, t)  # bounds of its blocks
+    blocks = int(index.item.max()) // BLOCK_ITEMS + 1
+    good = reaching(q * blocks + index.block[entry], index.block_max[entry])
+    alive = np.isin(p, good // blocks)
+    q, entry = spread(index.first, p[alive], t[alive])
+    item = index.item[entry]
+    alive = np.isin(q * blocks + item // BLOCK_ITEMS, good)
+    items = len(index.ids)
+    chosen = np.unique(reaching(q[alive] * items + item[alive], index.impact[entry[alive]]) // items)
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    for d, p, _ in key[start[bound >= threshold - index.slack - 1e-9]]:
+    for number in chosen.tolist():
+        d = int(np.searchsorted(base, number, "right")) - 1
+        p = number - int(base[d])
         a = w.first[d] + p * step
         b = min(a + index.passage, w.first[d + 1])
         for item, score in index.search(np.unique(term[a:b][term[a:b] >= 0]), threshold):
