@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.plans.partitioning import spread as spread_text
 from cairn.session import table, write_stage
 
 __all__ = ["table", "write_stage", "checked_broadcast", "blocks_for", "number_rows", "spread_text", "hash_sample"]
@@ -25,15 +26,6 @@ def blocks_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread_text(df: DataFrame) -> DataFrame:
-    """Deals rows out when the scan has fewer files than the cluster cores:
-    decided from the scan's files alone, so nothing is run to find out."""
-    spark = df.sparkSession
-    if len(df.inputFiles()) * 2 > spark.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
-
-
 def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     """About ``rows`` rows of ``df`` (all, if it has fewer), chosen by a hash of
     ``cols``: no sort, and the same rows in every run."""
