@@ -268,11 +268,9 @@ def idle_forced_stops(agent_msgs: DataFrame, actions: DataFrame, controls: DataF
 
 # --- W5 -----------------------------------------------------------------------
 
-def _int16_le(pcm, i):
-    """Sample ``i`` of little-endian PCM bytes: a slice of two bytes."""
-    def byte(k):
-        return F.conv(F.hex(F.substring(pcm, i * 2 + k, F.lit(1))), 16, 10).cast("int")
-    u = byte(1) + byte(2) * 256
+def _int16_le(h):
+    """A little-endian sample from its four hex digits."""
+    u = F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("int")
     return F.when(u >= 32768, u - 65536).otherwise(u)
 
 
@@ -309,8 +307,12 @@ def retain_latest(agent_msgs: DataFrame, capacity: int = RING_SIZE, player_activ
             .select(F.col(SESSION).alias("_ks"), *[F.col(c).alias(f"_k_{c}") for c in ORDER],
                     F.greatest(F.lit(0).cast("long"), F.col("_gone") - (F.col("_upto") - F.col("_n"))).alias("_skip"), "_n"))
     same = null_safe([SESSION, *ORDER], ["_ks", *[f"_k_{c}" for c in ORDER]])
+    # a chunk is cut into the hex digits of its samples in one pass; only those go to the samples' rows
+    digits = F.regexp_extract_all(F.hex(pcm), F.lit(".{4}"), F.lit(0))
+    tail = F.slice(digits, (F.col("_skip") + 1).cast("int"), (F.col("_n") - F.col("_skip")).cast("int"))
     parts = (agent_msgs.where(F.col("mime_type") == "audio/pcm").join(kept, same)
-             .select(SESSION, *ORDER, pcm.alias("_pcm"), F.explode(F.sequence("_skip", F.col("_n") - 1)).alias("sample_no")))
-    s = _int16_le(F.col("_pcm"), F.col("sample_no").cast("int"))
+             .select(SESSION, *ORDER, "_skip", F.posexplode(tail).alias("_at", "_h")))
+    parts = parts.withColumn("sample_no", F.col("_skip") + F.col("_at"))
+    s = _int16_le("_h")
     return parts.select(SESSION, *ORDER, "sample_no", s.cast("short").alias("sample"),
                         (s.cast("double") / 32768.0).cast("float").alias("value"))
