@@ -169,6 +169,6 @@ def salted(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(doc.astype(np.uint64) * _MUL[61] + _MUL[60]))
 
 
-def binaries(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """``values[bounds[i]:bounds[i + 1]]`` as bytes."""
-    return [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+def home(chunk, blocks: int) -> np.ndarray:
+    """The block that holds a chunk: an even deal, however chunks are numbered."""
+    return (mix(np.atleast_1d(np.asarray(chunk, np.int64)).view(np.uint64)) % np.uint64(blocks)).astype(np.int32)

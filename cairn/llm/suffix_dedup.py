@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import blocks_for, spread_text, table, write_stage
-from cairn.llm.kernels import Prefix, mix, slices, text_buffer
+from cairn.llm.kernels import Prefix, home, mix, slices, text_buffer
 
 LENGTH = 400
 CHUNK_BYTES = 4 << 20
@@ -207,7 +207,7 @@ def _answers(chunks, row, blocks, kind, **arrays):
     order = np.argsort(row, kind="stable")
     bounds = np.searchsorted(row[order], np.arange(len(chunks) + 1))
     cols = {k: v[order] for k, v in arrays.items()}
-    out = [{"dest": int(c % blocks), "kind": kind, "chunk": int(c), **{k: v[x:y].tobytes() for k, v in cols.items()}}
+    out = [{"dest": int(home(c, blocks)[0]), "kind": kind, "chunk": int(c), **{k: v[x:y].tobytes() for k, v in cols.items()}}
            for c, x, y in zip(chunks, bounds[:-1], bounds[1:]) if y > x]
     for i in range(0, len(out), 500):
         yield _batch(out[i:i + 500])
@@ -282,7 +282,7 @@ def _text_task(blocks: int):
     """The chunks themselves, as one row each."""
     def run(batches):
         for number, ids, data, offs in _chunks(batches):
-            yield _batch([{"dest": number % blocks, "kind": TEXT, "chunk": number, "doc_ids": ids.to_pylist(),
+            yield _batch([{"dest": int(home(number, blocks)[0]), "kind": TEXT, "chunk": number, "doc_ids": ids.to_pylist(),
                            "text": data.tobytes(), "offs": offs.astype(np.int64).tobytes()}])
     return run
 
@@ -340,12 +340,12 @@ def _refine_task(length: int, blocks: int, with_text: bool):
             return doc_ids[which].tolist(), data[mask], np.append(0, np.cumsum(sizes)), gone[mask]
         if (~open_).any():
             d, x, o, m = subset(~open_)
-            rows.append({"kind": DONE, "chunk": r["chunk"], "dest": int(r["chunk"] % blocks),
+            rows.append({"kind": DONE, "chunk": r["chunk"], "dest": int(home(r["chunk"], blocks)[0]),
                          "text": _ipc(_results(d, x, o, m, with_text))})
         if open_.any():
             d, x, o, m = subset(open_)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]]))).reshape(-1, 2)
-            rows.append({"kind": TEXT, "chunk": r["chunk"], "dest": int(r["chunk"] % blocks), "doc_ids": d, "text": x.tobytes(),
+            rows.append({"kind": TEXT, "chunk": r["chunk"], "dest": int(home(r["chunk"], blocks)[0]), "doc_ids": d, "text": x.tobytes(),
                          "offs": o.astype(np.int64).tobytes(), "froms": edge[:, 0].astype(np.int64).tobytes(),
                          "tos": edge[:, 1].astype(np.int64).tobytes(), "places": offs[:-1][open_].astype(np.int64).tobytes()})
         return rows
