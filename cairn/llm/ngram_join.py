@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import blocks_for, spread_text, table, write_stage
-from cairn.llm.kernels import Words, mix, slices, text_buffer
+from cairn.llm.kernels import Words, home, mix, slices, text_buffer
 
 WORDS, PERCENT = 4, 85
 CHUNK_TOKENS = 1 << 20
 HOT_IN_CHUNK = 64
-FAMILY_ROWS = 4096
+FAMILY_ROWS = 256
 _HOT = np.uint32(1 << 31)
 
 DEALT = pa.schema([("dest", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("idx", pa.binary()),
@@ -109,7 +109,7 @@ def _deal_task(words: int, blocks: int):
         bounds = np.concatenate([[0], np.searchsorted(tokens, limits), [len(tokens)]])
         rows = [{"dest": b, "chunk": chunk, "tokens": tokens[x:y].tobytes(), "idx": idx[x:y].tobytes()}
                 for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if y > x]
-        rows.append({"dest": chunk % blocks, "chunk": chunk, "doc_ids": pa.concat_arrays([p[0] for p in part]).to_pylist(),
+        rows.append({"dest": int(home(chunk, blocks)[0]), "chunk": chunk, "doc_ids": pa.concat_arrays([p[0] for p in part]).to_pylist(),
                      "sizes": sizes.astype(np.int64).tobytes(), "h1": np.concatenate([p[3] for p in part]).tobytes(),
                      "h2": np.concatenate([p[4] for p in part]).tobytes(), "hot": hot.tobytes(),
                      "hot_first": hot_first.tobytes(), "hot_docs": hot_docs.tobytes()})
@@ -149,7 +149,7 @@ def _count_task(blocks: int):
             plain = b.column("tokens").is_valid().to_numpy(zero_copy_only=False)
             rest = b.filter(pa.array(~plain))
             if rest.num_rows:
-                dest = pa.array(rest.column("chunk").to_numpy() % blocks, pa.int32())
+                dest = pa.array(home(rest.column("chunk").to_numpy(), blocks))
                 yield pa.RecordBatch.from_arrays([dest, *rest.columns[1:]], schema=DEALT)
             for i in np.flatnonzero(plain):
                 chunks.append(b.column("chunk")[i].as_py())
@@ -170,7 +170,7 @@ def _count_task(blocks: int):
         order = np.argsort(row, kind="stable")
         tokens, idx, df = tokens[order], idx[order], df[order]
         bounds = np.searchsorted(row[order], np.arange(len(chunks) + 1))
-        out = [{"dest": c % blocks, "chunk": c, "tokens": tokens[x:y].tobytes(), "idx": idx[x:y].tobytes(),
+        out = [{"dest": int(home(c, blocks)[0]), "chunk": c, "tokens": tokens[x:y].tobytes(), "idx": idx[x:y].tobytes(),
                 "dfs": df[x:y].tobytes()} for c, x, y in zip(chunks, bounds[:-1], bounds[1:]) if y > x]
         for i in range(0, len(out), 500):
             yield _rows(DEALT, out[i:i + 500])
