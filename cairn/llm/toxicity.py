@@ -33,7 +33,7 @@ MIN_TOXIC, MIN_G, PURITY = 4, 26.0, 20
 """A feature occurs in at least MIN_TOXIC toxic documents and PURITY times as
 many toxic as clean ones, with a G-test value of MIN_G."""
 PIECE = 64
-TRAIN_PIECES = 60_000
+TRAIN_PIECES = 10_000
 THRESHOLD = 0.3
 HELD_OUT = 2
 KEY_BYTES = (3, 4, 5, 6)
@@ -157,7 +157,7 @@ class Model:
         self.bias, self.start, self.trans = -4.0, np.array([0.0, -1.0]), np.array([[0.0, -1.0], [0.0, 0.0]])
         self.scale = np.array([-4.0, 4.0, 1.0])  # intercept, largest and summed marginals
 
-    def fit(self, chains: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], rounds: int = 60) -> None:
+    def fit(self, chains: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], rounds: int = 40) -> None:
         """``chains``: (words, word of each pair, feature of each pair, state of
         each word)."""
         if not chains:
