@@ -47,6 +47,10 @@ ROWS = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64
 ROWS_SQL = ("dest int, kind int, chunk long, ids binary, more binary, flags binary, doc_ids array<long>, text binary, "
             "offs binary, froms binary, tos binary, places binary")
 ANCHORS, TEXT, WINDOWS, DONE = 0, 1, 2, 3
+LARGE_ROWS = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1,
+              "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+"""For tables of rows of megabytes: sizes are checked at every row, which bounds
+what a task holds, and zstd works on streams, not on buffers of a whole page."""
 OUT_SQL = "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept_sha256 string, kept binary"
 
 
@@ -140,9 +144,8 @@ class Ranges:
 
 
 def _chunks(batches):
-    """Chunks of at least CHUNK_BYTES, numbered alike in every scan: (number,
-    doc_ids, bytes, offsets). The number comes from the scan's own partition, in
-    the column ``part``."""
+    """Chunks of at least CHUNK_BYTES: (number, doc_ids, bytes, offsets). The
+    number comes from the scan's own partition, in the column ``part``."""
     number = None
     ids, parts, sizes, held = [], [], [], 0
 
@@ -172,17 +175,20 @@ def _by_block(blocks: int, ids: np.ndarray, **arrays) -> list[dict]:
             for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if y > x]
 
 
-def _anchor_task(length: int, blocks: int):
-    """One entry per anchor of a chunk: its range's identifier, or flag 2 if
-    there are different ranges; flag 1 if there are several equal ones."""
+def _chunk_task(length: int, blocks: int):
+    """Each chunk as one row, and one entry per anchor of it: its range's
+    identifier, or flag 2 if there are different ranges; flag 1 if there are
+    several equal ones."""
     def run(batches):
-        for number, _, data, offs in _chunks(batches):
+        for number, doc_ids, data, offs in _chunks(batches):
             r = Ranges(data, offs, length, keep=False)
             kinds, mult, _, one = r.grouped()
             flags = np.where(kinds[one] > 1, 2, np.where(mult[one] > 1, 1, 0)).astype(np.uint8)
             rows = _by_block(blocks, r.anchor[one], more=r.ident[one], flags=flags)
             if rows:
                 yield _batch([{**x, "kind": ANCHORS, "chunk": number} for x in rows])
+            yield _batch([{"dest": int(home(number, blocks)[0]), "kind": TEXT, "chunk": number, "doc_ids": doc_ids.to_pylist(),
+                           "text": data.tobytes(), "offs": offs.astype(np.int64).tobytes()}])
     return run
 
 
@@ -278,15 +284,6 @@ def _results(doc_ids, data: np.ndarray, offs: np.ndarray, gone: np.ndarray, with
         names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
 
 
-def _text_task(blocks: int):
-    """The chunks themselves, as one row each."""
-    def run(batches):
-        for number, ids, data, offs in _chunks(batches):
-            yield _batch([{"dest": int(home(number, blocks)[0]), "kind": TEXT, "chunk": number, "doc_ids": ids.to_pylist(),
-                           "text": data.tobytes(), "offs": offs.astype(np.int64).tobytes()}])
-    return run
-
-
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
@@ -352,7 +349,8 @@ def _refine_task(length: int, blocks: int, with_text: bool):
 
     def run(batches):
         texts, answers = _collect(batches, ANCHORS)
-        for chunk, r in texts.items():
+        while texts:
+            chunk, r = texts.popitem()
             rows = one(r, answers.pop(chunk, []))
             for i in range(0, len(rows), 200):
                 yield _batch(rows[i:i + 200])
@@ -407,9 +405,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True)
     """
     blocks = blocks_for(docs.sparkSession)
     src = spread_text(docs.select("doc_id", "text")).withColumn("part", F.spark_partition_id())
-    anchors = src.mapInArrow(_anchor_task(length, blocks), ROWS_SQL).repartitionById(blocks, F.col("dest"))
-    settled = anchors.mapInArrow(_settle_anchors_task(blocks), ROWS_SQL)
-    texts = src.mapInArrow(_text_task(blocks), ROWS_SQL)
+    # chunks and their anchors are written together: another scan of ``src`` need not cut the same chunks, as the order of
+    # dealt rows and the splits of files may change
+    chunks = write_stage(src.mapInArrow(_chunk_task(length, blocks), ROWS_SQL), "op5-chunks", **LARGE_ROWS)
+    texts = chunks.filter(F.col("kind") == TEXT)
+    anchors = chunks.filter(F.col("kind") == ANCHORS).select(*[c if c in ("dest", "kind", "chunk", "ids", "more", "flags") else
+                                                               F.lit(None).cast(t).alias(c) for c, t in chunks.dtypes])
+    settled = anchors.repartitionById(blocks, F.col("dest")).mapInArrow(_settle_anchors_task(blocks), ROWS_SQL)
     parts = settled.unionByName(texts).repartitionById(blocks, F.col("dest")).mapInArrow(_refine_task(length, blocks, with_text),
                                                                                          ROWS_SQL)
     finish = _finish_task(length, with_text)

@@ -102,14 +102,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
-def write_stage(df, name: str):
+def write_stage(df, name: str, **options):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return the table read back: the lineage is cut, a lost executor costs a
     re-read instead of a recomputation, and every later use scans the
-    table instead of recomputing ``df``."""
+    table instead of recomputing ``df``. ``options`` go to the writer."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
 
 

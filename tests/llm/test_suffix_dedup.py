@@ -66,3 +66,24 @@ def test_query_whole_table(spark, sf_small):
     rows = S.q_op5(spark, sf_small).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
     assert sum(r.n_removed for r in rows) > 0
+
+
+def test_row_order_may_differ_between_scans(spark):
+    """Several chunks from a table whose rows come in another order in every scan."""
+    r = random.Random(5)
+    passages = ["%0600x" % r.getrandbits(2400) for _ in range(1200)]
+    rows = [(i, f"{'%02000x' % r.getrandbits(8000)}{'[{'[i % 2]}{passages[i // 2]}{']}'[i % 2]}{'%02000x' % r.getrandbits(8000)}")
+            for i in range(2400)]
+
+    def shuffled(batches):
+        import os
+
+        import pyarrow as pa
+        t = pa.Table.from_batches(batches)
+        order = list(range(t.num_rows))
+        random.Random(os.urandom(8)).shuffle(order)
+        yield from t.take(order).combine_chunks().to_batches(max_chunksize=100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
+    out = S.suffix_dedup(df, with_text=False).collect()
+    assert sorted(x.doc_id for x in out) == list(range(2400))
+    assert {(x.n_removed, tuple(x.spans[0]) if x.spans else None) for x in out} == {(600, (2001, 2601))}
