@@ -4,13 +4,14 @@ by ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.plans.partitioning import spread as spread_text
 from cairn.session import table, write_stage
 
-__all__ = ["table", "write_stage", "checked_broadcast", "blocks_for", "number_rows", "spread_text", "hash_sample"]
+__all__ = ["table", "write_stage", "checked_broadcast", "blocks_for", "number_rows", "with_rows", "spread_text", "hash_sample"]
 
 BROADCAST_ROWS = 200_000
 
@@ -36,6 +37,21 @@ def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(*cols), F.lit(1_000_000)) < share)
 
 
+def with_rows(docs: DataFrame, stage: str) -> DataFrame:
+    """``docs``, a table as read, with ``_row``: a number of each row, alike in
+    every job. It comes from the row's file and place in it, which do not depend
+    on how files are split into tasks; a table not read from Parquet files is
+    written with its numbers."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return write_stage(docs.withColumn("_row", F.monotonically_increasing_id()), stage)
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _no long")
+    row = F.shiftleft("_no", 40) + F.col("_place")
+    return placed.join(F.broadcast(numbers), "_file").withColumn("_row", row).drop("_file", "_place", "_no")
+
+
 def number_rows(df: DataFrame, group: str, order: list, name: str, stage: str) -> DataFrame:
     """Adds ``name``: the row's place within ``group``, gapless from 0, by ``order``.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import blocks_for, spread_text, table, write_stage
+from cairn.llm.common import blocks_for, spread_text, table, with_rows, write_stage
 from cairn.llm.kernels import Prefix, home, mix, slices, text_buffer
 
 LENGTH = 400
@@ -447,10 +447,10 @@ def _cut_task(names: list[str]):
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of the texts (characters that
     are only partly covered stay); all rows and all other columns stay. ``docs``
-    must be a table as read, whose rows come in the same order in every scan.
+    must be a table as read.
     """
     inner = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
-    rows = docs.toDF(*inner).withColumn("_row", F.monotonically_increasing_id())
+    rows = with_rows(docs, "op5-rows").toDF(*inner, "_row")
     found = suffix_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), length, with_text=False)
     found = found.filter("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
     changed = write_stage(found, "op5-spans")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checked_broadcast, table, write_stage
+from cairn.llm.common import checked_broadcast, table, with_rows, write_stage
 from cairn.llm.decontamination import search_benchmark
 from cairn.llm.ngram_join import ngram_join
 from cairn.llm.packing import pack_documents
@@ -27,15 +27,13 @@ REPEAT_BYTES = 240
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(row number, text): a table as read numbers its rows alike in every scan."""
-    return docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    """(row number, text) of a table with ``_row``."""
+    return docs.select(F.col("_row").alias("doc_id"), "text")
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose numbers are in ``rows`` (column _row)."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    numbered = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(checked_broadcast(rows), "_row", "left_anti").select(*names).toDF(*docs.columns)
+    """``docs``, a table with ``_row``, without the rows whose numbers are in ``rows``."""
+    return docs.join(checked_broadcast(rows), "_row", "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; texts without words all stay."""
+    docs = with_rows(docs, "pipeline-rows")
     grouped, _ = ngram_join(_numbered(docs), NEAR_WORDS, NEAR_PERCENT)
     gone = write_stage(grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "pipeline-near")
     return _without(docs, gone)
@@ -62,6 +61,7 @@ def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    docs = with_rows(docs, "pipeline-rows")
     found = search_benchmark(_numbered(docs), table(spark, sf_dir, "benchmark"))
     gone = write_stage(found.filter("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "pipeline-leaks")
     return _without(docs, gone)

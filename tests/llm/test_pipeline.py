@@ -89,3 +89,43 @@ def test_cut_keeps_whole_characters(spark):
     out = {r.doc_id: r.text for r in cut_repeats(docs(spark, rows), 41).collect()}
     assert out[1].startswith("a") and out[1].endswith("x") and len(out[1].encode()) < 12 and "�" not in out[1] + out[2]
     assert WORD.findall(lower_az("A b")) == ["a", "b"]
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    """Files are packed into one task by the job that finds copies, leaks and
+    repeats, and into several by the job that removes them."""
+    from cairn.llm import suffix_dedup
+    passage = sentence(5, 80)
+    rows = [(i, f"{sentence(5000 + i, 70)} {passage if i % 10 == 3 else ''}", "en", "s", 1) for i in range(90)]
+    rows += [(100 + i, rows[i][1], "en", "s", 1) for i in range(0, 30, 10)]
+    item = sentence(321, 30) + ".\n" + sentence(322, 6)
+    rows += [(200 + i, f"{sentence(7000 + i, 40)} {item}", "en", "s", 1) for i in range(2)]
+    docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    conf = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+
+    def split_anew(df, *args, write=corpus_pipeline.write_stage, **options):
+        out = write(df, *args, **options)
+        if args[0] in ("pipeline-near", "pipeline-leaks", "op5-spans"):
+            for k in conf:
+                spark.conf.unset(k)
+        return out
+    for module in (corpus_pipeline, suffix_dedup):
+        monkeypatch.setattr(module, "write_stage", split_anew)
+
+    def run(stage):
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        try:
+            return {r.doc_id: r.text for r in stage(spark, table, str(tmp_path)).collect()}
+        finally:
+            for k in conf:
+                spark.conf.unset(k)
+    source = {r[0]: r[1] for r in rows}
+    left = run(corpus_pipeline.drop_near_copies)
+    assert len(left) == 92 and set(left.values()) == set(source.values())
+    assert set(source) - set(run(corpus_pipeline.drop_contaminated)) == {200, 201}
+    cut = run(corpus_pipeline.cut_repeated)
+    changed = {i for i in source if cut[i] != source[i]} - {200, 201}
+    assert changed == {*range(3, 90, 10), 0, 10, 20, 100, 110, 120}
