@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn.plans.partitioning import spread as spread_text
 from cairn.session import table, write_stage
 
-__all__ = ["table", "write_stage", "checked_broadcast", "blocks_for", "number_rows", "with_rows", "spread_text", "hash_sample"]
+__all__ = ["table", "write_stage", "checked_broadcast", "blocks_for", "number_rows", "with_rows", "spread_once", "spread_text", "hash_sample"]
 
 BROADCAST_ROWS = 200_000
 
@@ -27,6 +27,13 @@ def blocks_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_once(docs: DataFrame, stage: str) -> DataFrame:
+    """``spread_text``; rows that it dealt anew are written, so that a task that
+    runs again reads them in the same order."""
+    dealt = spread_text(docs)
+    return docs if dealt is docs else write_stage(dealt, stage)
+
+
 def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     """About ``rows`` rows of ``df`` (all, if it has fewer), chosen by a hash of
     ``cols``: no sort, and the same rows in every run."""

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import blocks_for, spread_text, table, write_stage
+from cairn.llm.common import blocks_for, spread_once, table, write_stage
 from cairn.llm.kernels import Words, home, mix, slices, text_buffer
 
 WORDS, PERCENT = 4, 85
@@ -385,7 +385,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     """
     spark = docs.sparkSession
     blocks = blocks_for(spark)
-    src = spread_text(docs.select("doc_id", "text"))
+    src = spread_once(docs.select("doc_id", "text"), "op1-rows")
     dealt = src.mapInArrow(_deal_task(words, blocks), DEALT_SQL).repartitionById(blocks, F.col("dest"))
     back = dealt.mapInArrow(_count_task(blocks), DEALT_SQL).repartitionById(blocks, F.col("dest"))
     sets = write_stage(back.mapInArrow(_gather_task(percent), SETS_SQL), "op1-sets")

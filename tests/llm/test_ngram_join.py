@@ -92,3 +92,20 @@ def test_empty(spark):
 def test_query_whole_table(spark, sf_small):
     source = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     assert got(J.q_op1(spark, sf_small)) == brute(source, 4, 85)
+
+
+def test_dealt_rows_are_written_before_counting(spark, tmp_path, monkeypatch):
+    """A task that runs again must see its rows in the same order: none is read
+    from a round-robin exchange."""
+    from cairn.llm import ngram_join as N
+    source = [(i, sentence(i % 7, 40)) for i in range(30)]
+    spark.createDataFrame(source, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    plans = {}
+
+    def spy(df, name, write=N.write_stage):
+        plans[name] = df._jdf.queryExecution().toString()
+        return write(df, name)
+    monkeypatch.setattr(N, "write_stage", spy)
+    out, _ = N.ngram_join(spark.read.parquet(f"{tmp_path}/d"))
+    assert "RoundRobin" not in plans["op1-sets"]
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, i % 7) for i in range(30)}
