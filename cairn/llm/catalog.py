@@ -12,6 +12,7 @@ from cairn.llm.quality_rules import q_op3
 from cairn.llm.sharding import q_op8
 from cairn.llm.suffix_dedup import q_op5
 from cairn.llm.toxicity import q_op4
+from cairn.llm.vector_codes import SQL_OP13, q_op13
 
 QUERIES = {
     "op1_ngram_join": q_op1,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": q_op8,
     "op9_packing": q_op9,
     "op10_perplexity": q_op10,
+    "op13_vector_codes": q_op13,
 }
 
-ORACLE = {"op2_chat_format": SQL_OP2}
+ORACLE = {"op2_chat_format": SQL_OP2, "op13_vector_codes": SQL_OP13}
