@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairn.llm.chat_format import SQL_OP2, q_op2
 from cairn.llm.decontamination import q_op7
+from cairn.llm.hard_negatives import SQL_OP12, q_op12
 from cairn.llm.license_scan import q_op6
 from cairn.llm.ngram_join import q_op1
 from cairn.llm.packing import q_op9
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_sharding": q_op8,
     "op9_packing": q_op9,
     "op10_perplexity": q_op10,
+    "op12_hard_negatives": q_op12,
     "op13_vector_codes": q_op13,
 }
 
-ORACLE = {"op2_chat_format": SQL_OP2, "op13_vector_codes": SQL_OP13}
+ORACLE = {"op2_chat_format": SQL_OP2, "op12_hard_negatives": SQL_OP12, "op13_vector_codes": SQL_OP13}
