@@ -13,6 +13,7 @@ from cairn.llm.quality_rules import q_op3
 from cairn.llm.sharding import q_op8
 from cairn.llm.suffix_dedup import q_op5
 from cairn.llm.toxicity import q_op4
+from cairn.llm.url_filter import q_op11
 from cairn.llm.vector_codes import SQL_OP13, q_op13
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": q_op8,
     "op9_packing": q_op9,
     "op10_perplexity": q_op10,
+    "op11_url_filter": q_op11,
     "op12_hard_negatives": q_op12,
     "op13_vector_codes": q_op13,
 }
