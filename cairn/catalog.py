@@ -266,6 +266,11 @@ register("suppress_near_duplicates_t28")(_near_dup(28))
 register("suppress_near_duplicates_t32")(_near_dup(32))
 
 
+@register("sampled_frames_t28")
+def q_sampled_frames_t28(spark, sf):
+    return FR.sampled_frames(_frames(spark, sf), "1 second", 28).select("stream", "ts", "frame_id", "signature")
+
+
 def _quantized(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", M.quantize_int16(F.col("embedding")).alias("q"))
 
@@ -469,14 +474,18 @@ def _client_stream(spark, sf):
 def _ticks(spark, sf, **columns):
     """The replay's clock: after the recording, one row three days later lets the
     watermark pass everything, so all that is open is closed."""
-    _, hi, n = _span(spark, sf)
-    chunks = max(REPLAY_CHUNKS, -(-n // ROWS_PER_CHUNK))
-    root = staged(spark, sf, "stream-ticks", lambda r: stage_tick(spark, r, hi + 3 * 86_400_000_000, chunks))
-    return file_stream(spark, f"{root}/split", "/_c=*/*.parquet").select(
+    return _clock(spark, sf, "stream-ticks", _span(spark, sf)).select(
         F.lit(None).cast("long").alias("user_id"), "ts", F.lit(-1).cast("long").alias("event_id"),
         *[F.lit(v).alias(k) for k, v in columns.items()])
 
 
+def _clock(spark, sf, name, span):
+    _, hi, n = span
+    chunks = max(REPLAY_CHUNKS, -(-n // ROWS_PER_CHUNK))
+    root = staged(spark, sf, name, lambda r: stage_tick(spark, r, hi + 3 * 86_400_000_000, chunks))
+    return file_stream(spark, f"{root}/split", "/_c=*/*.parquet")
+
+
 def _cut_stream_output(spark, sf):
     out = staging_path(spark, "out-cut")
     routed = ST.stream_route_messages(_client_stream(spark, sf))
@@ -549,16 +558,30 @@ def q_stream_activity_sessions(spark, sf):
 def q_stream_bot_messages(spark, sf):
     out = staging_path(spark, "out-bot-messages")
     msgs = ST.stream_route_events(_agent_stream(spark, sf)).unionByName(_ticks(spark, sf, kind=ST.TICK), allowMissingColumns=True)
-    msgs = ST.stream_bot_messages(msgs)
+    msgs = ST.stream_bot_messages(msgs, recording_end=_span(spark, sf)[1])
     run_to_parquet(msgs, out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out).withColumn("hhmm", M.hhmm(F.col("first_ts")))
 
 
+def _frame_stream(spark, sf):
+    """The recorded frames, without their pixels, and the clock."""
+    cols = ("stream", "ts", "frame_id", "signature", "sig_bits")
+    span = time_span(_frames(spark, sf), "ts")
+    frames = _stream(spark, sf, "frames", lambda: _frames(spark, sf).select(*cols), "ts", span)
+    return frames.unionByName(_clock(spark, sf, "stream-frame-ticks", span).select("ts"), allowMissingColumns=True)
+
+
 @register("stream_suppress_near_duplicates_t28")
 def q_stream_suppress_near_duplicates_t28(spark, sf):
     out = staging_path(spark, "out-near-dup")
-    frames = _stream(spark, sf, "frames", lambda: _frames(spark, sf), "frame_id")
-    run_to_parquet(ST.stream_suppress_near_duplicates(frames, 28), out, staging_path(spark, "ckpt"))
+    run_to_parquet(ST.stream_suppress_near_duplicates(_frame_stream(spark, sf), 28), out, staging_path(spark, "ckpt"))
+    return spark.read.parquet(out).drop("ts")
+
+
+@register("stream_sampled_frames_t28")
+def q_stream_sampled_frames_t28(spark, sf):
+    out = staging_path(spark, "out-sampled")
+    run_to_parquet(ST.stream_sampled_frames(_frame_stream(spark, sf), "1 second", 28), out, staging_path(spark, "ckpt"))
     return spark.read.parquet(out)
 
 

@@ -11,7 +11,8 @@ from cairn.functions.media import (
     mean_threshold_bits,
     mean_threshold_signature,
 )
-from cairn.plans.ordered import RUN, null_safe, ordered_scan, sorted_runs
+from cairn.plans.ordered import RUN, RUN_BYTES, null_safe, ordered_scan, sorted_runs
+from cairn.plans.partitioning import blocks_by_bytes
 from cairn.session import write_stage
 
 # Fixed value of the reference client: frames within Hamming distance 1 of
@@ -52,6 +53,18 @@ def suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTA
     return frames.join(kept, null_safe([stream, order], ["_ks", "_ko"]), "left_semi")
 
 
+def sample_frames(frames: DataFrame, window: str = "1 second") -> DataFrame:
+    """The latest frame per tumbling window and stream: stream, ts, frame_id, signature, sig_bits."""
+    latest = F.max(F.struct("ts", "frame_id", "signature", "sig_bits")).alias("_f")
+    return frames.groupBy("stream", F.window("ts", window)).agg(latest).select("stream", "_f.*")
+
+
+def sampled_frames(frames: DataFrame, window: str = "1 second", threshold: int = DUPLICATE_DISTANCE) -> DataFrame:
+    """What a client sends: of the sampled frames (:func:`sample_frames`) those that
+    differ from the last one sent. The samples are read more than once: written."""
+    return suppress_near_duplicates(write_stage(sample_frames(frames, window), "sampled-frames"), threshold)
+
+
 # --- exact fold by runs -----------------------------------------------------------
 
 _IN, _HAS_IN = "_in", "_has_in"  # the state a segment was entered with (bits, present?)
@@ -79,7 +92,7 @@ def _fold(rows: DataFrame, stream: str, order: str, threshold: int) -> DataFrame
     """Fold every segment ``(stream, _run)`` of ``rows`` from its entering state."""
     schema = rows.select(stream, order, "sig_bits", RUN, _IN, _HAS_IN, F.lit(False).alias(_KEEP),
                          F.lit(0).cast("long").alias(_STATE)).schema
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks_by_bytes(rows, RUN_BYTES)
     rows = rows.repartition(n, stream, RUN).sortWithinPartitions(RUN, stream, order)
 
     def fold(batches):

@@ -280,9 +280,16 @@ SELECT stream, frame_id, lag(frame_id) OVER w AS prev_frame_id,
 FROM sig WINDOW w AS (PARTITION BY stream ORDER BY frame_id)"""
 
 
-def _near_dup_sql(t: int) -> str:
-    return "WITH RECURSIVE " + SIG.strip() + f""",
-n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY frame_id) AS rn FROM sig),
+TIMED = """,
+timed AS (SELECT *, TIMESTAMP '2024-01-01' + to_milliseconds(frame_id * 40) AS ts FROM sig),
+sampled AS (
+  SELECT stream, first(frame_id ORDER BY ts DESC, frame_id DESC) AS frame_id, first(signature ORDER BY ts DESC, frame_id DESC) AS signature
+  FROM timed GROUP BY stream, date_trunc('second', ts))"""
+
+
+def _near_dup_sql(t: int, source: str = "sig") -> str:
+    return "WITH RECURSIVE " + SIG.strip() + (TIMED if source != "sig" else "") + f""",
+n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY frame_id) AS rn FROM {source}),
 walk AS (
   SELECT stream, rn, frame_id, signature, signature AS last_kept, true AS kept FROM n WHERE rn = 1
   UNION ALL
@@ -293,6 +300,9 @@ walk AS (
 SELECT stream, frame_id, signature FROM walk WHERE kept"""
 
 
+ORACLE["sampled_frames_t28"] = f"""
+SELECT stream, TIMESTAMP '2024-01-01' + to_milliseconds(frame_id * 40) AS ts, frame_id, signature
+FROM ({_near_dup_sql(28, 'sampled')})"""
 ORACLE["suppress_near_duplicates"] = _near_dup_sql(1)
 ORACLE["suppress_near_duplicates_t28"] = _near_dup_sql(28)
 ORACLE["suppress_near_duplicates_t32"] = _near_dup_sql(32)
@@ -425,6 +435,7 @@ ORACLE["stream_activity_sessions"] = (
     f"SELECT user_id, session_start, session_end, n_events FROM ({ORACLE['activity_sessions']})")
 ORACLE["stream_bot_messages"] = ORACLE["assemble_bot_messages"]
 ORACLE["stream_suppress_near_duplicates_t28"] = _near_dup_sql(28)
+ORACLE["stream_sampled_frames_t28"] = ORACLE["sampled_frames_t28"]
 
 ORACLE["stream_idle_stops"] = ORACLE["idle_forced_stops"]
 ORACLE["stream_sample_per_second"] = ORACLE["sample_per_second"]

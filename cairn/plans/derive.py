@@ -118,10 +118,16 @@ def client_messages(events: DataFrame) -> DataFrame:
                          F.to_json(F.struct(mime.alias("mime_type"), data.alias("data"))).alias("message"))
 
 
+FRAME_MILLIS = 40
+
+
 def frames(embeddings: DataFrame) -> DataFrame:
-    """Frames: 64 grey values per row, stream = ``label``, order = ``vec_id``."""
+    """Frames: 64 grey values per row, stream = ``label``, order = ``vec_id``,
+    recorded 25 times a second."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    ts = F.timestamp_millis(F.unix_millis(start) + F.col("vec_id") * FRAME_MILLIS).cast("timestamp_ntz")
     return embeddings.select(F.col("label").alias("stream"), F.col("vec_id").alias("frame_id"),
-                             F.col("embedding").alias("grey"))
+                             F.col("embedding").alias("grey"), ts.alias("ts"))
 
 
 AUDIO_CHUNK_VECTORS = 250

@@ -23,15 +23,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.plans.partitioning import blocks_by_bytes
 from cairn.session import write_stage
 
 RUN = "_run"
+RUN_BYTES = 64 << 20
+"""Input files' bytes per run: runs grow in number with the input, not in size."""
 
 
 def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """``df`` written once, range-sorted by (keys, order), with the number of
     the range of every row in ``_run`` (ascending with the order)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or blocks_by_bytes(df, RUN_BYTES)
     cols = [*keys, *order]
     d = df.repartitionByRange(max(n, 1), *cols).sortWithinPartitions(*cols)
     return write_stage(d.withColumn(RUN, F.spark_partition_id()), "ordered-scan")

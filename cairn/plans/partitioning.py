@@ -5,6 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+FILES_LOOKED_AT = 1000
+
+
+def _file_sizes(df: DataFrame, files: list[str]) -> list[int]:
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    sizes = []
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        sizes.append(path.getFileSystem(conf).getFileStatus(path).getLen())
+    return sizes
+
+
+def scan_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files below ``df`` (no job, no plan of ``df``); None without
+    files. Of more than FILES_LOOKED_AT files, as many at even distances stand for all."""
+    files = sorted(df.inputFiles())
+    if not files:
+        return None
+    looked = files[::-(-len(files) // FILES_LOOKED_AT)]
+    return sum(_file_sizes(df, looked)) * len(files) // len(looked)
+
+
+def blocks_by_bytes(df: DataFrame, block_bytes: int) -> int:
+    """Number of blocks, runs or buckets that ``df`` is dealt over: one for every
+    ``block_bytes`` of its files, at least one per core, so a block's size does not
+    grow with the input. Without files, the number of shuffle partitions."""
+    spark = df.sparkSession
+    size = scan_bytes(df)
+    if size is None:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(spark.sparkContext.defaultParallelism, -(-size // block_bytes))
+
+
 def _scan_splits(df: DataFrame) -> int | None:
     """Tasks that the file scan below ``df`` gets, from its files' sizes alone
     (no job, no plan of ``df``); None without files."""
@@ -12,16 +45,10 @@ def _scan_splits(df: DataFrame) -> int | None:
     files = df.inputFiles()
     if not files:
         return None
-    target = spark.sparkContext.defaultParallelism
-    if len(files) >= target:
+    if len(files) >= spark.sparkContext.defaultParallelism:
         return len(files)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    sizes = []
-    for f in files:
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
-        sizes.append(path.getFileSystem(conf).getFileStatus(path).getLen())
-    return sum(max(1, -(-s // split)) for s in sizes)
+    return sum(max(1, -(-s // split)) for s in _file_sizes(df, files))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

@@ -3,45 +3,20 @@ stateful ones keep per-session state in the state store."""
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cairn.operators.frames import DUPLICATE_DISTANCE, fold_bits
 from cairn.operators.routing import route_agent_events, route_client_messages
 from cairn.operators.sessions import IDLE_TIMEOUT_MS
+from cairn.streaming.ordered import TICK, OrderedProcessor, event_time, micros, ordered_stream
 
 SESSION = "user_id"
 
 
-def _frame(batches) -> pd.DataFrame:
-    """All rows of one group in this micro-batch (usually a single batch)."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return pd.DataFrame()
-    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-
-
-def _micros(col: pd.Series) -> np.ndarray:
-    return col.to_numpy(dtype="datetime64[us]").astype(np.int64)
-
-
-def _order(*keys: np.ndarray) -> np.ndarray | None:
-    """Row order by ``keys`` (first key most significant); None if already sorted."""
-    idx = np.lexsort(keys[::-1])
-    return None if np.array_equal(idx, np.arange(len(idx))) else idx
-
-
-def event_time(df: DataFrame, delay: str, col: str = "ts") -> DataFrame:
-    """``_et``: the event time as TIMESTAMP (watermarks reject TIMESTAMP_NTZ),
-    with a watermark of ``delay``."""
-    return df.withColumn("_et", F.col(col).cast("timestamp")).withWatermark("_et", delay)
-
-
 # --- T4, T5: stateless routing ------------------------------------------------
 
 def stream_route_events(agent_events: DataFrame) -> DataFrame:
@@ -74,167 +49,164 @@ def stream_activity_sessions(activity: DataFrame, gap_seconds: int = IDLE_TIMEOU
                     F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n_events"))
 
 
-# --- rows in order: held until the watermark has passed them -------------------------
-
-SESSION_EXPIRY = "1 day"
-TICK = "tick"
+# --- W4: the first-error cut -----------------------------------------------------------
 
+CUT_COLUMNS = [SESSION, "ts", "event_id", "action", "mime_type", "state_key", "state_value"]
+CUT_OUT = ("user_id long, ts timestamp_ntz, event_id long, action string, mime_type string, state_key string, "
+           "state_value string")
 
-def _release(buffer: bytes | None, batches, state, keys: list[str]) -> tuple[pd.DataFrame, bytes | None, int | None, int]:
-    """(rows at or before the watermark in the order of ``keys``, the rest as
-    state bytes, its first time, the watermark), times in microseconds. Rows that
-    arrive late but within the watermark's delay thus take their place."""
-    frames = [pickle.loads(buffer)] if buffer else []
-    frames += [b for b in batches if len(b)]
-    watermark = state.getCurrentWatermarkMs() * 1000
-    if not frames:
-        return pd.DataFrame(), None, None, watermark
-    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    ts = _micros(rows["ts"])
-    ready = ts <= watermark
-    rest = rows[~ready]
-    rows = rows[ready].sort_values(keys, kind="stable")
-    return (rows, pickle.dumps(rest.reset_index(drop=True)) if len(rest) else None,
-            int(ts[~ready].min()) if len(rest) else None, watermark)
 
+class FirstErrorCut(OrderedProcessor):
+    """Passes the rows of a session on until its first error. State: the closed
+    mark, which stays for good; an open session has none."""
 
-def _micros_of(interval: str) -> int:
-    return int(pd.Timedelta(interval).total_seconds() * 1_000_000)
+    columns = CUT_COLUMNS
 
+    def prepare(self, handle):
+        self.closed = handle.getValueState("closed", "closed boolean")
 
-def _wait(state, values: tuple, first_held: int | None, last: int, expiry: int, watermark: int) -> None:
-    """Keep ``values`` until the watermark passes the first held row or, without
-    one, until the session has been silent for ``expiry``."""
-    state.update(values)
-    at = first_held if first_held is not None else last + expiry
-    state.setTimeoutTimestamp(max(at, watermark) // 1000 + 1)
+    def accepts(self, key):
+        # the error lies at or before the watermark, so all that still comes is after it
+        return not self.closed.exists()
 
+    def fold(self, key, rows, watermark):
+        if self.closed.exists():
+            return []
+        out = []
+        for r in rows.select(CUT_COLUMNS).to_pylist():
+            if r["action"] == "error":
+                self.closed.update((True,))
+                break
+            if r["action"] != TICK:
+                out.append(tuple(r.values()))
+        return out
 
-# --- W4: the first-error cut -----------------------------------------------------------
 
-CUT_COLUMNS = [SESSION, "ts", "event_id", "action", "mime_type", "state_key", "state_value"]
-CUT_OUT = ("user_id long, ts timestamp_ntz, event_id long, action string, mime_type string, state_key string, "
-           "state_value string")
+def stream_cut_at_first_error(actions: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Rows of each session before its first error row, in append mode. Rows are
+    held until the watermark passes them and released in order; an error ends the
+    session for good."""
+    return ordered_stream(actions.select(*CUT_COLUMNS), SESSION, ["ts", "event_id"], FirstErrorCut, CUT_OUT, delay)
 
 
-def stream_cut_at_first_error(actions: DataFrame, delay: str = "10 minutes", expiry: str = SESSION_EXPIRY) -> DataFrame:
-    """Rows of each session before its first error row, in append mode.
+# --- T7: bot messages, emitted when their turn completes ----------------------------
 
-    Rows are held until the watermark passes them and released in order; after
-    an error the session is closed until it has been silent for ``expiry``.
-    """
-    expiry_us = _micros_of(expiry)
-
-    def fold(key, batches, state):
-        closed, last, buffer = state.get if state.exists else (False, 0, None)
-        rows, buffer, held, watermark = _release(buffer, batches, state, ["ts", "event_id"])
-        out = rows
-        if len(rows):
-            last = max(last, int(_micros(rows["ts"]).max()))
-            bad = np.flatnonzero((rows["action"] == "error").to_numpy())
-            out = rows.iloc[:0] if closed else rows.iloc[:bad[0]] if len(bad) else rows
-            closed = closed or len(bad) > 0
-        if held is None and last + expiry_us <= watermark:
-            state.remove()
-        else:
-            _wait(state, (closed, last, buffer), held, last, expiry_us, watermark)
-        out = out[out["action"] != TICK] if len(out) else out
-        if len(out):
-            yield out[CUT_COLUMNS]
-
-    return (event_time(actions.select(*CUT_COLUMNS), delay).groupBy(SESSION)
-            .applyInPandasWithState(fold, CUT_OUT, "closed boolean, last_us long, buffer binary", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+BOT_OUT = "user_id long, turn_no long, first_ts timestamp_ntz, text string, n_chunks long"
 
 
-# --- T7: bot messages, emitted when their turn completes ----------------------------
+class BotMessages(OrderedProcessor):
+    """State of a session: the chunks of the open message (a list that is only
+    appended to), its first time and chunk count, the number of closed turns."""
 
-BOT_OUT = "user_id long, turn_no long, first_ts timestamp_ntz, text string, n_chunks long"
-BOT_STATE = "text string, first_us long, n long, turn_no long, last_us long, buffer binary"
+    columns = ["user_id", "turn_no", "first_ts", "text", "n_chunks"]
 
+    def __init__(self, schema, order, recording_end: int | None = None):
+        super().__init__(schema, order)
+        self.recording_end = recording_end
 
-def stream_bot_messages(agent_msgs: DataFrame, delay: str = "10 minutes", expiry: str = SESSION_EXPIRY) -> DataFrame:
-    """Bot messages emitted when ``turn_complete`` closes them (append mode).
+    def prepare(self, handle):
+        self.turn = handle.getValueState("turn", "turn_no long, first_us long, n long")
+        self.chunks = handle.getListState("chunks", "text string")
 
-    Rows newer than the watermark are held in state and folded in order once it
-    has passed them. State per session: the open text, its first time, chunk
-    count, the number of closed turns and the held rows. A session that has been
-    silent for ``expiry`` is over: its open message is emitted and its state
-    dropped.
-    """
-    expiry_us = _micros_of(expiry)
+    def accepts(self, key):
+        if self.recording_end is not None and not self.turn.exists() and not self.index.exists():
+            self.wake(self.recording_end)
+        return True
 
-    def fold(key, batches, state):
-        text, first_us, n, turn_no, last, buffer = state.get if state.exists else ("", None, 0, 0, 0, None)
-        rows, buffer, held, watermark = _release(buffer, batches, state, ["ts", "event_id"])
-        parts, out = [text], []
+    def fold(self, key, rows, watermark):
+        turn_no, first_us, n = self.turn.get() if self.turn.exists() else (0, None, 0)
+        parts, held, out = [], n > 0, []
 
         def close():
+            nonlocal parts, held, n, first_us
             if n > 0:
-                out.append((key[0], turn_no, first_us, "".join(parts), n))
-        if len(rows):
-            ts = _micros(rows["ts"])
-            last = max(last, int(ts.max()))
-            cols = [rows[c].tolist() for c in ("kind", "turn_complete", "mime_type", "data")]
-            for kind, tc, mime, data, t in zip(*cols, ts.tolist()):
-                if kind == "control" and tc is True:
-                    close()
-                    parts, first_us, n, turn_no = [], None, 0, turn_no + 1
-                elif mime == "text/plain":
-                    if n == 0:
-                        first_us = t
-                    if isinstance(data, str):
-                        parts.append(data)
-                    n += 1
-        if held is None and last + expiry_us <= watermark:
+                before = [c[0] for c in self.chunks.get()] if held else []
+                out.append((key, turn_no, pd.Timestamp(first_us, unit="us"), "".join([*before, *parts]), n))
+                if held:
+                    self.chunks.clear()
+            parts, held, n, first_us = [], False, 0, None
+        cols = [rows.column(c).to_pylist() for c in ("kind", "turn_complete", "mime_type", "data")]
+        for kind, done, mime, data, t in zip(*cols, micros(rows.column("ts")).tolist()):
+            if kind == "control" and done is True:
+                close()
+                turn_no += 1
+            elif mime == "text/plain":
+                first_us = t if n == 0 else first_us
+                n += 1
+                if data is not None:
+                    parts.append(data)
+        if self.recording_end is not None and watermark > self.recording_end:
             close()
-            state.remove()
-        else:
-            _wait(state, ("".join(parts), first_us, n, turn_no, last, buffer), held, last, expiry_us, watermark)
-        if out:
-            o = pd.DataFrame(out, columns=["user_id", "turn_no", "first_ts", "text", "n_chunks"])
-            o["first_ts"] = pd.to_datetime(o["first_ts"], unit="us")
-            yield o
-
+        if parts:
+            self.chunks.appendValue(("".join(parts),))
+        if len(rows) or out:
+            self.turn.update((turn_no, first_us, n))
+        return out
+
+
+def stream_bot_messages(agent_msgs: DataFrame, delay: str = "10 minutes", recording_end: int | None = None) -> DataFrame:
+    """Bot messages emitted when ``turn_complete`` closes them (append mode),
+    however long the session was silent in between. With ``recording_end`` (microseconds; a replayed
+    recording) the messages still open are emitted once the watermark passes it, as
+    the batch form does at the end of its table."""
     cols = agent_msgs.select(SESSION, "ts", "event_id", "kind", "turn_complete", "mime_type", "data")
-    return event_time(cols, delay).groupBy(SESSION).applyInPandasWithState(
-        fold, BOT_OUT, BOT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# --- T3: near-duplicate suppression over a frame stream -----------------------------
-
-def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTANCE) -> DataFrame:
-    """Frames kept per stream; state = the last kept signature (survives
-    across batches and across stop/start of sharing, like the client)."""
-    t = int(threshold)
-    out_schema = "stream int, frame_id long, signature string"
-
-    def fold(key, batches, state):
-        rows = _frame(batches)
-        if rows.empty:
-            return
-        idx = _order(rows["frame_id"].to_numpy())
-        if idx is not None:
-            rows = rows.iloc[idx]
-        last = np.array([state.get[0]], dtype=np.int64).view(np.uint64)[0] if state.exists else None
-        bits = rows["sig_bits"].to_numpy(dtype=np.int64).view(np.uint64)
-        at = fold_bits(bits, last, t)
-        keep = np.zeros(len(rows), dtype=bool)
-        keep[at] = True
-        last = bits[at[-1]] if len(at) else last
-        if last is not None:
-            state.update((int(np.array([last], dtype=np.uint64).view(np.int64)[0]),))
-        if keep.any():
-            yield rows.loc[keep, ["stream", "frame_id", "signature"]]
-
-    return (frames.select("stream", "frame_id", "signature", "sig_bits").groupBy("stream")
-            .applyInPandasWithState(fold, out_schema, "last_bits long", "append", GroupStateTimeout.NoTimeout))
+    return ordered_stream(cols, SESSION, ["ts", "event_id"], lambda s, o: BotMessages(s, o, recording_end), BOT_OUT, delay)
+
+
+# --- T2 then T3: sampled frames, near duplicates suppressed ------------------------------
+
+FRAMES_OUT = "stream int, ts timestamp_ntz, frame_id long, signature string"
+
+
+class NearDuplicates(OrderedProcessor):
+    """State of a stream of frames: the last kept signature, which survives stop
+    and start of sharing, like the client's."""
+
+    columns = ["stream", "ts", "frame_id", "signature"]
+
+    def __init__(self, schema, order, threshold: int):
+        super().__init__(schema, order)
+        self.threshold = threshold
+
+    def prepare(self, handle):
+        self.last = handle.getValueState("last", "bits long")
+
+    def fold(self, key, rows, watermark):
+        rows = rows.filter(rows.column("sig_bits").is_valid())  # a clock row has none
+        if not len(rows):
+            return []
+        bits = rows.column("sig_bits").to_numpy().view(np.uint64)
+        last = np.array([self.last.get()[0]], np.int64).view(np.uint64)[0] if self.last.exists() else None
+        at = fold_bits(bits, last, self.threshold)
+        if len(at):
+            self.last.update((int(bits[at[-1:]].view(np.int64)[0]),))
+        return [tuple(r.values()) for r in rows.select(self.columns).take(pa.array(at)).to_pylist()]
+
+
+def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTANCE, delay: str | None = "10 minutes") -> DataFrame:
+    """Frames kept per stream, in the order of (ts, frame_id) whatever order they
+    arrive in. ``frames``: stream, ts, frame_id, signature, sig_bits; with
+    ``delay`` None also ``_et`` with a watermark."""
+    cols = ["stream", "ts", "frame_id", "signature", "sig_bits"]
+    rows = frames.select(*cols, *([] if delay else ["_et"]))
+    return ordered_stream(rows, "stream", ["ts", "frame_id"], lambda s, o: NearDuplicates(s, o, int(threshold)), FRAMES_OUT, delay)
+
+
+def stream_sampled_frames(frames: DataFrame, window: str = "1 second", threshold: int = DUPLICATE_DISTANCE,
+                          delay: str = "10 minutes") -> DataFrame:
+    """What a client sends: the latest frame of every tumbling window, and of these
+    the ones that differ from the last one sent. Two stateful steps in one
+    query: a window's frame goes on when the watermark closes the window, and the
+    watermark goes with it."""
+    picked = F.max(F.struct("ts", "frame_id", "signature", "sig_bits"))
+    sampled = (event_time(frames, delay).groupBy("stream", F.window("_et", window).alias("w")).agg(picked.alias("_f"))
+               .select("stream", "_f.*", F.window_time("w").alias("_et")))
+    return stream_suppress_near_duplicates(sampled, threshold, delay=None)
 
 
 # --- T8: idle forced stops with event-time timeouts ---------------------------------
 
 IDLE_OUT = "user_id long, interval_start timestamp_ntz, stop_ts timestamp_ntz, armed_event_id long"
-IDLE_STATE = "open boolean, start_us long, deadline_us long, armed_id long, fired boolean, last_us long, buffer binary"
 IDLE_COLUMNS = [SESSION, "ts", "event_id", "side", "kind"]
 
 
@@ -256,63 +228,69 @@ def idle_timeline(agent_msgs: DataFrame, actions: DataFrame, player_active: bool
     return rows if with_others else rows.where("kind <> 'other'")
 
 
-def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS, delay: str = "10 minutes",
-                      expiry: str = SESSION_EXPIRY, until_horizon: bool = False) -> DataFrame:
-    """Forced stops of screen sharing by the inactivity timer (append mode).
+class IdleStops(OrderedProcessor):
+    """State of a session while its sharing is open: since when, the armed
+    deadline, whether this interval has fired. None while it is closed."""
 
-    Rows newer than the watermark are held and folded in order once it has
-    passed them. State per session: whether the recorded sharing is open, since
-    when, the armed deadline, whether this interval already fired and the held
-    rows. A deadline fires when a later row comes after it, or when the watermark
-    passes it; with ``until_horizon`` (a replayed recording) only rows of the
-    session itself let it fire, as in the batch form. A session without an open
-    interval, or silent for ``expiry``, is dropped.
-    """
-    timeout_us, expiry_us = timeout_ms * 1000, _micros_of(expiry)
+    columns = ["user_id", "interval_start", "stop_ts", "armed_event_id"]
+
+    def __init__(self, schema, order, timeout_us: int, until_horizon: bool):
+        super().__init__(schema, order)
+        self.timeout_us, self.until_horizon = timeout_us, until_horizon
+
+    def prepare(self, handle):
+        self.interval = handle.getValueState("interval", "start_us long, deadline_us long, armed_id long, fired boolean")
 
-    def fold(key, batches, state):
-        is_open, start_us, deadline, armed_id, fired, last, buffer = state.get if state.exists else (
-            False, None, None, None, False, 0, None)
-        known = state.exists
-        rows, buffer, held, watermark = _release(buffer, batches, state, ["ts", "_late", "event_id", "side"])
+    def fold(self, key, rows, watermark):
+        known = self.interval.exists()
+        is_open = known
+        start_us, deadline, armed_id, fired = before = self.interval.get() if known else (None, None, None, False)
         out = []
 
         def fire():
-            out.append((key[0], pd.Timestamp(start_us, unit="us"), pd.Timestamp(deadline, unit="us"), armed_id))
-        if len(rows):
-            ts = _micros(rows["ts"])
-            last = max(last, int(ts.max()))
-            for t, eid, kind in zip(ts.tolist(), rows["event_id"].tolist(), rows["kind"].tolist()):
-                if deadline is not None and (t > deadline or (kind == "other" and t == deadline)):
-                    fire()
-                    fired, deadline = True, None
-                if kind == "on":
-                    if not is_open:
-                        is_open, start_us, fired = True, t, False
-                    if not fired:
-                        deadline, armed_id = t + timeout_us, eid
-                elif kind == "off":
-                    is_open, deadline = False, None
-                elif kind == "cancel":
-                    deadline = None
-                elif kind == "act" and is_open and not fired:
-                    deadline, armed_id = t + timeout_us, eid
-        if held is None and not until_horizon and deadline is not None and deadline < watermark:
-            fire()
-            fired, deadline = True, None
-        over = held is None and (last + expiry_us <= watermark or (not is_open and deadline is None))
-        if over:
-            if known:
-                state.remove()
-        else:
-            _wait(state, (is_open, start_us, deadline, armed_id, fired, last, buffer),
-                  held if held is not None or deadline is None or until_horizon else deadline, last, expiry_us, watermark)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "interval_start", "stop_ts", "armed_event_id"])
-
-    rows = timeline.select(*IDLE_COLUMNS, (F.col("kind") == "other").cast("int").alias("_late"))
-    return (event_time(rows, delay).groupBy(SESSION)
-            .applyInPandasWithState(fold, IDLE_OUT, IDLE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+            out.append((key, pd.Timestamp(start_us, unit="us"), pd.Timestamp(deadline, unit="us"), armed_id))
+        for t, eid, kind in zip(micros(rows.column("ts")).tolist(), rows.column("event_id").to_pylist(), rows.column("kind").to_pylist()):
+            if deadline is not None and (t > deadline or (kind == "other" and t == deadline)):
+                fire()
+                fired, deadline = True, None
+            if kind == "on":
+                if not is_open:
+                    is_open, start_us, fired = True, t, False
+                if not fired:
+                    deadline, armed_id = t + self.timeout_us, eid
+            elif kind == "off":
+                is_open, deadline = False, None
+            elif kind == "cancel":
+                deadline = None
+            elif kind == "act" and is_open and not fired:
+                deadline, armed_id = t + self.timeout_us, eid
+        if deadline is not None and not self.until_horizon:
+            if deadline < watermark:
+                fire()
+                fired, deadline = True, None
+            else:
+                self.wake(deadline)
+        now = (start_us, deadline, armed_id, fired)
+        if is_open and (not known or now != tuple(before)):
+            self.interval.update(now)
+        elif known and not is_open:
+            self.interval.clear()
+        return out
+
+
+def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS, delay: str = "10 minutes",
+                      until_horizon: bool = False) -> DataFrame:
+    """Forced stops of screen sharing by the inactivity timer (append mode).
+
+    Rows are held until the watermark passes them and folded in order. A deadline
+    fires when a later row comes after it, or when the watermark passes it; with
+    ``until_horizon`` (a replayed recording) only rows of the session itself let
+    it fire, as in the batch form. An interval stays open until its 'off', however
+    long the session is silent.
+    """
+    rows = timeline.select(*IDLE_COLUMNS, (F.col("kind") == "other").cast("int").alias("late"))
+    return ordered_stream(rows, SESSION, ["ts", "late", "event_id", "side"],
+                          lambda s, o: IdleStops(s, o, timeout_ms * 1000, until_horizon), IDLE_OUT, delay)
 
 
 # --- T2: latest frame per tumbling window, append mode -------------------------------

@@ -73,8 +73,17 @@ def file_stream(spark: SparkSession, root: str, glob: str = "", files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{root}{glob}")
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Operators with lists, maps and timers in their state need this store, which holds it on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Append-mode stream -> parquet sink, run until the available input is done."""
+    use_rocksdb(stream.sparkSession)
     q = (stream.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
@@ -85,6 +94,7 @@ def run_foreach_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], c
                       mode: str = "append") -> None:
     """Stream -> ``fn(batch_df, batch_id)``, run until the available input is done.
     ``fn`` must be idempotent per batch id (a retried batch is replayed)."""
+    use_rocksdb(stream.sparkSession)
     q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()

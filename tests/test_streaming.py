@@ -50,6 +50,9 @@ def _end(t):
     return (None, t + dt.timedelta(days=3), -1, "tick", None, None, None, None, None)
 
 
+END = int((T0 + dt.timedelta(hours=2) - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+
+
 def test_bot_messages_stream_equals_batch(spark):
     rows = _agent_rows()
     df = spark.createDataFrame(rows, AGENT)
@@ -58,7 +61,8 @@ def test_bot_messages_stream_equals_batch(spark):
     rows.sort(key=lambda r: (r[1] - T0) // dt.timedelta(minutes=8))
     parts = [spark.createDataFrame(rows[i:i + 9], AGENT) for i in range(0, len(rows), 9)]
     parts.append(spark.createDataFrame([_end(T0)], AGENT))
-    got = sorted((r.user_id, r.turn_no, r.text, r.n_chunks) for r in _run(spark, ST.stream_bot_messages(_files(spark, "t7", parts))))
+    got = sorted((r.user_id, r.turn_no, r.text, r.n_chunks) for r in _run(
+        spark, ST.stream_bot_messages(_files(spark, "t7", parts), recording_end=END)))
     want = sorted((r.user_id, r.turn_no, r.text, r.n_chunks) for r in S.assemble_bot_messages(df).collect())
     assert got == want and len(got) == 12  # the open messages of both sessions are closed at the end
 
@@ -162,3 +166,101 @@ def test_staged_chunks_cover_input_in_ascending_ranges(spark):
             ranges.append((min(r.ts for r in rows), max(r.ts for r in rows)))
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
     assert sorted(map(tuple, total)) == sorted(map(tuple, df.collect()))
+
+
+def _action(user, t, eid, action="state"):
+    return (user, t, eid, action, "application/json", None, None)
+
+
+def test_an_error_ends_the_session_for_good(spark):
+    day = dt.timedelta(days=1)
+    rows = [_action(1, T0 - day, 1), _action(1, T0, 2), _action(1, T0 + dt.timedelta(seconds=1), 3, "error"),
+            *[_action(2, T0 + dt.timedelta(hours=h), 100 + h) for h in range(0, 24 * 9, 5)], _action(1, T0 + 5 * day, 4),
+            _action(2, T0 + 8 * day, 500, "error"), _action(2, T0 + 9 * day, 501), _action(None, T0 + day, 600)]
+    rows.sort(key=lambda r: r[1])
+    df = spark.createDataFrame(rows, ACTIONS)
+    parts = [spark.createDataFrame(rows[i:i + 6], ACTIONS) for i in range(0, len(rows), 6)]
+    parts.append(spark.createDataFrame([(None, T0 + 20 * day, -1, "tick", None, None, None)], ACTIONS))
+    got = sorted(map(tuple, _run(spark, ST.stream_cut_at_first_error(_files(spark, "cut5", parts)))), key=str)
+    want = sorted(map(tuple, cut_at_first_error(df).select(*ACTIONS_COLS).collect()), key=str)
+    assert got == want
+    assert [r[2] for r in got if r[0] == 1] == [1, 2]
+
+
+def test_a_turn_stays_open_across_silent_days(spark):
+    day = dt.timedelta(days=1)
+
+    def say(d, eid, text):
+        return (1, T0 + d * day, eid, "data", "text/plain", text, None, None, None)
+    rows = [say(0, 1, "A"), say(3, 2, "B"), (1, T0 + 3.5 * day, 3, "control", None, None, None, True, None), say(7, 4, "C"), say(11, 5, "D")]
+    others = [(2, T0 + dt.timedelta(hours=h), 100 + h, "data", "text/plain", "x", None, None, None) for h in range(0, 24 * 11, 7)]
+    everything = sorted(rows + others, key=lambda r: r[1])
+    parts = [spark.createDataFrame(everything[i:i + 5], AGENT) for i in range(0, len(everything), 5)]
+    parts.append(spark.createDataFrame([(None, T0 + 30 * day, -1, "tick", None, None, None, None, None)], AGENT))
+    end = int((T0 + 11 * day - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    stream = _files(spark, "silent", parts)
+    got = sorted((r.user_id, r.turn_no, r.first_ts, r.text, r.n_chunks) for r in _run(spark, ST.stream_bot_messages(stream, recording_end=end)))
+    df = spark.createDataFrame(everything, AGENT)
+    want = sorted((r.user_id, r.turn_no, r.first_ts, r.text, r.n_chunks) for r in S.assemble_bot_messages(df).collect())
+    assert got == want
+    assert [(r[1], r[3]) for r in got if r[0] == 1] == [(0, "AB"), (1, "CD")]
+    # a live stream has no end: what is open waits for the end of its turn
+    live = _run(spark, ST.stream_bot_messages(_files(spark, "silent-live", parts)))
+    assert [r.text for r in live] == ["AB"]
+
+
+def test_an_interval_stays_open_across_silent_days(spark):
+    day = dt.timedelta(days=1)
+
+    def on_off(d, eid, value):
+        return (1, T0 + d * day, eid, "state", "application/json", "screen_sharing", value)
+    actions = [on_off(0, 1, "on"), on_off(4, 2, "on"), on_off(8, 3, "off"), on_off(9, 4, "on")]
+    agent = [(2, T0 + dt.timedelta(hours=h), 100 + h, "data", "text/plain", "x", None, None, None) for h in range(0, 24 * 9, 7)]
+    agent.append((1, T0 + 9.5 * day, 90, "control", None, None, None, True, None))
+    a, c = spark.createDataFrame(agent, AGENT), spark.createDataFrame(actions, ACTIONS)
+    rows = sorted(ST.idle_timeline(a, c, with_others=True).collect(), key=lambda r: r.ts)
+    schema = "user_id long, ts timestamp_ntz, event_id long, side int, kind string"
+    parts = [spark.createDataFrame([tuple(r) for r in rows[i:i + 5]], schema) for i in range(0, len(rows), 5)]
+    parts.append(spark.createDataFrame([(None, T0 + 30 * day, -1, 9, "other")], schema))
+    got = sorted(map(tuple, _run(spark, ST.stream_idle_stops(_files(spark, "idle-days", parts), until_horizon=True))))
+    assert got == sorted(map(tuple, S.idle_forced_stops(a, c).collect())) and len(got) == 2
+
+
+FRAMES = "stream int, ts timestamp_ntz, frame_id long, signature string, sig_bits long"
+
+
+def _frames(seed=3, n=400):
+    rnd, rows, bits = random.Random(seed), [], 0
+    for i in range(n):
+        if rnd.random() < .5:
+            bits ^= 1 << rnd.randrange(63)
+        rows.append((rnd.choice([1, 1, 1, 2, None]), T0 + dt.timedelta(milliseconds=300 * i), i, format(bits, "064b"), bits))
+    return rows
+
+
+def test_late_frames_are_folded_in_their_place(spark):
+    from cairn.operators.frames import sampled_frames, suppress_near_duplicates
+    rows = _frames()
+    df = spark.createDataFrame(rows, FRAMES)
+    shuffled = rows[:]
+    random.Random(5).shuffle(shuffled)
+    end = (None, T0 + dt.timedelta(days=3), None, None, None)
+    parts = [spark.createDataFrame(shuffled[i:i + 60], FRAMES) for i in range(0, len(rows), 60)] + [spark.createDataFrame([end], FRAMES)]
+    got = _run(spark, ST.stream_suppress_near_duplicates(_files(spark, "late", parts)))
+    want = suppress_near_duplicates(df).select("stream", "ts", "frame_id", "signature").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and 20 < len(want) < 390
+    # sampled first, in one query
+    got = _run(spark, ST.stream_sampled_frames(_files(spark, "late-sampled", parts)))
+    want = sampled_frames(df).select("stream", "ts", "frame_id", "signature").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(want) > 20
+
+
+def test_a_long_turn_goes_through_pieces(spark):
+    from cairn.streaming import ordered
+    n = 2 * ordered.PIECE_ROWS + 7
+    rows = [(1, T0 + dt.timedelta(milliseconds=i), i, "data", "text/plain", f"{i},", None, None, None) for i in range(n)]
+    random.Random(1).shuffle(rows)
+    parts = [spark.createDataFrame(rows, AGENT), spark.createDataFrame([_end(T0)], AGENT)]
+    end = int((T0 + dt.timedelta(milliseconds=n) - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    got = _run(spark, ST.stream_bot_messages(_files(spark, "long", parts), recording_end=end))
+    assert [(r.n_chunks, r.text) for r in got] == [(n, "".join(f"{i}," for i in range(n)))]
