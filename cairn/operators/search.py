@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import search_terms
-from cairn.plans.guard import broadcast_if_small, fits
+from cairn.plans.guard import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small, fits
 from cairn.plans.partitioning import spread
 from cairn.session import write_stage
 
@@ -23,6 +23,10 @@ BM25_B = 0.75
 TOP_K = 10
 SCORE_DIGITS = 6
 MAX_BROADCAST_QUESTION_TERMS = 2_000_000
+SEED_CASES = 4
+"""Cases looked at for a question's lower bound, times k."""
+SLACK = 1e-5
+"""Above the rounding of scores."""
 
 
 def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text",
@@ -73,6 +77,79 @@ def question_terms(questions: DataFrame, id_col: str = "question_id", text_col:
                             F.explode(F.array_distinct(search_terms(F.col(text_col)))).alias("term"))
 
 
+def weigh(postings: DataFrame, stats: dict, k1: float, b: float, small_vocabulary: bool) -> DataFrame:
+    """The contribution ``c`` of every posting to a score, ``(term, case_id, block, c)``.
+    A block is the class of cases of about the same length (quarters of octaves): they
+    share the length norm, so the largest contribution of a term in a block is close to all of them."""
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    df_q = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df_q.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    # idf has one row per vocabulary term, so the check of the vocabulary bounds it too
+    weighted = postings.join(F.broadcast(idf) if small_vocabulary else idf, "term")
+    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
+    c = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
+    return weighted.select("term", "case_id", F.floor(4 * F.log2(dl + 1)).cast("int").alias("block"), c.alias("c"))
+
+
+def full_scores(pairs: DataFrame, weights: DataFrame, terms: DataFrame) -> DataFrame:
+    """Whole scores of ``pairs`` (question_id, case_id). A broadcast hint on them holds."""
+    found = weights.join(pairs, "case_id").join(broadcast_if_small(terms.select("question_id", "term")), ["question_id", "term"])
+    return (found.groupBy("question_id", "case_id").agg(F.sum("c").alias("_s"))
+            .withColumn("score", F.round("_s", SCORE_DIGITS)).drop("_s"))
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("case_id").asc())
+    return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def pairs_to_score(weights: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """The pairs (question_id, case_id) that can be among a question's best ``k``:
+    all others are proven to score less.
+
+    1. Block maxima: the largest contribution of every question term per block.
+    2. A lower bound of the k-th score: the cases that a question's strongest terms
+       find are scored whole, and the k-th best of them counts.
+    3. Per question and block, terms are taken from the weakest on; as long as their maxima add
+       up to less than the bound, a case that has only these cannot reach it. Only postings of the
+       other terms are read, and a pair stays if what they give, with the maxima of
+       the weak ones, reaches the bound.
+    4. The pairs that reach furthest are scored whole: their k-th best score is a
+       better bound, which drops most of the others.
+    """
+    few = terms.select("question_id").distinct().count() * SEED_CASES * k <= DEFAULT_MAX_BROADCAST_ROWS
+
+    def hint(df: DataFrame) -> DataFrame:  # for at most SEED_CASES * k narrow rows a question
+        return F.broadcast(df) if few else df
+    peaks = weights.groupBy("term", "block").agg(F.max("c").alias("peak"), F.count(F.lit(1)).alias("df"))
+    peaks = write_stage(terms.join(broadcast_if_small(peaks), "term"), "search-peaks")
+    strongest = peaks.groupBy("question_id", "term").agg(F.max("peak").alias("peak"), F.sum("df").alias("df"))
+    down = Window.partitionBy("question_id").orderBy(F.desc("peak"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = strongest.withColumn("_found", F.coalesce(F.sum("df").over(down), F.lit(0))).where(F.col("_found") < SEED_CASES * k)
+    first = weights.join(hint(seeds.select("question_id", "term")), "term")  # SEED_CASES * k terms at most, each found once
+    first = first.groupBy("question_id", "case_id").agg(F.sum("c").alias("score"))
+    first = _best(first, SEED_CASES * k).select("question_id", "case_id")
+    bound = _best(full_scores(hint(first), weights, terms), k).where(F.col("rank") == k)
+    bound = bound.select("question_id", (F.col("score") - SLACK).alias("bound"))
+    up = Window.partitionBy("question_id", "block").orderBy("peak", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = peaks.join(hint(bound), "question_id", "left").withColumn("_sum", F.sum("peak").over(up))
+    weak = F.coalesce(F.col("_sum") < F.col("bound"), F.lit(False))
+    cut = write_stage(cut.select("question_id", "term", "block", "peak", "bound", weak.alias("weak")), "search-cut")
+    rest = cut.where("weak").groupBy("question_id", "block").agg(F.sum("peak").alias("rest"))
+    strong = cut.where("NOT weak").select("question_id", "term", "block", "bound").join(rest, ["question_id", "block"], "left")
+    part = weights.join(broadcast_if_small(strong), ["term", "block"]).groupBy("question_id", "case_id").agg(
+        F.sum("c").alias("part"), F.first("rest").alias("rest"), F.first("bound").alias("bound"))
+    reach = (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("reach")
+    part = part.select("question_id", "case_id", reach, F.coalesce("bound", F.lit(0.0)).alias("bound")).where("reach >= bound")
+    part = write_stage(part, "search-reach")
+    # the pairs that reach furthest give a better bound for the others
+    top = _best(part.select("question_id", "case_id", F.col("reach").alias("score")), SEED_CASES * k)
+    better = _best(full_scores(hint(top.select("question_id", "case_id")), weights, terms), k).where(F.col("rank") == k)
+    better = better.select("question_id", (F.col("score") - SLACK).alias("better"))
+    part = part.join(hint(better), "question_id", "left")
+    return part.where(F.col("better").isNull() | (F.col("reach") >= F.col("better"))).select("question_id", "case_id")
+
+
 def kb_search(questions: DataFrame, cases: DataFrame, k: int = TOP_K, k1: float = BM25_K1,
               b: float = BM25_B, q_id: str = "question_id", c_id: str = "case_id") -> DataFrame:
     """Top ``k`` cases per question by BM25: ``(question_id, rank, case_id, score)``.
@@ -80,34 +157,19 @@ def kb_search(questions: DataFrame, cases: DataFrame, k: int = TOP_K, k1: float
     The question vocabulary is broadcast (size-checked) into the document
     tokens, so postings are built only for question terms and are never
     shuffled by term alone: a term found in every document costs no skew.
-    Document frequencies come from those postings with map-side partial
-    counts; the idf table is bounded by the checked vocabulary and is
-    broadcast back. Scores are rounded to 6 digits and ranked by (score
+    Only pairs that bounds leave (:func:`pairs_to_score`) are scored whole.
+    Scores are rounded to 6 digits and ranked by (score
     desc, case_id asc); ``row_number() <= k`` is planned with a
     per-partition group limit before the final shuffle.
     """
     qt = question_terms(questions, q_id)
-    qt_b = broadcast_if_small(qt, MAX_BROADCAST_QUESTION_TERMS)
-    # idf has one row per vocabulary term, so the vocabulary check bounds it too
     vocab = qt.select("term").distinct()
     small_vocab = fits(vocab, MAX_BROADCAST_QUESTION_TERMS)
-    parts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings, stats = index_cases(cases, c_id, vocabulary=vocab, broadcast_vocabulary=small_vocab)
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    df_q = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_q.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    # one deal of the postings by case: the scores of a case are then summed in one task, and each
-    # task sends at most k cases per question to the ranking
-    weighted = postings.join(F.broadcast(idf) if small_vocab else idf, "term")
-    matched = weighted.repartition(parts, "case_id").join(qt_b, "term")
-    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
-    scores = (matched.groupBy("question_id", "case_id").agg(F.sum(contrib).alias("_s"))
-              .withColumn("score", F.round("_s", SCORE_DIGITS)))
-    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("case_id").asc())
-    return (scores.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= k)
-            .select("question_id", "rank", "case_id", "score"))
+    weights = write_stage(weigh(postings, stats, k1, b, small_vocab), "search-weights")
+    terms = write_stage(qt, "search-questions")
+    pairs = write_stage(pairs_to_score(weights, terms, k), "search-pairs")
+    return _best(full_scores(broadcast_if_small(pairs), weights, terms), k).select("question_id", "rank", "case_id", "score")
 
 
 def kb_search_with_fallback(questions: DataFrame, expert: DataFrame, general: DataFrame,

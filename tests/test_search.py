@@ -79,3 +79,38 @@ def test_bm25_corpus_stats_count_empty_and_null_texts(spark):
         ranked = sorted(scores.items(), key=lambda kv: (-round(kv[1], 6), kv[0]))
         want.update({(qid, cid): (rank, round(s, 6)) for rank, (cid, s) in enumerate(ranked, 1)})
     assert got == want
+
+
+def test_bounds_leave_few_pairs_and_the_same_answers(spark):
+    import random
+
+    from cairn.session import write_stage
+    rnd = random.Random(6)
+    common, rare = [f"w{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    cases = [(i, " ".join(rnd.choices(common, k=rnd.randint(5, 60)) + rnd.choices(rare, k=rnd.randint(0, 6)))) for i in range(800)]
+    cases += [(900 + i, "w1 w2 r7") for i in range(30)] + [(950, ""), (951, None)]  # ties
+    questions = [(q, " ".join(rnd.sample(common, 6) + rnd.sample(rare, 5))) for q in range(20)] + [(30, "w1 w2"), (31, "r7"), (32, "zz"), (33, None)]
+    qs = spark.createDataFrame(questions, "question_id long, text string")
+    cs = spark.createDataFrame(cases, "case_id long, text string")
+    got = sorted((r.question_id, r["rank"], r.case_id, r.score) for r in SE.kb_search(qs, cs, k=5).collect())
+    docs = {i: _terms(t) for i, t in cases if t is not None}
+    n, avgdl = len(cases), sum(map(len, docs.values())) / len(docs)
+    df = Counter(t for d in docs.values() for t in set(d))
+    want, pairs = [], 0
+    for qid, q in questions:
+        scores = {}
+        for term in set(_terms(q or "")):
+            idf = math.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+            for cid, d in docs.items():
+                tf = d.count(term)
+                if tf:
+                    scores[cid] = scores.get(cid, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / avgdl))
+        pairs += len(scores)
+        ranked = sorted(scores.items(), key=lambda kv: (-round(kv[1], 6), kv[0]))[:5]
+        want += [(qid, i, cid, round(s, 6)) for i, (cid, s) in enumerate(ranked, 1)]
+    assert got == sorted(want)
+    terms = SE.question_terms(qs)
+    postings, stats = SE.index_cases(cs, vocabulary=terms.select("term").distinct(), broadcast_vocabulary=True)
+    weights = write_stage(SE.weigh(postings, stats, SE.BM25_K1, SE.BM25_B, True), "weights")
+    scored = SE.pairs_to_score(weights, terms, 5)
+    assert scored.count() == scored.distinct().count() < pairs / 5
