@@ -381,6 +381,7 @@ def q_cluster_lookup(spark, sf):
 
 # --- search, findings, log filters -------------------------------------------------
 from cairn.operators import search as SE  # noqa: E402
+from cairn.sources.kb_index import CaseIndex, case_key  # noqa: E402
 
 FALLBACK_MIN_SCORE = 60.0
 
@@ -394,6 +395,29 @@ CONFIG_RULES = [
 ]
 
 
+def _changed_cases(cases):
+    """The next state of the knowledge base: of about one case in a hundred each, the explanation
+    is extended, the case is dropped, and a case for another product is added."""
+    kind = F.coalesce(F.length("explanation") % 100, F.lit(0))
+    same = cases.where(kind != 13).withColumn("explanation", F.when(kind == 7, F.concat("explanation", F.lit(" revised answer"))).otherwise(
+        F.col("explanation")))
+    return same.unionByName(cases.where(kind == 21).withColumn("product", F.lit("new")))
+
+
+def _reindexed(spark, sf):
+    index = CaseIndex(spark, staging_path(spark, "kb-index"))
+    sheet = KB.kb_sheet_scan(spark, _kb_root(spark, sf))
+    for state in (sheet, _changed_cases(sheet)):
+        native = KB.kb_refresh(state, staging_path(spark, "kb-native"))
+        index.update(native.withColumn("case_id", case_key()))
+    return index
+
+
+@register("kb_reindex_search")
+def q_kb_reindex_search(spark, sf):
+    return SE.search_index(_questions(spark, sf), _reindexed(spark, sf).index())
+
+
 def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 

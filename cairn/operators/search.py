@@ -29,46 +29,51 @@ SLACK = 1e-5
 """Above the rounding of scores."""
 
 
+def case_tokens(cases: DataFrame, id_col: str = "case_id", text_col: str = "text") -> DataFrame:
+    """One row ``(case_id, dl, term)`` per term of every case, and one with a NULL
+    term per case, so lengths and the number of cases come out of the same counts."""
+    # tokenising is the heavy step: spread a narrow scan over the cluster first
+    docs = spread(cases.select(F.col(id_col).alias("case_id"), F.col(text_col)))
+    docs = docs.select("case_id", search_terms(F.col(text_col)).alias("_terms"))
+    docs = docs.withColumn("dl", F.when(F.col("_terms").isNotNull(), F.size("_terms")).cast("long"))
+    marker = F.array(F.lit(None).cast("string"))
+    terms = F.concat(F.coalesce(F.col("_terms"), F.array().cast("array<string>")), marker)
+    return docs.select("case_id", "dl", F.explode(terms).alias("term"))
+
+
+def counted(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def corpus_stats(index: DataFrame) -> dict:
+    """``{n, avgdl}`` from the NULL-term rows of an index."""
+    known = F.when(F.col("dl").isNotNull(), F.col("tf"))
+    row = index.where(F.col("term").isNull()).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(known)).alias("avgdl")).first()
+    return {"n": int(row["n"] or 0), "avgdl": float(row["avgdl"] or 0.0)}
+
+
 def index_cases(cases: DataFrame, id_col: str = "case_id", text_col: str = "text",
                 vocabulary: DataFrame | None = None, broadcast_vocabulary: bool = False) -> tuple[DataFrame, dict]:
     """Postings ``(term, case_id, dl, tf)`` and corpus stats ``{n, avgdl}``.
 
-    The text is read and tokenised once. Every document adds one NULL-term
-    row to its tokens, so document lengths (for ``n`` and ``avgdl``) come
-    out of the same aggregation as the postings. With a ``vocabulary``
+    The text is read and tokenised once. With a ``vocabulary``
     (a ``term`` column), tokens outside it are dropped, map-side if it can be
     broadcast; the marker rows take no part in that join, so no key of it
     holds a row per document. The index is a table in the shared checkpoint
     folder that stats and scoring read instead of the text.
     """
-    terms = search_terms(F.col(text_col))
-    # tokenising is the heavy step: spread a narrow scan over the cluster first
-    docs = spread(cases.select(F.col(id_col).alias("case_id"), F.col(text_col)))
-    docs = docs.select("case_id", terms.alias("_terms"))
-    docs = docs.withColumn("dl", F.when(F.col("_terms").isNotNull(), F.size("_terms")).cast("long"))
-    marker = F.array(F.lit(None).cast("string"))
-    tokens = docs.select("case_id", "dl",
-                         F.explode(F.concat(F.coalesce(F.col("_terms"), F.array().cast("array<string>")),
-                                            marker)).alias("term"))
-    if vocabulary is not None:
-        v = vocabulary.select("term", F.lit(True).alias("_v"))
-        v = F.broadcast(v) if broadcast_vocabulary else v
-        if broadcast_vocabulary:
-            tokens = tokens.join(v, "term", "left").where(F.col("_v") | F.col("term").isNull()).drop("_v")
-        else:  # terms are counted per case first, so a frequent term is one row per case
-            counted = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-            counted = write_stage(counted, "search-terms")
-            known = counted.where(F.col("term").isNotNull()).join(v, "term").drop("_v")
-            tokens = None
-            index = known.unionByName(counted.where(F.col("term").isNull()))
-    if tokens is not None:
-        index = tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = case_tokens(cases, id_col, text_col)
+    if vocabulary is None:
+        index = counted(tokens)
+    elif broadcast_vocabulary:
+        v = F.broadcast(vocabulary.select("term", F.lit(True).alias("_v")))
+        index = counted(tokens.join(v, "term", "left").where(F.col("_v") | F.col("term").isNull()).drop("_v"))
+    else:  # terms are counted per case first, so a frequent term is one row per case
+        all_terms = write_stage(counted(tokens), "search-terms")
+        known = all_terms.where(F.col("term").isNotNull()).join(vocabulary.select("term"), "term")
+        index = known.unionByName(all_terms.where(F.col("term").isNull()))
     index = write_stage(index, "search-index")
-    row = (index.where(F.col("term").isNull())
-           .agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(
-               F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl")).first())
-    stats = {"n": int(row["n"] or 0), "avgdl": float(row["avgdl"] or 0.0)}
-    return index.where(F.col("term").isNotNull()), stats
+    return index.where(F.col("term").isNotNull()), corpus_stats(index)
 
 
 def question_terms(questions: DataFrame, id_col: str = "question_id", text_col: str = "text") -> DataFrame:
@@ -166,6 +171,20 @@ def kb_search(questions: DataFrame, cases: DataFrame, k: int = TOP_K, k1: float
     vocab = qt.select("term").distinct()
     small_vocab = fits(vocab, MAX_BROADCAST_QUESTION_TERMS)
     postings, stats = index_cases(cases, c_id, vocabulary=vocab, broadcast_vocabulary=small_vocab)
+    return _search(qt, postings, stats, k, k1, b, small_vocab)
+
+
+def search_index(questions: DataFrame, index: DataFrame, k: int = TOP_K, k1: float = BM25_K1, b: float = BM25_B,
+                 q_id: str = "question_id") -> DataFrame:
+    """:func:`kb_search` over a stored index (case_id, dl, term, tf) instead of texts."""
+    qt = question_terms(questions, q_id)
+    vocab = qt.select("term").distinct()
+    small_vocab = fits(vocab, MAX_BROADCAST_QUESTION_TERMS)
+    postings = index.join(F.broadcast(vocab) if small_vocab else vocab, "term")
+    return _search(qt, postings, corpus_stats(index), k, k1, b, small_vocab)
+
+
+def _search(qt: DataFrame, postings: DataFrame, stats: dict, k: int, k1: float, b: float, small_vocab: bool) -> DataFrame:
     weights = write_stage(weigh(postings, stats, k1, b, small_vocab), "search-weights")
     terms = write_stage(qt, "search-questions")
     pairs = write_stage(pairs_to_score(weights, terms, k), "search-pairs")

@@ -409,6 +409,19 @@ WHERE question_id IN (SELECT question_id FROM answered)
 UNION ALL
 SELECT question_id, 'general', rank, case_id, score FROM ge"""
 
+_CELL = "coalesce({c}, chr(0))"
+_REINDEX_CASES = f"""
+SELECT ('0x' || substr(sha256(concat_ws(chr(31), {', '.join(_CELL.format(c=c) for c in
+        ('product', 'updated_at::DATE::VARCHAR', 'category', 'explanation', 'solution'))})), 1, 15))::BIGINT AS case_id,
+       explanation AS text
+FROM (SELECT DISTINCT * FROM (
+  SELECT product, updated_at, category, solution,
+         CASE WHEN kind = 7 THEN explanation || ' revised answer' ELSE explanation END AS explanation
+  FROM kb WHERE kind <> 13
+  UNION ALL SELECT 'new', updated_at, category, solution, explanation FROM kb WHERE kind = 21))"""
+ORACLE["kb_reindex_search"] = f"WITH kb AS (SELECT *, coalesce(length(explanation) % 100, 0) AS kind FROM ({KB_SQL}))," + \
+    _bm25_sql(Q_SQL, _REINDEX_CASES, "bm") + "\nSELECT * FROM bm"
+
 ORACLE["config_findings"] = """
 WITH facts AS (
   SELECT p_partkey AS entity, 'p_size' AS property, p_size::DOUBLE AS value FROM part

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.session import write_stage
+from cairn.sources.sheet import read_sheet
 
 # Fixed values of the knowledge-base table definition.
 KB_COLUMNS = ("product", "updated_at", "category", "explanation", "solution")
@@ -31,14 +32,9 @@ def kb_sheet_scan(spark: SparkSession, path: str, max_bad_records: int = KB_MAX_
     unknown extra columns ignored, short rows padded with NULL, multi-line
     quoted cells. A record is bad when its date does not parse; bad records
     are skipped, and more than ``max_bad_records`` of them fail the scan. The
-    sheet is parsed once into a native table, on which the check runs; a file
-    with multi-line cells is read by one task, so a large export should come in
-    several files."""
-    raw_schema = T.StructType([T.StructField(c, T.StringType(), True) for c in KB_COLUMNS])
-    raw = (spark.read.schema(raw_schema)
-           .option("header", KB_SKIP_LEADING_ROWS == 1).option("multiLine", True)
-           .option("escape", '"').option("mode", "PERMISSIVE")
-           .csv(path))
+    sheet is parsed once into a native table, on which the check runs. Files are
+    split over tasks, whatever line breaks their cells hold (:mod:`cairn.sources.sheet`)."""
+    raw = read_sheet(spark, path, T.StructType([T.StructField(c, T.StringType(), True) for c in KB_COLUMNS]), KB_SKIP_LEADING_ROWS)
     typed = raw.withColumn("_date", F.col("updated_at").try_cast("date"))
     typed = write_stage(typed, "kb-sheet")
     bad = F.col("updated_at").isNotNull() & F.col("_date").isNull()
@@ -51,16 +47,6 @@ def kb_sheet_scan(spark: SparkSession, path: str, max_bad_records: int = KB_MAX_
                                     "explanation", "solution")
 
 
-def kb_index(native: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
-    """The search index of a refreshed table: (cases with their case_id,
-    postings, corpus stats). A case is known by its content, so an unchanged
-    case keeps its id from one refresh to the next."""
-    from cairn.operators.search import index_cases
-    cases = native.withColumn("case_id", F.xxhash64(*KB_COLUMNS))
-    postings, stats = index_cases(cases, "case_id", "explanation")
-    return cases, postings, stats
-
-
 def kb_refresh(cases: DataFrame, native_path: str) -> DataFrame:
     """Full reload of the native table from the external scan; returns the
     native table as read back. ``native_path`` must not be read by ``cases``."""
