@@ -344,8 +344,11 @@ SELECT printf('item-%09d.pdf', item_id) AS artifact_name, octet_length(encode(te
        sha256(text) AS digest, 'ok' AS status FROM benchmark"""
 
 ORACLE["driver_log_text"] = """
-SELECT conv_id AS job_id, count(*) AS n_chunks, string_agg(text, '' ORDER BY turn) AS text
-FROM conversations GROUP BY conv_id"""
+WITH c AS (SELECT conv_id, count(*) AS n_chunks, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+SELECT conv_id AS job_id, n_chunks, text FROM c
+UNION ALL SELECT -1 - conv_id, NULL, NULL FROM c
+UNION ALL SELECT -1000003 * conv_id - 1, NULL, NULL FROM c WHERE conv_id % 10 = 1
+UNION ALL SELECT conv_id + 1000000000000, 0, '' FROM c WHERE conv_id % 10 = 0"""
 
 ORACLE["driver_log_chunks"] = """
 SELECT conv_id AS job_id, printf('driveroutput.%09d', turn) AS file_name, text FROM conversations"""

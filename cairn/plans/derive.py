@@ -196,22 +196,32 @@ def blob_files(benchmark: DataFrame) -> DataFrame:
 
 def driver_output_files(conversations: DataFrame) -> DataFrame:
     """One folder per conversation (= job): ``job-<id>/driveroutput.<turn, 9
-    digits>`` with the turn text, plus one unrelated file per folder."""
+    digits>`` with the turn text, plus one unrelated file per folder; every tenth
+    job also has a folder ``empty-<id>`` without driver output."""
     chunks = conversations.select(
         F.format_string("job-%d/driveroutput.%09d", F.col("conv_id"), F.col("turn")).alias("name"),
         F.col("text").alias("content"))
     other = (conversations.select("conv_id").distinct()
              .select(F.format_string("job-%d/unrelated.log", F.col("conv_id")).alias("name"),
                      F.lit("not driver output\n").alias("content")))
-    return chunks.unionByName(other)
+    empty = (conversations.where("conv_id % 10 = 0").select("conv_id").distinct()
+             .select(F.format_string("empty-%d/unrelated.log", F.col("conv_id")).alias("name"), F.lit("no output\n").alias("content")))
+    return chunks.unionByName(other).unionByName(empty)
 
 
 def driver_jobs(conversations: DataFrame, root: str) -> DataFrame:
-    """Jobs with their driver output URI (a file name inside the job folder)."""
-    return (conversations.select("conv_id").distinct()
-            .select(F.col("conv_id").alias("job_id"),
-                    F.format_string(f"{root.rstrip('/')}/job-%d/driveroutput", F.col("conv_id"))
-                    .alias("output_uri")))
+    """Jobs with their driver output URI (a file name inside the job folder), each
+    conversation also as three jobs with other outcomes: its number + 1 and negative for
+    a folder that was never written, * -1,000,003 - 1 for no URI, + 10**12 for a folder
+    without chunks (every tenth conversation has one)."""
+    base, i = root.rstrip("/"), F.col("conv_id")
+    ids = conversations.select("conv_id").distinct()
+    jobs = ids.select(i.alias("job_id"), F.format_string(f"{base}/job-%d/driveroutput", i).alias("output_uri"))
+    missing = ids.select((-1 - i).alias("job_id"), F.format_string(f"{base}/gone-%d/driveroutput", i).alias("output_uri"))
+    none = ids.where("conv_id % 10 = 1").select((-1_000_003 * i - 1).alias("job_id"), F.lit(None).cast("string").alias("output_uri"))
+    empty = ids.where("conv_id % 10 = 0").select((i + 10 ** 12).alias("job_id"),
+                                                 F.format_string(f"{base}/empty-%d/driveroutput", i).alias("output_uri"))
+    return jobs.unionByName(missing).unionByName(none).unionByName(empty)
 
 
 # Fixed choices of the knowledge-base fixture.

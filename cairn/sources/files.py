@@ -3,8 +3,12 @@ executor-side writer that stages such files from a DataFrame."""
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+import cairn
 
 # Fixed values of the reference tools.
 DRIVER_OUTPUT_PREFIX = "driveroutput."
@@ -94,16 +98,79 @@ def _parent(p: Column) -> Column:
     return F.regexp_extract(_canon(p), r"^(.*)/[^/]*$", 1)
 
 
-def _decoded(p: Column) -> Column:
-    """A file path as the scan reports it, with its percent codes resolved."""
-    return F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
+class DriverLogSource(DataSource):
+    """The driver-output chunks below ``path``, folder by folder.
+
+    Only the folders directly below ``path`` are listed when the scan is planned; what lies in
+    them is listed and read by the tasks. One row per chunk; a folder without any gives one row of
+    NULL name and text, a folder or chunk that cannot be read one with the ``error``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "driver_logs"
+
+    def schema(self) -> str:
+        return "dir string, file_name string, text string, error string"
+
+    def reader(self, schema) -> DriverLogReader:
+        return DriverLogReader(self.options["path"], int(self.options.get("folders_per_task", 64)))
+
+
+class DriverLogReader(DataSourceReader):
+    def __init__(self, root: str, folders_per_task: int):
+        self.root, self.folders_per_task = root, folders_per_task
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs as pafs
+        filesystem, base = _filesystem(self.root)
+        found = filesystem.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+        folders = sorted(f.path for f in found if f.type == pafs.FileType.Directory)
+        n = self.folders_per_task
+        return [InputPartition([base, *folders[i:i + n]] if i == 0 else folders[i:i + n]) for i in range(0, max(len(folders), 1), n)]
+
+    def read(self, partition: InputPartition):
+        filesystem, base = _filesystem(self.root)
+        base = base.rstrip("/")
+        for folder in partition.value:
+            yield from self._folder(filesystem, folder.rstrip("/"), deeper=folder.rstrip("/") != base)
+
+    def _folder(self, filesystem, folder: str, deeper: bool):
+        """Rows of a folder and, below a job's folder, of the folders in it."""
+        from pyarrow import fs as pafs
+        try:
+            inside = sorted(filesystem.get_file_info(pafs.FileSelector(folder)), key=lambda f: f.path)
+        except OSError as e:
+            yield folder, None, None, str(e)
+            return
+        chunks = [f for f in inside if f.type == pafs.FileType.File and f.base_name.startswith(DRIVER_OUTPUT_PREFIX)]
+        for f in chunks:
+            try:
+                with filesystem.open_input_stream(f.path) as stream:
+                    yield folder, f.base_name, stream.read().decode("utf-8", "replace"), None
+            except OSError as e:
+                yield folder, f.base_name, None, str(e)
+        if not chunks:
+            yield folder, None, None, None
+        for f in inside if deeper else []:
+            if f.type == pafs.FileType.Directory:
+                yield from self._folder(filesystem, f.path, deeper)
+
+
+def driver_logs(spark: SparkSession, root: str) -> DataFrame:
+    """All folders and chunks below ``root`` (:class:`DriverLogSource`)."""
+    cloudpickle.register_pickle_by_value(cairn)  # the scan is planned by a process that does not have the package
+    try:
+        spark.dataSource.register(DriverLogSource)
+    finally:
+        cloudpickle.unregister_pickle_by_value(cairn)
+    return spark.read.format("driver_logs").load(root)
 
 
 def driver_log_chunks(spark: SparkSession, root: str) -> DataFrame:
     """All driver-output chunk files under ``root``: ``(dir, file_name, text)``.
     The scalable form: one row per chunk, nothing concatenated."""
-    files = whole_text_files(spark, root, glob=DRIVER_OUTPUT_PREFIX + "*")
-    return files.select(_parent(_decoded(F.col("path"))).alias("dir"), F.col("artifact_name").alias("file_name"), "text")
+    return driver_logs(spark, root).where("text IS NOT NULL").select("dir", "file_name", "text")
 
 
 def driver_log_text(spark: SparkSession, jobs: DataFrame, root: str) -> DataFrame:
@@ -111,18 +178,13 @@ def driver_log_text(spark: SparkSession, jobs: DataFrame, root: str) -> DataFram
 
     The chunks are the ``driveroutput.*`` objects directly in the URI's
     parent folder, concatenated in name order (zero-padded, so name order is
-    chunk order). No URI, or one outside ``root`` (its folder was not looked
-    into) -> NULL; no chunk -> ''. The concatenation is one value per job by
+    chunk order). No URI, a folder that does not exist below ``root``, and one that cannot be
+    read whole -> NULL; a folder without chunks -> ''. The concatenation is one value per job by
     definition; :func:`driver_log_chunks` keeps the rows.
     """
-    chunks = driver_log_chunks(spark, root)
-    per_dir = (chunks.groupBy("dir")
-               .agg(F.count(F.lit(1)).alias("n_chunks"),
+    per_dir = (driver_logs(spark, root).groupBy("dir")
+               .agg(F.count("file_name").alias("n_chunks"), F.max("error").alias("error"),
                     F.expr("listagg(text, '') WITHIN GROUP (ORDER BY file_name)").alias("text")))
-    j = jobs.withColumn("dir", F.when(F.col("output_uri").isNotNull(), _parent(F.col("output_uri"))))
-    out = j.join(per_dir, on="dir", how="left")
-    base = _canon(F.lit(root.rstrip("/")))
-    has_uri = F.col("output_uri").isNotNull() & ((F.col("dir") == base) | F.startswith(F.col("dir"), F.concat(base, F.lit("/"))))
-    return out.select("job_id",
-                      F.when(has_uri, F.coalesce("n_chunks", F.lit(0))).cast("long").alias("n_chunks"),
-                      F.when(has_uri, F.coalesce("text", F.lit(""))).alias("text"))
+    per_dir = per_dir.where("error IS NULL").drop("error")
+    out = jobs.withColumn("dir", _parent(F.col("output_uri"))).join(per_dir, on="dir", how="left")
+    return out.select("job_id", "n_chunks", F.when(F.col("n_chunks").isNotNull(), F.coalesce("text", F.lit(""))).alias("text"))

@@ -104,10 +104,32 @@ def test_files_and_driver_logs(spark):
     spaced = spark.createDataFrame([("job 4+é/driveroutput.000000000", b"D")], "name string, content binary")
     FS.write_named_files(spaced, root, "name", "content")
     jobs = spark.createDataFrame([(1, f"{root}/job-1/driveroutput"), (2, f"{root}/job-2/driveroutput"), (3, None),
-                                  (4, f"{root}/job 4+é/driveroutput"), (5, "file:/elsewhere/job-5/driveroutput")],
+                                  (4, f"{root}/job 4+é/driveroutput"), (5, "file:/elsewhere/job-5/driveroutput"),
+                                  (6, f"{root}/job-6/driveroutput"), (7, f"{root}/job-1/sub/driveroutput"), (8, f"{root}/driveroutput")],
                                  "job_id long, output_uri string")
     got = {r.job_id: r.text for r in FS.driver_log_text(spark, jobs, root).collect()}
-    assert got == {1: "ABC", 2: "", 3: None, 4: "D", 5: None}
+    assert got == {1: "ABC", 2: "", 3: None, 4: "D", 5: None, 6: None, 7: "nested", 8: ""}
+    # a chunk that cannot be read: its job has no text, the others do
+    import shutil
+    path = f"{root.removeprefix('file:')}/job-1/driveroutput.000000001"
+    shutil.copy(path, f"{path}.kept")
+    broken = FS.DriverLogReader(root, 1)
+
+    class Failing:
+        def __init__(self, filesystem):
+            self.inner = filesystem
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def open_input_stream(self, p):
+            if p.endswith("000000001"):
+                raise OSError("no permission")
+            return self.inner.open_input_stream(p)
+    filesystem, base = FS._filesystem(root)
+    rows = list(broken._folder(Failing(filesystem), f"{base}/job-1", True))
+    assert [(r[1], r[3]) for r in rows if r[3]] == [("driveroutput.000000001", "no permission")]
+    assert list(broken._folder(filesystem, f"{base}/nowhere", True))[0][3]
 
 
 def test_cluster_names_without_clusters_key(spark):
