@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from cairn.functions.media import (
     mean_threshold_bits,
     mean_threshold_signature,
 )
+from cairn.plans.guard import broadcast_if_small
 from cairn.plans.ordered import RUN, RUN_BYTES, null_safe, ordered_scan, sorted_runs
 from cairn.plans.partitioning import blocks_by_bytes
 from cairn.session import write_stage
@@ -126,31 +128,114 @@ def _fold(rows: DataFrame, stream: str, order: str, threshold: int) -> DataFrame
     return rows.mapInPandas(fold, schema)
 
 
-def fold_in_runs(rows: DataFrame, threshold: int, stream: str = "stream", order: str = "frame_id") -> DataFrame:
+def refold_bits(bits: np.ndarray, old: np.ndarray, last: np.uint64, threshold: int) -> tuple[list[int], int | None, np.uint64]:
+    """A segment folded again, entered with ``last``: (positions kept, position from
+    which the fold ``old`` is right again, last kept frame). Two folds that keep the same
+    frame agree from there on, so the second is not gone through further."""
+    kept, at, step = [], 0, 64
+    while at < len(bits):
+        far = np.flatnonzero(np.bitwise_count(bits[at:at + step] ^ last) > threshold)
+        if not len(far):
+            at, step = at + step, min(step * 2, 1 << 16)
+            continue
+        at += int(far[0])
+        if old[at]:
+            return kept, at, last
+        kept.append(at)
+        last, at, step = bits[at], at + 1, 64
+    return kept, None, last
+
+
+def _refold(rows: DataFrame, stream: str, order: str, threshold: int) -> DataFrame:
+    """Runs folded again from the state ``_IN``: the rows whose answer changes, with
+    ``_KEEP``, and for every run that stays different to its end a row without ``order``, with
+    its final ``_STATE``."""
+    schema = rows.select(stream, order, RUN, _KEEP, F.lit(None).cast("long").alias(_STATE)).schema
+    n = blocks_by_bytes(rows, RUN_BYTES)
+    rows = rows.repartition(n, stream, RUN).sortWithinPartitions(RUN, stream, order)
+
+    def answer(frames: pd.DataFrame, keep, state: np.uint64 | None) -> pd.DataFrame:
+        out = frames.astype(object)
+        out[_KEEP], out[_STATE] = pd.Series(keep, out.index, object), None
+        if state is not None:
+            out[order], out[_STATE] = None, int(np.array([state]).view(np.int64)[0])
+        return out
+
+    def fold(batches):
+        key, head, last, done = None, None, None, False
+        for pdf in batches:
+            s, r, null = pdf[stream].to_numpy(), pdf[RUN].to_numpy(), pdf[stream].isna().to_numpy()
+            names = pdf[[stream, order, RUN]]
+            bits, old = pdf["sig_bits"].to_numpy(dtype=np.int64).view(np.uint64), pdf[_KEEP].to_numpy(dtype=bool)
+            new = np.ones(len(pdf), bool)
+            new[1:] = ~((s[1:] == s[:-1]) | (null[1:] & null[:-1])) | (r[1:] != r[:-1])
+            bounds = np.append(np.flatnonzero(new), len(pdf))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                mine = (None if null[a] else s[a], r[a])
+                if mine != key:
+                    if key is not None and not done:
+                        yield answer(head, [None], last)
+                    key, head, done = mine, names.iloc[a:a + 1], False
+                    last = np.uint64(int(pdf[_IN].iloc[a]) & 0xFFFFFFFFFFFFFFFF)
+                if done:
+                    continue
+                kept, again, last = refold_bits(bits[a:b], old[a:b], last, threshold)
+                done = again is not None
+                keep = np.zeros(b - a, bool)
+                keep[kept] = True
+                changed = np.flatnonzero((keep != old[a:b])[:again])
+                if len(changed):
+                    yield answer(names.iloc[a + changed], keep[changed].tolist(), None)
+        if key is not None and not done:
+            yield answer(head, [None], last)
+
+    return rows.mapInPandas(fold, schema)
+
+
+def fold_in_runs(rows: DataFrame, threshold: int, stream: str = "stream", order: str = "frame_id",
+                 rewritten: list[int] | None = None) -> DataFrame:
     """``(stream, order)`` of the frames kept by the last-kept fold (exact).
 
     First every run of a stream is folded as if nothing had been kept before
     it. A run's answer depends on its entering state only, the final state of the
     run before; a scan over one row per run finds the runs that were entered with
-    another state, and only those are folded again, until none is left. That
-    takes at most one round per run of a stream, and few in practice: a
-    round's changes end at the first run whose final state stays the same.
-    Each round writes the runs it folded; of a run, the last round counts.
+    another state. Only those are folded again, and only up to the first frame that the
+    old and the new fold both keep; what is written is the rows whose answer changes. A
+    run that agrees before its end leaves the next one alone. That takes at most one
+    round per run of a stream, and few in practice. ``rewritten`` gets the number of rows written per round.
     """
-    zero = F.lit(0).cast("long")
-    res = write_stage(_fold(rows.withColumns({_IN: zero, _HAS_IN: F.lit(False)}), stream, order, threshold), "fold")
-    while True:
-        last = res.groupBy(stream, RUN).agg(F.max_by(_STATE, F.struct(order)).alias("_out"), F.max(_HAS_IN).alias(_HAS_IN),
-                                            F.max(_IN).alias(_IN))
+    first = rows.withColumns({_IN: F.lit(0).cast("long"), _HAS_IN: F.lit(False)})
+    base = write_stage(_fold(first, stream, order, threshold).select(stream, order, "sig_bits", RUN, _KEEP, _STATE), "fold")
+    runs = base.groupBy(stream, RUN).agg(F.max_by(_STATE, F.struct(order)).alias("_out"))
+    runs = write_stage(runs.withColumn(_IN, F.lit(None).cast("long")), "fold-runs")
+    changes = None
+    same = null_safe([stream, RUN], ["_s", "_r"])
+    for number in range(1 << 30):
         w = Window.partitionBy(stream).orderBy(RUN)
-        need = last.select(F.col(stream).alias("_s"), F.col(RUN).alias("_r"), _HAS_IN, _IN, F.lag(F.struct("_out")).over(w).alias("_p"))
-        need = need.select("_s", "_r", F.coalesce(F.col("_p._out"), zero).alias("_need"), F.col("_p").isNotNull().alias("_need_has"),
-                           ((F.col("_p").isNotNull() != F.col(_HAS_IN)) | (F.col("_p").isNotNull() & (F.col("_p._out") != F.col(_IN))))
-                           .alias("_changed"))
-        need = write_stage(need.where("_changed").drop("_changed"), "fold-need")
+        need = runs.withColumn("_need", F.lag("_out").over(w)).where("NOT _need <=> " + _IN)
+        need = write_stage(need.select(F.col(stream).alias("_s"), F.col(RUN).alias("_r"), "_need"), "fold-need")
         if not need.limit(1).count():
-            return res.where(F.col(_KEEP)).select(stream, order)
-        same = null_safe([stream, RUN], ["_s", "_r"])
-        redo = res.join(need, same).withColumns({_IN: F.col("_need"), _HAS_IN: F.col("_need_has")})
-        redo = _fold(redo.select(stream, order, "sig_bits", RUN, _IN, _HAS_IN), stream, order, threshold)
-        res = write_stage(res.join(need, same, "left_anti").unionByName(redo), "fold")
+            break
+        redo = _current(base.join(broadcast_if_small(need), same), changes, stream, order)
+        redo = redo.select(stream, order, "sig_bits", RUN, _KEEP, F.col("_need").alias(_IN))
+        found = write_stage(_refold(redo, stream, order, threshold), "fold-changes")
+        if rewritten is not None:
+            rewritten.append(found.count())
+        ends = found.where(f"{_STATE} IS NOT NULL").select(F.col(stream).alias("_es"), F.col(RUN).alias("_er"), F.col(_STATE).alias("_end"))
+        news = need.join(ends, null_safe(["_s", "_r"], ["_es", "_er"]), "left").select("_s", "_r", "_need", "_end")
+        runs = runs.join(broadcast_if_small(news), same, "left").select(
+            stream, RUN, F.coalesce("_end", "_out").alias("_out"), F.coalesce("_need", _IN).alias(_IN))
+        runs = write_stage(runs, "fold-runs")
+        rows_ = found.where(f"{_STATE} IS NULL").select(F.col(stream).alias("_cs"), F.col(order).alias("_co"), F.col(_KEEP).alias("_new"),
+                                                        F.lit(number).alias("_round"))
+        changes = rows_ if changes is None else changes.unionByName(rows_)
+    return _current(base, changes, stream, order).where(F.col(_KEEP)).select(stream, order)
+
+
+def _current(rows: DataFrame, changes: DataFrame | None, stream: str, order: str) -> DataFrame:
+    """``rows`` with the last change of every answer."""
+    if changes is None:
+        return rows
+    latest = changes.groupBy("_cs", "_co").agg(F.max_by("_new", "_round").alias("_new"))
+    out = rows.join(broadcast_if_small(latest), null_safe([stream, order], ["_cs", "_co"]), "left")
+    return out.withColumn(_KEEP, F.coalesce("_new", _KEEP)).drop("_cs", "_co", "_new")

@@ -112,3 +112,23 @@ def test_near_duplicates_chunked_full_64_bit_signatures(spark):
     for t in (28, 32):
         got = sorted((r.stream, r.frame_id) for r in FR.suppress_near_duplicates(df, t, partitions=24).collect())
         assert got == _brute(rows, t), t
+
+
+def test_a_fold_is_repeated_only_up_to_where_it_agrees(spark):
+    from cairn.plans.ordered import sorted_runs
+    rnd, rows = random.Random(8), []
+    for s in (1, 2, None):
+        b = rnd.getrandbits(60)
+        for f in range(1000):
+            if rnd.random() < 0.6:
+                b ^= 1 << rnd.randrange(60)
+            rows.append((s, f, b))
+    df = spark.createDataFrame(rows, "stream int, frame_id long, sig_bits long")
+    runs = sorted_runs(df, ["stream"], ["frame_id"], partitions=24)
+    rewritten = []
+    got = sorted(((r.stream, r.frame_id) for r in FR.fold_in_runs(runs, 3, rewritten=rewritten).collect()), key=str)
+    assert got == sorted([(s or None, f) for s, f in _brute([(s or 0, f, b) for s, f, b in rows], 3)], key=str)
+    # whole runs would be 69 of 72 in the first round alone
+    assert rewritten and rewritten[0] < 0.15 * len(rows) and sum(rewritten) < 0.5 * len(rows)
+    kept, again, _ = FR.refold_bits(FR.np.array([0, 1, 7, 63, 63], FR.np.uint64), FR.np.array([True, False, True, True, False]), FR.np.uint64(0), 1)
+    assert (kept, again) == ([], 2)
