@@ -555,17 +555,9 @@ def q_stream_route_messages(spark, sf):
 
 @register("stream_session_state")
 def q_stream_session_state(spark, sf):
-    out = staging_path(spark, "out-session-state")
-
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    run_foreach_batch(ST.stream_session_state(_cut_stream(spark, sf)), sink,
-                      staging_path(spark, "ckpt"), mode="update")
-    updates = spark.read.parquet(out)
-    last = F.max_by(F.struct("state_value", "updated_ts", "updated_event_id"), F.col("batch"))
-    return (updates.groupBy("user_id", "state_key").agg(last.alias("_l"))
-            .select("user_id", "state_key", "_l.state_value", "_l.updated_ts", "_l.updated_event_id"))
+    state = ST.session_state_table(spark, staging_path(spark, "session-state"), merge_every=3)
+    run_foreach_batch(ST.stream_session_state(_cut_stream(spark, sf)), state.append, staging_path(spark, "ckpt"))
+    return state.read().select("user_id", "state_key", "state_value", "updated_ts", "updated_event_id")
 
 
 @register("stream_activity_sessions")

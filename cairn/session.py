@@ -113,6 +113,16 @@ def write_stage(df, name: str, **options):
     return spark.read.parquet(path)
 
 
+def written_folders(spark: SparkSession, root: str, inside: str = "") -> list[str]:
+    """Names of the folders in ``root`` whose table (in their folder ``inside``) was written to the end."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    mark = f"{inside}/_SUCCESS" if inside else "_SUCCESS"
+    return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/{mark}"))]
+
+
 _STAGE_ROOTS: dict[str, SparkSession] = {}
 
 

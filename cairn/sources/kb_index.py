@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.search import case_tokens, counted
+from cairn.session import written_folders
 from cairn.sources.kb import KB_COLUMNS
 
 MAX_PARTS, MAX_GONE_SHARE = 8, 0.25
@@ -33,14 +34,8 @@ class CaseIndex:
 
     def versions(self) -> list[tuple[int, str]]:
         """(number, kind) of the versions in force, oldest first."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        path = hadoop(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = []
-        for f in fs.listStatus(path) if fs.exists(path) else []:
-            kind, _, number = f.getPath().getName().partition("-")
-            if kind in ("full", "part") and fs.exists(hadoop(f"{self.root}/{kind}-{number}/postings/_SUCCESS")):
-                found.append((int(number), kind))
+        names = (f.partition("-") for f in written_folders(self.spark, self.root, "postings"))
+        found = [(int(number), kind) for kind, _, number in names]
         found.sort()
         last_full = max((i for i, (_, kind) in enumerate(found) if kind == "full"), default=0)
         return found[last_full:]

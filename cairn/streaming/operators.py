@@ -6,12 +6,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.frames import DUPLICATE_DISTANCE, fold_bits
 from cairn.operators.routing import route_agent_events, route_client_messages
 from cairn.operators.sessions import IDLE_TIMEOUT_MS
+from cairn.streaming.latest import LatestTable
 from cairn.streaming.ordered import TICK, OrderedProcessor, event_time, micros, ordered_stream
 
 SESSION = "user_id"
@@ -27,14 +28,18 @@ def stream_route_messages(messages: DataFrame) -> DataFrame:
     return route_client_messages(messages)
 
 
-# --- T6: latest session state, update mode --------------------------------------
+# --- T6: latest session state ----------------------------------------------------
+
+def session_state_table(spark: SparkSession, root: str, merge_every: int = 16) -> LatestTable:
+    """The table of the last write per (session, key) that :func:`stream_session_state` feeds."""
+    return LatestTable(spark, root, [SESSION, "state_key"], ["updated_ts", "updated_event_id"], ["state_value"], merge_every)
+
 
 def stream_session_state(actions: DataFrame) -> DataFrame:
-    """Last write per (session, key), emitted in update mode."""
-    w = F.max(F.struct("ts", "event_id", "state_value"))
-    return (actions.where(F.col("action") == "state").groupBy(SESSION, "state_key").agg(w.alias("_w"))
-            .select(SESSION, "state_key", F.col("_w.state_value").alias("state_value"),
-                    F.col("_w.ts").alias("updated_ts"), F.col("_w.event_id").alias("updated_event_id")))
+    """The writes of session state, for the table of the latest ones. No state: which
+    write is the last is decided by the table, whenever it arrives."""
+    writes = actions.where(F.col("action") == "state")
+    return writes.select(SESSION, "state_key", "state_value", F.col("ts").alias("updated_ts"), F.col("event_id").alias("updated_event_id"))
 
 
 # --- T1: activity sessions with session windows ------------------------------------

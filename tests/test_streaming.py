@@ -8,7 +8,7 @@ from cairn.operators import sessions as S
 from cairn.operators.routing import cut_at_first_error
 from cairn.session import staging_path
 from cairn.streaming import operators as ST
-from cairn.streaming.staging import file_stream, run_to_parquet, stage_chunks
+from cairn.streaming.staging import file_stream, run_foreach_batch, run_to_parquet, stage_chunks
 
 T0 = dt.datetime(2024, 1, 1, 10, 0)
 AGENT = ("user_id long, ts timestamp_ntz, event_id long, kind string, mime_type string, data string, "
@@ -264,3 +264,22 @@ def test_a_long_turn_goes_through_pieces(spark):
     end = int((T0 + dt.timedelta(milliseconds=n) - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
     got = _run(spark, ST.stream_bot_messages(_files(spark, "long", parts), recording_end=end))
     assert [(r.n_chunks, r.text) for r in got] == [(n, "".join(f"{i}," for i in range(n)))]
+
+
+def test_session_state_is_the_last_write_whatever_order_it_arrives_in(spark):
+    rnd, rows = random.Random(9), []
+    for i in range(300):
+        rows.append((rnd.choice([1, 2, 3, None]), T0 + dt.timedelta(minutes=rnd.randrange(0, 20_000)), i, rnd.choice(["state", "state", "text"]),
+                     "application/json", "screen_sharing", rnd.choice(["on", "off", None])))
+    df = spark.createDataFrame(rows, ACTIONS)
+    parts = [spark.createDataFrame(rows[i:i + 40], ACTIONS) for i in range(0, 300, 40)]
+    table = ST.session_state_table(spark, staging_path(spark, "latest"), merge_every=3)
+
+    def twice(batch, batch_id):  # a batch that is run again
+        table.append(batch, batch_id)
+        table.append(batch, batch_id)
+    run_foreach_batch(ST.stream_session_state(_files(spark, "state", parts)), twice, staging_path(spark, "ck"))
+    want = S.session_state_latest(df).select("user_id", "state_key", "updated_ts", "updated_event_id", "state_value").collect()
+    got = table.read().select("user_id", "state_key", "updated_ts", "updated_event_id", "state_value").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(want) == 4
+    assert [f.rsplit("/", 1)[1] for f in table.folders()] == ["base-5", "part-6", "part-7"]
