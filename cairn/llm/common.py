@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.plans.guard import broadcast_if_small
+from cairn.plans.partitioning import blocks_by_bytes
 from cairn.plans.partitioning import spread as spread_text
 from cairn.session import table, write_stage
 
@@ -22,9 +24,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def blocks_for(spark: SparkSession) -> int:
-    """Number of hash blocks that a shuffle of packed arrays is dealt over."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+BLOCK_BYTES = 16 << 20
+
+
+def blocks_for(docs: DataFrame) -> int:
+    """Number of hash blocks that packed arrays from the texts of ``docs`` are
+    dealt over: it grows with the files, so a block's size does not."""
+    return blocks_by_bytes(docs, BLOCK_BYTES)
 
 
 def spread_once(docs: DataFrame, stage: str) -> DataFrame:
@@ -45,18 +51,24 @@ def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
 
 
 def with_rows(docs: DataFrame, stage: str) -> DataFrame:
-    """``docs``, a table as read, with ``_row``: a number of each row, alike in
-    every job. It comes from the row's file and place in it, which do not depend
-    on how files are split into tasks; a table not read from Parquet files is
-    written with its numbers."""
+    """``docs``, a table as read, with its columns renamed ``c0``, ``c1``, ... and
+    ``row``: a number of each row, alike in every job. It comes from the row's
+    file and place in it, which do not depend on how files are split into tasks; files are
+    numbered once, in a written table. A table not read from Parquet files is written with its numbers."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
     try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        place = docs.metadataColumn("_metadata")
+        numbered = docs.select("*", place["file_path"], place["row_index"])
     except AnalysisException:
-        return write_stage(docs.withColumn("_row", F.monotonically_increasing_id()), stage)
-    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _no long")
-    row = F.shiftleft("_no", 40) + F.col("_place")
-    return placed.join(F.broadcast(numbers), "_file").withColumn("_row", row).drop("_file", "_place", "_no")
+        return write_stage(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), stage)
+    placed = numbered.toDF(*inner, "file", "place")
+    # a bucket of files lies in one task, so (bucket, place in the task) names a file; numbers stay below 2**27
+    files = placed.select("file").distinct().withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(64)))
+    files = files.repartition(64, "bucket").withColumn("id", F.monotonically_increasing_id())
+    no = F.col("bucket") + 64 * F.col("id").bitwiseAND((1 << 33) - 1)
+    files = write_stage(files.select("file", no.alias("no")), f"{stage}-files")
+    joined = placed.join(broadcast_if_small(files), "file")
+    return joined.select(*inner, (F.shiftleft("no", 36) + F.col("place")).alias("row"))
 
 
 def number_rows(df: DataFrame, group: str, order: list, name: str, stage: str) -> DataFrame:
@@ -67,7 +79,7 @@ def number_rows(df: DataFrame, group: str, order: list, name: str, stage: str) -
     (group, task) is summed up. ``order`` holds column names.
     """
     spark = df.sparkSession
-    parts = blocks_for(spark)
+    parts = blocks_for(df)
     sorted_ = df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
     at = write_stage(sorted_.withColumn("_mid", F.monotonically_increasing_id()), stage)
     at = at.withColumn("_task", F.shiftright("_mid", 33)).withColumn("_idx", F.col("_mid").bitwiseAND((1 << 33) - 1))

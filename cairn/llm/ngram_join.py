@@ -383,8 +383,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     a component unless all of it are null. An empty table gives no rows. Only
     doc_id and text are read.
     """
-    spark = docs.sparkSession
-    blocks = blocks_for(spark)
+    blocks = blocks_for(docs)
     src = spread_once(docs.select("doc_id", "text"), "op1-rows")
     dealt = src.mapInArrow(_deal_task(words, blocks), DEALT_SQL).repartitionById(blocks, F.col("dest"))
     back = dealt.mapInArrow(_count_task(blocks), DEALT_SQL).repartitionById(blocks, F.col("dest"))

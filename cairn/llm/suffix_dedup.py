@@ -37,7 +37,7 @@ from cairn.llm.common import blocks_for, spread_text, table, with_rows, write_st
 from cairn.llm.kernels import Prefix, home, mix, slices, text_buffer
 
 LENGTH = 400
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 _NO_RETURN, _NO_RETURN_TWICE = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 
@@ -194,18 +194,18 @@ def _chunk_task(length: int, blocks: int):
 
 def _entries(batches, names: dict):
     """All entries of a block as arrays, with the row they came from; other
-    rows are passed on."""
-    chunks, held, other = [], {k: [] for k in names}, []
+    rows are passed on as they come."""
+    chunks, held = [], {k: [] for k in names}
     for b in batches:
         mine = np.isin(b.column("kind").to_numpy(), (ANCHORS, WINDOWS))
         if not mine.all():
-            other.append(pa.RecordBatch.from_arrays(b.filter(pa.array(~mine)).columns, schema=ROWS))
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(~mine)).columns, schema=ROWS)
         for i in np.flatnonzero(mine):
             chunks.append(b.column("chunk")[i].as_py())
             for k, kind in names.items():
                 held[k].append(np.frombuffer(b.column(k)[i].as_py(), kind))
     row = np.repeat(np.arange(len(chunks)), [len(x) for x in held["ids"]])
-    return np.array(chunks, np.int64), row, {k: np.concatenate([np.zeros(0, names[k]), *v]) for k, v in held.items()}, other
+    return np.array(chunks, np.int64), row, {k: np.concatenate([np.zeros(0, names[k]), *v]) for k, v in held.items()}
 
 
 def _answers(chunks, row, blocks, kind, **arrays):
@@ -223,7 +223,7 @@ def _settle_anchors_task(blocks: int):
     """Answers per chunk and anchor that occurs elsewhere: 1 if an equal range
     exists, plus 2 if the range's windows are to be compared."""
     def run(batches):
-        chunks, row, e, _ = _entries(batches, {"ids": np.uint64, "more": np.uint64, "flags": np.uint8})
+        chunks, row, e = yield from _entries(batches, {"ids": np.uint64, "more": np.uint64, "flags": np.uint8})
         if not len(row):
             return
         order = np.lexsort((e["more"], e["flags"] == 2, e["ids"]))
@@ -244,8 +244,7 @@ def _settle_anchors_task(blocks: int):
 def _settle_windows_task(blocks: int):
     """Places of windows that occur elsewhere."""
     def run(batches):
-        chunks, row, e, other = _entries(batches, {"ids": np.uint64, "places": np.uint32})
-        yield from other
+        chunks, row, e = yield from _entries(batches, {"ids": np.uint64, "places": np.uint32})
         if not len(row):
             return
         order = np.argsort(e["ids"], kind="stable")
@@ -348,48 +347,49 @@ def _refine_task(length: int, blocks: int, with_text: bool):
         return rows
 
     def run(batches):
-        texts, answers = _collect(batches, ANCHORS)
-        while texts:
-            chunk, r = texts.popitem()
-            rows = one(r, answers.pop(chunk, []))
-            for i in range(0, len(rows), 200):
-                yield _batch(rows[i:i + 200])
+        for texts, answers in _by_chunk(batches):
+            for r in texts:
+                rows = one(r, answers)
+                for i in range(0, len(rows), 200):
+                    yield _batch(rows[i:i + 200])
     return run
 
 
-def _collect(batches, kind: int):
-    texts, answers = {}, {}
+def _by_chunk(batches):
+    """(text rows, answer rows) of one chunk after the other; rows come sorted by
+    chunk, so no more than a chunk is held."""
+    chunk, texts, answers = None, [], []
     for b in batches:
-        for r in b.to_pylist():
-            if r["kind"] == TEXT:
-                texts[r["chunk"]] = r
-            elif r["kind"] == kind:
-                answers.setdefault(r["chunk"], []).append(r)
-    return texts, answers
+        for lo in range(0, b.num_rows, 16):
+            for r in b.slice(lo, 16).to_pylist():
+                if r["chunk"] != chunk:
+                    if chunk is not None:
+                        yield texts, answers
+                    chunk, texts, answers = r["chunk"], [], []
+                (texts if r["kind"] == TEXT else answers).append(r)
+    if chunk is not None:
+        yield texts, answers
 
 
 def _finish_task(length: int, with_text: bool):
     """Waiting texts with the answers on their windows; finished ones as they are."""
+    def waiting(r: dict, answers: list[dict]) -> pa.RecordBatch:
+        data, offs = np.frombuffer(r["text"], np.uint8), np.frombuffer(r["offs"], np.int64)
+        origin = np.frombuffer(r["places"], np.int64)  # place of each text in its chunk
+        p = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x["places"], np.uint32) for x in answers]]).astype(np.int64)
+        k = np.searchsorted(origin, p, "right") - 1
+        p = p - origin[k] + offs[:-1][k]
+        gone = covered(len(data), np.concatenate([np.frombuffer(r["froms"], np.int64), p]),
+                       np.concatenate([np.frombuffer(r["tos"], np.int64), p + length]))
+        return _results(r["doc_ids"], data, offs, gone, with_text)
+
     def run(batches):
-        def done(source):
-            for b in source:
-                finished = pa.array(b.column("kind").to_numpy() == DONE)
-                for raw in b.filter(finished).column("text"):
-                    ready.extend(pa.ipc.open_stream(raw.as_py()))
-                yield b.filter(pa.array(b.column("kind").to_numpy() != DONE))
-        ready: list[pa.RecordBatch] = []
-        texts, answers = _collect(done(batches), WINDOWS)
-        yield from ready
-        for chunk, r in texts.items():
-            data, offs = np.frombuffer(r["text"], np.uint8), np.frombuffer(r["offs"], np.int64)
-            origin = np.frombuffer(r["places"], np.int64)  # place of each text in its chunk
-            p = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x["places"], np.uint32) for x in answers.pop(chunk, [])]])
-            p = p.astype(np.int64)
-            k = np.searchsorted(origin, p, "right") - 1
-            p = p - origin[k] + offs[:-1][k]
-            gone = covered(len(data), np.concatenate([np.frombuffer(r["froms"], np.int64), p]),
-                           np.concatenate([np.frombuffer(r["tos"], np.int64), p + length]))
-            yield _results(r["doc_ids"], data, offs, gone, with_text)
+        for texts, others in _by_chunk(batches):
+            done = [r for r in others if r["kind"] == DONE]
+            for r in done:
+                yield from pa.ipc.open_stream(r["text"])
+            for r in texts:
+                yield waiting(r, [x for x in others if x["kind"] == WINDOWS])
     return run
 
 
@@ -403,7 +403,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True)
     kept. An empty table gives no rows. Only doc_id and text are read. The removed
     ranges may cut a character in two.
     """
-    blocks = blocks_for(docs.sparkSession)
+    blocks = blocks_for(docs)
     src = spread_text(docs.select("doc_id", "text")).withColumn("part", F.spark_partition_id())
     # chunks and their anchors are written together: another scan of ``src`` need not cut the same chunks, as the order of
     # dealt rows and the splits of files may change
@@ -412,23 +412,25 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True)
     anchors = chunks.filter(F.col("kind") == ANCHORS).select(*[c if c in ("dest", "kind", "chunk", "ids", "more", "flags") else
                                                                F.lit(None).cast(t).alias(c) for c, t in chunks.dtypes])
     settled = anchors.repartitionById(blocks, F.col("dest")).mapInArrow(_settle_anchors_task(blocks), ROWS_SQL)
-    parts = settled.unionByName(texts).repartitionById(blocks, F.col("dest")).mapInArrow(_refine_task(length, blocks, with_text),
-                                                                                         ROWS_SQL)
+
+    def by_chunk(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(blocks, F.col("dest")).sortWithinPartitions("chunk", "kind")
+    parts = by_chunk(settled.unionByName(texts)).mapInArrow(_refine_task(length, blocks, with_text), ROWS_SQL)
     finish = _finish_task(length, with_text)
     if not with_text:
         rest = parts.repartitionById(blocks, F.col("dest")).mapInArrow(_settle_windows_task(blocks), ROWS_SQL)
-        return rest.repartitionById(blocks, F.col("dest")).mapInArrow(finish, OUT_SQL)
+        return by_chunk(rest).mapInArrow(finish, OUT_SQL)
     parts = write_stage(parts, "op5-parts")  # finished texts are then moved no more
     rest = parts.filter(F.col("kind") != DONE).repartitionById(blocks, F.col("dest")).mapInArrow(_settle_windows_task(blocks), ROWS_SQL)
-    rest = rest.repartitionById(blocks, F.col("dest")).mapInArrow(finish, OUT_SQL)
-    return parts.filter(F.col("kind") == DONE).mapInArrow(finish, OUT_SQL).unionByName(rest)
+    return parts.filter(F.col("kind") == DONE).mapInArrow(finish, OUT_SQL).unionByName(by_chunk(rest).mapInArrow(finish, OUT_SQL))
 
 
-def _cut_task(names: list[str]):
+def _cut_task(text_name: str):
     def run(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column("text").cast(pa.binary()), b.column("_spans").to_pylist()):
+            names = b.schema.names[:-1]
+            for text, spans in zip(b.column(text_name).cast(pa.binary()), b.column("spans").to_pylist()):
                 if not spans:
                     out.append(text.as_py())
                     continue
@@ -439,25 +441,23 @@ def _cut_task(names: list[str]):
                     a = head[np.searchsorted(head, s["from"])]
                     keep[a:head[np.searchsorted(head, s["to"], "right") - 1]] = False
                 out.append(data[keep].tobytes())
-            cols = [pa.array(out, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names]
+            cols = [pa.array(out, pa.binary()).cast(pa.string()) if n == text_name else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of the texts (characters that
-    are only partly covered stay); all rows and all other columns stay. ``docs``
+    are only partly covered stay); all rows and all other columns stay, whatever their names are. ``docs``
     must be a table as read.
     """
-    inner = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
-    rows = with_rows(docs, "op5-rows").toDF(*inner, "_row")
-    found = suffix_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), length, with_text=False)
-    found = found.filter("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
-    changed = write_stage(found, "op5-spans")
+    rows = with_rows(docs, "op5-rows")
+    inner, text = rows.columns[:-1], f"c{docs.columns.index('text')}"
+    found = suffix_dedup(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), length, with_text=False)
+    changed = write_stage(found.filter("n_removed > 0").select(F.col("doc_id").alias("row"), "spans"), "op5-spans")
     kinds = dict(rows.dtypes)
-    both = rows.join(changed, "_row", "left").select(*inner, "_spans")
-    schema = ", ".join(f"{c} {kinds[c]}" for c in inner)
-    return both.mapInArrow(_cut_task(inner), schema).toDF(*docs.columns)
+    both = rows.join(changed, "row", "left").select(*inner, "spans")
+    return both.mapInArrow(_cut_task(text), ", ".join(f"{c} {kinds[c]}" for c in inner)).toDF(*docs.columns)
 
 
 def q_op5(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ def docs(spark, rows=None):
     df = spark.createDataFrame(odd_rows() if rows is None else rows, DOCS)
     from pyspark.sql import functions as F
     return df.withColumns({c: F.lit(c) for c in ("key", "size", "score", "label", "n", "start", "chunk", "quality", "toxic",
-                                                  "component_id", "shard", "hash", "item_id")})
+                                                  "component_id", "shard", "hash", "item_id", "_row", "_file", "_place", "_no", "_c0",
+                                                  "_spans", "row", "file", "place", "no", "c0", "spans", "part", "text_")})
 
 
 def empty(spark, schema=DOCS):
