@@ -26,14 +26,15 @@ REPEAT_BYTES = 240
 """Shortest repeated string that is cut: about 45 words."""
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(row number, text) of a table with ``_row``."""
-    return docs.select(F.col("_row").alias("doc_id"), "text")
+def _numbered(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(row number as doc_id, text) of ``rows``, the numbered form of ``docs``."""
+    return rows.select(F.col("row").alias("doc_id"), F.col(f"c{docs.columns.index('text')}").alias("text"))
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs``, a table with ``_row``, without the rows whose numbers are in ``rows``."""
-    return docs.join(checked_broadcast(rows), "_row", "left_anti").drop("_row")
+def _without(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows``, the numbered form of ``docs``, without those whose numbers are in
+    ``gone``, in the columns of ``docs``."""
+    return rows.join(checked_broadcast(gone), "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +48,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; texts without words all stay."""
-    docs = with_rows(docs, "pipeline-rows")
-    grouped, _ = ngram_join(_numbered(docs), NEAR_WORDS, NEAR_PERCENT)
-    gone = write_stage(grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "pipeline-near")
-    return _without(docs, gone)
+    rows = with_rows(docs, "pipeline-rows")
+    grouped, _ = ngram_join(_numbered(rows, docs), NEAR_WORDS, NEAR_PERCENT)
+    gone = write_stage(grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("row")), "pipeline-near")
+    return _without(rows, gone, docs)
 
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +62,10 @@ def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    docs = with_rows(docs, "pipeline-rows")
-    found = search_benchmark(_numbered(docs), table(spark, sf_dir, "benchmark"))
-    gone = write_stage(found.filter("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "pipeline-leaks")
-    return _without(docs, gone)
+    rows = with_rows(docs, "pipeline-rows")
+    found = search_benchmark(_numbered(rows, docs), table(spark, sf_dir, "benchmark"))
+    gone = write_stage(found.filter("contaminated").select(F.col("doc_id").alias("row")).distinct(), "pipeline-leaks")
+    return _without(rows, gone, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
