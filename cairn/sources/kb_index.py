@@ -68,12 +68,15 @@ class CaseIndex:
         postings = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings")
         done = {"added": postings.where(F.col("term").isNull()).count(),
                 "removed": self.spark.read.schema("case_id long").parquet(f"{at}/gone").count()}
-        dead = self._read("gone", "case_id long").count()
         parts = sum(kind == "part" for _, kind in self.versions())
-        if parts > MAX_PARTS or dead > MAX_GONE_SHARE * self.index().where(F.col("term").isNull()).count():
+        if parts > MAX_PARTS or (done["removed"] and self._dead_share() > MAX_GONE_SHARE):
             self.merge()
         return done
 
+    def _dead_share(self) -> float:
+        dead, live = self._read("gone", "case_id long").count(), self.index().where(F.col("term").isNull()).count()
+        return dead / max(live, 1)
+
     def merge(self) -> None:
         """One full version in place of those in force, without the cases that went."""
         number = max((n for n, _ in self.versions()), default=-1) + 1
