@@ -168,9 +168,13 @@ def _chunks(batches):
 
 
 def _by_block(blocks: int, ids: np.ndarray, **arrays) -> list[dict]:
-    """Block rows of entries sorted by identifier."""
+    """Block rows of entries. Identifiers are scrambled before they are dealt: anchors
+    are the smallest of many, so by value nearly all would fall into the first block."""
+    key = mix(ids ^ _A)
+    order = np.argsort(key)
+    ids, arrays = ids[order], {k: v[order] for k, v in arrays.items()}
     limits = (np.arange(blocks + 1, dtype=object) * (1 << 64) // blocks)[1:-1].astype(np.uint64)
-    bounds = np.concatenate([[0], np.searchsorted(ids, limits), [len(ids)]])
+    bounds = np.concatenate([[0], np.searchsorted(key[order], limits), [len(ids)]])
     return [{"dest": b, "ids": ids[x:y].tobytes(), **{k: v[x:y].tobytes() for k, v in arrays.items()}}
             for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if y > x]
 
