@@ -36,9 +36,24 @@ class Rule:
     confidence: float
 
 
+VERSION = r"(?: (?:version|v|ver))? ?"
+
+
+def spellings(rule: Rule) -> list[str]:
+    """The words that can hold a rule's keyword in a match: itself, its plural, and
+    itself with a version's first digit, if the pattern allows them."""
+    out, glued = [rule.keyword], rule.pattern.find(rule.keyword + VERSION)
+    if f"{rule.keyword}s?" in rule.pattern:
+        out.append(f"{rule.keyword}s")
+    if glued >= 0:
+        digit = re.search("[0-9]", rule.pattern[glued + len(rule.keyword + VERSION):])
+        out.append(rule.keyword + digit[0])
+    return out
+
+
 def _named() -> list[Rule]:
     """Rules for licenses by name: a grant, an SPDX tag, and a bare name."""
-    version = r"(?: (?:version|v|ver))? ?"
+    version = VERSION
     names = [  # label, keyword, name, SPDX identifier as words
         ("apache-2.0", "apache", rf"apache (?:software )?licen[cs]e{version}(?:2(?: 0)?)?", "apache 2 0"),
         ("apache-1.1", "apache", rf"apache (?:software )?licen[cs]e{version}1 1", "apache 1 1"),
@@ -183,7 +198,8 @@ def _statements() -> list[Rule]:
 RULES = _named() + _creative_commons() + _statements()
 _BY_KEYWORD: dict[str, list[int]] = {}
 for _i, _r in enumerate(RULES):
-    _BY_KEYWORD.setdefault(_r.keyword, []).append(_i)
+    for _word in spellings(_r):
+        _BY_KEYWORD.setdefault(_word, []).append(_i)
 _COMPILED = [re.compile(rf"(?<!\S){r.pattern}(?!\S)") for r in RULES]
 
 

@@ -1,5 +1,10 @@
 import re
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cairn.llm import license_scan as L
 from cairn.llm.license_scan import BASE, RULES, q_op6, resolve, scan_licenses
 from tests.llm.helpers import docs, empty, lower_az, odd_rows, sentence
 
@@ -68,3 +73,29 @@ def test_query_whole_table(spark, sf_small):
     check(rows, source)
     apache = {d for d, t in source if "Licensed under the Apache License" in t}
     assert apache and all("apache-2.0" in r.labels for r in rows if r.doc_id in apache)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_prefilter_loses_nothing_that_the_rules_alone_find(data):
+    rules = data.draw(st.lists(st.sampled_from(L.RULES), min_size=1, max_size=3))
+    words = []
+    for r in rules:
+        found = data.draw(st.from_regex(r.pattern, fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyz 0123456789"))
+        words += ["kamo", *found.split(), "rilu"]
+    text = " ".join(words)
+    every = []
+    place = np.cumsum([0] + [len(x) + 1 for x in words])
+    for i, c in enumerate(L._COMPILED):
+        every += [(int(np.searchsorted(place, m.start())), int(np.searchsorted(place, m.end())), i) for m in c.finditer(text)]
+    want = [(a, b, L.RULES[i].label) for a, b, i in L.resolve(every)]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got = L.scan(raw, np.array([0, len(raw)]))[0][7]
+    assert [(d["from_word"], d["to_word"], d["label"]) for d in got] == want
+
+
+def test_version_glued_to_a_name():
+    for text, label in (("Licensed under AGPL3", "agpl-3.0"), ("Distributed under gpl3 terms", "gpl-3.0"), ("GPL2 or newer", "gpl-2.0"),
+                        ("registered trademarks of Acme", "trademark")):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert label in L.scan(raw, np.array([0, len(raw)]))[0][5].split(","), text
