@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,28 +64,29 @@ CUT_OUT = ("user_id long, ts timestamp_ntz, event_id long, action string, mime_t
 
 class FirstErrorCut(OrderedProcessor):
     """Passes the rows of a session on until its first error. State: the closed
-    mark, which stays for good; an open session has none."""
+    sessions, which stay for good; an open session has none."""
 
     columns = CUT_COLUMNS
 
-    def prepare(self, handle):
-        self.closed = handle.getValueState("closed", "closed boolean")
+    def _open(self, rows, closed):
+        if not closed:
+            return np.ones(len(rows), bool)
+        return np.array([k not in closed for k in rows.column(SESSION).to_pylist()], bool)
 
-    def accepts(self, key):
+    def accepts(self, rows):
         # the error lies at or before the watermark, so all that still comes is after it
-        return not self.closed.exists()
+        return self._open(rows, self.recall())
 
-    def fold(self, key, rows, watermark):
-        if self.closed.exists():
-            return []
-        out = []
-        for r in rows.select(CUT_COLUMNS).to_pylist():
-            if r["action"] == "error":
-                self.closed.update((True,))
-                break
-            if r["action"] != TICK:
-                out.append(tuple(r.values()))
-        return out
+    def fold(self, rows, known, watermark):
+        passes = self._open(rows, known)
+        action = rows.column("action")
+        error = pc.equal(action, "error").fill_null(False).to_numpy()
+        for key, lo, hi in self.runs(rows):
+            if passes[lo] and error[lo:hi].any():
+                passes[lo + int(error[lo:hi].argmax()):hi] = False
+                known[key] = ()
+        passes &= ~pc.equal(action, TICK).fill_null(False).to_numpy()
+        return rows.select(CUT_COLUMNS).filter(pa.array(passes))
 
 
 def stream_cut_at_first_error(actions: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -99,53 +101,68 @@ def stream_cut_at_first_error(actions: DataFrame, delay: str = "10 minutes") ->
 BOT_OUT = "user_id long, turn_no long, first_ts timestamp_ntz, text string, n_chunks long"
 
 
+INLINE_CHARS = 4_000
+"""Text of an open message beyond this lies in the state store by itself and is not written again."""
+
+
 class BotMessages(OrderedProcessor):
-    """State of a session: the chunks of the open message (a list that is only
-    appended to), its first time and chunk count, the number of closed turns."""
+    """State of a session: the number of closed turns; of the open message the first time, the
+    chunk count, the number of text pieces stored, and the text after them."""
 
     columns = ["user_id", "turn_no", "first_ts", "text", "n_chunks"]
+    memory = [("turn_no", pa.int64()), ("first_us", pa.int64()), ("n", pa.int64()), ("stored", pa.int64()), ("text", pa.large_string())]
 
-    def __init__(self, schema, order, recording_end: int | None = None):
-        super().__init__(schema, order)
+    def __init__(self, schema, key, order, recording_end: int | None = None):
+        super().__init__(schema, key, order)
         self.recording_end = recording_end
 
     def prepare(self, handle):
-        self.turn = handle.getValueState("turn", "turn_no long, first_us long, n long")
-        self.chunks = handle.getListState("chunks", "text string")
+        self.texts = handle.getMapState("texts", "session long, no_session boolean, piece long", "text string")
 
-    def accepts(self, key):
-        if self.recording_end is not None and not self.turn.exists() and not self.index.exists():
+    def begin(self):
+        if self.recording_end is not None:
             self.wake(self.recording_end)
-        return True
 
-    def fold(self, key, rows, watermark):
-        turn_no, first_us, n = self.turn.get() if self.turn.exists() else (0, None, 0)
-        parts, held, out = [], n > 0, []
+    def accepts(self, rows):
+        done = pc.and_kleene(pc.equal(rows.column("kind"), "control"), rows.column("turn_complete")).fill_null(False)
+        return pc.or_(done, pc.equal(rows.column("mime_type"), "text/plain").fill_null(False)).to_numpy(zero_copy_only=False)
+
+    def fold(self, rows, known, watermark):
+        out, nothing = [], (0, None, 0, 0, "")
+        cols = [rows.column(c).to_pylist() for c in ("kind", "turn_complete", "mime_type", "data")]
+        times = micros(rows.column("ts")).tolist()
+
+        def place(key, piece):
+            return (0 if key is None else key, key is None, piece)
 
-        def close():
-            nonlocal parts, held, n, first_us
+        def close(key, turn_no, first_us, n, stored, parts):
             if n > 0:
-                before = [c[0] for c in self.chunks.get()] if held else []
+                before = [self.texts.getValue(place(key, i))[0] for i in range(stored)]
                 out.append((key, turn_no, pd.Timestamp(first_us, unit="us"), "".join([*before, *parts]), n))
-                if held:
-                    self.chunks.clear()
-            parts, held, n, first_us = [], False, 0, None
-        cols = [rows.column(c).to_pylist() for c in ("kind", "turn_complete", "mime_type", "data")]
-        for kind, done, mime, data, t in zip(*cols, micros(rows.column("ts")).tolist()):
-            if kind == "control" and done is True:
-                close()
-                turn_no += 1
-            elif mime == "text/plain":
-                first_us = t if n == 0 else first_us
-                n += 1
-                if data is not None:
-                    parts.append(data)
+            for i in range(stored):
+                self.texts.removeKey(place(key, i))
+        for key, lo, hi in self.runs(rows):
+            turn_no, first_us, n, stored, text = known.get(key, nothing)
+            parts = [text]
+            for kind, done, mime, data, t in zip(*[c[lo:hi] for c in cols], times[lo:hi]):
+                if kind == "control" and done is True:
+                    close(key, turn_no, first_us, n, stored, parts)
+                    turn_no, first_us, n, stored, parts = turn_no + 1, None, 0, 0, []
+                elif mime == "text/plain":
+                    first_us = t if n == 0 else first_us
+                    n += 1
+                    if data is not None:
+                        parts.append(data)
+            text = "".join(parts)
+            if len(text) > INLINE_CHARS:
+                self.texts.updateValue(place(key, stored), (text,))
+                stored, text = stored + 1, ""
+            known[key] = (turn_no, first_us, n, stored, text)
         if self.recording_end is not None and watermark > self.recording_end:
-            close()
-        if parts:
-            self.chunks.appendValue(("".join(parts),))
-        if len(rows) or out:
-            self.turn.update((turn_no, first_us, n))
+            for key, (turn_no, first_us, n, stored, text) in list(known.items()):
+                if n > 0:
+                    close(key, turn_no, first_us, n, stored, [text])
+                    known[key] = (turn_no, None, 0, 0, "")
         return out
 
 
@@ -155,7 +172,7 @@ def stream_bot_messages(agent_msgs: DataFrame, delay: str = "10 minutes", record
     recording) the messages still open are emitted once the watermark passes it, as
     the batch form does at the end of its table."""
     cols = agent_msgs.select(SESSION, "ts", "event_id", "kind", "turn_complete", "mime_type", "data")
-    return ordered_stream(cols, SESSION, ["ts", "event_id"], lambda s, o: BotMessages(s, o, recording_end), BOT_OUT, delay)
+    return ordered_stream(cols, SESSION, ["ts", "event_id"], lambda *a: BotMessages(*a, recording_end), BOT_OUT, delay)
 
 
 # --- T2 then T3: sampled frames, near duplicates suppressed ------------------------------
@@ -168,24 +185,25 @@ class NearDuplicates(OrderedProcessor):
     and start of sharing, like the client's."""
 
     columns = ["stream", "ts", "frame_id", "signature"]
+    memory = [("bits", pa.int64())]
 
-    def __init__(self, schema, order, threshold: int):
-        super().__init__(schema, order)
+    def __init__(self, schema, key, order, threshold: int):
+        super().__init__(schema, key, order)
         self.threshold = threshold
 
-    def prepare(self, handle):
-        self.last = handle.getValueState("last", "bits long")
+    def accepts(self, rows):
+        return rows.column("sig_bits").is_valid().to_numpy(zero_copy_only=False)  # a clock row has none
 
-    def fold(self, key, rows, watermark):
-        rows = rows.filter(rows.column("sig_bits").is_valid())  # a clock row has none
-        if not len(rows):
-            return []
+    def fold(self, rows, known, watermark):
         bits = rows.column("sig_bits").to_numpy().view(np.uint64)
-        last = np.array([self.last.get()[0]], np.int64).view(np.uint64)[0] if self.last.exists() else None
-        at = fold_bits(bits, last, self.threshold)
-        if len(at):
-            self.last.update((int(bits[at[-1:]].view(np.int64)[0]),))
-        return [tuple(r.values()) for r in rows.select(self.columns).take(pa.array(at)).to_pylist()]
+        kept = [np.zeros(0, np.int64)]
+        for key, lo, hi in self.runs(rows):
+            last = np.array(known[key], np.int64).view(np.uint64)[0] if key in known else None
+            at = lo + fold_bits(bits[lo:hi], last, self.threshold)
+            if len(at):
+                known[key] = (int(bits[at[-1:]].view(np.int64)[0]),)
+                kept.append(at)
+        return rows.select(self.columns).take(pa.array(np.concatenate(kept)))
 
 
 def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICATE_DISTANCE, delay: str | None = "10 minutes") -> DataFrame:
@@ -194,7 +212,7 @@ def stream_suppress_near_duplicates(frames: DataFrame, threshold: int = DUPLICAT
     ``delay`` None also ``_et`` with a watermark."""
     cols = ["stream", "ts", "frame_id", "signature", "sig_bits"]
     rows = frames.select(*cols, *([] if delay else ["_et"]))
-    return ordered_stream(rows, "stream", ["ts", "frame_id"], lambda s, o: NearDuplicates(s, o, int(threshold)), FRAMES_OUT, delay)
+    return ordered_stream(rows, "stream", ["ts", "frame_id"], lambda *a: NearDuplicates(*a, int(threshold)), FRAMES_OUT, delay)
 
 
 def stream_sampled_frames(frames: DataFrame, window: str = "1 second", threshold: int = DUPLICATE_DISTANCE,
@@ -238,48 +256,50 @@ class IdleStops(OrderedProcessor):
     deadline, whether this interval has fired. None while it is closed."""
 
     columns = ["user_id", "interval_start", "stop_ts", "armed_event_id"]
+    memory = [("start_us", pa.int64()), ("deadline_us", pa.int64()), ("armed_id", pa.int64()), ("fired", pa.bool_())]
 
-    def __init__(self, schema, order, timeout_us: int, until_horizon: bool):
-        super().__init__(schema, order)
+    def __init__(self, schema, key, order, timeout_us: int, until_horizon: bool):
+        super().__init__(schema, key, order)
         self.timeout_us, self.until_horizon = timeout_us, until_horizon
 
-    def prepare(self, handle):
-        self.interval = handle.getValueState("interval", "start_us long, deadline_us long, armed_id long, fired boolean")
-
-    def fold(self, key, rows, watermark):
-        known = self.interval.exists()
-        is_open = known
-        start_us, deadline, armed_id, fired = before = self.interval.get() if known else (None, None, None, False)
+    def fold(self, rows, known, watermark):
         out = []
 
-        def fire():
+        def fire(key, start_us, deadline, armed_id):
             out.append((key, pd.Timestamp(start_us, unit="us"), pd.Timestamp(deadline, unit="us"), armed_id))
-        for t, eid, kind in zip(micros(rows.column("ts")).tolist(), rows.column("event_id").to_pylist(), rows.column("kind").to_pylist()):
-            if deadline is not None and (t > deadline or (kind == "other" and t == deadline)):
-                fire()
-                fired, deadline = True, None
-            if kind == "on":
-                if not is_open:
-                    is_open, start_us, fired = True, t, False
-                if not fired:
+        times, ids, kinds = micros(rows.column("ts")).tolist(), rows.column("event_id").to_pylist(), rows.column("kind").to_pylist()
+        for key, lo, hi in self.runs(rows):
+            is_open = key in known
+            start_us, deadline, armed_id, fired = known.get(key, (None, None, None, False))
+            for t, eid, kind in zip(times[lo:hi], ids[lo:hi], kinds[lo:hi]):
+                if deadline is not None and (t > deadline or (kind == "other" and t == deadline)):
+                    fire(key, start_us, deadline, armed_id)
+                    fired, deadline = True, None
+                if kind == "on":
+                    if not is_open:
+                        is_open, start_us, fired = True, t, False
+                    if not fired:
+                        deadline, armed_id = t + self.timeout_us, eid
+                elif kind == "off":
+                    is_open, deadline = False, None
+                elif kind == "cancel":
+                    deadline = None
+                elif kind == "act" and is_open and not fired:
                     deadline, armed_id = t + self.timeout_us, eid
-            elif kind == "off":
-                is_open, deadline = False, None
-            elif kind == "cancel":
-                deadline = None
-            elif kind == "act" and is_open and not fired:
-                deadline, armed_id = t + self.timeout_us, eid
-        if deadline is not None and not self.until_horizon:
-            if deadline < watermark:
-                fire()
-                fired, deadline = True, None
+            if is_open:
+                known[key] = (start_us, deadline, armed_id, fired)
             else:
-                self.wake(deadline)
-        now = (start_us, deadline, armed_id, fired)
-        if is_open and (not known or now != tuple(before)):
-            self.interval.update(now)
-        elif known and not is_open:
-            self.interval.clear()
+                known.pop(key, None)
+        if not self.until_horizon:
+            armed = []
+            for key, (start_us, deadline, armed_id, _) in list(known.items()):
+                if deadline is not None and deadline < watermark:
+                    fire(key, start_us, deadline, armed_id)
+                    known[key] = (start_us, None, armed_id, True)
+                elif deadline is not None:
+                    armed.append(deadline)
+            if armed:
+                self.wake(min(armed))
         return out
 
 
@@ -295,7 +315,7 @@ def stream_idle_stops(timeline: DataFrame, timeout_ms: int = IDLE_TIMEOUT_MS, de
     """
     rows = timeline.select(*IDLE_COLUMNS, (F.col("kind") == "other").cast("int").alias("late"))
     return ordered_stream(rows, SESSION, ["ts", "late", "event_id", "side"],
-                          lambda s, o: IdleStops(s, o, timeout_ms * 1000, until_horizon), IDLE_OUT, delay)
+                          lambda *a: IdleStops(*a, timeout_ms * 1000, until_horizon), IDLE_OUT, delay)
 
 
 # --- T2: latest frame per tumbling window, append mode -------------------------------

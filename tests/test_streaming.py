@@ -283,3 +283,96 @@ def test_session_state_is_the_last_write_whatever_order_it_arrives_in(spark):
     got = table.read().select("user_id", "state_key", "updated_ts", "updated_event_id", "state_value").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(want) == 4
     assert [f.rsplit("/", 1)[1] for f in table.folders()] == ["base-5", "part-6", "part-7"]
+
+
+class _Held:
+    """A state variable of a group, and what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def exists(self):
+        return None in self.rows
+
+    def get(self):
+        self.calls += 1
+        return self.rows[None]
+
+    def update(self, row):
+        self.calls += 1
+        self.rows[None] = row
+
+    def clear(self):
+        self.rows.clear()
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows[key]
+
+    def updateValue(self, key, row):
+        self.calls += 1
+        self.rows[key] = row
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.rows[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = [], []
+
+    def getMapState(self, *_):
+        self.states.append(_Held())
+        return self.states[-1]
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_the_calls_of_a_group_do_not_grow_with_its_sessions():
+    import pandas as pd
+    import pyarrow as pa
+    from cairn.streaming import ordered
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return int((T0 + dt.timedelta(days=1)).timestamp() * 1000)
+
+    def run(sessions):
+        schema = pa.schema([("user_id", pa.int64()), ("ts", pa.timestamp("us")), ("event_id", pa.int64()),
+                            *[(c, pa.string()) for c in ACTIONS_COLS[3:]]])
+        frame = pd.DataFrame([(u, T0 + dt.timedelta(seconds=s), 3 * u + s, "error" if s == 1 and u % 2 else "state", None, None, None)
+                              for u in range(sessions) for s in (2, 1, 0)], columns=ACTIONS_COLS)
+        for c in ("user_id", "event_id"):
+            frame[ordered.ABSENT + c] = False
+        p, handle = ST.FirstErrorCut(schema, "user_id", ["ts", "event_id"]), _Handle()
+        p.init(handle)
+        assert list(p.handleInputRows((0,), iter([frame]), None)) == []
+        out = pd.concat(p.handleExpiredTimer((0,), Clock(), None))
+        assert list(p.handleInputRows((0,), iter([frame[frame.user_id % 2 == 1]]), None)) == []  # closed for good
+        return len(out), sum(s.calls for s in handle.states) + len(handle.timers)
+    few, many = run(10), run(2000)
+    assert (few[0], many[0]) == (20, 4000)  # all three rows of the even sessions, the first one of the odd ones
+    assert few[1] == many[1]
+
+
+def test_many_sessions_equal_batch_with_long_open_messages(spark):
+    rnd, rows, eid = random.Random(4), [], 0
+    for user in [None, *range(1, 300)]:
+        for _ in range(6):
+            eid += 1
+            t = T0 + dt.timedelta(seconds=rnd.randrange(3 * 3600))
+            if rnd.random() < .2:
+                rows.append((user, t, eid, "control", None, None, None, True, None))
+            else:  # long enough to be stored by itself in some sessions
+                rows.append((user, t, eid, "data", "text/plain", f"c{eid}," * rnd.choice([1, 1, 900]), None, None, None))
+    rows.sort(key=lambda r: r[1])
+    parts = [spark.createDataFrame(rows[i:i + 500], AGENT) for i in range(0, len(rows), 500)] + [spark.createDataFrame([_end(T0)], AGENT)]
+    end = int((T0 + dt.timedelta(hours=3) - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    got = _run(spark, ST.stream_bot_messages(_files(spark, "many", parts), recording_end=end))
+    want = S.assemble_bot_messages(spark.createDataFrame(rows, AGENT)).collect()
+    cols = ("user_id", "turn_no", "first_ts", "text", "n_chunks")
+    assert sorted(([r[c] for c in cols] for r in got), key=str) == sorted(([r[c] for c in cols] for r in want), key=str) and len(want) > 300
