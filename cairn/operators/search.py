@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import search_terms
 from cairn.plans.guard import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small, fits
-from cairn.plans.partitioning import spread
+from cairn.plans.partitioning import evaluate_once, spread
 from cairn.session import write_stage
 
 BM25_K1 = 1.2
@@ -41,6 +41,20 @@ def case_tokens(cases: DataFrame, id_col: str = "case_id", text_col: str = "text
     return docs.select("case_id", "dl", F.explode(terms).alias("term"))
 
 
+def case_counts(cases: DataFrame, id_col: str = "case_id", text_col: str = "text") -> DataFrame:
+    """``counted(case_tokens(cases))`` of cases that all have different ids. A case's terms are
+    sorted and counted in its own row, so a task holds one case at a time and not the terms of all of its cases."""
+    docs = spread(cases.select(F.col(id_col).alias("case_id"), F.col(text_col)))
+    docs = evaluate_once(docs, ["case_id"], {"terms": F.sort_array(search_terms(F.col(text_col)))})
+    n = F.size("terms")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    docs = evaluate_once(docs, ["case_id", "terms"], {"starts": F.when(n > 0, first).otherwise(F.array().cast("array<int>"))})
+    terms = F.transform("starts", lambda i, at: F.struct(
+        F.get("terms", i).alias("term"), (F.coalesce(F.get("starts", at + 1), n) - i).cast("long").alias("tf")))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
+    return docs.select("case_id", F.when(F.col("terms").isNotNull(), n).cast("long").alias("dl"), F.inline(F.concat(terms, marker)))
+
+
 def counted(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("case_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.search import case_tokens, counted
+from cairn.operators.search import case_counts
 from cairn.session import written_folders
 from cairn.sources.kb import KB_COLUMNS
 
@@ -64,7 +64,7 @@ class CaseIndex:
         live.join(ids, "case_id", "left_anti").write.mode("overwrite").parquet(f"{at}/gone")
         new = cases.select("case_id", text_col).join(ids.join(live, "case_id", "left_anti"), "case_id", "left_semi")
         new = new.dropDuplicates(["case_id"])
-        counted(case_tokens(new, "case_id", text_col)).write.mode("overwrite").parquet(f"{at}/postings")
+        case_counts(new, "case_id", text_col).write.mode("overwrite").parquet(f"{at}/postings")
         postings = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings")
         done = {"added": postings.where(F.col("term").isNull()).count(),
                 "removed": self.spark.read.schema("case_id long").parquet(f"{at}/gone").count()}

@@ -3,8 +3,8 @@
 Whether a line break ends a record depends on the quotes before it in the whole
 file: it does if their number is even (a doubled quote inside a cell counts
 twice). Lines are read by the splittable text source; quotes are added up per
-block of a file, a prefix sum over the blocks gives the state each block is entered in, and a
-running sum within a block that of every line. Lines that are a whole record stay where they
+group of lines of a block of a file, a prefix sum over the groups gives the state each one is entered in, and a
+running sum within a group that of every line. Lines that are a whole record stay where they
 are, only the others are put together.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from cairn.plans.guard import broadcast_if_small
 from cairn.session import write_stage
 
+LINES_PER_GROUP = 8_192
+
 
 def sheet_records(spark: SparkSession, path: str, header_rows: int = 1) -> DataFrame:
     """The records of the sheet's files as text, ``(file, value)``, without
@@ -30,7 +32,9 @@ def sheet_records(spark: SparkSession, path: str, header_rows: int = 1) -> DataF
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"), "value")  # numbered in the scan itself: ascending within a block
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = write_stage(lines.withColumn("quotes", quotes.cast("long")), "sheet-lines")
+    # blocks are cut into groups of lines, so what one window holds does not grow with the blocks
+    lines = lines.withColumns({"quotes": quotes.cast("long"), "block": F.struct("block", F.floor(F.col("line") / LINES_PER_GROUP).alias("group"))})
+    lines = write_stage(lines, "sheet-lines")
     blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("all"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     entered = blocks.select("file", "block", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("entered"))

@@ -114,3 +114,15 @@ def test_bounds_leave_few_pairs_and_the_same_answers(spark):
     weights = write_stage(SE.weigh(postings, stats, SE.BM25_K1, SE.BM25_B, True), "weights")
     scored = SE.pairs_to_score(weights, terms, 5)
     assert scored.count() == scored.distinct().count() < pairs / 5
+
+
+def test_terms_are_counted_case_by_case_without_gathering_them(spark):
+    from cairn.operators.search import case_counts, case_tokens, counted
+    rows = [(1, "b a B c a, a"), (2, None), (3, ""), (4, "..."), (5, "x"), (6, "Ünï ünï 7 07 7 " * 50), (None, "z z")]
+    cases = spark.createDataFrame(rows, "case_id long, text string")
+    got = case_counts(cases)
+    want = counted(case_tokens(cases))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan.replace("sort_array", "")

@@ -136,3 +136,13 @@ def test_cluster_names_without_clusters_key(spark):
     listings = spark.createDataFrame([("p1", '{"clusters":[{"clusterName":"a"},{"clusterName":"b"}]}'),
                                       ("p2", "{}")], "listing_id string, body string")
     assert sorted(tuple(r) for r in cluster_names(listings).collect()) == [("p1", "a"), ("p1", "b")]
+
+
+def test_records_go_across_groups_of_lines(spark, tmp_path, monkeypatch):
+    from cairn.sources import sheet
+    rows = [f'"p{i}","' + "\n".join(f'l{j} ""q""' for j in range(i % 7)) + '"' for i in range(200)]
+    (tmp_path / "a.csv").write_text("\n".join(["h,t", *rows]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join(["h,t", *reversed(rows)]) + "\n")
+    monkeypatch.setattr(sheet, "LINES_PER_GROUP", 3)
+    got = sorted(r.value for r in sheet.sheet_records(spark, str(tmp_path)).collect())
+    assert got == sorted(2 * rows)
