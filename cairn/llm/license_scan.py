@@ -69,7 +69,7 @@ def _named() -> list[Rule]:
         ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{version}3(?: 0)?", "gpl 3 0"),
         ("gpl-2.0", "general", r"general public licen[cs]e (?:version|v) ?2(?: 0)?", "gpl 2 0 only"),
         ("gpl-3.0", "general", r"general public licen[cs]e (?:version|v) ?3(?: 0)?", "gpl 3 0 only"),
-        ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[cs]e (?:version|v) ?2(?: [01])?", "lgpl 2 1"),
+        ("lgpl-2.1", "general", r"(?:gnu )?(?:lesser|library) general public licen[cs]e (?:version|v) ?2(?: [01])?", "lgpl 2 1"),
         ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e (?:version|v) ?3(?: 0)?", "lgpl 3 0"),
         ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e", "lgpl"),
         ("lgpl-2.1", "lgpl", rf"lgpl{version}2(?: [01])?", "lgpl 2 1 only"),
@@ -167,7 +167,7 @@ def _statements() -> list[Rule]:
         ("proprietary", "redistribute", r"(?:may|do) not (?:copy or )?redistribute", 14, 0.7),
         ("non-commercial", "commercial", r"(?:for )?non commercial use only", 16, 0.8),
         ("non-commercial", "noncommercial", r"(?:for )?noncommercial use only", 16, 0.8),
-        ("no-training", "training", r"not be used (?:for|in) (?:ai|machine learning|model)? ?training", 22, 0.95),
+        ("no-training", "used", r"not be used (?:for|in) (?:ai|machine learning|model)? ?training", 22, 0.95),
         ("no-training", "mining", r"text and data mining (?:is )?(?:not permitted|reserved|prohibited)", 22, 0.95),
         ("public-domain", "domain", r"(?:released|dedicated) (?:in|to|into) the public domain", 24, 0.95),
         ("public-domain", "domain", r"public domain", 9, 0.6),
@@ -181,7 +181,7 @@ def _statements() -> list[Rule]:
         ("gpl-or-later", "later", r"(?:either )?version \d(?: \d)? (?:of the license )?or at your option any later version", 33, 0.98),
         ("gpl", "copyleft", r"copyleft", 7, 0.5),
         ("zlib", "origin", r"the origin of this software must not be misrepresented", 32, 0.99),
-        ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose", 31, 0.97),
+        ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 31, 0.97),
         ("apache-2.0", "licenses", r"www apache org licenses license 2 0", 38, 1.0),
         ("mit", "opensource", r"opensource org licenses mit", 38, 1.0),
         ("see-license", "license", r"see (?:the )?license (?:file )?for (?:more )?(?:details|information)", 6, 0.4),

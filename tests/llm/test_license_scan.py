@@ -99,3 +99,12 @@ def test_version_glued_to_a_name():
                         ("registered trademarks of Acme", "trademark")):
         raw = np.frombuffer(text.encode(), np.uint8)
         assert label in L.scan(raw, np.array([0, len(raw)]))[0][5].split(","), text
+
+
+def test_keywords_stand_in_every_form_of_their_pattern():
+    for text, label in (("under the GNU Library General Public License version 2.1 only", "lgpl-2.1"),
+                        ("under the GNU Lesser General Public License version 2.1 only", "lgpl-2.1"),
+                        ("Permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
+                        ("may not be used for AITraining", "no-training"), ("may not be used for AI training", "no-training")):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert [d["label"] for d in L.scan(raw, np.array([0, len(raw)]))[0][7]] == [label], text
