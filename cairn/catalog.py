@@ -294,7 +294,7 @@ def q_dequantize_int16(spark, sf):
 
 # --- sources: files, driver logs, knowledge base, clusters ----------------------
 from cairn.operators.clusters import cluster_lookup  # noqa: E402
-from cairn.session import staging_path  # noqa: E402
+from cairn.session import drop_stage, staging_path  # noqa: E402
 from cairn.sources import clusters as CL  # noqa: E402
 from cairn.sources import files as FS  # noqa: E402
 from cairn.sources import kb as KB  # noqa: E402
@@ -312,6 +312,13 @@ def staged(spark, sf, name, write) -> str:
     return _STAGED[key]
 
 
+def unstaged(spark, sf, name) -> None:
+    """Drops such files; a query that needs them writes them again."""
+    path = _STAGED.pop((spark.sparkContext.applicationId, sf, name), None)
+    if path:
+        drop_stage(spark, path)
+
+
 def _files_root(spark, sf):
     def write(root):
         FS.write_named_files(D.page_files(table(spark, sf, "pages")), root, "name", "content")
@@ -406,10 +413,13 @@ def _changed_cases(cases):
 
 def _reindexed(spark, sf):
     index = CaseIndex(spark, staging_path(spark, "kb-index"))
-    sheet = KB.kb_sheet_scan(spark, _kb_root(spark, sf))
+    parsed, native_path = staging_path(spark, "kb-sheet"), staging_path(spark, "kb-native")
+    sheet = KB.kb_sheet_scan(spark, _kb_root(spark, sf), parsed=parsed)
+    unstaged(spark, sf, "kb-sheet")
     for state in (sheet, _changed_cases(sheet)):
-        native = KB.kb_refresh(state, staging_path(spark, "kb-native"))
+        native = KB.kb_refresh(state, native_path)
         index.update(native.withColumn("case_id", case_key()))
+    drop_stage(spark, parsed)
     return index
 
 

@@ -160,7 +160,7 @@ def pairs_to_score(weights: DataFrame, terms: DataFrame, k: int) -> DataFrame:
         F.sum("c").alias("part"), F.first("rest").alias("rest"), F.first("bound").alias("bound"))
     reach = (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("reach")
     part = part.select("question_id", "case_id", reach, F.coalesce("bound", F.lit(0.0)).alias("bound")).where("reach >= bound")
-    part = write_stage(part, "search-reach")
+    part = write_stage(part, "search-reach", compression="zstd")
     # the pairs that reach furthest give a better bound for the others
     top = _best(part.select("question_id", "case_id", F.col("reach").alias("score")), SEED_CASES * k)
     better = _best(full_scores(hint(top.select("question_id", "case_id")), weights, terms), k).where(F.col("rank") == k)
@@ -199,7 +199,7 @@ def search_index(questions: DataFrame, index: DataFrame, k: int = TOP_K, k1: flo
 
 
 def _search(qt: DataFrame, postings: DataFrame, stats: dict, k: int, k1: float, b: float, small_vocab: bool) -> DataFrame:
-    weights = write_stage(weigh(postings, stats, k1, b, small_vocab), "search-weights")
+    weights = write_stage(weigh(postings, stats, k1, b, small_vocab), "search-weights", compression="zstd")
     terms = write_stage(qt, "search-questions")
     pairs = write_stage(pairs_to_score(weights, terms, k), "search-pairs")
     return _best(full_scores(broadcast_if_small(pairs), weights, terms), k).select("question_id", "rank", "case_id", "score")

@@ -146,3 +146,41 @@ def test_records_go_across_groups_of_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sheet, "LINES_PER_GROUP", 3)
     got = sorted(r.value for r in sheet.sheet_records(spark, str(tmp_path)).collect())
     assert got == sorted(2 * rows)
+
+
+def _staged(spark):
+    """Bytes of every folder staged so far."""
+    from pathlib import Path
+    root = Path(staging_path(spark, "x").removeprefix("file:")).parent
+    return {f.name: sum(x.stat().st_size for x in f.rglob("*") if x.is_file()) for f in root.glob("*")}
+
+
+def test_a_sheet_is_put_together_without_copies_of_it(spark, tmp_path):
+    from cairn.sources.sheet import sheet_records
+    rows = [f'"p{i}","' + "\n".join(f"line {i * j} of this text" for j in range(9)) + '"' for i in range(3000)]
+    (tmp_path / "a.csv").write_text("\n".join(["h,t", *rows]) + "\n")
+    before = _staged(spark)
+    records = sheet_records(spark, str(tmp_path))
+    assert sorted(r.value for r in records.collect()) == sorted(rows)
+    assert sum(n for f, n in _staged(spark).items() if f not in before) < (tmp_path / "a.csv").stat().st_size / 10
+    # only the pieces of records that lie in several blocks are shuffled: here none
+    assert records._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+def test_reindexing_leaves_one_native_copy_and_the_index(spark, sf_small):
+    from cairn import catalog
+    before = _staged(spark)
+    index = catalog._reindexed(spark, sf_small)
+    left = sorted(f.rpartition("-")[0] for f in _staged(spark) if f not in before)
+    assert [f for f in left if f.startswith("kb-") and f not in ("kb-ids", "kb-live")] == ["kb-index", "kb-native"]
+    assert not [f for f in left if f.startswith("sheet-") and f not in ("sheet-blocks", "sheet-entered")]
+    assert index.index().where("term IS NULL").count() > 100
+
+
+def test_texts_are_found_alike_by_either_list_of_ids(spark, monkeypatch):
+    from cairn.sources import kb_index
+    rows = _cases(spark, [(1, "a"), (2, "b"), (2, "b"), (None, "c"), (3, None)])
+    wanted, others = spark.createDataFrame([(1,), (3,), (None,)], "case_id long"), spark.createDataFrame([(2,)], "case_id long")
+    for small in ((), (0,), (1,), (0, 1)):
+        monkeypatch.setattr(kb_index, "fits", lambda df: any(df is (wanted, others)[i] for i in small))
+        assert sorted(map(tuple, kb_index._rows_of(rows, wanted, others).collect())) == [(1, "a"), (3, None)], small
