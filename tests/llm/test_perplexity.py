@@ -118,3 +118,39 @@ def test_every_character_outside_the_symbols_has_its_share(spark):
         want = math.exp(math.log(whole) - sum(math.log(share(b, c)) for b, c in zip(symbols(t), t) if c not in tops) / len(t))
         assert np.isclose(got[i], want, rtol=1e-3), i
     assert got[3] < got[5] and got[5] != got[8]  # T is frequent, W is not, and the last one was never seen
+
+
+def test_the_query_gives_every_character_a_symbol(spark, tmp_path, monkeypatch):
+    rnd = random.Random(3)
+    words = ["мама", "мыла", "раму", "окно", "дом", "漢字", "Grüße", "Tür", "XVII", "1984", "#tag"]
+    trusted = [" ".join(rnd.choices(words, k=30)) + " " + sentence(i, 20) + " " + "".join(map(chr, range(33 + i, 110))) for i in range(40)]
+    chars = {c for t in trusted for c in t}
+    assert len(chars) > P.SYMBOLS + 20
+    text = " ".join(rnd.choices(words[:5], k=30))
+    texts = trusted + [text, "".join(rnd.sample(text, len(text))), "字漢 ruT", "Ж" * 9, "", None]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    docs(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(P, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(P, "CELL_BITS", 1)
+    got = {r.doc_id: r.perplexity for r in P.q_op10(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    monkeypatch.setattr(P, "SYMBOLS", len(chars) + 2)
+    for i, want in enumerate(brute(trusted, [t or "" for t in texts])):
+        assert (got[i] is None) == (want is None) and (want is None or np.isclose(got[i], want, rtol=1e-3)), i
+    assert got[40] < got[41] / 3  # words against the same characters in disorder
+
+
+def test_counts_of_a_task_are_added_up(monkeypatch):
+    monkeypatch.setattr(P, "HELD", 50)
+    rnd = np.random.default_rng(1)
+    counts, want, got = P.Counts(), Counter(), Counter()
+    for _ in range(30):
+        context, char = rnd.integers(0, 4, 40) << 40, rnd.integers(0, 30, 40)
+        want.update(zip(context.tolist(), char.tolist()))
+        if counts.add(context, char):
+            for b in counts.take():
+                got.update({(r["context"], r["char"]): r["c"] for r in b.to_pylist()})
+    for b in counts.take():
+        got.update({(r["context"], r["char"]): r["c"] for r in b.to_pylist()})
+    assert got == want
